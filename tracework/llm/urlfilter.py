@@ -76,12 +76,13 @@ def host_suffixes(host: Column, most_labels: int) -> Column:
 def lookup_keys(host: Column, path: Column, most_labels: int, path_lengths: list[int]) -> Column:
     """The keys by which a url may be listed: "suffix" for hosts, "suffix/path..." for rules."""
     suffixes = host_suffixes(host, most_labels)
-    rules = [
-        F.when(
-            F.length(path) >= n, F.transform(suffixes, lambda s, n=n: F.concat(s, F.left(path, F.lit(n))))
-        ).otherwise(F.array().cast("array<string>"))
-        for n in path_lengths
-    ]
+    none = F.array().cast("array<string>")
+
+    def with_prefix(n: int) -> Column:
+        prefix = F.left(path, F.lit(n))
+        return F.when(F.length(path) >= n, F.transform(suffixes, lambda s: F.concat(s, prefix))).otherwise(none)
+
+    rules = [with_prefix(n) for n in path_lengths]
     return F.concat(suffixes, *rules)
 
 
