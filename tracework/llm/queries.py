@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracework.llm import quality, sharding, urlfilter
+from tracework.llm import bpe, chat, decontam, linedup, neardup, pii, quality, sharding, toxicity, urlfilter
 from tracework.session import table
 
 #: The shards that op2 deals to: 3 regions of 2 racks of 4 shards.
@@ -25,6 +25,21 @@ LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets"
 LISTED_HOSTS = [f"{name}.example.{top}" for name in LISTED_NAMES for top in ("com", "net", "org")]
 
 
+#: The conversation that op10 adds to the table: rows of (conv_id, turn, role, text), fixed values.
+ADDED_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_TREE)
     return rows.withColumn("law", F.lit("key"))
@@ -35,11 +50,47 @@ def op3_cascade_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
+def op4_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op5_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hash_tree_sharding, op3_cascade_url_filter, op6_quality_rules)}
+def op7_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_suffix_array_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose lines, the numbers of these lines and the documents that hold the first copies."""
+    found = linedup.later_copies(table(spark, sf_dir, "documents"))
+    return found.select(F.col("_d").alias("doc_id"), F.size("lines").alias("n_deleted"), F.col("lines").alias("deleted_lines"), F.col("first_docs").alias("first_doc_ids"))
+
+
+def op9_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(ADDED_TURNS, turns.schema)
+    return chat.digests(chat.windows(turns.unionByName(added)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pigeonhole_decontamination, op2_hash_tree_sharding, op3_cascade_url_filter, op4_distinct_word_bpe,
+        op5_simhash_bk_trees, op6_quality_rules, op7_factorization_machine_toxicity, op8_suffix_array_line_dedup,
+        op9_crf_personal_data, op10_budgeted_chat_windows,
+    )
+}
 
 
 def _u(path: str, key: str) -> str:

@@ -1,0 +1,41 @@
+"""Connected components of links by alternating large and small stars (Kiveris et al., 2014), on the cluster."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracework.session import cut
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node hands its larger neighbours to the least node of its neighbourhood."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node hands its smaller neighbours, and itself, to the least of them. Edges run from larger to smaller."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    joined = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return joined.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """links(a, b) of longs -> (node, root): every node that has a link, and the least node of its component.
+
+    The state is cut in every round; a round's edges are no more than the round's before it."""
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = cut(edges, "stars")
+    state = None
+    for _ in range(most_rounds):
+        edges = cut(_small_star(_large_star(edges)), "stars")
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == state:
+            break
+        state = now
+    else:
+        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
