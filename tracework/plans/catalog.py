@@ -1,6 +1,8 @@
-"""All registered queries by name, and their DuckDB oracles."""
+"""All registered queries of the library."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tracework.plans import documents, linked, sequences, walks  # noqa: F401  they register themselves
+from tracework.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
