@@ -38,7 +38,9 @@ def follows(log: Log, noise: float = 0.0) -> dict[str, set[str]]:
     for trace, times in log.items():
         for a, b in zip(trace, trace[1:], strict=False):
             n[a][b] += times
-    return {a: {b for b, k in found.items() if k >= noise * max(found.values())} for a, found in n.items()}
+        if trace:
+            n[trace[-1]][None] += times  # ending counts among what follows
+    return {a: {b for b, k in found.items() if b is not None and k >= noise * max(found.values())} for a, found in n.items()}
 
 
 def _ends(log: Log, at: int, noise: float) -> set[str]:
