@@ -4,13 +4,16 @@
    (where composition and case folding need Unicode tables) or with a special token's string are normalised and split
    by the tokenizer's own rules instead.
 2. Blocks of documents (up to BLOCK_WORDS words each) keep a word list and, for each document, the positions of its
-   words in that list. Blocks are written once; everything after starts from there.
-3. The distinct words of all blocks are encoded once each and joined back to the blocks' lists, whose size does not
-   depend on how often a word occurs, so frequent words are no hot keys.
+   words in that list. A block is named by a hash of its content.
+3. The lists' words are dealt by word, so that each distinct word is in one task and is encoded once there; the ids go
+   back to the lists by block and position. A word stands once in a block's list, so frequent words are no hot keys.
 4. A block's documents and its encoded list meet in one task, which puts the ids together by position.
 
-Decoding looks each id up in the id-to-piece table (the vocabulary, of a size fixed by its file, so it is broadcast),
-joins the pieces and the bytes they stand for.
+Documents and lists come from two passes over the input, which must give the same rows in the same order, as a table
+in files does; if a block's list is missing or has another size the job fails and says so.
+
+Decoding looks each id up in the id-to-piece table (the vocabulary, of a size fixed by its file, so it is broadcast) and
+joins the pieces.
 
 Defined results: null text is empty: no ids, decoded ""; repeated rows are encoded alike; ids outside the vocabulary
 decode to nothing; an empty table gives no rows; columns other than those carried are dropped.
@@ -20,18 +23,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracework.session import cut
-
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 4_000_000
 
 # fixed values: the word pattern of the vocabulary and its special tokens
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -94,17 +95,20 @@ def worded(docs: DataFrame, path: str, carry: tuple[str, ...]) -> DataFrame:
     return marked.select(*carry, F.coalesce(by_rules("_odd"), native).alias("words"))
 
 
-def blocks_of(words: DataFrame, carry: tuple[str, ...], block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows of blocks: block, carry columns and at (packed positions) for documents; block and list for the word lists."""
-    fields = [f for f in words.schema if f.name in carry]
-    schema = "block string, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "n long, at binary, list array<string>"
+def blocks_of(words: DataFrame, carry: tuple[str, ...], lists: bool, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Blocks of words(carry, words): their documents (block, listed, carry, n, at) with packed positions, or their lists
+    (block, pos, word)."""
+    fields = [words.schema[c] for c in carry]
+    if lists:
+        schema = "block long, pos int, word string"
+    else:
+        schema = "block long, listed int, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "n long, at binary"
 
     def pack(batches):
         held, size = [], 0
         for batch in batches:
             # one block never spans more than block_words words, unless a single document does
-            at = batch.schema.get_field_index("words")
-            lengths = np.diff(batch.column(at).offsets.to_numpy())
+            lengths = np.diff(batch.column(batch.schema.get_field_index("words")).offsets.to_numpy())
             start = 0
             for i, n in enumerate(lengths.tolist()):
                 if size and size + n > block_words:
@@ -119,116 +123,178 @@ def blocks_of(words: DataFrame, carry: tuple[str, ...], block_words: int = BLOCK
         held = [b for b in held if b.num_rows]
         if not held:
             return
-        at = held[0].schema.get_field_index("words")
-        lists = [b.column(at) for b in held]
-        lengths = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
-        flat = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
-        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        columns = [b.column(b.schema.get_field_index("words")) for b in held]
+        lengths = np.concatenate([np.diff(x.offsets.to_numpy()) for x in columns])
+        flat = pa.concat_arrays([x.flatten() for x in columns]).dictionary_encode()
+        codes = flat.indices.to_numpy(zero_copy_only=False)
         counts = np.bincount(codes, minlength=len(flat.dictionary))
         order = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which pack well
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         codes, ordered = rank[codes], flat.dictionary.take(pa.array(order))
-        name = uuid.uuid4().hex
+        content = xxhash.xxh64(codes.tobytes())
+        for buffer in (lengths.tobytes(), *ordered.buffers()[1:]):
+            content.update(b"" if buffer is None else buffer)
+        block = int(np.uint64(content.intdigest()).view(np.int64))
+        if lists:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ordered), block)), pa.array(np.arange(len(ordered), dtype=np.int32)), ordered], ["block", "pos", "word"])
+            return
         ends = np.cumsum(lengths)
         packed = [_pack(codes[b - n : b]) for n, b in zip(lengths.tolist(), ends.tolist(), strict=True)]
-        total = sum(b.num_rows for b in held)
-        columns = [pa.concat_arrays([b.column(b.schema.get_field_index(c)) for b in held]) for c in carry]
+        total = len(lengths)
+        carried = [pa.concat_arrays([b.column(b.schema.get_field_index(c)) for b in held]) for c in carry]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * total), *columns, pa.array(lengths.astype(np.int64)), pa.array(packed, pa.binary()), pa.nulls(total, pa.list_(pa.string()))],
-            ["block", *carry, "n", "at", "list"],
-        )
-        whole = pa.ListArray.from_arrays(pa.array([0, len(ordered)], pa.int32()), ordered)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name]), *[pa.nulls(1, c.type) for c in columns], pa.array([None], pa.int64()), pa.array([None], pa.binary()), whole],
-            ["block", *carry, "n", "at", "list"],
+            [pa.array(np.full(total, block)), pa.array(np.full(total, len(ordered), np.int32)), *carried, pa.array(lengths.astype(np.int64)), pa.array(packed, pa.binary())],
+            ["block", "listed", *carry, "n", "at"],
         )
 
     return words.mapInArrow(pack, schema)
 
 
 def _pack(codes: np.ndarray) -> bytes:
-    """uint32 numbers as byte planes, deflated."""
-    return zlib.compress(np.ascontiguousarray(codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    """Numbers below 255 in one byte; the others are 255 there and follow as byte planes; all deflated."""
+    large = codes[codes >= 255]
+    planes = np.ascontiguousarray(large.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return zlib.compress(np.minimum(codes, 255).astype(np.uint8).tobytes() + planes.tobytes(), 1)
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
+    data = np.frombuffer(zlib.decompress(data), np.uint8)
+    codes = data[:n].astype(np.uint32)
+    codes[codes == 255] = np.ascontiguousarray(data[n:].reshape(4, -1).T).view(np.uint32).reshape(-1)
+    return codes
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """words(word) -> (word, ids): each once."""
+def encode_lists(lists: DataFrame, path: str, batch_words: int = 400_000) -> DataFrame:
+    """lists(block, pos, word) -> (block, data): packed positions and ids. Rows are dealt and sorted by word, so each
+    distinct word is encoded once, where it stands."""
+    dealt = lists.repartition("word").sortWithinPartitions("word")
 
     def run(batches):
-        tokenizer = _tokenizer(path)
-        for batch in batches:
-            done = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.ids for e in done], pa.list_(pa.int32()))], ["word", "ids"])
+        tokenizer, last, last_ids = _tokenizer(path), None, None
+        held, size = [], 0
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+        def flush():
+            nonlocal last, last_ids
+            block, pos = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (0, 1))
+            words = pa.concat_arrays([b.column(2) for b in held]).dictionary_encode()
+            distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+            fresh = [w for w in distinct if w != last]
+            found = {w: e.ids for w, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True)}
+            if last is not None:
+                found.setdefault(last, last_ids)
+            ids = [found[w] for w in distinct]
+            last, last_ids = distinct[-1], ids[-1]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            starts, flat = np.cumsum(sizes) - sizes, np.array([i for x in ids for i in x], np.int32)
+            order = np.argsort(block, kind="stable")
+            edges = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True]) if len(order) else np.array([0])
+            names, data = [], []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = order[a:b]
+                own = own[np.argsort(pos[own], kind="stable")]
+                n, at = sizes[codes[own]], starts[codes[own]]
+                ends = np.cumsum(n)
+                source = np.arange(ends[-1]) + np.repeat(at - (ends - n), n)
+                body = np.array([len(own)], np.int32).tobytes() + np.diff(pos[own], prepend=0).astype(np.int32).tobytes() + n.astype(np.int32).tobytes() + flat[source].tobytes()
+                names.append(int(block[own[0]]))
+                data.append(zlib.compress(body, 1))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= batch_words:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return dealt.mapInArrow(run, "block long, data binary")
+
+
+def _id_lists(data: list[bytes], listed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a block, and each listed word's start and number of ids in them."""
+    parts, pos, sizes = [], [], []
+    for x in data:
+        body = np.frombuffer(zlib.decompress(x), np.int32)
+        n = int(body[0])
+        pos.append(np.cumsum(body[1 : 1 + n]))
+        sizes.append(body[1 + n : 1 + 2 * n])
+        parts.append(body[1 + 2 * n :])
+    pos, sizes = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (pos, sizes))
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    starts = np.cumsum(sizes) - sizes
+    where, first = np.unique(pos, return_index=True)  # equal blocks have equal lists
+    if len(where) != listed:
+        raise RuntimeError("a block's word list differs between two passes over the input: write the input as a table first")
+    return flat, starts[first], sizes[first]
 
 
 def encode(docs: DataFrame, path: str, finish: Callable, schema: str, carry: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS) -> DataFrame:
-    """finish(ids: numpy array of int32) -> tuple of the schema's columns, beside the carry columns, for every row of
-    docs(text, carry). A document's ids are only put together in the task that calls finish."""
+    """carry columns and those of schema for every row of docs(text, carry). finish(flat, starts, sizes) gets a block's
+    ids, word by word of its list, and returns a function from a document's positions in the list to its columns."""
     fields = [docs.schema[c] for c in carry]
-    blocks = cut(blocks_of(worded(docs, path, carry), carry, block_words), "bpe-blocks")
-    listed = blocks.where("list IS NOT NULL").select("block", F.posexplode("list").alias("pos", "word"))
-    table = encode_words(listed.select("word").distinct(), path)
-    joined = listed.join(table, "word").select(F.col("block").alias("of"), "pos", "ids")
-    documents = blocks.where("list IS NULL").select("block", *carry, "n", "at")
+    words = worded(docs, path, carry)
+    documents = blocks_of(words, carry, False, block_words)
+    lists = encode_lists(blocks_of(words, carry, True, block_words), path).withColumnRenamed("block", "of")
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("pos").to_numpy())
-        lists = right.column("ids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
-        starts, sizes = offsets[:-1][order], np.diff(offsets)[order]
-        rows = []
-        for n, at in zip(left.column("n").to_pylist(), left.column("at").to_pylist(), strict=True):
-            codes = _unpack(at, n)
-            size = sizes[codes]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if n else 0
-            source = np.arange(total) + np.repeat(starts[codes] - (ends - size), size)
-            rows.append(finish(flat[source].astype(np.int32)))
-        columns = [pa.array(list(x)) for x in zip(*rows, strict=True)] if rows else []
-        arrays = [left.column(c) for c in carry] + columns
-        return pa.table(arrays, names=[*carry, *[f.split()[0] for f in schema.split(", ")]])
+        names = [*carry, *[f.split()[0] for f in schema.split(", ")]]
+        if not left.num_rows:
+            raise RuntimeError("a word list has no documents: write the input as a table first")
+        done = finish(*_id_lists(right.column("data").to_pylist(), left.column("listed")[0].as_py()))
+        rows = [done(_unpack(at, n)) for n, at in zip(left.column("n").to_pylist(), left.column("at").to_pylist(), strict=True)]
+        return pa.table([left.column(c) for c in carry] + [pa.array(list(x)) for x in zip(*rows, strict=True)], names=names)
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + schema
-    return documents.groupBy("block").cogroup(joined.groupBy("of")).applyInArrow(put_together, out)
+    return documents.groupBy("block").cogroup(lists.groupBy("of")).applyInArrow(put_together, out)
 
 
 class Decoder:
     """ids -> text, as the tokenizers library decodes without a decoder of its own: pieces joined by single spaces."""
 
     def __init__(self, pieces: list[str]) -> None:
-        self.pieces = np.array(pieces, dtype=object)
+        self.pieces = pieces
 
     def __call__(self, ids: np.ndarray) -> str:
-        known = ids[(ids >= 0) & (ids < len(self.pieces))]
-        return " ".join(self.pieces[known].tolist())
+        known = ids if not len(ids) or (ids.min() >= 0 and ids.max() < len(self.pieces)) else ids[(ids >= 0) & (ids < len(self.pieces))]
+        return " ".join([self.pieces[i] for i in known.tolist()])
 
 
 def encode_digests(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS) -> DataFrame:
     """carry columns, n_tokens, ids_sha256, decoded_sha256 of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(piece_table(path))
-    made: list[Decoder] = []
 
-    def finish(ids: np.ndarray):
-        if not made:
-            made.append(Decoder(shared.value))
-        text = " ".join(map(str, ids.tolist()))
-        return len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(made[0](ids).encode()).hexdigest()
+    def finish(flat, starts, sizes):
+        decoder, ids = Decoder(shared.value), flat.tolist()
+        spans = list(zip(starts.tolist(), (starts + sizes).tolist(), strict=True))
+        numbers = [" ".join(map(str, ids[a:b])) for a, b in spans]
+        pieces = [decoder(flat[a:b]) for a, b in spans]
+
+        def digest(codes):
+            at = codes.tolist()
+            told, decoded = " ".join(map(numbers.__getitem__, at)), " ".join(map(pieces.__getitem__, at))
+            return int(sizes[codes].sum()), hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+        return digest
 
     return encode(docs, path, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", carry, block_words)
 
 
 def encode_ids(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS) -> DataFrame:
     """carry columns and ids (array<int>) of every row."""
-    return encode(docs, path, lambda ids: (ids.tolist(),), "ids array<int>", carry, block_words)
+
+    def finish(flat, starts, sizes):
+        def gather(codes):
+            n = sizes[codes]
+            ends = np.cumsum(n)
+            return (flat[np.arange(ends[-1] if len(n) else 0) + np.repeat(starts[codes] - (ends - n), n)],)
+
+        return gather
+
+    return encode(docs, path, finish, "ids array<int>", carry, block_words)
 
 
 def decode_ids(encoded: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
