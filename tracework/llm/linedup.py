@@ -15,8 +15,8 @@ or in the shortest one that ends with the maximal run.
 
 Defined results: null text stays null and has no lines, as empty texts; of copies the first by doc_id stays whole and the
 others lose all repeated lines (ties in doc_id: by a hash of the text); rows equal in doc_id and text are one document
-and each is treated alike; a text left without a word is empty; columns beside doc_id and text are carried over (only
-names that start with an underscore are reserved); an empty table gives no rows.
+and each is treated alike; a text left without a word is empty; columns beside doc_id and text are carried over, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -135,11 +135,12 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later copies of repeated runs cut out of the texts; all rows and columns stay."""
     cuts = cut(later_copies(docs, min_words).select(F.col("_d").alias("_cd"), F.col("_row").alias("_cr"), F.col("lines").alias("_lines")), "deleted-lines")
-    keyed = _keyed(docs)
+    # the row travels as one struct, so that none of its columns can clash with those used here
+    keyed = _keyed(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text"))
     joined = keyed.join(cuts, (keyed["_d"] == cuts["_cd"]) & (keyed["_row"] == cuts["_cr"]), "left")
     every = joined.withColumn("_all", _lines(F.col("text")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_lines")), lambda i: F.get(F.col("_all"), i))
     every = every.withColumn("_kept", F.when(F.col("_lines").isNotNull(), F.array_join(kept, "\n")))
     blank = ~F.col("_kept").rlike("[^\\x20\\x09-\\x0D]")
     text = F.when(F.col("_kept").isNull(), F.col("text")).when(blank, F.lit("")).otherwise(F.col("_kept"))
-    return every.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return every.select(*[text.alias("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
