@@ -50,9 +50,9 @@ _START_BITS = 20
 def with_base_features(df: DataFrame, carry: list[str]) -> DataFrame:
     """carry columns and the base features of df's _t (a text, not null) and _w (its words).
 
-    The steps are separate projections, so that arrays are computed once and compiled; the row number that is made
-    and dropped at the end keeps the optimizer from moving a later filter below them, which would compute the arrays
-    anew for each element."""
+    The steps are separate projections, so that arrays are computed once and compiled. Don't filter on the features
+    directly: the optimizer would move the filter below the steps and compute the arrays anew for each element; let
+    the rows pass an explode_outer first, as the pipeline does."""
     words = F.col("_w")
     mask = F.lit((1 << 63) - (1 << _START_BITS)).cast("long")
     bare = F.col("_t")
@@ -88,7 +88,6 @@ def with_base_features(df: DataFrame, carry: list[str]) -> DataFrame:
         *carry, "_w", "n_words", "word_chars", "n_symbols",
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.sort_array(F.array_distinct(starts)).alias("_p"),
-        F.monotonically_increasing_id().alias("_n"),
     )
     p = F.col("_p")
     # each start covers three words, less those that the next start covers too
@@ -96,7 +95,7 @@ def with_base_features(df: DataFrame, carry: list[str]) -> DataFrame:
         F.transform(p, lambda x, j: F.coalesce(F.least(F.lit(3), F.get(p, j + 1) - x), F.lit(3))), F.lit(0).cast("long"), lambda n, x: n + x
     )
     return step.select(
-        *carry, "_w", "_n", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words")
+        *carry, "_w", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words")
     )
 
 
