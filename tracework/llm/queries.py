@@ -116,3 +116,22 @@ FROM p LEFT JOIN r ON p.host = r.host AND p.path = r.path LEFT JOIN b ON p.host
 
 
 ORACLES = {"op3_cascade_url_filter": _op3_sql()}
+
+_WORDS = r"len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
+_SHOWN = "length(replace(replace({0}, '~', '~0'), '<|', '~1'))"
+_MARKS = len(chat.OPEN) + len(chat.MIDDLE) + len(chat.CLOSE)
+
+ORACLES["op10_budgeted_chat_windows"] = f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES {", ".join(map(str, ADDED_TURNS))}),
+t AS (SELECT *, {_WORDS} + {chat.TURN_TOKENS} AS tokens, row_number() OVER o - 1 AS i FROM rows WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t),
+w AS (SELECT *, 2 * (start // {chat.STRIDE}) + CASE WHEN start // {chat.STRIDE} = (start + tokens - 1) // {chat.STRIDE} THEN 0 ELSE 1 END AS win,
+  {_MARKS} + {_SHOWN.format("role")} + {_SHOWN.format("text")} AS chars FROM s),
+n AS (SELECT *, lead(win) OVER o AS w1, lead(win, 2) OVER o AS w2, lead(tokens) OVER o AS t1 FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
+r AS (SELECT *, CASE WHEN w1 <> win AND tokens <= {chat.HISTORY_TOKENS} THEN 1 ELSE 0 END + CASE WHEN w2 <> w1 AND tokens + t1 <= {chat.HISTORY_TOKENS} THEN 1 ELSE 0 END AS again FROM n),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(chars * (1 + again)) AS chars, count(DISTINCT win) AS wins,
+  coalesce(max(CASE WHEN i = 0 AND role = 'system' AND tokens <= {chat.SYSTEM_TOKENS} THEN chars END), 0) AS system_chars, max(CASE WHEN i = 0 THEN again END) AS again FROM r GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(chars + system_chars * (wins - 1 - again) AS BIGINT) AS formatted_chars FROM g"""
