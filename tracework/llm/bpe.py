@@ -32,7 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_500_000
+#: Words that the tokenizer gets at once: its results take far more memory than their ids.
+ENCODE_WORDS = 8_192
 
 # fixed values: the word pattern of the vocabulary and its special tokens
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -118,6 +120,8 @@ def blocks_of(words: DataFrame, carry: tuple[str, ...], lists: bool, block_words
                 size += n
             held.append(batch.slice(start))
         yield from build(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     def build(held):
         held = [b for b in held if b.num_rows]
@@ -165,7 +169,7 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return codes
 
 
-def encode_lists(lists: DataFrame, path: str, batch_words: int = 400_000) -> DataFrame:
+def encode_lists(lists: DataFrame, path: str, batch_words: int = 200_000) -> DataFrame:
     """lists(block, pos, word) -> (block, data): packed positions and ids. Rows are dealt and sorted by word, so each
     distinct word is encoded once, where it stands."""
     dealt = lists.repartition("word").sortWithinPartitions("word")
@@ -180,7 +184,10 @@ def encode_lists(lists: DataFrame, path: str, batch_words: int = 400_000) -> Dat
             words = pa.concat_arrays([b.column(2) for b in held]).dictionary_encode()
             distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
             fresh = [w for w in distinct if w != last]
-            found = {w: e.ids for w, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True)}
+            found = {}
+            for at in range(0, len(fresh), ENCODE_WORDS):
+                part = fresh[at : at + ENCODE_WORDS]
+                found.update(zip(part, (e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
             if last is not None:
                 found.setdefault(last, last_ids)
             ids = [found[w] for w in distinct]
