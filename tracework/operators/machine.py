@@ -185,3 +185,9 @@ def tracks(walks: DataFrame, scheme: DataFrame, minimum: int = 25) -> DataFrame:
     holding = known.select("walk", "domain", "milestone").distinct().groupBy("domain", "milestone").agg(F.count(F.lit(1)).alias("holding"))
     by = known.groupBy("domain", "milestone", "state").agg(F.count(F.lit(1)).alias("n"))
     return by.join(holding, ["domain", "milestone"]).join(sizes, "domain").select("domain", "milestone", "state", (F.col("n") / F.col("holding")).alias("share"))
+
+
+def from_start(stepped: DataFrame, first: list[str]) -> DataFrame:
+    """Steps of the walks whose telling begins at one of the first milestones."""
+    began = stepped.where((F.col("k") == 0) & F.col("next").isin(first)).select("walk")
+    return stepped.join(began, "walk", "left_semi")

@@ -170,3 +170,21 @@ def both_outcomes(events: DataFrame, one: str, other: str, departure: str) -> Da
         events.groupBy("case").agg(F.max(F.col("kind") == one).alias("a"), F.max(F.col("kind") == other).alias("b")).where("a AND b")
         .select("case", F.lit(departure).alias("departure"), F.lit(one).alias("first"), F.lit(other).alias("second"))
     )
+
+
+def shuffled_groups(log: DataFrame, group: str, draws: int, seed: int = 7) -> DataFrame:
+    """(draw, grp, item, n): counts with the traces' groups dealt anew, for a null distribution of a divergence. Labels
+    are permuted among traces by a seeded hash: the i-th trace by hash takes the i-th label."""
+    traces = log.groupBy("trace").agg(F.min(group).alias("grp"))
+    # one task numbers the traces of a draw; draws go side by side
+    drawn = traces.select("trace", "grp", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    own = drawn.select("draw", "grp", F.row_number().over(Window.partitionBy("draw").orderBy("trace")).alias("_i"))
+    other = drawn.select("draw", "trace", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64("trace", "draw", F.lit(seed)), "trace")).alias("_i"))
+    relabelled_ = own.join(other, ["draw", "_i"]).select("draw", "trace", "grp")
+    items = log.groupBy("trace", F.col("activity").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    return relabelled_.join(items, "trace").groupBy("draw", "grp", "item").agg(F.sum("n").alias("n"))
+
+
+def mean_divergence(counts: DataFrame) -> DataFrame:
+    """(bits): the mean over pairs of groups."""
+    return divergence(counts).agg(F.avg("bits").alias("bits"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracework.operators import linkage, resolve
+from tracework.operators import evidence, graph, linkage, resolve, triage
 from tracework.plans.registry import query
 from tracework.session import table
 
@@ -140,6 +140,56 @@ def cosine_pairs(spark, sf):
     return linkage.similar_pairs(vectors, 0.5).select("a", "b")
 
 
+@query()
 def similarity_clusters(spark, sf):
     """Components of the similar pairs."""
     return linkage.connected(cosine_pairs(spark, sf))
+
+
+def star_triples(spark, sf):
+    """The star schema as triples: customers and suppliers in nations, nations in regions."""
+    rows = lambda name, key, p, to, kind: table(spark, sf, name).select(
+        F.concat(F.lit(kind[0] + ":"), F.col(key).cast("string")).alias("s"), F.lit(p).alias("p"), F.concat(F.lit(kind[1] + ":"), F.col(to).cast("string")).alias("o"), F.lit("iri").alias("o_kind")
+    )
+    typed = lambda name, key, kind, cls: table(spark, sf, name).select(F.concat(F.lit(kind + ":"), F.col(key).cast("string")).alias("s"), F.lit(graph.TYPE).alias("p"), F.lit(cls).alias("o"), F.lit("iri").alias("o_kind"))
+    return (
+        rows("customer", "c_custkey", "in", "c_nationkey", ("c", "n")).unionByName(rows("supplier", "s_suppkey", "in", "s_nationkey", ("s", "n")))
+        .unionByName(rows("nation", "n_nationkey", "part", "n_regionkey", ("n", "r"))).unionByName(typed("customer", "c_custkey", "c", "Customer")).unionByName(typed("nation", "n_nationkey", "n", "Nation"))
+    )
+
+
+@query("""SELECT 's:' || s_suppkey AS supplier, 'n:' || n_nationkey AS nation, 'r:' || n_regionkey AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1""")
+def graph_pattern(spark, sf):
+    return graph.match(star_triples(spark, sf), [("?nation", "part", "r:1"), ("?nation", "part", "?region"), ("?supplier", "in", "?nation")]).where("supplier LIKE 's:%'").select("supplier", "nation", "region")
+
+
+@query("""SELECT 'n:' || n_nationkey AS node, 'part' AS p, 'r:' || n_regionkey AS other, true AS outward FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'n:' || c_nationkey, 'in', 'c:' || c_custkey, false FROM customer WHERE c_nationkey < 3
+UNION ALL SELECT 'n:' || s_nationkey, 'in', 's:' || s_suppkey, false FROM supplier WHERE s_nationkey < 3 UNION ALL SELECT 'n:' || n_nationkey, 'a', 'Nation', true FROM nation WHERE n_nationkey < 3""")
+def graph_neighbours(spark, sf):
+    nodes = table(spark, sf, "nation").where("n_nationkey < 3").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.neighbours(star_triples(spark, sf), nodes)
+
+
+@query("""SELECT 'n:' || n_nationkey AS s, 'part' AS path, 'class' AS rule FROM nation""")
+def shape_violations(spark, sf):
+    return graph.violations(star_triples(spark, sf), "Nation", [{"path": "part", "min": 1, "max": 1, "cls": "Region", "kind": "iri"}])
+
+
+@query("""WITH v AS (SELECT l_orderkey AS record_id, CAST(l_linenumber AS INT) AS sentence, CAST(l_quantity AS INT) AS at_ FROM lineitem WHERE l_returnflag = 'A'),
+m AS (SELECT l_orderkey AS record_id, CAST(l_linenumber AS INT) AS sentence, CAST(l_quantity AS INT) - 1 AS pos, CAST(l_suppkey AS VARCHAR) AS person FROM lineitem WHERE l_returnflag = 'R'),
+e AS (SELECT record_id, sentence, arg_max(person, (pos, person)) AS carried FROM m GROUP BY 1, 2)
+SELECT v.record_id, v.sentence, v.at_ AS "at", coalesce(a.carried, b.carried) AS person FROM v LEFT JOIN e a ON a.record_id = v.record_id AND a.sentence = v.sentence - 1 LEFT JOIN e b ON b.record_id = v.record_id AND b.sentence = v.sentence - 2
+WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.record_id = v.record_id AND m.sentence = v.sentence)""")
+def person_carry_over(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").cast("int").alias("sentence"), F.col("l_quantity").cast("int").alias("at"), F.col("l_suppkey").cast("string").alias("person"), "l_returnflag")
+    values = rows.where("l_returnflag = 'A'").select("record_id", "sentence", "at")
+    marks = rows.where("l_returnflag = 'R'").select("record_id", "sentence", (F.col("at") - 1).alias("pos"), "person")
+    alone = values.join(marks.select("record_id", "sentence").distinct(), ["record_id", "sentence"], "left_anti")
+    return evidence.last_before(alone, marks).select("record_id", "sentence", "at", "person")
+
+
+@query()
+def triage_predictions(spark, sf):
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_totalprice", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
+    found, _ = triage.triage(rows, "o_orderkey", ["c_acctbal", "nation"], "o_totalprice", kind="tree")
+    return found
