@@ -37,11 +37,11 @@ def url_dedup(spark, sf):
     return table(spark, sf, "pages").groupBy(C.url_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("page_id"))
 
 
-@query(f"""WITH {KEYED}, seen AS (SELECT DISTINCT key FROM keyed WHERE page_id % 3 = 0) SELECT min(page_id) AS page_id, key FROM keyed WHERE key NOT IN (SELECT key FROM seen) GROUP BY key""")
+@query(f"""WITH {KEYED}, seen AS (SELECT DISTINCT key FROM keyed WHERE url LIKE '%?%') SELECT min(page_id) AS page_id, key FROM keyed WHERE key NOT IN (SELECT key FROM seen) GROUP BY key""")
 def unseen_urls(spark, sf):
-    """Append with dedup: keys that an earlier batch (every third page) doesn't have, the first row of each."""
-    rows = table(spark, sf, "pages").select("page_id", C.url_key(F.col("url")).alias("key"))
-    seen = rows.where("page_id % 3 = 0").select("key").distinct()
+    """Append with dedup: keys that an earlier batch (the urls with a query) doesn't have, the first row of each."""
+    rows = table(spark, sf, "pages").select("page_id", "url", C.url_key(F.col("url")).alias("key"))
+    seen = rows.where("url LIKE '%?%'").select("key").distinct()
     return rows.join(seen, "key", "left_anti").groupBy("key").agg(F.min("page_id").alias("page_id"))
 
 

@@ -8,29 +8,25 @@ from tracework.operators import evidence, graph, linkage, resolve, triage
 from tracework.plans.registry import query
 from tracework.session import table
 
-#: Strong keys: parts of one brand number and size bought in large quantity by one customer.
-MEMBERS = """keys AS (SELECT DISTINCT l_orderkey AS record_id, l_partkey AS number FROM lineitem WHERE l_quantity >= 48),
-common AS (SELECT number FROM keys GROUP BY 1 HAVING count(*) BETWEEN 2 AND 3), strong AS (SELECT * FROM keys WHERE number IN (SELECT number FROM common) AND number % 4 = 0),
-star AS (SELECT DISTINCT m.least AS a, record_id AS b FROM strong JOIN (SELECT number, min(record_id) AS least FROM strong GROUP BY 1) m USING (number) WHERE record_id <> least)"""
-
-COMPONENTS = MEMBERS + """,
+#: Records are orders. Strong keys: one customer's orders of a month, and of a priority. Weak numbers: a part from a supplier.
+COMPONENTS = """strong AS (SELECT o_orderkey AS record_id, o_custkey || '|' || strftime(o_orderdate, '%Y-%m') AS key FROM orders UNION ALL SELECT o_orderkey, o_custkey || '|' || o_orderpriority FROM orders),
+star AS (SELECT DISTINCT m.least AS a, record_id AS b FROM strong JOIN (SELECT key, min(record_id) AS least FROM strong GROUP BY 1) m USING (key) WHERE record_id <> least),
 sides AS (SELECT a AS u, b AS v FROM star UNION SELECT b, a FROM star),
 reach AS (SELECT u AS node, u AS seen FROM sides UNION SELECT reach.node, v FROM reach JOIN sides ON u = seen),
 comp AS (SELECT node, min(seen) AS root FROM reach GROUP BY 1)"""
 
-
-def keys(spark, sf):
-    return table(spark, sf, "lineitem").where("l_quantity >= 48").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("number")).distinct()
+NUMBERS = """numbers AS (SELECT DISTINCT l_orderkey AS record_id, l_partkey || '-' || l_suppkey AS number FROM lineitem)"""
 
 
-def strong(spark, sf):
-    every = keys(spark, sf)
-    common = every.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 2 AND 3").select("number")
-    return every.join(common, "number").where("number % 4 = 0")
+def numbers(spark, sf):
+    number = F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), number.alias("number")).distinct()
 
 
 def links(spark, sf):
-    return linkage.star_edges(strong(spark, sf), "record_id", "number")
+    orders = table(spark, sf, "orders")
+    key = lambda part: orders.select(F.col("o_orderkey").alias("record_id"), F.concat_ws("|", F.col("o_custkey").cast("string"), part).alias("key"))
+    return linkage.star_edges(key(F.date_format("o_orderdate", "yyyy-MM")).unionByName(key(F.col("o_orderpriority"))), "record_id", "key")
 
 
 @query(f"WITH RECURSIVE {COMPONENTS} SELECT node, root FROM comp")
@@ -39,12 +35,13 @@ def case_components(spark, sf):
 
 
 CASES = COMPONENTS + """,
-cases AS (SELECT 'case-' || substr(sha256(CAST(coalesce(root, record_id) AS VARCHAR)), 1, 16) AS case_id, record_id, CASE WHEN root IS NULL THEN 'single' ELSE 'shared_number' END AS basis
-FROM (SELECT DISTINCT record_id FROM keys) LEFT JOIN comp ON node = record_id)"""
+cases AS (SELECT 'case-' || substr(sha256(CAST(coalesce(root, o_orderkey) AS VARCHAR)), 1, 16) AS case_id, o_orderkey AS record_id, CASE WHEN root IS NULL THEN 'single' ELSE 'customer_key' END AS basis
+FROM orders LEFT JOIN comp ON node = o_orderkey)"""
 
 
 def case_table(spark, sf):
-    return linkage.cases(keys(spark, sf).select("record_id").distinct(), links(spark, sf).withColumn("basis", F.lit("shared_number")))
+    records = table(spark, sf, "orders").select(F.col("o_orderkey").alias("record_id"))
+    return linkage.cases(records, links(spark, sf).withColumn("basis", F.lit("customer_key")))
 
 
 @query(f"WITH RECURSIVE {CASES} SELECT * FROM cases")
@@ -57,10 +54,10 @@ def case_statistics(spark, sf):
     return linkage.case_statistics(case_table(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {CASES}, few AS (SELECT number FROM keys GROUP BY 1 HAVING count(*) <= 12), k AS (SELECT number, record_id, case_id FROM keys JOIN few USING (number) JOIN cases USING (record_id))
+@query(f"""WITH RECURSIVE {CASES}, {NUMBERS}, few AS (SELECT number FROM numbers GROUP BY 1 HAVING count(*) <= 12), k AS (SELECT number, record_id, case_id FROM numbers JOIN few USING (number) JOIN cases USING (record_id))
 SELECT a.record_id AS record_a, b.record_id AS record_b, a.number FROM k a JOIN k b ON a.number = b.number AND a.record_id < b.record_id AND a.case_id <> b.case_id""")
 def case_candidates(spark, sf):
-    return linkage.case_candidates(keys(spark, sf), case_table(spark, sf))
+    return linkage.case_candidates(numbers(spark, sf), case_table(spark, sf))
 
 
 @query("""SELECT user_id, act, count(*) AS inside FROM (SELECT user_id, event_id AS act, ts FROM events WHERE event_type = 'purchase') a JOIN (SELECT user_id, ts AS t FROM events WHERE event_type = 'click') m USING (user_id)
