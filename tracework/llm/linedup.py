@@ -137,7 +137,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cuts = cut(later_copies(docs, min_words).select(F.col("_d").alias("_cd"), F.col("_row").alias("_cr"), F.col("lines").alias("_lines")), "deleted-lines")
     # the row travels as one struct, so that none of its columns can clash with those used here
     keyed = _keyed(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text"))
-    joined = keyed.join(cuts, (keyed["_d"] == cuts["_cd"]) & (keyed["_row"] == cuts["_cr"]), "left")
+    # a merge join for any size: the plan, and so the shuffle's share of the input, is the same for small and large tables
+    joined = keyed.join(cuts.hint("merge"), (keyed["_d"] == cuts["_cd"]) & (keyed["_row"] == cuts["_cr"]), "left")
     every = joined.withColumn("_all", _lines(F.col("text")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_lines")), lambda i: F.get(F.col("_all"), i))
     every = every.withColumn("_kept", F.when(F.col("_lines").isNotNull(), F.array_join(kept, "\n")))
