@@ -261,3 +261,17 @@ def test_windows_keep_the_budget(spark, sf):
         assert sum(sizes) - own_size <= 40 + 30
     repeated = [own for *_, own in got if not all(own)]
     assert repeated, "history is repeated somewhere"
+
+
+def test_long_system_turns_lead_every_window(spark):
+    sizes = {1: 120, 2: 121, 3: 125, 4: 300, 5: 700, 6: 2000}
+    talk = [(c, 0, "system", f"s{c} " * n) for c, n in sizes.items()]
+    talk += [(c, t, "assistant" if t % 2 == 0 else "user", f"c{c}t{t} " * 90) for c in sizes for t in range(1, 30)]
+    rows = chat.windows(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"), block=4).collect()
+    words = lambda text: [len(x.split(chat.MIDDLE)[1].split(chat.CLOSE)[0].split()) + chat.TURN_TOKENS for x in text.split(chat.OPEN) if x]
+    for c, n in sizes.items():
+        mine = [r for r in rows if r["conv_id"] == c]
+        assert len(mine) > 4 and sum(sum(r["own"]) for r in mine) == 30
+        assert all(r["formatted"].startswith(chat.OPEN + "system" + chat.MIDDLE + f"s{c} ") and r["formatted"].count(f"s{c} ") == n for r in mine)
+        most = chat.STRIDE + chat.SYSTEM_TOKENS + chat.HISTORY_TOKENS
+        assert all(sum(words(r["formatted"])) <= most or sum(r["own"]) == 1 for r in mine)

@@ -5,8 +5,9 @@ no control string can stand inside a text, and unescaping is exact. A turn's tok
 words plus TURN_TOKENS for its marks. Prefix sums of the tokens over a conversation choose the windows: a turn whose
 tokens fall into one stretch of `stride` tokens belongs to that stretch's window, a turn that crosses a boundary gets
 a window of its own. So a window holds whole turns, at most `stride` tokens of them or one turn. Each window but the
-first retains the conversation's system turn (a first turn of role system, if it has at most `system_tokens`) and
-repeats up to `history` turns before its own, as long as they have at most `history_tokens` together. Only the
+first retains the conversation's system turn (a first turn of role system) in full and repeats up to `history` turns
+before its own, as long as they have at most `history_tokens` together. `system_tokens` are set aside for the system
+turn; what a longer one has beyond them comes out of the history's tokens first, then out of the stretch. Only the
 assistant texts of a window's own turns stand under its loss mask; repeated ones are masked.
 
 Long conversations are dealt in blocks of BLOCK turn numbers: prefix sums and neighbours come from the rows of a block
@@ -47,7 +48,8 @@ def unescape(text: Column) -> Column:
 
 
 def numbered_turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows with their block, tokens, index i in the conversation and start: the tokens before them."""
+    """Rows with their block, tokens, index i in the conversation, start (the tokens before them) and system_tokens: those
+    of the conversation's system turn, 0 without one."""
     rows = conversations.select(
         "conv_id",
         F.floor(F.col("turn") / block).alias("block"),
@@ -62,23 +64,26 @@ def numbered_turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
         F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
     )
     over_blocks = Window.partitionBy("conv_id").orderBy("block")
-    blocks = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
+    blocks = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"),
+        F.coalesce(F.max(F.when((F.col("k") == 1) & (F.col("role") == "system"), F.col("tokens"))), F.lit(0)).alias("s"),
+    )
     blocks = blocks.select(
         F.col("conv_id").alias("c"), F.col("block").alias("b"),
         F.coalesce(F.sum("n").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n_before"),
         F.coalesce(F.sum("t").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("t_before"),
+        F.first("s").over(over_blocks).alias("system_tokens"),
     )
     return (
         rows.join(blocks, rows["conv_id"].eqNullSafe(blocks["c"]) & rows["block"].eqNullSafe(blocks["b"]))
         .select(
             "conv_id", "block", "turn", "role", "text", "tokens", "k",
             (F.col("n_before") + F.col("k") - 1).alias("i"),
-            (F.col("t_before") + F.coalesce("before", F.lit(0))).alias("start"),
+            (F.col("t_before") + F.coalesce("before", F.lit(0))).alias("start"), "system_tokens",
         )
     )
 
 
-def _window_of(start: Column, tokens: Column, stride: int) -> Column:
+def _window_of(start: Column, tokens: Column, stride: Column) -> Column:
     """2b for a turn inside stretch b, 2b + 1 for one that starts in b and crosses its end: windows in order of turns."""
     first, last = F.floor(start / stride), F.floor((start + tokens - 1) / stride)
     return 2 * first + F.when(first == last, 0).otherwise(1)
@@ -89,7 +94,11 @@ def windows(
     system_tokens: int = SYSTEM_TOKENS, block: int = BLOCK,
 ) -> DataFrame:
     """One row a window: conv_id, window, formatted, and loss: the marks of its own assistant turns by position."""
-    rows = numbered_turns(conversations, block).withColumn("window", _window_of(F.col("start"), F.col("tokens"), stride))
+    rows = numbered_turns(conversations, block)
+    beyond = F.greatest(F.col("system_tokens") - system_tokens, F.lit(0))
+    spare = history_tokens if history else 0
+    left = F.greatest(F.lit(stride) - F.greatest(beyond - spare, F.lit(0)), F.lit(1))
+    rows = rows.select("*", _window_of(F.col("start"), F.col("tokens"), left).alias("window"), (F.lit(spare) - beyond).alias("budget"))
     # tokens and windows of the next `history` turns: from the block, else from the first turns of the next blocks
     inside = Window.partitionBy("conv_id", "block").orderBy("k")
     over_blocks = Window.partitionBy("conv_id").orderBy("block")
@@ -106,7 +115,7 @@ def windows(
         rows = rows.join(following, rows["conv_id"].eqNullSafe(following["c"]) & rows["block"].eqNullSafe(following["b"])).drop("c", "b")
         # the d-th next turn stands in the block, or is number d - (n - k) of those ahead
         nexts = [F.coalesce(F.col(f"next{d}"), F.get("ahead", F.lit(d) - (F.col("n") - F.col("k")) - 1)) for d in range(1, history + 1)]
-        rows = rows.select("conv_id", "role", "text", "tokens", "i", "window", *[x.alias(f"next{d}") for d, x in enumerate(nexts, 1)])
+        rows = rows.select("conv_id", "role", "text", "tokens", "i", "window", "budget", *[x.alias(f"next{d}") for d, x in enumerate(nexts, 1)])
         # repeated in the window that begins d turns later, if the turns from here to there are within the budget
         repeats = []
         for d in range(1, history + 1):
@@ -114,13 +123,13 @@ def windows(
             span = F.col("tokens")
             for e in range(1, d):
                 span = span + F.col(f"next{e}.tokens")
-            begins = F.col(f"next{d}").isNotNull() & (F.col(f"next{d}.window") != previous) & (span <= history_tokens)
+            begins = F.col(f"next{d}").isNotNull() & (F.col(f"next{d}.window") != previous) & (span <= F.col("budget"))
             repeats.append(F.when(begins, F.col(f"next{d}.window")))
     else:
         repeats = []
     marked = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE), escape(F.col("text")), F.lit(CLOSE))
     lead = OPEN + "system" + MIDDLE
-    system = rows.where((F.col("i") == 0) & (F.col("role") == "system") & (F.col("tokens") <= system_tokens)).select(
+    system = rows.where((F.col("i") == 0) & (F.col("role") == "system")).select(
         F.col("conv_id").alias("c"), F.concat(F.lit(lead), escape(F.col("text")), F.lit(CLOSE)).alias("system"), F.col("window").alias("system_window")
     )
     entries = rows.select(
