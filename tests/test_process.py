@@ -84,3 +84,25 @@ def test_max_product_path():
     found = D.max_product_path({("s", "a"): 0.5, ("a", "g"): 1.0, ("s", "g"): 0.4}, "s", "g")
     assert found["path"] == ["s", "a", "g"] and found["weight"] == 0.5 and found["fundamental"] == ["a"]
     assert D.max_product_path({}, "s", "g")["path"] == ["s"]
+
+
+def test_tree_alignment_takes_the_whole_language():
+    tree = ("seq", ("act", "a"), ("par", ("act", "b"), ("xor", P.TAU, ("act", "c"))), ("loop", ("act", "d"), ("act", "e")))
+    words = P.language(tree, loops=4)
+    for trace in [("a", "c", "b", "d"), ("a", "d"), ("b", "x", "d", "e", "d"), (), ("a", "b", "d", "e", "d", "e", "e"), ("c", "b", "a", "d")]:
+        cost, length = P.tree_alignment(trace, tree)
+        best = min((P.alignment(trace, w)[0], -len(w)) for w in words)
+        assert (cost, -length) == best, trace
+    assert P.tree_alignment(("a", "b", *("d", "e") * 30, "d"), tree) == (0, 63)
+
+
+def test_alignment_fitness_takes_every_variant(spark, sf):
+    from tracework.operators import sequences as S
+    from tracework.plans.sequences import alignment_fitness
+    from tracework.session import table
+
+    got = alignment_fitness(spark, sf).collect()
+    traces = S.variants(S.collapsed(S.event_log(table(spark, sf, "events")))).agg({"n": "sum"}).first()[0]
+    assert sum(r["n"] for r in got) == traces and any("error" in r["variant"] for r in got)
+    fit = sum(r["n"] * r["fitness"] for r in got) / traces
+    assert all(r["log_fitness"] == pytest.approx(fit, abs=1e-6) for r in got)

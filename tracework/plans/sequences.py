@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracework.operators import process
 from tracework.operators import sequences as S
 from tracework.plans.registry import query
-from tracework.session import table
+from tracework.session import cut, table
 
 LOG = """log AS (SELECT CAST(user_id AS VARCHAR) || '/' || strftime(ts, '%Y-%m-%d') AS trace, user_id, ts, event_id, event_type AS activity FROM events),
 lagged AS (SELECT *, lag(activity) OVER w AS prev, lead(activity) OVER w AS nxt, row_number() OVER w - 1 AS position FROM log WINDOW w AS (PARTITION BY trace ORDER BY ts, event_id)),
@@ -142,7 +142,7 @@ def procedure_departures(spark, sf):
 
 
 def variant_counts(spark, sf):
-    return S.variants(S.collapsed(log(spark, sf)).where("activity <> 'error'"))
+    return S.variants(S.collapsed(log(spark, sf)))
 
 
 @query()
@@ -154,10 +154,10 @@ def inductive_tree(spark, sf):
 
 @query()
 def alignment_fitness(spark, sf):
-    """Each variant's cheapest alignment with the ten most frequent ones, and the fitness of the whole log."""
-    counted = variant_counts(spark, sf)
-    allowed = [r["variant"].split(">") for r in counted.orderBy(F.desc("n"), "variant").limit(10).collect()]
-    return process.align(counted, allowed)
+    """Each variant's cheapest alignment with the mined tree, and the fitness of the whole log."""
+    counted = cut(variant_counts(spark, sf), "variants")
+    aligned = cut(process.align_tree(counted, process.mine(process.collect_log(counted), noise=0.2)), "aligned")
+    return aligned.crossJoin(process.log_fitness(aligned).select(F.round("fitness", 6).alias("log_fitness")))
 
 
 @query(f"""WITH {LOG}, m AS (SELECT activity, CAST(floor(CAST(json_extract_string(props, '$.k') AS INTEGER) / 25) AS BIGINT) AS means FROM events e JOIN log USING (event_id))
