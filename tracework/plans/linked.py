@@ -167,6 +167,14 @@ def graph_neighbours(spark, sf):
     return graph.neighbours(star_triples(spark, sf), nodes)
 
 
+@query("""SELECT 'n:' || n_nationkey AS node, 'part' AS p, 'r:' || n_regionkey AS other, true AS outward FROM nation UNION ALL SELECT 'n:' || c_nationkey, 'in', 'c:' || c_custkey, false FROM customer
+UNION ALL SELECT 'n:' || s_nationkey, 'in', 's:' || s_suppkey, false FROM supplier UNION ALL SELECT 'n:' || n_nationkey, 'a', 'Nation', true FROM nation""")
+def graph_neighbours_all(spark, sf):
+    """The neighbours of every nation; graph_neighbours has three of them."""
+    nodes = table(spark, sf, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.neighbours(star_triples(spark, sf), nodes)
+
+
 @query("""SELECT 'n:' || n_nationkey AS s, 'part' AS path, 'class' AS rule FROM nation""")
 def shape_violations(spark, sf):
     return graph.violations(star_triples(spark, sf), "Nation", [{"path": "part", "min": 1, "max": 1, "cls": "Region", "kind": "iri"}])
