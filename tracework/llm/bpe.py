@@ -1,19 +1,21 @@
 """BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
 
-1. Words are split by Spark's regular expression, the vocabulary's own pattern. Texts with characters from U+0300 on
-   (where composition and case folding need Unicode tables) or with a special token's string are normalised and split
-   by the tokenizer's own rules instead.
-2. Blocks of documents (up to BLOCK_WORDS words each) keep a word list and, for each document, the positions of its
-   words in that list. A block is named by a hash of its content.
-3. The lists' words are dealt by word, so that each distinct word is in one task and is encoded once there; the ids go
-   back to the lists by block and position. A word stands once in a block's list, so frequent words are no hot keys.
-4. A block's documents and its encoded list meet in one task, which puts the ids together by position.
+1. Spark splits texts into words at ASCII white space. No rule of the vocabulary reaches across white space (its
+   normaliser composes nothing with it, its pattern never matches it, no special token has it), so the ids of a text
+   are those of its words one after the other. A word's own ids come from the tokenizer with all its rules.
+2. Blocks of documents (up to BLOCK_WORDS words each) keep a list of their distinct words and, for each document, the
+   positions of its words in that list. A block is named by a hash of its content. Lists and positions travel packed.
+3. A list is cut by a hash of the words into buckets, whose number follows the input's size. A bucket's task gets its
+   part of every list, encodes each distinct word once, and sends the ids back to the blocks in the order of their parts.
+   A word stands once in a block's list, however frequent it is.
+4. Each block's ids and then its documents stream past one task, sorted by block; it holds one block's ids at a time and
+   puts documents together by position.
 
 Documents and lists come from two passes over the input, which must give the same rows in the same order, as a table
 in files does; if a block's list is missing or has another size the job fails and says so.
 
-Decoding looks each id up in the id-to-piece table (the vocabulary, of a size fixed by its file, so it is broadcast) and
-joins the pieces.
+Decoding joins the ids of each document with the id-to-piece table (the vocabulary, of a size fixed by its file, so it
+is broadcast) and puts the pieces together in the order of the ids.
 
 Defined results: null text is empty: no ids, decoded ""; repeated rows are encoded alike; ids outside the vocabulary
 decode to nothing; an empty table gives no rows; columns other than those carried are dropped.
@@ -23,25 +25,27 @@ from __future__ import annotations
 
 import hashlib
 import json
-import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_WORDS = 1_500_000
+#: Documents of a block travel in slices of about so many words.
+SLICE_WORDS = 1 << 16
 #: Words that the tokenizer gets at once: its results take far more memory than their ids.
-ENCODE_WORDS = 8_192
+ENCODE_WORDS = 4_096
+#: A bucket's packed words, about: lists take about a fifth of the input.
+BUCKET_BYTES = 8 << 20
+LEAST_BUCKETS = 64
+#: Ids that are rendered at once.
+RENDER_IDS = 1 << 20
 
-# fixed values: the word pattern of the vocabulary and its special tokens
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same after normalisation, which leaves blanks as the only white space.
-WORD_NORMALISED = WORD.replace("\\s", " ")
-SPECIAL = ["<|startoftext|>", "<|endoftext|>"]
-WORD_END = "</w>"
+WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 
 _loaded: dict[str, object] = {}
 
@@ -58,13 +62,6 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def _byte_of_char() -> dict[str, int]:
-    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 def piece_table(path: str) -> list[str]:
     """Pieces by id, special tokens included, with "" for unused ids."""
     with open(path, encoding="utf-8") as f:
@@ -73,44 +70,108 @@ def piece_table(path: str) -> list[str]:
     return [ids.get(i, "") for i in range(max(ids) + 1)]
 
 
-def split_words(text: str, path: str) -> list[str]:
-    """The words of a text by the tokenizer's own normaliser and pattern; special tokens are words."""
-    import regex
+def words_of(text: Column) -> Column:
+    """The words; an empty one stands where a text begins or ends with white space, and has no ids."""
+    return F.split(F.coalesce(text, F.lit("")), WORD_BREAK)
+
+
+def bucket_count(docs: DataFrame) -> int:
+    """By the optimizer's estimate of the input's size; any number gives the same results."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(max(LEAST_BUCKETS, size // (5 * BUCKET_BYTES)), 1 << 20))
+
 
-    out = []
-    for part in regex.split("(" + "|".join(map(regex.escape, SPECIAL)) + ")", text):
-        out += [part] if part in SPECIAL else regex.findall(WORD_NORMALISED, _tokenizer(path).normalizer.normalize_str(part))
-    return out
+def _planes(numbers: np.ndarray) -> bytes:
+    """Four planes of bytes, which compress better than whole numbers."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def worded(docs: DataFrame, path: str, carry: tuple[str, ...]) -> DataFrame:
-    """carry columns and words of docs.text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    odd = text.rlike("[^\\x00-\\u02FF]") | text.contains(SPECIAL[0]) | text.contains(SPECIAL[1]) | text.rlike("[\\x1C-\\x1F\\x85\\xA0]")
+def _from_planes(data: memoryview, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n).reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
 
-    @F.pandas_udf("array<string>")
-    def by_rules(texts):
-        return texts.map(lambda t: None if t is None else split_words(t, path))
 
-    marked = docs.select(*carry, text.alias("_text"), F.when(odd, text).alias("_odd"))
-    native = F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0))
-    return marked.select(*carry, F.coalesce(by_rules("_odd"), native).alias("words"))
+def _packed(head: list[int], *parts: bytes) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=3).compress(np.array(head, "<i8").tobytes() + b"".join(parts))
 
-def blocks_of(words: DataFrame, carry: tuple[str, ...], lists: bool, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Blocks of words(carry, words): their documents (block, listed, carry, n, at) with packed positions, or their lists
-    (block, pos, word)."""
-    fields = [words.schema[c] for c in carry]
-    if lists:
-        schema = "block long, pos int, word string"
-    else:
-        schema = "block long, listed int, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "n long, at binary"
+
+def _unpacked(data: bytes, heads: int) -> tuple[list[int], memoryview]:
+    import zstandard
+
+    body = memoryview(zstandard.ZstdDecompressor().decompress(data))
+    return np.frombuffer(body, "<i8", heads).tolist(), body[8 * heads :]
+
+
+class _Block:
+    """The distinct words of some batches of (carry, _words), in an order in which frequent words come first and equally
+    frequent ones stand by bucket and name, and the documents' positions in it."""
+
+    def __init__(self, held: list[pa.RecordBatch], carry: tuple[str, ...], buckets: int) -> None:
+        columns = [b.column(b.schema.get_field_index("_words")) for b in held]
+        self.lengths = np.concatenate([np.diff(x.offsets.to_numpy()) for x in columns])
+        flat = pa.concat_arrays([x.flatten() for x in columns]).dictionary_encode()
+        codes, words = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+        counts = np.bincount(codes, minlength=len(words))
+        self.bucket_of = np.fromiter((xxhash.xxh64_intdigest(w or "") % buckets for w in words.to_pylist()), np.int64, len(words))
+        table = pa.table({"c": pa.array(-counts), "b": pa.array(self.bucket_of), "w": words})
+        order = pc.sort_indices(table, [("c", "ascending"), ("b", "ascending"), ("w", "ascending")])
+        self.words = words.take(order)
+        order = order.to_numpy()
+        self.bucket_of = self.bucket_of[order]
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        self.codes = rank[codes]
+        content = xxhash.xxh64(self.codes.tobytes())
+        for buffer in (self.lengths.tobytes(), *self.words.buffers()[1:]):
+            content.update(b"" if buffer is None else buffer)
+        self.name = int(np.uint64(content.intdigest()).view(np.int64))
+        names = held[0].schema.names
+        self.carried = pa.Table.from_batches(held).select([c for c in names if c in carry]).combine_chunks()
+
+    def lists(self) -> tuple[list[int], list[bytes]]:
+        """Buckets, and their words with the steps from position to position."""
+        by_bucket = np.argsort(self.bucket_of, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(self.bucket_of[by_bucket]) != 0, True])
+        buckets, data = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = by_bucket[a:b]
+            words = "\n".join(self.words.take(pa.array(own)).to_pylist())
+            buckets.append(int(self.bucket_of[own[0]]))
+            data.append(_packed([len(own)], _planes(np.diff(own, prepend=0)), words.encode()))
+        return buckets, data
+
+    def slices(self) -> list[bytes]:
+        """The documents: the size of the list, the carried columns, the numbers of words, and the positions."""
+        ends = np.cumsum(self.lengths)
+        out, a = [], 0
+        while a < len(ends):
+            done = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + SLICE_WORDS, "right")))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.carried.schema) as writer:
+                writer.write_table(self.carried.slice(a, b - a))
+            carried, codes = sink.getvalue().to_pybytes(), self.codes[done : ends[b - 1]]
+            head = [len(self.words), b - a, len(codes), len(carried)]
+            out.append(_packed(head, carried, _planes(self.lengths[a:b]), _planes(codes)))
+            a = b
+        return out
+
+
+def blocks_of(words: DataFrame, carry: tuple[str, ...], lists: bool, block_words: int, buckets: int) -> DataFrame:
+    """(block, part, data): the word lists of blocks of words(carry, _words), a row for each bucket; or their documents, a
+    row for each slice, with part -1."""
+
+    def rows(block: _Block) -> pa.RecordBatch:
+        parts, data = block.lists() if lists else (None, block.slices())
+        parts = [-1] * len(data) if parts is None else parts
+        return pa.RecordBatch.from_arrays([pa.array([block.name] * len(data), pa.int64()), pa.array(parts, pa.int64()), pa.array(data, pa.binary())], ["block", "part", "data"])
 
     def pack(batches):
         held, size = [], 0
         for batch in batches:
             # one block never spans more than block_words words, unless a single document does
-            lengths = np.diff(batch.column(batch.schema.get_field_index("words")).offsets.to_numpy())
+            lengths = np.diff(batch.column(batch.schema.get_field_index("_words")).offsets.to_numpy())
             start = 0
             for i, n in enumerate(lengths.tolist()):
                 if size and size + n > block_words:
@@ -120,172 +181,169 @@ def blocks_of(words: DataFrame, carry: tuple[str, ...], lists: bool, block_words
                 size += n
             held.append(batch.slice(start))
         yield from build(held)
-        held.clear()
-        pa.default_memory_pool().release_unused()
 
     def build(held):
         held = [b for b in held if b.num_rows]
-        if not held:
-            return
-        columns = [b.column(b.schema.get_field_index("words")) for b in held]
-        lengths = np.concatenate([np.diff(x.offsets.to_numpy()) for x in columns])
-        flat = pa.concat_arrays([x.flatten() for x in columns]).dictionary_encode()
-        codes = flat.indices.to_numpy(zero_copy_only=False)
-        counts = np.bincount(codes, minlength=len(flat.dictionary))
-        order = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which pack well
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        codes, ordered = rank[codes], flat.dictionary.take(pa.array(order))
-        content = xxhash.xxh64(codes.tobytes())
-        for buffer in (lengths.tobytes(), *ordered.buffers()[1:]):
-            content.update(b"" if buffer is None else buffer)
-        block = int(np.uint64(content.intdigest()).view(np.int64))
-        if lists:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ordered), block)), pa.array(np.arange(len(ordered), dtype=np.int32)), ordered], ["block", "pos", "word"])
-            return
-        ends = np.cumsum(lengths)
-        packed = [_pack(codes[b - n : b]) for n, b in zip(lengths.tolist(), ends.tolist(), strict=True)]
-        total = len(lengths)
-        carried = [pa.concat_arrays([b.column(b.schema.get_field_index(c)) for b in held]) for c in carry]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(total, block)), pa.array(np.full(total, len(ordered), np.int32)), *carried, pa.array(lengths.astype(np.int64)), pa.array(packed, pa.binary())],
-            ["block", "listed", *carry, "n", "at"],
-        )
-
-    return words.mapInArrow(pack, schema)
-
+        if held:
+            yield rows(_Block(held, carry, buckets))
+        pa.default_memory_pool().release_unused()
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Numbers below 255 in one byte; the others are 255 there and follow as byte planes; all deflated."""
-    large = codes[codes >= 255]
-    planes = np.ascontiguousarray(large.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(np.minimum(codes, 255).astype(np.uint8).tobytes() + planes.tobytes(), 1)
+    return words.mapInArrow(pack, "block long, part long, data binary")
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    data = np.frombuffer(zlib.decompress(data), np.uint8)
-    codes = data[:n].astype(np.uint32)
-    codes[codes == 255] = np.ascontiguousarray(data[n:].reshape(4, -1).T).view(np.uint32).reshape(-1)
-    return codes
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Buffer]]:
+    block, part, data = batch.columns
+    for i in range(batch.num_rows):
+        yield block[i].as_py(), part[i].as_py(), data[i].as_buffer()
 
 
-def encode_lists(lists: DataFrame, path: str, batch_words: int = 200_000) -> DataFrame:
-    """lists(block, pos, word) -> (block, data): packed positions and ids. Rows are dealt and sorted by word, so each
-    distinct word is encoded once, where it stands."""
-    dealt = lists.repartition("word").sortWithinPartitions("word")
+def encode_lists(lists: DataFrame, path: str) -> DataFrame:
+    """lists(block, part, data) -> the same rows with ids in place of words. A bucket's rows stand together, and each of
+    its distinct words is encoded once."""
+    dealt = lists.repartition("part").sortWithinPartitions("part")
 
     def run(batches):
-        tokenizer, last, last_ids = _tokenizer(path), None, None
-        held, size = [], 0
-
-        def flush():
-            nonlocal last, last_ids
-            block, pos = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in (0, 1))
-            words = pa.concat_arrays([b.column(2) for b in held]).dictionary_encode()
-            distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
-            fresh = [w for w in distinct if w != last]
-            found = {}
-            for at in range(0, len(fresh), ENCODE_WORDS):
-                part = fresh[at : at + ENCODE_WORDS]
-                found.update(zip(part, (e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-            if last is not None:
-                found.setdefault(last, last_ids)
-            ids = [found[w] for w in distinct]
-            last, last_ids = distinct[-1], ids[-1]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            starts, flat = np.cumsum(sizes) - sizes, np.array([i for x in ids for i in x], np.int32)
-            order = np.argsort(block, kind="stable")
-            edges = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True]) if len(order) else np.array([0])
-            names, data = [], []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                own = order[a:b]
-                own = own[np.argsort(pos[own], kind="stable")]
-                n, at = sizes[codes[own]], starts[codes[own]]
-                ends = np.cumsum(n)
-                source = np.arange(ends[-1]) + np.repeat(at - (ends - n), n)
-                body = np.array([len(own)], np.int32).tobytes() + np.diff(pos[own], prepend=0).astype(np.int32).tobytes() + n.astype(np.int32).tobytes() + flat[source].tobytes()
-                names.append(int(block[own[0]]))
-                data.append(zlib.compress(body, 1))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
-
+        tokenizer, current, known = _tokenizer(path), None, {}
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
-            if size >= batch_words:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
-    return dealt.mapInArrow(run, "block long, data binary")
-
-
-def _id_lists(data: list[bytes], listed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids of a block, and each listed word's start and number of ids in them."""
-    parts, pos, sizes = [], [], []
-    for x in data:
-        body = np.frombuffer(zlib.decompress(x), np.int32)
-        n = int(body[0])
-        pos.append(np.cumsum(body[1 : 1 + n]))
-        sizes.append(body[1 + n : 1 + 2 * n])
-        parts.append(body[1 + 2 * n :])
-    pos, sizes = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (pos, sizes))
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    starts = np.cumsum(sizes) - sizes
-    where, first = np.unique(pos, return_index=True)  # equal blocks have equal lists
-    if len(where) != listed:
-        raise RuntimeError("a block's word list differs between two passes over the input: write the input as a table first")
-    return flat, starts[first], sizes[first]
-
-
-def encode(docs: DataFrame, path: str, finish: Callable, schema: str, carry: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS) -> DataFrame:
-    """carry columns and those of schema for every row of docs(text, carry). finish(flat, starts, sizes) gets a block's
-    ids, word by word of its list, and returns a function from a document's positions in the list to its columns."""
-    fields = [docs.schema[c] for c in carry]
-    words = worded(docs, path, carry)
-    documents = blocks_of(words, carry, False, block_words)
-    lists = encode_lists(blocks_of(words, carry, True, block_words), path).withColumnRenamed("block", "of")
-
-    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = [*carry, *[f.split()[0] for f in schema.split(", ")]]
-        if not left.num_rows:
-            raise RuntimeError("a word list has no documents: write the input as a table first")
-        done = finish(*_id_lists(right.column("data").to_pylist(), left.column("listed")[0].as_py()))
-        rows = [done(_unpack(at, n)) for n, at in zip(left.column("n").to_pylist(), left.column("at").to_pylist(), strict=True)]
-        return pa.table([left.column(c) for c in carry] + [pa.array(list(x)) for x in zip(*rows, strict=True)], names=names)
+            blocks, data = [], []
+            for block, part, body in _rows(batch):
+                if part != current:
+                    current, known = part, {}
+                (n,), rest = _unpacked(body, 1)
+                steps, words = bytes(rest[: 4 * n]), bytes(rest[4 * n :]).decode().split("\n")
+                fresh = [w for w in words if w not in known]
+                for at in range(0, len(fresh), ENCODE_WORDS):
+                    some = fresh[at : at + ENCODE_WORDS]
+                    for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                        known[w] = np.array(e.ids, "<u4").tobytes()
+                found = [known[w] for w in words]
+                sizes = np.fromiter(map(len, found), np.int64, n) // 4
+                ids = np.frombuffer(b"".join(found), "<u4")
+                blocks.append(block)
+                data.append(_packed([n, len(ids)], steps, _planes(sizes), _planes(ids)))
+                if len(data) >= 256:
+                    yield _list_batch(blocks, data)
+                    blocks, data = [], []
+            if data:
+                yield _list_batch(blocks, data)
+
+    return dealt.mapInArrow(run, "block long, part long, data binary")
+
+
+def _list_batch(blocks: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([-2] * len(data), pa.int64()), pa.array(data, pa.binary())], ["block", "part", "data"])
+
+
+class _Ids:
+    """The ids of a block's words: all of them, and each word's start and number."""
+
+    def __init__(self, data: list[bytes], listed: int) -> None:
+        at, sizes, ids = [], [], []
+        for x in data:
+            (n, total), body = _unpacked(x, 2)
+            at.append(np.cumsum(_from_planes(body, n)))
+            sizes.append(_from_planes(body[4 * n :], n))
+            ids.append(_from_planes(body[8 * n :], total).astype(np.int32))
+        at, sizes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, sizes))
+        starts = np.cumsum(sizes) - sizes
+        where, first = np.unique(at, return_index=True)  # equal blocks have equal lists
+        if len(where) != listed:
+            raise RuntimeError("a block's word list differs between two passes over the input: write the input as a table first")
+        self.flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        self.starts, self.sizes = starts[first], sizes[first]
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        n = self.sizes[codes]
+        ends = np.cumsum(n)
+        return self.flat[np.arange(ends[-1] if len(n) else 0) + np.repeat(self.starts[codes] - (ends - n), n)]
+
+
+def encode(docs: DataFrame, path: str, finish: Callable[[], Callable], schema: str, carry: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS) -> DataFrame:
+    """carry columns and those of schema for every row of docs(text, carry). finish() is called in each task; what it
+    returns gets the ids of some documents, one after the other, and their numbers, and returns the columns."""
+    fields = [docs.schema[c] for c in docs.columns if c in carry]
+    names = [f.name for f in fields]
+    words = docs.select(*names, words_of(F.col("text")).alias("_words"))
+    buckets = bucket_count(docs)
+    documents = blocks_of(words, carry, False, block_words, buckets)
+    lists = encode_lists(blocks_of(words, carry, True, block_words, buckets), path)
+    # a block's lists (part -2) come before its documents (part -1)
+    met = documents.unionByName(lists).repartition("block").sortWithinPartitions("block", "part")
+    added = [f.split()[0] for f in schema.split(", ")]
+
+    def put_together(batches) -> Iterator[pa.RecordBatch]:
+        render, current, parts, ids = finish(), None, [], None
+        for batch in batches:
+            for block, part, data in _rows(batch):
+                if block != current:
+                    current, parts, ids = block, [], None
+                if part == -2:
+                    parts.append(data)
+                    continue
+                (listed, rows, total, size), body = _unpacked(data, 4)
+                if ids is None:
+                    ids, parts = _Ids(parts, listed), []
+                carried = pa.ipc.open_stream(pa.py_buffer(body[:size])).read_all().combine_chunks()
+                lengths = _from_planes(body[size:], rows)
+                codes = _from_planes(body[size + 4 * rows :], total)
+                numbers = np.add.reduceat(np.r_[ids.sizes[codes], 0], np.r_[0, np.cumsum(lengths)[:-1]]) * (lengths > 0)
+                columns = render(ids.of(codes), numbers)
+                for out in pa.table([*carried.columns, *columns], names=[*names, *added]).to_batches():
+                    yield out
+        pa.default_memory_pool().release_unused()
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + schema
-    return documents.groupBy("block").cogroup(lists.groupBy("of")).applyInArrow(put_together, out)
+    found = met.mapInArrow(put_together, out)
+    return found.select(*carry, *added)
 
 
 class Decoder:
-    """ids -> text, as the tokenizers library decodes without a decoder of its own: pieces joined by single spaces."""
+    """Ids -> texts as the tokenizers library decodes without a decoder of its own: the pieces joined by single blanks."""
 
     def __init__(self, pieces: list[str]) -> None:
-        self.pieces = pieces
+        self.pieces = pa.array(pieces, pa.large_string())
+
+    def __call__(self, flat: np.ndarray, numbers: np.ndarray) -> pa.Array:
+        """flat has the ids of some documents one after the other, numbers of them each."""
+        known = (flat >= 0) & (flat < len(self.pieces))
+        if not known.all():
+            owner = np.repeat(np.arange(len(numbers)), numbers)
+            flat, numbers = flat[known], np.bincount(owner[known], minlength=len(numbers))
+        offsets = pa.array(np.r_[0, np.cumsum(numbers)], pa.int64())
+        return pc.binary_join(pa.LargeListArray.from_arrays(offsets, self.pieces.take(pa.array(flat))), pa.scalar(" ", pa.large_string()))
+
+
+def _portions(numbers: np.ndarray, most: int) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of documents of about `most` ids, and of their ids."""
+    ends = np.cumsum(numbers)
+    a = 0
+    while a < len(ends):
+        done = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield a, b, done, int(ends[b - 1])
+        a = b
+
 
-    def __call__(self, ids: np.ndarray) -> str:
-        known = ids if not len(ids) or (ids.min() >= 0 and ids.max() < len(self.pieces)) else ids[(ids >= 0) & (ids < len(self.pieces))]
-        return " ".join([self.pieces[i] for i in known.tolist()])
+def _sha256(texts: pa.Array) -> list[str]:
+    return [hashlib.sha256(t.as_buffer()).hexdigest() for t in texts]
 
 
 def encode_digests(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS) -> DataFrame:
     """carry columns, n_tokens, ids_sha256, decoded_sha256 of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(piece_table(path))
 
-    def finish(flat, starts, sizes):
-        decoder, ids = Decoder(shared.value), flat.tolist()
-        spans = list(zip(starts.tolist(), (starts + sizes).tolist(), strict=True))
-        numbers = [" ".join(map(str, ids[a:b])) for a, b in spans]
-        pieces = [decoder(flat[a:b]) for a, b in spans]
+    def finish():
+        pieces = Decoder(shared.value)
+        decimals = Decoder([str(i) for i in range(len(shared.value))])
 
-        def digest(codes):
-            at = codes.tolist()
-            told, decoded = " ".join(map(numbers.__getitem__, at)), " ".join(map(pieces.__getitem__, at))
-            return int(sizes[codes].sum()), hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        def digests(flat, numbers):
+            told, decoded = [], []
+            for a, b, first, end in _portions(numbers, RENDER_IDS):
+                told += _sha256(decimals(flat[first:end], numbers[a:b]))
+                decoded += _sha256(pieces(flat[first:end], numbers[a:b]))
+            return pa.array(numbers, pa.int64()), pa.array(told, pa.string()), pa.array(decoded, pa.string())
 
-        return digest
+        return digests
 
     return encode(docs, path, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", carry, block_words)
 
@@ -293,24 +351,26 @@ def encode_digests(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id
 def encode_ids(docs: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",), block_words: int = BLOCK_WORDS) -> DataFrame:
     """carry columns and ids (array<int>) of every row."""
 
-    def finish(flat, starts, sizes):
-        def gather(codes):
-            n = sizes[codes]
-            ends = np.cumsum(n)
-            return (flat[np.arange(ends[-1] if len(n) else 0) + np.repeat(starts[codes] - (ends - n), n)],)
-
-        return gather
+    def finish():
+        return lambda flat, numbers: (pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(numbers)], pa.int32()), pa.array(flat, pa.int32())),)
 
     return encode(docs, path, finish, "ids array<int>", carry, block_words)
 
 
 def decode_ids(encoded: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """carry columns and text from encoded(ids): each id is looked up in the broadcast id-to-piece table."""
+    """carry columns and text from encoded(ids): each document's ids joined with the broadcast id-to-piece table."""
     shared = encoded.sparkSession.sparkContext.broadcast(piece_table(path))
+    fields = [encoded.schema[c] for c in carry]
 
-    @F.pandas_udf("string")
-    def pieces_of(ids):
+    def run(batches):
         decoder = Decoder(shared.value)
-        return ids.map(lambda x: "" if x is None else decoder(np.asarray(x, np.int64)))
-
-    return encoded.select(*carry, pieces_of("ids").alias("text"))
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            numbers = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
+            texts = [decoder(flat[first:end], numbers[a:b]) for a, b, first, end in _portions(numbers, RENDER_IDS)]
+            text = pa.concat_arrays(texts).cast(pa.string()) if texts else pa.array([], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in carry], text], [*carry, "text"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string"
+    return encoded.select(*carry, "ids").mapInArrow(run, schema)
