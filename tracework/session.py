@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "tracework", cpus: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -41,16 +44,52 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables that cut() wrote in this process.
+_written: list[str] = []
+#: Where a table that cut() wrote has its path.
+WRITTEN = "_tracework_path"
+
+
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df as Parquet into the shared work folder and read it back: later plans start from the
     written table, so a lost executor costs no recomputation of what stands before it."""
     path = f"{work_dir(df.sparkSession)}/tracework/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    setattr(found, WRITTEN, path)
+    return found
+
+
+#: Rows of a dimension that is broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most `most` rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def drop_work(spark: SparkSession) -> None:
     """Delete the tables that cut() wrote, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/tracework")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{work_dir(spark)}/tracework")
+
+
+@contextmanager
+def drop_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that cut() writes inside the block, but for those given to keep()."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, WRITTEN, None))
+        return df
+
+    yield keep
+    for path in [p for p in _written if p not in before and p not in kept]:
+        _delete(spark, path)
+        _written.remove(path)
