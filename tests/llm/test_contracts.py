@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import struct
 import zlib
 
 import pytest
@@ -89,16 +90,16 @@ def test_op6(spark, sf, docs):
     got = rows(spark, sf, "op6_quality_rules").set_index("doc_id")
     trusted = {r.doc_id for r in table(spark, sf, "labels").where("quality = 1").collect()}
     raw, target, grams = collections.Counter(), collections.Counter(), {}
-    signed = lambda h: h & (quality.BUCKETS - 1)
+    b, s = quality.bucket_count(table(spark, sf, "documents")), quality.SMOOTHING
+    as_long = lambda h: struct.pack("<Q", h)
     for d, t in docs:
-        w = [x.encode() for x in re.split(SPACE, t) if x]
-        grams[d] = [signed(xxhash.xxh64_intdigest(x, 42)) for x in w]
-        grams[d] += [signed(xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42))) for a, b in zip(w, w[1:])]
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.split(SPACE, t) if x]
+        grams[d] = [x % b for x in h] + [xxhash.xxh64_intdigest(as_long(y), xxhash.xxh64_intdigest(as_long(x), 42)) % b for x, y in zip(h, h[1:])]
         raw.update(grams[d])
         if d in trusted:
             target.update(grams[d])
-    s, b = quality.SMOOTHING, quality.BUCKETS
     weight = lambda x: round(1e6 * (math.log(target[x] + s) - math.log(sum(target.values()) + s * b) - math.log(raw[x] + s) + math.log(sum(raw.values()) + s * b)))
+    weight = {x: weight(x) for x in raw}.get
     for d, t in docs:
         w = [x for x in re.split(SPACE, t) if x]
         g = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]

@@ -1,13 +1,18 @@
 """Quality rules: hashed n-gram log-likelihood ratio, native.
 
-Every document's words (unigrams and bigrams) are hashed into BUCKETS buckets. Two smoothed multinomials
-over the buckets are counted: the trusted target from labelled documents, the raw corpus from all documents. A
-document's score is the mean over its n-grams of log p_target - log p_raw, in integer millionths, and it is kept when
+Every document's words are hashed, and its unigrams and bigrams are dealt by these hashes into buckets, whose number
+follows the corpus's size (BUCKET_BYTES, up to MOST_BUCKETS, which bounds the table of weights in the plan). Two smoothed
+multinomials over the buckets are counted: the trusted target from labelled documents, the raw corpus from all documents.
+A document's score is the mean over its n-grams of log p_target - log p_raw, in integer millionths, and it is kept when
 it passes the base rules and its score reaches the threshold.
 
-The target is fitted on at most TRUSTED_ROWS trusted documents (those with the smallest hash of the id), which bounds
+The target is fitted on at most TRUSTED_ROWS trusted documents (those with the smallest CRC of the id), which bounds
 the broadcast id set; raw counts and scores cover every n-gram of every document.
 
+Repeated windows of three words are found by sorting hashes that carry their starts; neighbours are compared word by
+word. Should windows with other words stand between them (their hashes agree by chance in the bits kept), the text's
+windows are sorted by their words instead: the counts are exact in all cases.
+
 Defined results: null text counts as empty: no words, base_failed; a document without n-grams scores 0; without any
 trusted document all scores are 0; repeated rows are scored alike and each counts in the corpus; a score equal to the
 threshold is kept; an empty table gives no rows; clashing input columns are not carried over.
@@ -21,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-BUCKETS = 1 << 14
+#: Buckets are a power of two, one for about so many bytes of text, within these bounds.
+BUCKET_BYTES = 2_048
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 17
 TRUSTED_ROWS = 20_000
 SMOOTHING = 0.5
 SCALE = 1_000_000
@@ -32,77 +39,67 @@ MAX_REPEAT_PERCENT = 50
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
-
+    return F.array_remove(F.split(text, SPACE), "")
 
-def _ngrams(words: Column, n: int, body, empty: str) -> Column:
-    """body(hash of the n words from i, i) for each i, from 1."""
-    return F.when(
-        F.size(words) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: body(F.xxhash64(*[F.element_at(words, i + k) for k in range(n)]), i)),
-    ).otherwise(F.array().cast(empty))
 
+def _starts(count: Column, size: int) -> Column:
+    """0, 1, ... for the windows of `size` among so many words; empty without any."""
+    return F.when(count >= size, F.sequence(F.lit(0), count - size)).otherwise(F.array().cast("array<int>"))
 
-#: A window's packed long: bits of its hash, then its start in so many bits. Texts of more words use structs.
-_START_BITS = 20
 
-
-def with_base_features(df: DataFrame, carry: list[str]) -> DataFrame:
-    """carry columns and the base features of df's _t (a text, not null) and _w (its words).
+def with_base_features(df: DataFrame, carry: list[str], hash_bits: int = 64) -> DataFrame:
+    """carry columns, _h (the hashes of the words) and the base features of df's _t (a text, not null) and _w (its words).
+    hash_bits: fewer make chance agreements likely, for tests.
 
     The steps are separate projections, so that arrays are computed once and compiled. Don't filter on the features
     directly: the optimizer would move the filter below the steps and compute the arrays anew for each element; let
     the rows pass an explode_outer first, as the pipeline does."""
-    words = F.col("_w")
-    mask = F.lit((1 << 63) - (1 << _START_BITS)).cast("long")
+    words, n = F.col("_w"), F.size("_w")
     bare = F.col("_t")
     for symbol in "#*$%&|<>":
         bare = F.replace(bare, F.lit(symbol))
     step = df.select(
         *carry, "_w",
-        F.size(words).cast("long").alias("n_words"),
+        F.transform(words, lambda w: F.xxhash64(w)).alias("_h"),
+        n.cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(bare)).cast("long").alias("n_symbols"),
         F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("_l"),
-        F.sort_array(
-            F.when(
-                F.size(words) < (1 << _START_BITS),
-                _ngrams(words, 3, lambda h, i: h.bitwiseAND(mask).bitwiseOR(i.cast("long")), "array<bigint>"),
-            ).otherwise(F.array().cast("array<bigint>"))
-        ).alias("_s"),
-        F.when(
-            F.size(words) >= (1 << _START_BITS),
-            F.array_sort(_ngrams(words, 3, lambda h, i: F.struct(h.alias("h"), i.alias("i")), "array<struct<h:bigint,i:int>>")),
-        ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("_z"),
+        # the low bits that hold a start
+        (F.expr(f"shiftleft(1L, {64 - hash_bits} + CAST(ceil(log2(size(_w) + 1)) AS INT))") - 1).alias("_m"),
     )
-    s, z = F.col("_s"), F.col("_z")
-    low = F.lit((1 << _START_BITS) - 1)
-    # starts of the windows that stand twice or more in the text: neighbours in the sorted arrays with equal hashes
-    twins = F.filter(F.sequence(F.lit(0), F.size(s) - 2), lambda j: F.get(s, j + 1) - F.get(s, j) <= low)
-    packed = F.flatten(F.transform(twins, lambda j: F.array(F.get(s, j).bitwiseAND(low).cast("int"), F.get(s, j + 1).bitwiseAND(low).cast("int"))))
-    far_twins = F.filter(F.sequence(F.lit(0), F.size(z) - 2), lambda j: F.get(z, j + 1)["h"] == F.get(z, j)["h"])
-    large = F.flatten(F.transform(far_twins, lambda j: F.array(F.get(z, j)["i"], F.get(z, j + 1)["i"])))
-    none = F.array().cast("array<int>")
-    starts = F.when(F.size(s) > 1, packed).when(F.size(z) > 1, large).otherwise(none)
+    h, low = F.col("_h"), F.col("_m")
+    window = lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))
     step = step.select(
-        *carry, "_w", "n_words", "word_chars", "n_symbols",
+        *carry, "_w", "_h", "_m", "n_words", "word_chars", "n_symbols",
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(F.array_distinct(starts)).alias("_p"),
+        F.sort_array(F.transform(_starts(n, 3), lambda i: window(i).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))).alias("_s"),
     )
+    s, kept = F.col("_s"), ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    start = lambda j: F.get(s, j).bitwiseAND(low).cast("int")
+    twins = F.filter(_starts(F.size(s), 2), lambda j: F.get(s, j).bitwiseXOR(F.get(s, j + 1)).bitwiseAND(F.bitwise_not(low)) == 0)
+    step = step.select(*carry, "_w", "_h", *kept, F.transform(twins, lambda j: F.struct(start(j).alias("a"), start(j + 1).alias("b"))).alias("_p"))
+    same = lambda a, b: (F.get(words, a) == F.get(words, b)) & (F.get(words, a + 1) == F.get(words, b + 1)) & (F.get(words, a + 2) == F.get(words, b + 2))
+    step = step.select(*carry, "_w", "_h", *kept, "_p", F.filter("_p", lambda p: same(p["a"], p["b"])).alias("_q"))
+    spelt = F.array_sort(F.transform(_starts(n, 3), lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i"))))
+    both = lambda pairs: F.concat(F.transform(pairs, lambda p: p["a"]), F.transform(pairs, lambda p: p["b"]))
+    step = step.select(*carry, "_w", "_h", *kept, F.when(F.size("_p") == F.size("_q"), both(F.col("_q"))).alias("_p"), F.when(F.size("_p") > F.size("_q"), spelt).alias("_z"))
+    z = F.col("_z")
+    alike = F.filter(_starts(F.size(z), 2), lambda j: F.get(z, j)["w"] == F.get(z, j + 1)["w"])
+    exact = F.concat(F.transform(alike, lambda j: F.get(z, j)["i"]), F.transform(alike, lambda j: F.get(z, j + 1)["i"]))
+    step = step.select(*carry, "_w", "_h", *kept, F.sort_array(F.array_distinct(F.coalesce("_p", exact))).alias("_p"))
     p = F.col("_p")
     # each start covers three words, less those that the next start covers too
     covered = F.aggregate(
         F.transform(p, lambda x, j: F.coalesce(F.least(F.lit(3), F.get(p, j + 1) - x), F.lit(3))), F.lit(0).cast("long"), lambda n, x: n + x
     )
-    return step.select(
-        *carry, "_w", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words")
-    )
+    return step.select(*carry, "_h", *kept, covered.alias("n_repeat_words"))
 
 
-def gram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
-    """The buckets (array<int>) of the unigrams, then bigrams."""
-    dealt = lambda h, _: h.bitwiseAND(F.lit(buckets - 1)).cast("int")
-    return F.concat(F.transform(words, lambda w: dealt(F.xxhash64(w), None)), _ngrams(words, 2, dealt, "array<int>"))
+def bucket_count(docs: DataFrame) -> int:
+    """A power of two that follows the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length()))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
@@ -111,14 +108,18 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
     return ids.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(most)
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, most: int = TRUSTED_ROWS) -> list[int]:
+def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int | None = None, smoothing: float = SMOOTHING, most: int = TRUSTED_ROWS) -> list[int]:
     """log p_target - log p_raw of each bucket, in millionths. One row a bucket reaches the driver."""
+    buckets = buckets or bucket_count(docs)
     trusted = F.broadcast(trusted_ids(labels, most).withColumn("_trusted", F.lit(1)))
+    marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left").select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), words_of(F.coalesce("text", F.lit(""))).alias("_w"))
     # explode_outer: for explode the optimizer would infer a filter that computes all n-grams once more
+    paired = marked.select("_trusted", "_w", F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))).alias("_v")).select("_trusted", F.explode_outer(F.arrays_zip("_w", "_v")).alias("g"))
+    a, b = F.xxhash64("g._w"), F.xxhash64("g._v")
+    dealt = lambda h: h.bitwiseAND(F.lit(buckets - 1)).cast("int")
+    grams = F.array(F.when(F.col("g._w").isNotNull(), dealt(a)), F.when(F.col("g._v").isNotNull(), dealt(F.xxhash64(a, b))))
     counted = (
-        docs.select("doc_id", "text").join(trusted, "doc_id", "left")
-        .select(F.coalesce("_trusted", F.lit(0)).alias("_trusted"), words_of(F.coalesce("text", F.lit(""))).alias("_w"))
-        .select("_trusted", F.explode_outer(gram_buckets(F.col("_w"), buckets)).alias("bucket"))
+        paired.select("_trusted", F.explode_outer(grams).alias("bucket"))
         .groupBy("bucket").agg(F.count("bucket").alias("raw"), F.sum("_trusted").alias("target"))
     )
     raw, target = [0] * buckets, [0] * buckets
@@ -136,13 +137,12 @@ def judge_quality(docs: DataFrame, weights: list[int], threshold: int = THRESHOL
     text = F.coalesce(F.col("text"), F.lit(""))
     step = docs.select(*carry, text.alias("_t")).withColumn("_w", words_of(F.col("_t")))
     step = with_base_features(step, list(carry))
-    words, last = F.col("_w"), F.size("_w")
-    dealt = lambda *w: F.get(table, F.xxhash64(*w).bitwiseAND(F.lit(len(weights) - 1)).cast("int"))
+    h, last = F.col("_h"), F.size("_h")
+    dealt = lambda x: F.get(table, x.bitwiseAND(F.lit(len(weights) - 1)).cast("int"))
     total = F.aggregate(
-        F.when(last > 1, F.sequence(F.lit(1), last - 1)).otherwise(F.array().cast("array<int>")),
-        F.coalesce(F.when(last > 0, dealt(F.element_at(words, -1))), F.lit(0)).cast("long"),
-        lambda acc, i: acc + dealt(F.element_at(words, i)) + dealt(F.element_at(words, i), F.element_at(words, i + 1)),
-    )
+        _starts(last, 2), F.coalesce(F.when(last > 0, dealt(F.element_at(h, -1))), F.lit(0)).cast("long"),
+        lambda acc, i: acc + dealt(F.get(h, i)) + dealt(F.xxhash64(F.get(h, i), F.get(h, i + 1))),
+    )
     step = step.withColumn("_sum", total).withColumn("_len", F.greatest(F.lit(0), 2 * last - 1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return step.select(
