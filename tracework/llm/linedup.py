@@ -132,14 +132,22 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return numbered.groupBy(*DOC).agg(F.array_sort(F.collect_set("q")).alias("lines"), F.array_sort(F.collect_set("from")).alias("first_docs"))
 
 
+#: Deletions that are broadcast: their rows, and the line numbers in all of them, which bound the bytes.
+BROADCAST_ROWS, BROADCAST_LINES = 500_000, 8_000_000
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the later copies of repeated runs cut out of the texts; all rows and columns stay."""
+    """docs with the later copies of repeated runs cut out of the texts; all rows and columns stay. The deletions are
+    counted: few are broadcast, so that texts stay where they are, many meet the texts by a shuffle."""
     cuts = cut(later_copies(docs, min_words).select(F.col("_d").alias("_cd"), F.col("_row").alias("_cr"), F.col("lines").alias("_lines")), "deleted-lines")
+    rows, lines = cuts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()
     # the row travels as one struct, so that none of its columns can clash with those used here
     keyed = _keyed(docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text"))
-    # a merge join for any size: the plan, and so the shuffle's share of the input, is the same for small and large tables
-    joined = keyed.join(cuts.hint("merge"), (keyed["_d"] == cuts["_cd"]) & (keyed["_row"] == cuts["_cr"]), "left")
-    every = joined.withColumn("_all", _lines(F.col("text")))
+    joined = keyed.join(
+        F.broadcast(cuts) if rows <= BROADCAST_ROWS and lines <= BROADCAST_LINES else cuts,
+        (keyed["_d"] == cuts["_cd"]) & (keyed["_row"] == cuts["_cr"]), "left",
+    )
+    every = joined.withColumn("_all", F.when(F.col("_lines").isNotNull(), _lines(F.col("text"))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_lines")), lambda i: F.get(F.col("_all"), i))
     every = every.withColumn("_kept", F.when(F.col("_lines").isNotNull(), F.array_join(kept, "\n")))
     blank = ~F.col("_kept").rlike("[^\\x20\\x09-\\x0D]")
