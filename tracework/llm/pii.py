@@ -1,11 +1,13 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word shapes.
 
-The field labels the white-space separated tokens of a text with O, email, ip, card, phone or secret. It is trained on a
-small table of labelled sentences (made from templates, see labelled_table), with the shapes of a token and its
-neighbours as features, and decoded by Viterbi over padded numpy batches. Its spans are added where they overlap no
-base span; the base spans always stay.
-
-Tokens without a digit, "@" or quote are plain. Where a plain token's neighbours are plain too, O leads every label by
+The field labels the white-space separated tokens of a text: O, or the beginning or inside of an email, ip, card, phone
+or secret, so that neighbours of one kind are told apart. It is trained on a small table of labelled sentences (made from
+templates, see labelled_table), with the shapes of a token and its neighbours as features, and decoded by Viterbi over
+padded numpy batches. Its spans are added where they overlap no base span; the base spans always stay. Numbers of cards
+must pass their checksum and addresses have parts of at most 255, as in the base; what the field adds are spans that the
+base patterns miss: secrets, names outside of ASCII, other separators, and items inside a longer match that fails.
+
+Tokens without a digit, "@", "(at)" or quote are plain. Where a plain token's neighbours are plain too, O leads every label by
 more than all transitions could make up for (checked after training), so the best labelling has O there, and a chain
 may be cut there without a change: only stretches around other tokens are decoded.
 
@@ -25,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
-LABELS = ["O", *KINDS]
+LABELS = ["O", *[f"{part}-{kind}" for kind in KINDS for part in "BI"]]
 
 # fixed values: the base patterns; possessive where backtracking couldn't change the match
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARKED = re.compile(r"[0-9@\"]")
+_MARKED = re.compile(r"[0-9@\"]|\(at\)")
 _TOKEN = re.compile(r"\S+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -77,29 +79,58 @@ def base_spans(text: str) -> list[Span]:
 
 
 def shape(token: str) -> str:
-    """Character classes with runs folded: short runs keep their length up to 4, longer ones its power of two."""
+    """Character classes with runs folded: short runs of digits keep their length up to 4, longer ones its power of two."""
     out = []
-    for run in re.finditer(r"[0-9]+|[A-Z]+|[a-z]+|[^\W\d_]+|.", token[:200], re.DOTALL):
+    for run in re.finditer(r"[0-9]+|[A-Z]+|[a-z]+|[^\W\d_]+|.", token, re.DOTALL):
         s = run.group()
         kind = "d" if s[0] in "0123456789" else "X" if s.isupper() else "x" if s.isalpha() else s[0]
         n = len(s)
-        out.append(f"{kind}{n if n <= 4 else 'p' + str(n.bit_length())}" if kind in "dXx" and kind == "d" else kind)
+        part = f"d{n if n <= 4 else 'p' + str(n.bit_length())}" if kind == "d" else kind
+        if not out or out[-1] != part:
+            out.append(part)
     return "".join(out)
 
 
+#: Marks that stand around a token without being part of it.
+_AROUND = ".,;:!?|#*$%&"
+_SEPARATED = re.compile(r"[0-9]+(?:[./_-][0-9]+)*")
+
+
 def features(token: str) -> list[str]:
     """Features of one token by itself."""
-    bare = token.strip(".,;:!?|#*$%&")
+    bare = token.strip(_AROUND)
     core = bare.strip("\"'")
     digits = sum(c in "0123456789" for c in core)
+    letters = sum(c.isalpha() for c in core)
     hexa = len(core) >= 16 and all(c in "0123456789abcdefABCDEF" for c in core)
-    kind = "hex" if hexa and digits < len(core) else "digits" if core and digits == len(core) else "at" if "@" in core else "mixed" if digits else "plain"
+    kind = "hex" if hexa and digits < len(core) else "digits" if core and digits == len(core) else "at" if "@" in core or "(at)" in core else "mixed" if digits else "plain"
     return [
         f"k={kind}", f"k={kind} n={min(len(core), 40).bit_length()}", f"s={shape(core)}", f"d={min(digits, 20)}", f"dots={min(core.count('.'), 4)}",
-        f"first={core[:1] if not core[:1].isalnum() else ''}", f"quoted={bare[:1] in '\"' and bare != core}",
+        f"first={core[:1] if not core[:1].isalnum() else ''}", f"quoted={bare[:1] in '\"' and bare != core}", f"long={len(core) >= 16} {digits >= 4} {letters >= 4}",
     ]
 
 
+def number_runs(tokens: list[str]) -> dict[int, str]:
+    """Token -> its part in a number that passes the cards' checksum: one (a token of 13 to 19 digits), first or more (of
+    groups as they are printed on cards)."""
+    bare = [t.strip(_AROUND).strip("\"'") for t in tokens]
+    out: dict[int, str] = {}
+    for i, t in enumerate(bare):
+        if i in out or not _SEPARATED.fullmatch(t):
+            continue
+        digits = re.sub("[^0-9]", "", t)
+        if 13 <= len(digits) <= 19:
+            if luhn(digits):
+                out[i] = "one"
+            continue
+        for sizes in ((4, 4, 4, 4), (4, 6, 5)):
+            group = bare[i : i + len(sizes)]
+            if tuple(map(len, group)) == sizes and all(g.isascii() and g.isdigit() for g in group) and luhn("".join(group)):
+                out |= {i: "first"} | {i + k: "more" for k in range(1, len(sizes))}
+                break
+    return out
+
+
 def is_plain(token: str) -> bool:
     return not _MARKED.search(token)
 
@@ -107,13 +138,13 @@ def is_plain(token: str) -> bool:
 _PLAIN = ["k=plain"]
 
 
-def token_features(tokens: list[str], at: int) -> list[str]:
-    own = _PLAIN if is_plain(tokens[at]) else features(tokens[at])
+def token_features(tokens: list[str], at: int, runs: dict[int, str]) -> list[str]:
+    own = _PLAIN if is_plain(tokens[at]) else [*features(tokens[at]), f"run={runs.get(at, '')}"]
     out = list(own)
     for d in (-1, 1):
         if 0 <= at + d < len(tokens):
             near = tokens[at + d]
-            out.append(f"{d}:" + ("plain" if is_plain(near) else features(near)[0]))
+            out += [f"{d}:plain"] if is_plain(near) else [f"{d}:{f}" for f in features(near)[::2][:2]]
             if near in ("=", ":") or near.lower() in ("token", "key", "secret"):
                 out.append(f"{d}:{near.lower()}")
         else:
@@ -121,34 +152,64 @@ def token_features(tokens: list[str], at: int) -> list[str]:
     return out
 
 
-def labelled_table(n: int = 400, seed: int = 11) -> list[list[tuple[str, str]]]:
+def labelled_table(n: int = 360, seed: int = 11) -> list[list[tuple[str, str]]]:
     """Labelled sentences of invented words, with personal data and with numbers that are none."""
     rng = random.Random(seed)
-    parts = ["ba", "ki", "lo", "mer", "tan", "su", "ver", "o", "ne", "qui"]
-    word = lambda: "".join(rng.choices(parts, k=rng.randint(1, 4))) + rng.choice(["", "", "", ".", ","])
+    parts = ["ba", "ki", "lo", "mer", "tan", "su", "ver", "o", "ne", "qui", "ñá", "ö"]
+    some = lambda: "".join(rng.choices(parts, k=rng.randint(1, 4)))
+    word = lambda: some() + rng.choice(["", "", "", ".", ",", "!!", "%%%"])
     digits = lambda k: "".join(rng.choices("0123456789", k=k))
 
+    def number(k: int, valid: bool) -> str:
+        while luhn(found := digits(k)) != valid:
+            pass
+        return found
+
+    def labelled(kind: str, *tokens: str) -> list[tuple[str, str]]:
+        return [(t, f"{'I' if i else 'B'}-{kind}") for i, t in enumerate(tokens)]
+
+    def grouped(text: str) -> list[str]:
+        return [text[i : i + 4] for i in range(0, 16, 4)]
+
     def item() -> list[tuple[str, str]]:
-        kind = rng.choice(["email", "ip", "card", "cards", "phone", "phones", "secret", "secrets", "year", "count", "price", "version", "quote"])
-        end = rng.choice(["", "", ".", ","])
+        kind = rng.choice(["email", "ip", "card", "cards", "dotted", "failed", "groups", "phone", "phones", "local", "secret", "secrets", "key", "year", "count", "price", "version", "quote", "date", "book", "inside"])
+        end = rng.choice(["", "", "", ".", ",", "!!", "$$$", "###"])
         if kind == "email":
-            return [(f"{word().strip('.,')}{rng.choice(['', '.'])}{digits(2)}@{word().strip('.,')}{rng.randint(0, 9)}.{rng.choice(['example', 'mail'])}.com" + end, "email")]
+            at = rng.choice(["@", "@", "@", "(at)"])
+            return labelled("email", f"{some()}{rng.choice(['', '.'])}{digits(2)}{at}{some()}{rng.randint(0, 9)}.{rng.choice(['example', 'mail'])}.com" + end)
         if kind == "ip":
-            return [(".".join(str(rng.randint(0, 255)) for _ in range(4)) + end, "ip")]
+            return labelled("ip", ".".join(str(rng.randint(0, 255)) for _ in range(4)) + end)
         if kind == "card":
-            return [(digits(rng.choice([13, 15, 16, 16, 16, 19])) + end, "card")]
+            return labelled("card", number(rng.choice([13, 15, 16, 16, 16, 19]), True) + end)
         if kind == "cards":
-            return [(digits(4), "card"), (digits(4), "card"), (digits(4), "card"), (digits(4) + end, "card")]
+            return _closed(labelled("card", *grouped(number(16, True))), end)
+        if kind == "dotted":
+            return labelled("card", rng.choice([".", "-", "/", "_"]).join(grouped(number(16, True))) + end)
+        if kind == "inside":  # a short number right before a card
+            return [(digits(rng.randint(1, 3)), "O"), *_closed(labelled("card", *grouped(number(16, True))), end)]
+        if kind == "failed":
+            return [(number(rng.choice([13, 14, 15, 16, 16, 16, 17, 18, 19]), False) + end, "O")]
+        if kind == "groups":
+            return _closed([(g, "O") for g in grouped(number(16, False))], end)
         if kind == "phone":
-            return [(f"+{rng.randint(1, 99)}", "phone"), (f"({digits(3)})", "phone"), (f"{digits(3)}-{digits(4)}{end}", "phone")]
+            return _closed(labelled("phone", f"+{rng.randint(1, 99)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"), end)
         if kind == "phones":
-            return [(f"+{rng.randint(1, 99)}{digits(9)}{end}", "phone")]
-        hexes = "".join(rng.choices("0123456789abcdef", k=rng.choice([32, 40, 40, 64])))
+            return labelled("phone", f"+{rng.randint(1, 99)}{digits(9)}{end}")
+        if kind == "local":
+            return _closed(labelled("phone", f"({digits(3)})", f"{digits(3)}-{digits(4)}"), end) if rng.random() < 0.6 else labelled("phone", f"{digits(3)}-{digits(3)}-{digits(4)}{end}")
+        hexes = "".join(rng.choices(rng.choice(["0123456789abcdef", "0123456789ABCDEF"]), k=rng.choice([32, 40, 40, 40, 64])))
         if kind == "secret":
-            return [(rng.choice(["token", "key", "secret"]), "O"), ("=", "O"), (f'"{hexes}"', "secret")]
+            said = rng.choice(["token", "key", "secret", "TOKEN", "Token"])
+            return [(said, "O"), ("=", "O"), *labelled("secret", f'"{hexes}"{end}')]
         if kind == "secrets":
-            return [(hexes + end, "secret")]
-        plain = {"year": str(rng.randint(1000, 2100)), "count": digits(rng.randint(1, 6)).lstrip("0") or "0", "price": f"{rng.randint(1, 999)}.{digits(2)}", "version": f"v{rng.randint(0, 9)}.{rng.randint(0, 20)}", "quote": f'"{word()}"'}
+            return labelled("secret", hexes + end)
+        if kind == "key":
+            return labelled("secret", "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=16)) + digits(8) + end)
+        plain = {
+            "year": str(rng.randint(1000, 2100)), "count": digits(rng.randint(1, 9)).lstrip("0") or "0", "price": f"{rng.randint(1, 999)}.{digits(2)}",
+            "version": f"{rng.choice(['v', ''])}{rng.randint(0, 9)}.{rng.randint(0, 20)}", "quote": f'"{word()}"', "date": f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}",
+            "book": f"978-{rng.randint(0, 9)}-{digits(2)}-{digits(6)}-{rng.randint(0, 9)}",
+        }
         return [(plain[kind] + end, "O")]
 
     out = []
@@ -160,6 +221,10 @@ def labelled_table(n: int = 400, seed: int = 11) -> list[list[tuple[str, str]]]:
     return out
 
 
+def _closed(tokens: list[tuple[str, str]], end: str) -> list[tuple[str, str]]:
+    return [*tokens[:-1], (tokens[-1][0] + end, tokens[-1][1])]
+
+
 @dataclass
 class Field:
     """names: feature -> row of emissions (features x labels); transitions (from x to)."""
@@ -169,9 +234,9 @@ class Field:
     transitions: np.ndarray
 
     def scores(self, tokens: list[str]) -> np.ndarray:
-        out = np.zeros((len(tokens), len(LABELS)))
+        out, runs = np.zeros((len(tokens), len(LABELS))), number_runs(tokens)
         for i in range(len(tokens)):
-            for f in token_features(tokens, i):
+            for f in token_features(tokens, i, runs):
                 row = self.names.get(f)
                 if row is not None:
                     out[i] += self.emissions[row]
@@ -198,10 +263,11 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(table: list[list[tuple[str, str]]] | None = None, rounds: int = 120, penalty: float = 0.02, rate: float = 0.2) -> Field:
+def train(table: list[list[tuple[str, str]]] | None = None, rounds: int = 100, penalty: float = 0.02, rate: float = 0.2) -> Field:
     """Maximum penalised likelihood by Adam; all sentences in each round, padded."""
     table = table or labelled_table()
-    lists = [[token_features([t for t, _ in s], i) for i in range(len(s))] for s in table]
+    said = [[t for t, _ in s] for s in table]
+    lists = [[token_features(tokens, i, runs) for i in range(len(tokens))] for tokens, runs in ((t, number_runs(t)) for t in said)]
     names = {f: i for i, f in enumerate(sorted({f for s in lists for fs in s for f in fs}))}
     n, m, longest = len(table), len(LABELS), max(map(len, table))
     gold, mask = np.zeros((n, longest), int), np.zeros((n, longest), bool)
@@ -266,7 +332,11 @@ def viterbi(field: Field, seqs: list[np.ndarray], cells: int = 200_000) -> list[
     return out
 
 
-def stretches(tokens: list[str], reach: int = 3) -> list[tuple[int, int]]:
+#: Plain tokens on either side of a stretch.
+REACH = 3
+
+
+def stretches(tokens: list[str], reach: int = REACH) -> list[tuple[int, int]]:
     """Token ranges around the tokens that aren't plain, with `reach` plain ones on either side."""
     out: list[list[int]] = []
     for i, token in enumerate(tokens):
@@ -279,6 +349,31 @@ def stretches(tokens: list[str], reach: int = 3) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _confirmed(kind: str, text: str) -> bool:
+    """The checks of the base hold for what the field adds too."""
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "ip":
+        parts = text.split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p.lstrip("0")[:4] or 0) <= 255 for p in parts)
+    return kind != "phone" or 7 <= len(digits) <= 15
+
+
+def _items(path: list[int]) -> list[tuple[str, int, int]]:
+    """(kind, first token, end) of a path's items: each beginning starts one, and so does an inside that goes on nothing."""
+    out: list[list] = []
+    for i, label in enumerate(LABELS[p] for p in path):
+        if label == "O":
+            continue
+        part, kind = label.split("-")
+        if part == "I" and out and out[-1][0] == kind and out[-1][2] == i:
+            out[-1][2] = i + 1
+        else:
+            out.append([kind, i, i + 1])
+    return [tuple(x) for x in out]
+
+
 def added_spans(field: Field, texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
     """The field's spans that overlap no base span, for each text."""
     jobs, seqs = [], []
@@ -288,25 +383,19 @@ def added_spans(field: Field, texts: list[str], bases: list[list[Span]]) -> list
         matches = list(_TOKEN.finditer(text))
         tokens = [m.group() for m in matches]
         for a, b in stretches(tokens) if field.plain_margin() > 0 else [(0, len(tokens))]:
-            scores = field.scores(tokens[max(0, a - 1) : b + 1])
-            seqs.append(scores[a - max(0, a - 1) :][: b - a])
+            low = max(0, a - REACH)
+            seqs.append(field.scores(tokens[low : b + REACH])[a - low :][: b - a])
             jobs.append((n, matches[a:b]))
     out: list[list[Span]] = [[] for _ in texts]
     for (n, matches), path in zip(jobs, viterbi(field, seqs), strict=True):
-        i = 0
-        while i < len(path):
-            j = i + 1
-            while j < len(path) and path[j] == path[i]:
-                j += 1
-            if path[i]:
-                begin, end = matches[i].start(), matches[j - 1].end()
-                while begin < end and not (texts[n][begin].isalnum() or texts[n][begin] in "+("):
-                    begin += 1
-                while end > begin and not texts[n][end - 1].isalnum():
-                    end -= 1
-                if begin < end and all(end <= a or b <= begin for _, a, b in bases[n]):
-                    out[n].append((LABELS[path[i]], begin, end))
-            i = j
+        for kind, i, j in _items(path.tolist()):
+            text, begin, end = texts[n], matches[i].start(), matches[j - 1].end()
+            while begin < end and not (text[begin].isalnum() or text[begin] in "+("):
+                begin += 1
+            while end > begin and not text[end - 1].isalnum():
+                end -= 1
+            if begin < end and _confirmed(kind, text[begin:end]) and all(end <= a or b <= begin for _, a, b in bases[n]):
+                out[n].append((kind, begin, end))
     return out
 
 
