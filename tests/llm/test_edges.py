@@ -241,37 +241,87 @@ def test_toxicity_held_out(spark):
     assert ((got.predicted == got.toxic).mean()) > 0.9
 
 
+def _windows(rows):
+    """(conversation, block, window) -> [(role, bytes of the turn as written, own)], in order."""
+    out = {}
+    for r in rows:
+        parts = [x for x in r["formatted"].split(chat.OPEN) if x]
+        out[r["conv_id"], r["block"], r["window"]] = [(x.split(chat.MIDDLE)[0], len((chat.OPEN + x).encode()), o) for x, o in zip(parts, r["own"], strict=True)]
+    return out
+
+
 def test_windows_keep_the_budget(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame(ADDED_TURNS, turns.schema))
-    options = {"stride": 60, "history": 2, "history_tokens": 40, "system_tokens": 30}
+    options = {"stride": 600, "history": 2, "history_tokens": 400, "system_tokens": 300}
+    said = [(r["role"], chat.OPEN + r["role"] + chat.MIDDLE + (r["text"] or "").replace("~", "~0").replace("<|", "~1") + chat.CLOSE) for r in turns.collect()]
+    largest = max(len(x.encode()) for _, x in said)
+    systems = max((len(x.encode()) for role, x in said if role == "system"), default=0)
     for block in (2, 256):
-        rows = chat.windows(turns, **options, block=block)
-        got = sorted((r["conv_id"], r["window"], r["formatted"], tuple(r["own"])) for r in rows.collect())
-        if block == 2:
-            first = got
-    assert got == first  # the blocks are only a way to deal the rows
-    tokens = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")) + chat.TURN_TOKENS
-    largest = turns.select(tokens.alias("n")).agg(F.max("n")).first()[0]
-    for _, _, text, own in got:
-        said = [x.split(chat.MIDDLE)[1].split(chat.CLOSE)[0] for x in text.split(chat.OPEN) if x]
-        sizes = [len(s.split()) + chat.TURN_TOKENS for s in said]
-        own_size = sum(n for n, o in zip(sizes, own, strict=True) if o)
-        assert own_size <= max(60, largest) and (own_size <= 60 or sum(own) == 1)
-        assert sum(sizes) - own_size <= 40 + 30
-    repeated = [own for *_, own in got if not all(own)]
-    assert repeated, "history is repeated somewhere"
+        got = _windows(chat.windows(turns, **options, block=block).collect())
+        assert sum(o for w in got.values() for *_, o in w) == turns.count()
+        for parts in got.values():
+            own = [n for _, n, o in parts if o]
+            assert sum(own) <= 600 or len(own) == 1 and own[0] <= largest
+            assert sum(n for role, n, o in parts if not o and role != "system") <= 400
+            assert sum(n for role, n, o in parts if not o and role == "system") <= systems
+        assert any(not o and role != "system" for w in got.values() for role, _, o in w), "history is repeated somewhere"
+
+
+@pytest.mark.parametrize("block", [1, 4, 256])
+def test_windows_by_definition(spark, block):
+    """Against the rules told one by one, for turns in several blocks, null turns, ties and long system turns."""
+    rng = random.Random(block)
+    rows = []
+    for c in range(40):
+        turn = 0
+        if rng.random() < 0.6:
+            rows.append((c, 0, "system", "s" * rng.choice([3, 60, 200, 900])))
+        for _ in range(rng.randint(0, 12)):
+            turn += rng.choice([0, 1, 1, 1, 7])
+            rows.append((c, rng.choice([turn, turn, turn, None]), rng.choice(["user", "assistant", "system"]), "t" * rng.randint(0, 150)))
+    options = {"stride": 300, "history": 2, "history_tokens": 200, "system_tokens": 100}
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = _windows(chat.windows(frame, **options, block=block).collect())
+    import hashlib
+
+    want = {}
+    for c in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.md5(r[3].encode()).hexdigest()))
+        size = [len(chat.OPEN + r[2] + chat.MIDDLE + r[3] + chat.CLOSE) for r in own]
+        system = size[0] if own[0][2] == "system" else 0
+        beyond = max(system - 100, 0)
+        stride, budget = max(300 - max(beyond - 200, 0), 1), 200 - beyond
+        start, last = 0, None
+        for i, r in enumerate(own):
+            b = chat.NO_TURN if r[1] is None else r[1] // block
+            start = 0 if b != last else start
+            first, end = start // stride, (start + size[i] - 1) // stride
+            key = (c, b, 2 * first + (first != end))
+            if key not in want:
+                near = [(own[j][2], size[j], False) for j in range(max(0, i - 2), i) if own[j][2] != "system"]
+                near = [x for k, x in enumerate(near) if sum(n for _, n, _ in near[k:]) <= budget]
+                want[key] = ([("system", system, False)] if system and i else []) + near
+            want[key].append((r[2], size[i], True))
+            start, last = start + size[i], b
+    assert got == want
 
 
 def test_long_system_turns_lead_every_window(spark):
-    sizes = {1: 120, 2: 121, 3: 125, 4: 300, 5: 700, 6: 2000}
+    sizes = {1: 120, 2: 121, 3: 125, 4: 300, 5: 700, 6: 9000}
     talk = [(c, 0, "system", f"s{c} " * n) for c, n in sizes.items()]
     talk += [(c, t, "assistant" if t % 2 == 0 else "user", f"c{c}t{t} " * 90) for c in sizes for t in range(1, 30)]
     rows = chat.windows(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"), block=4).collect()
-    words = lambda text: [len(x.split(chat.MIDDLE)[1].split(chat.CLOSE)[0].split()) + chat.TURN_TOKENS for x in text.split(chat.OPEN) if x]
     for c, n in sizes.items():
         mine = [r for r in rows if r["conv_id"] == c]
         assert len(mine) > 4 and sum(sum(r["own"]) for r in mine) == 30
         assert all(r["formatted"].startswith(chat.OPEN + "system" + chat.MIDDLE + f"s{c} ") and r["formatted"].count(f"s{c} ") == n for r in mine)
         most = chat.STRIDE + chat.SYSTEM_TOKENS + chat.HISTORY_TOKENS
-        assert all(sum(words(r["formatted"])) <= most or sum(r["own"]) == 1 for r in mine)
+        assert all(len(r["formatted"].encode()) <= most or sum(r["own"]) == 1 for r in mine)
+
+
+def test_windows_take_clashing_names(spark):
+    rows = [(1, 0, "user", "a", "x", 5, "y", True, "z")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block string, window int, marked string, own boolean, _c string")
+    got = chat.digests(chat.windows(frame)).collect()
+    assert [(r["conv_id"], r["n_turns"], r["loss_chars"]) for r in got] == [(1, 1, 0)]

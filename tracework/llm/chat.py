@@ -1,21 +1,25 @@
 """Chat formatting with budgeted windows, native.
 
 A turn is written as OPEN role MIDDLE text CLOSE; "~" and "<|" inside roles and texts are escaped as "~0" and "~1", so
-no control string can stand inside a text, and unescaping is exact. A turn's tokens are its white-space separated
-words plus TURN_TOKENS for its marks. Prefix sums of the tokens over a conversation choose the windows: a turn whose
-tokens fall into one stretch of `stride` tokens belongs to that stretch's window, a turn that crosses a boundary gets
-a window of its own. So a window holds whole turns, at most `stride` tokens of them or one turn. Each window but the
-first retains the conversation's system turn (a first turn of role system) in full and repeats up to `history` turns
-before its own, as long as they have at most `history_tokens` together. `system_tokens` are set aside for the system
-turn; what a longer one has beyond them comes out of the history's tokens first, then out of the stretch. Only the
-assistant texts of a window's own turns stand under its loss mask; repeated ones are masked.
-
-Long conversations are dealt in blocks of BLOCK turn numbers: prefix sums and neighbours come from the rows of a block
-plus sums over blocks, so no task holds all rows of a conversation before its texts are put together.
-
-Defined results: null texts and roles are empty; rows are ordered by turn, role, text (null turns first), repeated rows
-are turns of their own; a turn longer than a stretch is a whole window, never cut; a null conv_id is a conversation;
-an empty table gives no rows; clashing input columns are not carried over.
+no control string can stand inside a text, and unescaping is exact. A turn's tokens are the UTF-8 bytes of what is
+written: no byte-level tokenizer makes more tokens of it, so the budgets hold for all of them, whatever the text.
+
+Conversations are dealt in blocks of BLOCK turn numbers, and windows end with their block. Prefix sums of the tokens over
+a block choose the windows: a turn whose tokens fall into one stretch of `stride` tokens belongs to that stretch's
+window, a turn that crosses a boundary gets a window of its own. So a window holds whole turns, at most `stride` tokens
+of them or one turn. Each window but the first retains the conversation's system turn (a first turn of role system) in
+full and repeats up to `history` turns before its own (of the block before, if need be; none of role system), the nearest
+ones as long as they have at most `history_tokens` together. `system_tokens` are set aside for the system turn; what a
+longer one has beyond them comes out of the history's tokens first, then out of the stretch. Only the assistant texts of
+a window's own turns stand under its loss mask; repeated ones are masked.
+
+Texts are shuffled once, to their blocks. What a block needs of others (the system turn, the last turns before it) is
+found for conversations of more than one block only, and no task holds all rows of a conversation before its texts are
+put together.
+
+Defined results: null texts and roles are empty; rows are ordered by turn, role and the text's MD5 (null turns first, in a
+block of their own), repeated rows are turns of their own; a turn longer than a stretch is a whole window, never cut; a
+null conv_id is a conversation; an empty table gives no rows; clashing input columns are not carried over.
 """
 
 from __future__ import annotations
@@ -27,12 +31,16 @@ from pyspark.sql import functions as F
 OPEN, MIDDLE, CLOSE = "<|turn|>", "<|says|>", "<|end|>"
 ESCAPES = [("~", "~0"), ("<|", "~1")]
 
-TURN_TOKENS = 4
-STRIDE = 512
-SYSTEM_TOKENS = 128
+STRIDE = 4096
+SYSTEM_TOKENS = 1024
 HISTORY = 2
-HISTORY_TOKENS = 128
+HISTORY_TOKENS = 1024
 BLOCK = 256
+#: The block of turns without a number, before all others.
+NO_TURN = -(1 << 62)
+
+_TURN = "struct<k:int,role:string,marked:string,tokens:bigint>"
+_TURNS = f"array<{_TURN}>"
 
 
 def escape(text: Column) -> Column:
@@ -47,40 +55,45 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def numbered_turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows with their block, tokens, index i in the conversation, start (the tokens before them) and system_tokens: those
-    of the conversation's system turn, 0 without one."""
-    rows = conversations.select(
-        "conv_id",
-        F.floor(F.col("turn") / block).alias("block"),
-        "turn",
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("tokens", F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long") + TURN_TOKENS)
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    rows = rows.select(
-        "*",
-        F.row_number().over(inside).alias("k"),
-        F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-    )
-    over_blocks = Window.partitionBy("conv_id").orderBy("block")
-    blocks = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"),
-        F.coalesce(F.max(F.when((F.col("k") == 1) & (F.col("role") == "system"), F.col("tokens"))), F.lit(0)).alias("s"),
-    )
-    blocks = blocks.select(
-        F.col("conv_id").alias("c"), F.col("block").alias("b"),
-        F.coalesce(F.sum("n").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n_before"),
-        F.coalesce(F.sum("t").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("t_before"),
-        F.first("s").over(over_blocks).alias("system_tokens"),
-    )
-    return (
-        rows.join(blocks, rows["conv_id"].eqNullSafe(blocks["c"]) & rows["block"].eqNullSafe(blocks["b"]))
-        .select(
-            "conv_id", "block", "turn", "role", "text", "tokens", "k",
-            (F.col("n_before") + F.col("k") - 1).alias("i"),
-            (F.col("t_before") + F.coalesce("before", F.lit(0))).alias("start"), "system_tokens",
-        )
-    )
+def _keyed(conversations: DataFrame, block: int) -> DataFrame:
+    """conv_id, _c (the conversation, never null), block and turn of every row, and whatever else it has."""
+    key = F.when(F.col("conv_id").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
+    return conversations.withColumn("_c", key).withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(NO_TURN)))
+
+
+def marked_turns(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(conv_id, _c, block, turn, role, tie, marked, tokens) of every row."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    marked = F.concat(F.lit(OPEN), escape(role), F.lit(MIDDLE), escape(text), F.lit(CLOSE))
+    rows = _keyed(conversations.select("conv_id", "turn", role.alias("role"), F.md5(text).alias("tie"), marked.alias("marked")), block)
+    return rows.withColumn("tokens", F.octet_length("marked").cast("long"))
+
+
+ORDER = ["turn", "role", "tie"]
+
+
+def neighbours(conversations: DataFrame, history: int, block: int) -> DataFrame:
+    """(_c, block, first_block, system, tail) of the blocks of conversations that have more than one: the conversation's
+    system turn, and the last `history` turns before the block. Both come from rows that a rank picks, which Spark does
+    before it shuffles them."""
+    places = _keyed(conversations.select("conv_id", "turn"), block).select("_c", "block")
+    several = places.groupBy("_c").agg(F.min("block").alias("first_block"), F.max("block").alias("_last")).where("first_block <> _last").drop("_last")
+    blocks = places.distinct().join(several, "_c")
+    rows = marked_turns(conversations, block).join(several, "_c", "left_semi")
+    turn = F.struct(F.lit(0).alias("k"), "role", "marked", "tokens").cast(_TURN)
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_c").orderBy("block", *ORDER))).where("_n = 1 AND role = 'system'")
+    info = blocks.join(first.select("_c", turn.alias("system")), "_c", "left")
+    if not history:
+        return info.withColumn("tail", F.array().cast(_TURNS))
+    back = Window.partitionBy("_c", "block").orderBy(*[F.desc(c) for c in ORDER])
+    last = rows.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= history).select("_c", "block", "_n", turn.alias("t"))
+    # a block may have fewer turns than the history, so it hands them on to as many blocks
+    ahead = Window.partitionBy("_c").orderBy("block")
+    following = blocks.select("_c", "block", F.array(*[F.lead("block", d).over(ahead) for d in range(1, history + 1)]).alias("ahead"))
+    following = following.select("_c", "block", F.posexplode("ahead").alias("d", "to")).where("to IS NOT NULL")
+    handed = last.join(following, ["_c", "block"]).groupBy("_c", F.col("to").alias("block")).agg(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), (-F.col("_n")).alias("n"), "t"))).alias("h"))
+    tail = handed.select("_c", "block", F.transform(F.slice("h", F.greatest(F.size("h") - history + 1, F.lit(1)), history), lambda x: x["t"]).alias("tail"))
+    return info.join(tail, ["_c", "block"], "left").withColumn("tail", F.coalesce("tail", F.array().cast(_TURNS)))
 
 
 def _window_of(start: Column, tokens: Column, stride: Column) -> Column:
@@ -93,108 +106,67 @@ def windows(
     conversations: DataFrame, stride: int = STRIDE, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS,
     system_tokens: int = SYSTEM_TOKENS, block: int = BLOCK,
 ) -> DataFrame:
-    """One row a window: conv_id, window, formatted, and loss: the marks of its own assistant turns by position."""
-    rows = numbered_turns(conversations, block)
-    beyond = F.greatest(F.col("system_tokens") - system_tokens, F.lit(0))
+    """One row a window: conv_id, block and window (its order), formatted, and for each turn in it own (its own or a
+    repeated one) and loss (under the mask)."""
+    inside = Window.partitionBy("_c", "block").orderBy(*ORDER)
+    rows = marked_turns(conversations, block).select(
+        "*",
+        F.row_number().over(inside).alias("k"),
+        F.coalesce(F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
+        F.first(F.struct(F.lit(0).alias("k"), "role", "marked", "tokens").cast(_TURN)).over(inside).alias("head"),
+    )
+    rows = rows.join(neighbours(conversations, history, block), ["_c", "block"], "left")
+    begins = F.col("first_block").isNull() | (F.col("first_block") == F.col("block"))
+    rows = rows.withColumn("begins", begins).withColumn("system", F.coalesce("system", F.when(F.col("begins") & (F.col("head.role") == "system"), F.col("head"))))
+    beyond = F.greatest(F.coalesce("system.tokens", F.lit(0)) - system_tokens, F.lit(0))
     spare = history_tokens if history else 0
     left = F.greatest(F.lit(stride) - F.greatest(beyond - spare, F.lit(0)), F.lit(1))
-    rows = rows.select("*", _window_of(F.col("start"), F.col("tokens"), left).alias("window"), (F.lit(spare) - beyond).alias("budget"))
-    # tokens and windows of the next `history` turns: from the block, else from the first turns of the next blocks
-    inside = Window.partitionBy("conv_id", "block").orderBy("k")
-    over_blocks = Window.partitionBy("conv_id").orderBy("block")
-    heads = rows.where(F.col("k") <= history).groupBy("conv_id", "block").agg(
-        F.array_sort(F.collect_list(F.struct("k", "tokens", "window"))).alias("head")
-    )
-    following = heads.select(
-        F.col("conv_id").alias("c"), F.col("block").alias("b"),
-        F.slice(F.concat(*[F.coalesce(F.lead("head", d).over(over_blocks), F.expr("slice(head, 1, 0)")) for d in range(1, history + 1)]), 1, history).alias("ahead"),
-    ) if history else None
-    if history:
-        rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "block")))
-        rows = rows.select("*", *[F.lead(F.struct("k", "tokens", "window"), d).over(inside).alias(f"next{d}") for d in range(1, history + 1)])
-        rows = rows.join(following, rows["conv_id"].eqNullSafe(following["c"]) & rows["block"].eqNullSafe(following["b"])).drop("c", "b")
-        # the d-th next turn stands in the block, or is number d - (n - k) of those ahead
-        nexts = [F.coalesce(F.col(f"next{d}"), F.get("ahead", F.lit(d) - (F.col("n") - F.col("k")) - 1)) for d in range(1, history + 1)]
-        rows = rows.select("conv_id", "role", "text", "tokens", "i", "window", "budget", *[x.alias(f"next{d}") for d, x in enumerate(nexts, 1)])
-        # repeated in the window that begins d turns later, if the turns from here to there are within the budget
-        repeats = []
-        for d in range(1, history + 1):
-            previous = F.col("window") if d == 1 else F.col(f"next{d - 1}.window")
-            span = F.col("tokens")
-            for e in range(1, d):
-                span = span + F.col(f"next{e}.tokens")
-            begins = F.col(f"next{d}").isNotNull() & (F.col(f"next{d}.window") != previous) & (span <= F.col("budget"))
-            repeats.append(F.when(begins, F.col(f"next{d}.window")))
-    else:
-        repeats = []
-    marked = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE), escape(F.col("text")), F.lit(CLOSE))
-    lead = OPEN + "system" + MIDDLE
-    system = rows.where((F.col("i") == 0) & (F.col("role") == "system")).select(
-        F.col("conv_id").alias("c"), F.concat(F.lit(lead), escape(F.col("text")), F.lit(CLOSE)).alias("system"), F.col("window").alias("system_window")
-    )
-    entries = rows.select(
-        "conv_id",
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.col("window").alias("w"), F.lit(True).alias("own"))),
-                F.filter(F.array(*[F.struct(r.alias("w"), F.lit(False).alias("own")) for r in repeats]), lambda x: x["w"].isNotNull())
-                if repeats else F.expr("cast(array() as array<struct<w: bigint, own: boolean>>)"),
-            )
-        ).alias("e"),
-        "i", "role", marked.alias("marked"),
+    own = F.array_sort(F.collect_list(F.struct(F.col("k").cast("int").alias("k"), "role", "marked", "tokens").cast(_TURN)))
+    # by _c and block, as the rows stand already: no shuffle
+    built = rows.groupBy("_c", "block", _window_of(F.col("start"), F.col("tokens"), left).alias("window")).agg(
+        F.first("conv_id").alias("conv_id"), own.alias("turns"), F.first("system").alias("system"), F.first("begins").alias("begins"),
+        F.first("tail").alias("tail"), F.first(F.lit(spare) - beyond).alias("budget"),
+    )
+    none = F.array().cast(_TURNS)
+    before = Window.partitionBy("_c", "block").orderBy("window")
+    told = F.concat(F.coalesce("tail", none), *[F.coalesce(F.lag("turns", d).over(before), none) for d in range(history, 0, -1)])
+    built = built.withColumn("near", F.slice(told, F.greatest(F.size(told) - history + 1, F.lit(1)), history) if history else none)
+    built = built.withColumn("near", F.filter("near", lambda t: t["role"] != "system"))
+    upto = lambda i: F.aggregate(F.slice("near", i + 1, F.size("near")), F.lit(0).cast("long"), lambda n, t: n + t["tokens"])
+    again = F.filter("near", lambda t, i: upto(i) <= F.col("budget"))
+    # the window that has the system turn itself doesn't repeat it
+    holds = F.col("begins") & (F.col("turns")[0]["k"] == 1)
+    lead = F.when(F.col("system").isNotNull() & ~holds, F.array("system")).otherwise(none)
+    every = built.select("conv_id", "block", "window", F.concat(lead, again).alias("before"), "turns")
+    flags = lambda value, turns: F.transform(turns, lambda t: F.lit(value))
+    return every.select(
+        "conv_id", "block", "window", F.array_join(F.transform(F.concat("before", "turns"), lambda t: t["marked"]), "").alias("formatted"),
+        F.concat(flags(False, F.col("before")), flags(True, F.col("turns"))).alias("own"),
+        F.concat(flags(False, F.col("before")), F.transform("turns", lambda t: t["role"] == "assistant")).alias("loss"),
     )
-    built = (
-        entries.groupBy("conv_id", F.col("e.w").alias("window"))
-        .agg(F.array_sort(F.collect_list(F.struct("i", F.col("e.own").alias("own"), "role", "marked"))).alias("turns"))
-        .join(system, F.col("conv_id").eqNullSafe(F.col("c")), "left")
-    )
-    # the system turn leads every window that doesn't hold it already
-    shown = F.when(F.col("system").isNotNull() & (F.get("turns", F.lit(0))["i"] != 0), F.lit(1)).otherwise(F.lit(0))
-    formatted = F.concat(F.when(shown == 1, F.col("system")).otherwise(F.lit("")), F.array_join(F.transform("turns", lambda t: t["marked"]), ""))
-    own = F.concat(F.when(shown == 1, F.array(F.lit(False))).otherwise(F.expr("cast(array() as array<boolean>)")), F.transform("turns", lambda t: t["own"]))
-    loss = F.concat(
-        F.when(shown == 1, F.array(F.lit(False))).otherwise(F.expr("cast(array() as array<boolean>)")),
-        F.transform("turns", lambda t: t["own"] & (t["role"] == "assistant")),
-    )
-    return built.select("conv_id", "window", formatted.alias("formatted"), own.alias("own"), loss.alias("loss"))
 
 
 def read_back(built: DataFrame) -> DataFrame:
-    """One row a window: its own turns, parsed from the formatted text, and the texts under its loss mask."""
+    """One row a window: conv_id, block, window, chars, and its own turns (role, text, loss), parsed from the formatted text."""
     pieces = F.filter(F.split("formatted", "<\\|turn\\|>"), lambda x: x != "")
-    parsed = built.select(
-        "conv_id", "window", "own", "loss", F.length("formatted").cast("long").alias("chars"),
-        F.transform(
-            pieces,
-            lambda x: F.struct(
-                unescape(F.split_part(x, F.lit(MIDDLE), F.lit(1))).alias("role"),
-                unescape(F.split_part(F.split_part(x, F.lit(MIDDLE), F.lit(2)), F.lit(CLOSE), F.lit(1))).alias("text"),
-            ),
-        ).alias("turns"),
-    )
-    return parsed.select(
-        "conv_id", "window", "chars",
-        F.transform(F.filter(F.arrays_zip("turns", "own"), lambda x: x["own"]), lambda x: x["turns"]).alias("turns"),
-        F.array_join(F.transform(F.filter(F.arrays_zip("turns", "loss"), lambda x: x["loss"]), lambda x: x["turns"]["text"]), "").alias("targets"),
+    parsed = F.transform(
+        F.arrays_zip(pieces.alias("piece"), F.col("own"), F.col("loss")),
+        lambda x: F.struct(
+            unescape(F.split_part(x["piece"], F.lit(MIDDLE), F.lit(1))).alias("role"),
+            unescape(F.split_part(F.split_part(x["piece"], F.lit(MIDDLE), F.lit(2)), F.lit(CLOSE), F.lit(1))).alias("text"),
+            x["own"].alias("own"), x["loss"].alias("loss"),
+        ),
     )
+    return built.select("conv_id", "block", "window", F.length("formatted").cast("long").alias("chars"), F.transform(F.filter(parsed, lambda t: t["own"]), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["loss"].alias("loss"))).alias("turns"))
 
 
 def digests(built: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the windows."""
-    read = read_back(built)
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the windows. A digest is of
+    a whole conversation, so its texts meet in one row."""
+    whole = read_back(built).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "window", "turns"))).alias("w"), F.sum("chars").alias("formatted_chars"))
+    turns = whole.select("conv_id", "formatted_chars", F.flatten(F.transform("w", lambda x: x["turns"])).alias("turns"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return (
-        read.groupBy("conv_id")
-        .agg(
-            F.sum(F.size("turns")).cast("long").alias("n_turns"),
-            F.array_sort(F.collect_list(F.struct("window", told.alias("told"), "targets"))).alias("w"),
-            F.sum("chars").alias("formatted_chars"),
-        )
-        .select(
-            "conv_id", "n_turns",
-            F.sha2(F.array_join(F.transform("w", lambda x: x["told"]), ""), 256).alias("turns_sha256"),
-            F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + F.length(x["targets"])).alias("loss_chars"),
-            F.sha2(F.array_join(F.transform("w", lambda x: x["targets"]), ""), 256).alias("loss_sha256"),
-            "formatted_chars",
-        )
-    )
+    targets = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    return turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), targets.alias("targets"), "formatted_chars").select(
+        "conv_id", "n_turns", "turns_sha256", F.length("targets").cast("long").alias("loss_chars"), F.sha2("targets", 256).alias("loss_sha256"), "formatted_chars"
+    )

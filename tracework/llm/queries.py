@@ -93,8 +93,35 @@ QUERIES = {
 }
 
 
-def _u(path: str, key: str) -> str:
-    return f"-ln((CAST('0x' || substr(md5({key} || '|{path}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+def _draw(path: str, weight: float) -> str:
+    bits = f"CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|{path}'), 1, 13) AS BIGINT)"
+    return f"-ln(({bits} + 0.5) / 4503599627370496.0) / {weight}"
+
+
+def _descend_sql(node, path: str = "r") -> str:
+    """The shard below a node: the child with the smallest draw."""
+    if isinstance(node, tuple):
+        return str(node[0])
+    if len(node) == 1:
+        return _descend_sql(node[0], f"{path}.0")
+    weight = lambda n: n[1] if isinstance(n, tuple) else sum(map(weight, n))
+    draws = ", ".join(_draw(f"{path}.{i}", weight(child)) for i, child in enumerate(node))
+    cases = " ".join(f"WHEN {i} THEN {_descend_sql(child, f'{path}.{i}')}" for i, child in enumerate(node))
+    return f"CASE list_position([{draws}], list_min([{draws}])) - 1 {cases} END"
+
+
+def _op2_sql() -> str:
+    """CRC-32 by its rule: a table of 256 from eight steps each, then one look-up a byte."""
+    step = "CASE WHEN {0} % 2 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    rounds = "".join(f", c{k + 1} AS (SELECT n, {step.format('c')} AS c FROM c{k})" for k in range(8))
+    data = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: CAST('0x' || p AS BIGINT))"
+    crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {data}), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295)"
+    bucket = f"CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {sharding.SLOT_BUCKETS}"
+    return f"""
+WITH c0 AS (SELECT n, CAST(n AS BIGINT) AS c FROM range(256) r(n)){rounds}, crc AS (SELECT list(c ORDER BY n) AS t FROM c8),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, {crc} AS text_crc32, {_descend_sql(SHARD_TREE)} AS shard, {_descend_sql(sharding.grow(SHARD_TREE))} AS grown_shard, {bucket} AS bucket FROM d, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard FROM s"""
 
 
 def _op3_sql() -> str:
@@ -115,23 +142,30 @@ SELECT p.page_id, p.host, p.path, r.rule, b.listed_host,
 FROM p LEFT JOIN r ON p.host = r.host AND p.path = r.path LEFT JOIN b ON p.host = b.host"""
 
 
-ORACLES = {"op3_cascade_url_filter": _op3_sql()}
+ORACLES = {"op2_hash_tree_sharding": _op2_sql(), "op3_cascade_url_filter": _op3_sql()}
 
-_WORDS = r"len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
-_SHOWN = "length(replace(replace({0}, '~', '~0'), '<|', '~1'))"
+_SHOWN = "strlen(replace(replace({0}, '~', '~0'), '<|', '~1'))"
+_SHOWN_CHARS = _SHOWN.replace("strlen", "length")
 _MARKS = len(chat.OPEN) + len(chat.MIDDLE) + len(chat.CLOSE)
+_FRAME = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 ORACLES["op10_budgeted_chat_windows"] = f"""
 WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES {", ".join(map(str, ADDED_TURNS))}),
-t AS (SELECT *, {_WORDS} + {chat.TURN_TOKENS} AS tokens, row_number() OVER o - 1 AS i FROM rows WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-s AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t),
-w AS (SELECT *, 2 * (start // {chat.STRIDE}) + CASE WHEN start // {chat.STRIDE} = (start + tokens - 1) // {chat.STRIDE} THEN 0 ELSE 1 END AS win,
-  {_MARKS} + {_SHOWN.format("role")} + {_SHOWN.format("text")} AS chars FROM s),
-n AS (SELECT *, lead(win) OVER o AS w1, lead(win, 2) OVER o AS w2, lead(tokens) OVER o AS t1 FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
-r AS (SELECT *, CASE WHEN w1 <> win AND tokens <= {chat.HISTORY_TOKENS} THEN 1 ELSE 0 END + CASE WHEN w2 <> w1 AND tokens + t1 <= {chat.HISTORY_TOKENS} THEN 1 ELSE 0 END AS again FROM n),
-g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
-  coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(chars * (1 + again)) AS chars, count(DISTINCT win) AS wins,
-  coalesce(max(CASE WHEN i = 0 AND role = 'system' AND tokens <= {chat.SYSTEM_TOKENS} THEN chars END), 0) AS system_chars, max(CASE WHEN i = 0 THEN again END) AS again FROM r GROUP BY conv_id)
-SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
-  CAST(chars + system_chars * (wins - 1 - again) AS BIGINT) AS formatted_chars FROM g"""
+t AS (SELECT *, coalesce(turn // {chat.BLOCK}, {chat.NO_TURN}) AS block, CAST({_MARKS} + {_SHOWN.format("role")} + {_SHOWN.format("text")} AS BIGINT) AS tokens,
+  CAST({_MARKS} + {_SHOWN_CHARS.format("role")} + {_SHOWN_CHARS.format("text")} AS BIGINT) AS chars,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS i FROM rows),
+y AS (SELECT *, max(CASE WHEN i = 0 AND role = 'system' THEN tokens END) OVER c AS system, max(CASE WHEN i = 0 AND role = 'system' THEN chars END) OVER c AS system_chars FROM t WINDOW c AS (PARTITION BY conv_id)),
+b AS (SELECT *, greatest(coalesce(system, 0) - {chat.SYSTEM_TOKENS}, 0) AS beyond FROM y),
+l AS (SELECT *, greatest({chat.STRIDE} - greatest(beyond - {chat.HISTORY_TOKENS}, 0), 1) AS stride, {chat.HISTORY_TOKENS} - beyond AS budget,
+  CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id, block ORDER BY i {_FRAME}), 0) AS BIGINT) AS start,
+  lag(tokens) OVER o AS t1, lag(tokens, 2) OVER o AS t2, lag(chars) OVER o AS c1, lag(chars, 2) OVER o AS c2, lag(role) OVER o AS r1, lag(role, 2) OVER o AS r2 FROM b WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
+w AS (SELECT *, 2 * (start // stride) + CASE WHEN start // stride = (start + tokens - 1) // stride THEN 0 ELSE 1 END AS win FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block, win ORDER BY i) = 1 AS begins FROM w),
+h AS (SELECT *, CASE WHEN begins AND r1 <> 'system' AND t1 <= budget THEN c1 ELSE 0 END
+  + CASE WHEN begins AND r2 <> 'system' AND t2 + CASE WHEN r1 <> 'system' THEN t1 ELSE 0 END <= budget THEN c2 ELSE 0 END
+  + CASE WHEN begins AND i > 0 THEN coalesce(system_chars, 0) ELSE 0 END AS again FROM f)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(length(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + again) AS BIGINT) AS formatted_chars FROM h GROUP BY conv_id"""
