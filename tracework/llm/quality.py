@@ -66,7 +66,7 @@ def with_base_features(df: DataFrame, carry: list[str], hash_bits: int = 64) ->
         (F.length("_t") - F.length(bare)).cast("long").alias("n_symbols"),
         F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("_l"),
         # the low bits that hold a start
-        (F.expr(f"shiftleft(1L, {64 - hash_bits} + CAST(ceil(log2(size(_w) + 1)) AS INT))") - 1).alias("_m"),
+        (F.expr(f"shiftleft(1L, least(62, {64 - hash_bits} + CAST(ceil(log2(size(_w) + 1)) AS INT)))") - 1).alias("_m"),
     )
     h, low = F.col("_h"), F.col("_m")
     window = lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))
