@@ -1,16 +1,17 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Test items and documents are lower-cased and white space runs become single blanks. A test unit of m characters has an
-error budget of k = m // ERROR_SHARE edits and is split into k + 1 pieces; a passage within k edits of it holds at least
-one piece unchanged. An automaton over all pieces finds their exact hits in one pass over a document; around each hit
-the stretch that the unit could take up is verified with Myers' bit-parallel distance. Items of more than UNIT_CHARS
-characters are consecutive units of that length at most, each tested by itself.
-
-Benchmarks are taken in blocks of BLOCK_BYTES, each broadcast for one pass over all documents.
-
-Defined results: null and blank items match nothing; null texts hold nothing; an item without pieces of MIN_PIECE
-characters is one piece with no budget; repeated documents or items are reported alike; a document that holds an item
-more than once is reported once, with the least distance; empty tables give no rows.
+Test items and documents are lower-cased and white space runs become single blanks. An item of m characters has an error
+budget of k = m // ERROR_SHARE edits and is split into k + 1 pieces; a passage within k edits of it holds at least one
+piece unchanged. An automaton over all pieces finds their exact hits in one pass over a document; around each hit the
+stretch that the item could take up is verified with Myers' bit-parallel distance, whatever the item's length: its bits
+are one long integer.
+
+Equal items are one, with their ids grouped. Benchmarks are taken in blocks of BLOCK_BYTES, each broadcast for one pass
+over all documents.
+
+Defined results: null and blank items match nothing, as null texts hold nothing; an item of under ERROR_SHARE characters
+must stand as it is; repeated documents or items are reported alike; a document that holds an item more than once is
+reported once, with the least distance; items whose id is null are no items; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR_SHARE = 16
-UNIT_CHARS = 512
-MIN_PIECE = 8
 BLOCK_BYTES = 8 << 20
 
 
@@ -31,13 +30,6 @@ def normalised(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def units_of(text: str, unit_chars: int = UNIT_CHARS) -> list[str]:
-    """A normalised item in parts of about equal length."""
-    n = math.ceil(len(text) / unit_chars)
-    cuts = [len(text) * i // n for i in range(n + 1)] if n else []
-    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def pieces_of(unit: str, budget: int) -> list[tuple[int, str]]:
     """(offset, piece) for budget + 1 pieces of about equal length."""
     cuts = [len(unit) * i // (budget + 1) for i in range(budget + 2)]
@@ -45,8 +37,7 @@ def pieces_of(unit: str, budget: int) -> list[tuple[int, str]]:
 
 
 def budget_of(unit: str, error_share: int = ERROR_SHARE) -> int:
-    budget = len(unit) // error_share
-    return budget if len(unit) // (budget + 1) >= MIN_PIECE else 0
+    return len(unit) // error_share
 
 
 class Myers:
@@ -82,19 +73,16 @@ class Myers:
 
 
 class Matcher:
-    """Finds test items, [(item id, text)], in documents."""
+    """Finds test items, [(ids, text)], in documents."""
 
-    def __init__(self, items: list[tuple[int, str]], error_share: int = ERROR_SHARE, unit_chars: int = UNIT_CHARS) -> None:
+    def __init__(self, items: list[tuple[list[int], str]], error_share: int = ERROR_SHARE) -> None:
         import ahocorasick
 
-        self.units: list[tuple[str, int, set]] = []
-        at: dict[str, int] = {}
-        for item, text in items:
-            for unit in units_of(normalised(text or ""), unit_chars):
-                if unit not in at:
-                    at[unit] = len(self.units)
-                    self.units.append((unit, budget_of(unit, error_share), set()))
-                self.units[at[unit]][2].add(item)
+        by_text: dict[str, set[int]] = {}
+        for ids, text in items:
+            if told := normalised(text or ""):
+                by_text.setdefault(told, set()).update(ids)
+        self.units = [(told, budget_of(told, error_share), sorted(ids)) for told, ids in sorted(by_text.items())]
         places: dict[str, list[tuple[int, int]]] = {}
         for u, (unit, budget, _) in enumerate(self.units):
             for offset, piece in pieces_of(unit, budget):
@@ -144,13 +132,13 @@ class Matcher:
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
-    """Lists of (item_id, text) of about block_bytes each; only one is on the driver at a time."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """Lists of (ids, text) of about block_bytes each, equal texts once; only one is on the driver at a time."""
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("text").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+    total = items.agg(F.sum(F.octet_length("text") + 8 * F.size("ids"))).first()[0] or 0
     parts = max(1, math.ceil(total / block_bytes))
     for part in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield [(r["item_id"], r["text"]) for r in own.collect()]
+        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        yield [(list(r["ids"]), r["text"]) for r in own.collect()]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, error_share: int = ERROR_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
