@@ -1,17 +1,19 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document's terms are its words (runs of letters, lower-cased), the words' first PREFIXES letters, and the power of
-two that its length falls under; each is hashed into SPACE_SIZE numbers. The FEATURES terms that tell the classes
-apart best on the training rows are the machine's inputs, present or not. Its score is the logistic of
-bias + sum of weights + sum over pairs of present terms of the product of their factor vectors, so that terms can mean
-together what neither means alone.
-
-It is fitted on at most TRAIN_ROWS labelled rows of each label, those with the smallest CRC of the id among the rows
-that aren't held out, weighted to the labels' true share. Every document is scored over its whole text.
-
-Defined results: null and empty texts have only their length term and a score like others; conflicting or repeated
-labels of an id count as rows each; without labels of both kinds the score is the share of toxic ones (0 if none);
-repeated rows are scored alike; an empty table gives no rows; labels, lang, source and doc_id are never inputs.
+two that its length falls under; each is hashed into SPACE_SIZE numbers. The machine's inputs, present or not, are the
+FEATURES terms that tell the classes apart best by themselves on the training rows, and the PAIR_FEATURES terms that do
+so best in a pair with another one, beyond what either of the two tells alone: among the PAIR_TERMS terms that most toxic
+training rows have, all pairs are counted. So a term that means nothing alone is an input if it does beside another. The
+score is the logistic of bias + sum of weights + sum over pairs of present terms of the product of their factor vectors.
+
+It is fitted on at most TRAIN_ROWS labelled ids of each label, those with the smallest CRC of the id among the ids that
+aren't held out, weighted to the labels' true share; all other counts, and the scores, cover whole texts of all rows.
+
+Defined results: null and empty texts have only their length term and a score like others; an id's labels count once, and
+as toxic if any is; of rows that share an id one text is trained on, the one with the least hash; without labels of both
+kinds the score is the share of toxic ones (0 if none); repeated rows are scored alike; an empty table gives no rows;
+labels, lang, source and doc_id are never inputs.
 """
 
 from __future__ import annotations
@@ -25,12 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracework.session import cut
+
 PREFIXES = (4, 5, 6)
 SPACE_SIZE = 1 << 20
 FEATURES = 768
+PAIR_FEATURES = 256
+PAIR_TERMS = 2_048
 FACTORS = 6
 TRAIN_ROWS = 4_000
-ROUNDS = 240
+ROUNDS = 200
 THRESHOLD = 0.3
 CACHED_WORDS = 200_000
 
@@ -83,32 +89,81 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, factors: int = FACTORS, rounds: int = ROUNDS) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, weights and factors by Adam on the weighted log loss with an L2 penalty, all rows in each round."""
-    rng = np.random.default_rng(7)
-    params = [np.array([0.0]), np.zeros(x.shape[1]), rng.normal(0, 0.05, (x.shape[1], factors))]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    weight, penalty, rate = weight / weight.sum(), (0.0, 1e-4, 1e-3), 0.05
+    rng, x = np.random.default_rng(7), np.ascontiguousarray(x, np.float32)
+    # one matrix of single precision: bias apart, column 0 has the weights, the others the factors
+    bias, params = 0.0, np.concatenate([np.zeros((x.shape[1], 1)), rng.normal(0, 0.05, (x.shape[1], factors))], 1).astype(np.float32)
+    first, second, moments = np.zeros_like(params), np.zeros_like(params), [0.0, 0.0]
+    penalty = np.array([1e-4, *[1e-3] * factors], np.float32)
+    weight, rate = weight / weight.sum(), 0.05
     for step in range(1, rounds + 1):
-        bias, w, v = params
-        sums = x @ v
-        score = bias[0] + x @ w + 0.5 * ((sums**2).sum(1) - x @ (v**2).sum(1))
-        error = weight * (_logistic(score) - y)
-        by_input = x.T @ error
-        grads = [np.array([error.sum()]), by_input, x.T @ (error[:, None] * sums) - v * by_input[:, None]]
-        for p, (m, s), g, l2 in zip(params, moments, grads, penalty, strict=True):
-            g = g + l2 * p
-            m += 0.1 * (g - m)
-            s += 0.001 * (g * g - s)
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return float(params[0][0]), params[1], params[2]
+        told = np.concatenate([params, (params[:, 1:] ** 2).sum(1, keepdims=True)], 1)
+        sums = x @ told
+        score = bias + sums[:, 0] + 0.5 * ((sums[:, 1:-1] ** 2).sum(1) - sums[:, -1])
+        error = (weight * (_logistic(score) - y)).astype(np.float32)
+        back = x.T @ np.concatenate([error[:, None], error[:, None] * sums[:, 1:-1]], 1)
+        back[:, 1:] -= params[:, 1:] * back[:, :1]
+        back += penalty * params
+        size, rest = 1 - 0.9**step, 1 - 0.999**step
+        first += 0.1 * (back - first)
+        second += 0.001 * (back * back - second)
+        params -= rate * (first / size) / (np.sqrt(second / rest) + 1e-8)
+        slope = float(error.sum())
+        moments = [moments[0] + 0.1 * (slope - moments[0]), moments[1] + 0.001 * (slope * slope - moments[1])]
+        bias -= rate * (moments[0] / size) / (np.sqrt(moments[1] / rest) + 1e-8)
+    return float(bias), params[:, 0].astype(np.float64), params[:, 1:].astype(np.float64)
 
 
 def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, features: int = FEATURES) -> Machine:
+def gaps(n1: np.ndarray, n0: np.ndarray, s1: int, s0: int) -> np.ndarray:
+    """How far apart two classes of s1 and s0 rows are in what n1 and n0 of them have, in about standard deviations."""
+    return np.abs((n1 + 0.5) / (s1 + 1) - (n0 + 0.5) / (s0 + 1)) / np.sqrt((n1 + n0 + 1.0) / (s1 + s0 + 1.0))
+
+
+def telling_in_pairs(x: np.ndarray, y: np.ndarray, most: int, block: int = 512) -> np.ndarray:
+    """Numbers of the at most `most` inputs of x (rows x inputs, 0 or 1) whose best pair tells more than both its parts, the
+    best first."""
+    one, other = x[y == 1], x[y != 1]
+    s1, s0 = len(one), len(other)
+    alone = gaps(one.sum(0), other.sum(0), s1, s0)
+    best = np.zeros(x.shape[1])
+    for at in range(0, x.shape[1], block):
+        own = slice(at, at + block)
+        gain = gaps(one[:, own].T @ one, other[:, own].T @ other, s1, s0) - np.maximum(alone[own, None], alone[None, :])
+        best[own] = gain.max(axis=1, initial=0)
+    order = np.argsort(-best, kind="stable")
+    return order[best[order] > 0][:most]
+
+
+def _inputs(rows: DataFrame, columns: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (rows x columns, 0 or 1) and labels of rows(toxic, terms)."""
+
+    def pick(batches):
+        known = np.fromiter(columns, np.int64, len(columns))
+        places = np.fromiter(columns.values(), np.int64, len(columns))[np.argsort(known)]
+        known = np.sort(known)
+        for batch in batches:
+            lists = batch.column(1)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(lists.offsets.to_numpy()))
+            at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+            hit = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+            owner = np.searchsorted(ends, np.flatnonzero(hit), "right")
+            sizes = np.bincount(owner, minlength=len(ends))
+            out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(places[at[hit]], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["toxic", "inputs"])
+
+    found = rows.mapInArrow(pick, "toxic int, inputs array<int>").toArrow().combine_chunks()
+    x = np.zeros((found.num_rows, len(columns)), np.float32)
+    for i, inputs in enumerate(found["inputs"].to_pylist()):
+        x[i, inputs] = 1
+    return x, found["toxic"].to_numpy().astype(np.float64)
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, features: int = FEATURES, pair_features: int = PAIR_FEATURES) -> Machine:
     """Fit on documents with labels that aren't held out. The driver gets 2 x most rows of inputs at most."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(share.values())
     if len(share) < 2:
@@ -116,36 +171,32 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, features:
         return Machine({}, float(np.log(odds)), np.zeros(0), np.zeros((0, 1)))
     by_crc = [F.crc32(F.col("doc_id").cast("string")), F.col("doc_id")]
     sample = known.where("toxic = 1").orderBy(*by_crc).limit(most).unionByName(known.where("toxic = 0").orderBy(*by_crc).limit(most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")  # at most 2 x most ids
+    sample = cut(sample, "training-ids")  # at most 2 x most ids
 
     def list_terms(batches):
         for batch in batches:
             found = [sorted(terms(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "terms"])
 
-    listed = rows.mapInArrow(list_terms, "toxic int, terms array<int>")
-    counted = (
-        listed.select("toxic", F.explode("terms").alias("term")).groupBy("term")
-        .agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")).where("n1 + n0 >= 4")
-    )
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = cut(texts.select("toxic", "text").mapInArrow(list_terms, "toxic int, terms array<int>"), "training-rows")
     sampled = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     s1, s0 = max(1, sampled.get(1, 0)), max(1, sampled.get(0, 0))
+    counted = cut(rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")), "training-terms")
     gap = F.abs((F.col("n1") + 0.5) / (s1 + 1) - (F.col("n0") + 0.5) / (s0 + 1)) / F.sqrt((F.col("n1") + F.col("n0") + 1.0) / (s1 + s0 + 1.0))
     best = [r["term"] for r in counted.orderBy(gap.desc(), "term").limit(features).collect()]
+    common = [r["term"] for r in counted.orderBy(F.desc("n1"), "term").limit(PAIR_TERMS if pair_features else 0).collect()]
     lengths = [length_term(1 << n >> 1) for n in range(24)]
-    columns = {term: i for i, term in enumerate(dict.fromkeys([*best, *lengths]))}
-
-    def list_inputs(batches):
-        for batch in batches:
-            found = [sorted(columns[t] for t in terms(x.as_py()) if t in columns) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "inputs"])
-
-    data = rows.mapInArrow(list_inputs, "toxic int, inputs array<int>").collect()
-    x, y = np.zeros((len(data), len(columns)), np.float32), np.array([r["toxic"] for r in data], np.float64)
-    for i, r in enumerate(data):
-        x[i, r["inputs"]] = 1
+    chosen = list(dict.fromkeys([*best, *lengths]))
+    every = list(dict.fromkeys([*chosen, *common]))
+    x, y = _inputs(rows, {term: i for i, term in enumerate(every)})
+    if common:
+        at = {term: i for i, term in enumerate(every)}
+        told = telling_in_pairs(x[:, [at[t] for t in common]], y, pair_features)
+        chosen = list(dict.fromkeys([*chosen, *[common[i] for i in told]]))
+        x = np.ascontiguousarray(x[:, [at[t] for t in chosen]])
     weight = np.where(y == 1, share[1] / s1, share[0] / s0)
-    return Machine(columns, *fit(x, y, weight))
+    return Machine({term: i for i, term in enumerate(chosen)}, *fit(x, y, weight))
 
 
 def score_documents(docs: DataFrame, machine: Machine, carry: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
