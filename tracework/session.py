@@ -61,6 +61,35 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return found
 
 
+#: Rows of an Arrow batch when each may hold a whole text.
+TEXT_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def whole_texts(df: DataFrame, rows: int = TEXT_ROWS) -> DataFrame:
+    """df, with the session's Arrow batches held to so many rows, unless they are smaller: for operators that hand whole
+    texts to Python, where ten thousand rows, the default, could be gigabytes on both sides."""
+    now = int(df.sparkSession.conf.get(_BATCH))
+    if not 0 < now <= rows:
+        df.sparkSession.conf.set(_BATCH, str(rows))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: workers stay for other tasks, and what their allocators keep
+    would count beside the next operator's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 #: Rows of a dimension that is broadcast.
 SMALL_ROWS = 100_000
 
