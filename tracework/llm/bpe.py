@@ -34,6 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracework.session import give_back, whole_texts
+
 BLOCK_WORDS = 1_500_000
 #: Documents of a block travel in slices of about so many words.
 SLICE_WORDS = 1 << 16
@@ -186,7 +188,8 @@ def blocks_of(words: DataFrame, carry: tuple[str, ...], lists: bool, block_words
         held = [b for b in held if b.num_rows]
         if held:
             yield rows(_Block(held, carry, buckets))
-        pa.default_memory_pool().release_unused()
+            held.clear()
+            give_back()
 
     return words.mapInArrow(pack, "block long, part long, data binary")
 
@@ -226,6 +229,8 @@ def encode_lists(lists: DataFrame, path: str) -> DataFrame:
                     blocks, data = [], []
             if data:
                 yield _list_batch(blocks, data)
+        known.clear()
+        give_back()
 
     return dealt.mapInArrow(run, "block long, part long, data binary")
 
@@ -263,7 +268,7 @@ def encode(docs: DataFrame, path: str, finish: Callable[[], Callable], schema: s
     returns gets the ids of some documents, one after the other, and their numbers, and returns the columns."""
     fields = [docs.schema[c] for c in docs.columns if c in carry]
     names = [f.name for f in fields]
-    words = docs.select(*names, words_of(F.col("text")).alias("_words"))
+    words = whole_texts(docs).select(*names, words_of(F.col("text")).alias("_words"))
     buckets = bucket_count(docs)
     documents = blocks_of(words, carry, False, block_words, buckets)
     lists = encode_lists(blocks_of(words, carry, True, block_words, buckets), path)
@@ -290,7 +295,8 @@ def encode(docs: DataFrame, path: str, finish: Callable[[], Callable], schema: s
                 columns = render(ids.of(codes), numbers)
                 for out in pa.table([*carried.columns, *columns], names=[*names, *added]).to_batches():
                     yield out
-        pa.default_memory_pool().release_unused()
+        ids, parts, render = None, [], None
+        give_back()
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + schema
     found = met.mapInArrow(put_together, out)
@@ -373,4 +379,4 @@ def decode_ids(encoded: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id"
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in carry], text], [*carry, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string"
-    return encoded.select(*carry, "ids").mapInArrow(run, schema)
+    return whole_texts(encoded).select(*carry, "ids").mapInArrow(run, schema)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracework.session import whole_texts
+
 ERROR_SHARE = 16
 BLOCK_BYTES = 8 << 20
 
@@ -155,7 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_share: int = ERROR_SHARE,
                 rows = [(i, item, d) for i, t in zip(ids, texts, strict=True) for item, d in matcher.hits(t.as_py()).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "item_id", "distance"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, item_id long, distance int")
+        part = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, item_id long, distance int")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
@@ -172,5 +174,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, error_share: int = ERRO
                 texts = batch.column(batch.schema.get_field_index("text"))
                 yield batch.filter(pa.array([not matcher.hits(t.as_py()) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = whole_texts(docs).mapInArrow(keep, docs.schema)
     return docs

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracework.llm.stars import components
-from tracework.session import cut
+from tracework.session import cut, whole_texts
 
 SHINGLE = 3
 RADIUS = 2
@@ -63,7 +63,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry columns and fp (long) of every row of docs.text."""
-    kept = docs.select(*carry, "text")
+    kept = whole_texts(docs).select(*carry, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("text").schema) + ", fp long"
 
     def hash_batch(batches):

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracework.session import whole_texts
+
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["O", *[f"{part}-{kind}" for kind in KINDS for part in "BI"]]
 
@@ -418,4 +420,4 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
             spans = [joined(b + a) for b, a in zip(bases, added, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(digest, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return whole_texts(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

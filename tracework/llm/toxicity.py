@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracework.session import cut
+from tracework.session import cut, whole_texts
 
 PREFIXES = (4, 5, 6)
 SPACE_SIZE = 1 << 20
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, features:
             found = [sorted(terms(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "terms"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = whole_texts(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = cut(texts.select("toxic", "text").mapInArrow(list_terms, "toxic int, terms array<int>"), "training-rows")
     sampled = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     s1, s0 = max(1, sampled.get(1, 0)), max(1, sampled.get(0, 0))
@@ -226,7 +226,7 @@ def score_documents(docs: DataFrame, machine: Machine, carry: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*carry, "score", "predicted"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "score double, predicted int"
-    return docs.select(*carry, "text").mapInArrow(run, schema)
+    return whole_texts(docs).select(*carry, "text").mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
