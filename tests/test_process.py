@@ -1,5 +1,6 @@
 """Discovery, alignment and decision analyses on small invented logs."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -8,82 +9,134 @@ from tracework.operators import decision as D
 from tracework.operators import process as P
 
 
-def test_discovery_finds_choice_sequence_parallel():
-    log = Counter({("a", "b", "c", "d"): 5, ("a", "c", "b", "d"): 4, ("a", "e", "d"): 3})
-    tree = P.mine(log)
-    assert tree[0] == "seq"
-    assert P.language(tree) == {("a", "b", "c", "d"), ("a", "c", "b", "d"), ("a", "e", "d")}
+#: Invented logs: what is done in a kitchen and at a gate.
+KITCHEN = Counter({("boil", "salt", "stir", "serve"): 7, ("boil", "stir", "salt", "serve"): 4, ("boil", "bake", "serve"): 2})
 
 
-def test_discovery_is_independent_of_order():
-    traces = [("a", "b", "c"), ("a", "c"), ("a", "b", "b", "c")]
-    assert P.mine(Counter(traces)) == P.mine(Counter(reversed(traces)))
+def words_of(log, **options):
+    return P.language(P.mine(Counter(log), **options))
 
 
-def test_skippable_and_repeated_steps():
-    skippable = P.mine(Counter({("a", "b"): 3, ("a",): 2}))
-    assert P.language(skippable) == {("a", "b"), ("a",)}
-    again = P.mine(Counter({("a",): 2, ("a", "a"): 1}))
-    assert again == ("loop", ("act", "a"), P.TAU)
+def test_choices_and_parallel_steps_are_found():
+    tree = P.mine(KITCHEN)
+    assert tree[0] == "seq" and tree[1] == ("act", "boil") and tree[-1] == ("act", "serve")
+    assert P.language(tree) == set(KITCHEN)
 
 
-def test_loop_with_redo():
-    tree = P.mine(Counter({("a", "b"): 4, ("a", "b", "r", "a", "b"): 3}))
-    assert tree[0] == "loop" and {("a", "b"), ("a", "b", "r", "a", "b")} <= P.language(tree)
+def test_the_order_of_a_log_means_nothing():
+    rows = [("open", "scan", "pass"), ("open", "pass"), ("scan", "open", "scan", "pass"), ("alarm",)]
+    for noise in (0.0, 0.15):
+        assert P.mine(Counter(rows), noise=noise) == P.mine(Counter(rows[::-1]), noise=noise)
 
 
-def test_noise_removes_rare_pairs():
-    log = Counter({("a", "b"): 100, ("b", "a"): 1})
-    assert P.language(P.mine(log, noise=0.1)) == {("a", "b")}
+def test_steps_that_some_skip_and_steps_done_again():
+    assert words_of({("open", "scan", "pass"): 5, ("open", "pass"): 3}) == {("open", "scan", "pass"), ("open", "pass")}
+    assert P.mine(Counter({("knock",): 6, ("knock", "knock", "knock"): 1})) == ("loop", ("act", "knock"), P.TAU)
 
 
-def test_language_refuses_large_ones():
-    tree = ("par", *[("act", x) for x in "abcdefghij"])
-    with pytest.raises(P.TooLarge):
-        P.language(tree, most=1000)
-
-
-def test_alignment():
-    assert P.alignment(("a", "b", "c"), ("a", "b", "c"))[0] == 0
-    cost, moves = P.alignment(("a", "x", "c"), ("a", "b", "c"))
-    assert cost == 2 and len([m for m in moves if None in m]) == 2
-    assert P.fitness(2, 3, 3) == pytest.approx(1 - 2 / 6)
-
-
-def test_alignments_on_the_cluster(spark):
-    variants = spark.createDataFrame([("a>b", 3), ("a>x", 1)], "variant string, n long")
-    aligned = P.align(variants, [["a", "b"]])
-    assert {r["variant"]: r["cost"] for r in aligned.collect()} == {"a>b": 0, "a>x": 2}
-    total = P.log_fitness(aligned).first()
-    assert (total["traces"], total["traces_fitting_exactly"], total["fitness"]) == (4, 3, pytest.approx(0.875))
+def test_a_loop_goes_round():
+    tree = P.mine(Counter({("scan", "pass"): 3, ("scan", "pass", "back", "scan", "pass"): 1, ("scan", "pass", "back", "scan", "pass", "back", "scan", "pass"): 1}))
+    assert tree[0] == "loop"
+    assert {("scan", "pass"), ("scan", "pass", "back", "scan", "pass")} <= P.language(tree)
+    assert P.tree_alignment(("scan", "pass", *("back", "scan", "pass") * 9), tree)[0] == 0
 
 
-EDGES = {("s", "a"): 0.5, ("s", "b"): 0.5, ("a", "g"): 1.0, ("b", "b"): 1.0}
+def test_a_rare_order_is_left_out_of_the_model_only_with_noise():
+    log = {("pay", "leave"): 60, ("leave", "pay"): 1}
+    assert words_of(log, noise=0.2) == {("pay", "leave")} and ("leave", "pay") in words_of(log)
 
 
-def test_values_by_brute_force():
-    v, best = D.value_iteration(EDGES, {"g": 10.0}, gamma=0.9)
-    assert v == pytest.approx({"g": 10.0, "a": 9.0, "s": 4.05, "b": 0.0})
-    assert best == {"s": "a", "a": "g", "b": "b", "g": None}
-    assert D.rollout(best, "s") == ["s", "a", "g"]
+def test_without_noise_every_trace_replays():
+    rng = random.Random(12)
+    for _ in range(60):
+        log = Counter(tuple(rng.choices("uvwxyz"[: rng.randint(2, 6)], k=rng.randint(1, 5))) for _ in range(rng.randint(1, 8)))
+        tree = P.mine(log)
+        assert all(P.tree_alignment(trace, tree)[0] == 0 for trace in log), log
 
 
-def test_intervention_and_tie():
-    found = D.intervention(EDGES, "s", {"g": 10.0}, "a", gamma=0.9)
-    assert found["after"] == 0 and found["delta"] == pytest.approx(4.05)
-    _, best = D.value_iteration({("s", "b"): 1.0, ("s", "a"): 1.0}, {})
-    assert best["s"] == "a"
+def test_a_language_too_large_to_list_is_refused():
+    with pytest.raises(P.TooLarge):
+        P.language(("par", *[("act", f"step {i}") for i in range(11)]), most=5000)
 
 
-def test_growth_stops_at_the_cap():
-    v, _ = D.value_iteration({("a", "a"): 1.0}, {"a": 1.0}, rounds=64)
-    assert v["a"] == 65.0
+def test_alignments():
+    model = ("open", "scan", "pass")
+    assert P.alignment(model, model)[0] == 0
+    cost, moves = P.alignment(("scan", "alarm", "pass"), model)
+    assert cost == 2 and (None, "open") in moves and ("alarm", None) in moves
+    assert P.fitness(cost, 3, 3) == pytest.approx(2 / 3) and P.fitness(0, 0, 0) == 1
 
 
-def test_max_product_path():
-    found = D.max_product_path({("s", "a"): 0.5, ("a", "g"): 1.0, ("s", "g"): 0.4}, "s", "g")
-    assert found["path"] == ["s", "a", "g"] and found["weight"] == 0.5 and found["fundamental"] == ["a"]
-    assert D.max_product_path({}, "s", "g")["path"] == ["s"]
+def test_alignments_on_the_cluster(spark):
+    variants = spark.createDataFrame([("open>pass", 5), ("open>alarm", 2), ("", 1)], "variant string, n long")
+    aligned = P.align(variants, [["open", "pass"], ["pass"]])
+    assert {r["variant"]: r["cost"] for r in aligned.collect()} == {"open>pass": 0, "open>alarm": 2, "": 1}
+    total = P.log_fitness(aligned).first()
+    assert (total["traces"], total["traces_fitting_exactly"]) == (8, 5) and total["fitness"] == pytest.approx((5 + 2 * 0.5 + 0) / 8, abs=1e-6)
+
+
+def by_hand(edges, rewards, gamma, rounds=64):
+    """Values by the definition, state by state."""
+    out = {}
+    for (a, b), w in edges.items():
+        out.setdefault(a, []).append((b, w))
+    names = {s for e in edges for s in e} | set(rewards)
+    v = {s: rewards.get(s, 0.0) for s in names}
+    for _ in range(rounds):
+        v = {s: max([rewards.get(s, 0.0), *(rewards.get(s, 0.0) + gamma * w / sum(x for _, x in out[s]) * v[n] for n, w in out.get(s, []))]) for s in names}
+    return v
+
+
+def random_graph(rng, n=6):
+    return {(a, b): round(rng.random(), 3) for a in "opqrst"[:n] for b in "opqrst"[:n] if a != b and rng.random() < 0.5}
+
+
+def test_values_by_definition():
+    rng = random.Random(5)
+    for _ in range(20):
+        edges, rewards = random_graph(rng), {"t": 10.0, "q": 1.5}
+        found = D.course(D.Graph.of(edges), "o", rewards, gamma=0.8)
+        assert found.values == pytest.approx(by_hand(edges, rewards, 0.8), abs=1e-6)
+        assert found.path[0] == "o" and len(set(found.path)) == len(found.path)
+
+
+def test_courses_and_interventions():
+    edges = {("home", "bus"): 1.0, ("home", "walk"): 3.0, ("bus", "work"): 1.0, ("walk", "work"): 1.0, ("walk", "park"): 3.0}
+    graph = D.Graph.of(edges)
+    # by bus: 0.25 of the way to 8; on foot: 0.75, but only a quarter of the walkers arrive
+    found = D.course(graph, "home", {"work": 8.0})
+    assert found.value == pytest.approx(2.0) and found.path == ["home", "bus", "work"] and found.best["work"] is None
+    told = D.intervention(graph, "home", {"work": 8.0}, "bus")
+    assert told["after"] == pytest.approx(8 / 4) and told["after_path"] == ["home", "walk", "work"] and told["delta"] == pytest.approx(0.0)
+    assert D.intervention(graph, "home", {"work": 8.0}, "work")["after"] == 0.0
+    assert D.course(D.Graph.of({("a", "c"): 1.0, ("a", "b"): 1.0}), "a", {}).path == ["a", "b"]  # ties by name
+    assert D.course(D.Graph.of({("a", "a"): 2.0}), "a", {"a": 1.0}).value == 65.0  # grows to the last round
+    assert D.course(D.Graph.of({}), "a", {"b": 1.0}).path == ["a"]
+
+
+def test_strongest_paths_against_all_paths():
+    rng = random.Random(8)
+
+    def every(edges, path, weight):
+        yield path, weight
+        for (a, b), w in edges.items():
+            if a == path[-1] and b not in path and w > 0:
+                yield from every(edges, [*path, b], weight * w)
+
+    for _ in range(30):
+        edges = random_graph(rng)
+        ends = [(w, p) for p, w in every(edges, ["o"], 1.0) if p[-1] == "t"]
+        found = D.strongest_path(D.Graph.of(edges), "o", "t")
+        assert found["weight"] == pytest.approx(max(w for w, _ in ends) if ends else 1.0)
+        assert found["path"] in [p for w, p in ends if w == pytest.approx(found["weight"])] if ends else found["path"] == ["o"]
+
+
+def test_parts_of_the_strongest_path():
+    found = D.strongest_path(D.Graph.of({("s", "a"): 0.5, ("a", "g"): 1.0, ("s", "g"): 0.4}), "s", "g")
+    assert (found["path"], found["weight"], found["fundamental"], found["variant"]) == (["s", "a", "g"], 0.5, ["a", "g"], [("s", 0.5)])
+    alone = D.strongest_path(D.Graph.of({("s", "x"): 1.0}), "s", "g")
+    assert (alone["path"], alone["weight"], alone["fundamental"], alone["variant"]) == (["s"], 1.0, ["s"], [])
+    assert D.goal_rewards("sextortion") == {"CoercionCycle": 10.0} and D.goal_rewards("other") == {"Maintenance": 10.0}
 
 
 def test_tree_alignment_takes_the_whole_language():

@@ -251,7 +251,7 @@ def fitness(cost: int, trace_length: int, model_length: int) -> float:
 
 
 def align(variants: DataFrame, allowed: list) -> DataFrame:
-    """(variant, n, cost, fitness) against the nearest allowed trace (the fittest, then the first)."""
+    """(variant, n, cost, fitness) against the nearest allowed trace: the cheapest, of equally cheap ones the longest."""
     models = [tuple(m) for m in allowed]
 
     def run(batches):
@@ -260,8 +260,9 @@ def align(variants: DataFrame, allowed: list) -> DataFrame:
             for text in pdf["variant"]:
                 trace = tuple(text.split(">")) if text else ()
                 costs = [(alignment(trace, m)[0], len(m)) for m in models]
-                best.append(max(((fitness(c, len(trace), k), -i, c) for i, (c, k) in enumerate(costs)), default=(0.0, 0, len(trace))))
-            yield pdf[["variant", "n"]].assign(cost=[b[2] for b in best], fitness=[round(b[0], 6) for b in best])
+                cost, k = min(costs, key=lambda c: (c[0], -c[1]), default=(len(trace), 0))
+                best.append((cost, round(fitness(cost, len(trace), k), 6)))
+            yield pdf[["variant", "n"]].assign(cost=[b[0] for b in best], fitness=[b[1] for b in best])
 
     return variants.select("variant", "n").mapInPandas(run, "variant string, n long, cost long, fitness double")
 
