@@ -55,8 +55,9 @@ def content_id(text: Column, prefix: str, digits: int = 16) -> Column:
 
 def stamp_date(stamp: Column) -> Column:
     """Date of a 14-digit capture stamp, or the first ten characters of an ISO text; else empty."""
-    iso = F.concat_ws("-", F.substring(stamp, 1, 4), F.substring(stamp, 5, 2), F.substring(stamp, 7, 2))
-    return F.when(stamp.rlike("^(19|20)[0-9]{6}"), iso).when(stamp.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substring(stamp, 1, 10)).otherwise("")
+    raw = F.trim(stamp)
+    iso = F.concat_ws("-", F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2))
+    return F.when(raw.rlike("^(19|20)[0-9]{12}"), iso).when(raw.rlike("^[0-9]{4}-.{5}"), F.substring(raw, 1, 10)).otherwise("")
 
 
 def epoch_date(seconds: Column) -> Column:
@@ -64,10 +65,6 @@ def epoch_date(seconds: Column) -> Column:
     return F.to_date(F.timestamp_seconds(seconds.try_cast("long")))
 
 
-def try_timestamp(text: Column) -> Column:
-    return F.try_to_timestamp(text)
-
-
 def page_cost(pages: Column, rate: float = 0.10, most: float = 3.00) -> Column:
     """Capped cost of a document by its pages; the cap where they are unknown."""
     return F.coalesce(F.least(F.lit(rate) * pages, F.lit(most)), F.lit(most))
@@ -91,6 +88,19 @@ def extension(mime: Column, url: Column) -> Column:
     )
 
 
+# fixed values: where a docket's number stands in the address of an archive
+DOCKET_ID = "courtlistener\\.com/(?:docket|recap/gov\\.uscourts\\.[a-z]+\\.)([0-9]+)"
+
+
+def docket_id(url: Column) -> Column:
+    return first_match(url, DOCKET_ID)
+
+
+def host_in(url: Column, hosts: list[str]) -> Column:
+    """Whether the host, in any case, is one of a few."""
+    return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^/?#]*)", 1)).isin(hosts)
+
+
 def chained(value: Column, rules: list[tuple[str, str]]) -> Column:
     """The first rule (pattern, replacement) that matches rewrites the value; else it stays."""
     out = value
@@ -102,16 +112,62 @@ def chained(value: Column, rules: list[tuple[str, str]]) -> Column:
 #: Apostrophes that end a possessive: the straight and the curly one.
 APOSTROPHES = "['\\u2019]"
 
-#: Repairs of agency labels that lost or kept a possessive, the first that fits; public office names only.
-POSSESSIVE_RULES = [
-    (f"(?i)\\b(attorney|sheriff|marshal)\\s+{APOSTROPHES}?s\\s+office\\b", "$1's Office"),
-    (f"(?i)\\b(attorney|sheriff|marshal)s{APOSTROPHES}?\\s+office\\b", "$1's Office"),
-    (f"(?i)\\b(\\w+){APOSTROPHES}\\s+s\\b", "$1's"),
-]
 
+def repaired_label(label: Column, units: list[tuple[str, str, str | None]], surnames: dict[str, str], home: str) -> Column:
+    """An agency's label without the possessives that names of persons left in it, by tiers, the first that fits.
+
+    The label is trimmed, its white space folded, its possessive written 's and a leading "the" dropped. units: (pattern,
+    name, pattern that rules it out or None): a label that holds a unit is the unit. surnames: (surname, state): a
+    surname's possessive at the start gives way to the state. What is left of a title cut down to "General's" is the home
+    state's. Other possessives (of places and offices) stay."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.trim(label), f"(?i)\\s*{APOSTROPHES}+\\s*s\\b", "'s"), "\\s+", " "))
+    clean = F.regexp_replace(clean, "(?i)^the ", "")
+    out = F.when(clean.rlike("(?i)^general's \\S"), F.concat(F.lit(home + " "), F.regexp_replace(clean, "(?i)^general's ", ""))).otherwise(clean)
+    for surname, state in reversed(surnames.items()):
+        lead = f"(?i)^(?:general )?{surname}'s( |$)"
+        out = F.when(clean.rlike(lead), F.trim(F.concat(F.lit(state + " "), F.regexp_replace(clean, lead, "")))).otherwise(out)
+    for pattern, name, unless in reversed(units):
+        fits = clean.rlike(f"(?i){pattern}")
+        out = F.when(fits & ~clean.rlike(f"(?i){unless}") if unless else fits, F.lit(name)).otherwise(out)
+    return F.when(F.trim(label) == "", label).otherwise(out)
+
+
+# fixed values: what a wrapped address may go on with, and what it may not
+URL_FRAGMENT = "^[A-Za-z0-9._~:/?#\\[\\]@!$&'()*+,;=%-]+$"
+SPACED_FRAGMENT = "^[A-Za-z0-9][A-Za-z0-9\\s\\-,'.%]*$"
+DATED_TAIL = "(^|/)[0-9]{6}-[0-9]{2}$"
+NO_FRAGMENT = "(?i)^(\\(|\u2014|\u2013|FOR\\s+IMMEDIATE|CONTACT\\s*:|###)"
+SPACED_LINES, FRAGMENT_CHARS = 2, 280
+
+
+def _spaced(url: Column, line: Column, chain: Column) -> Column:
+    """What a line with blanks adds to a url, or null: only after a dated tail, or in a chain of such lines."""
+    trimmed, bare = F.trim(line), F.rtrim(url, F.lit("/"))
+    folded = F.regexp_replace(trimmed, "\\s+", " ")
+    piece = F.when(F.lower(folded).endswith(".pdf"), folded).otherwise(F.regexp_replace(folded, "[.,;]+$", ""))
+    fits = (
+        (trimmed != "") & ~trimmed.rlike(URL_FRAGMENT) & (F.length(trimmed) <= FRAGMENT_CHARS) & ~trimmed.rlike(NO_FRAGMENT) & trimmed.rlike(SPACED_FRAGMENT)
+        & (F.length(trimmed) - F.length(F.replace(trimmed, F.lit("."))) <= 2)
+        & ~F.lower(bare).endswith(".pdf") & (bare.rlike(DATED_TAIL) | (chain & ~F.lower(url).endswith(".pdf")))
+    )
+    return F.when(fits, F.concat(F.lit(" "), piece))
+
+
+def joined_source_url(url: Column, rest: Column, lines: Column) -> Column:
+    """A url that wraps: what follows on its line (rest) and on the next lines (array<string>), as it stands. A line of
+    url characters is taken as it is; lines with blanks, SPACED_LINES at most, join with one blank if they look like a
+    path; the first line that does neither ends the url."""
+    first = _spaced(url, F.coalesce(rest, F.lit("")), F.lit(False))
+    start = F.struct(F.concat(url, F.coalesce(first, F.lit(""))).alias("url"), first.isNotNull().cast("int").alias("n"), F.lit(True).alias("open"))
+
+    def step(acc: Column, line: Column) -> Column:
+        fragment = line.rlike(URL_FRAGMENT)
+        more = F.when(fragment, line).when(acc["n"] < SPACED_LINES, _spaced(acc["url"], line, acc["n"] > 0))
+        grown = F.struct(F.concat(acc["url"], more).alias("url"), (acc["n"] + F.when(fragment, 0).otherwise(1)).alias("n"), F.lit(True).alias("open"))
+        ended = F.struct(acc["url"].alias("url"), acc["n"].alias("n"), F.lit(False).alias("open"))
+        return F.when(acc["open"] & more.isNotNull(), grown).otherwise(ended)
 
-def repaired_label(label: Column) -> Column:
-    return chained(label, POSSESSIVE_RULES)
+    return F.aggregate(lines, start, step)["url"]
 
 
 def joined_urls(lines: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,86 +12,96 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracework.functions.columns import normalised_text
+from tracework.operators.tokens import in_batches
 
 
-class _Blocks(HTMLParser):
-    """Paragraphs and table rows (cells joined by a bar) in order; line breaks are newlines; what is in a table belongs
-    to its rows; scripts and styles are no text."""
+#: Elements without content, which end where they begin.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class _Element:
+    __slots__ = ("tag", "inside", "parts")
+
+    def __init__(self, tag: str, inside: frozenset[str]) -> None:
+        self.tag, self.inside, self.parts = tag, inside, []
+
+    def strings(self):
+        """Texts in order, trimmed, blank ones left out."""
+        for part in self.parts:
+            if isinstance(part, _Element):
+                yield from part.strings()
+            elif part.strip():
+                yield part.strip()
+
+    def all(self, *tags: str):
+        """Elements of some tags below, in the order in which they begin."""
+        for part in self.parts:
+            if isinstance(part, _Element):
+                if part.tag in tags:
+                    yield part
+                yield from part.all(*tags)
+
+
+class _Tree(HTMLParser):
+    """Elements as they stand: what isn't closed lasts until something around it is. Scripts, styles and comments are no
+    text, but part the texts around them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[str] = []
-        self.every: list[str] = []
-        self.open: list[str] | None = None
-        self.cells: list[str] = []
-        self.tables = self.rows = self.silent = 0
+        self.root = _Element("", frozenset())
+        self.open = [self.root]
+        self.silent = ""
 
     def handle_starttag(self, tag, attrs):
+        top = self.open[-1]
+        element = _Element(tag, top.inside | {top.tag})
+        top.parts.append(element)
         if tag in ("script", "style"):
-            self.silent += 1
-        elif tag == "br":
-            self.handle_data("\n")
-        elif tag == "table":
-            self._close()
-            self.tables += 1
-        elif tag == "tr" and self.tables:
-            self.rows += 1
-            if self.rows == 1:
-                self.cells, self.open = [], None
-        elif tag in ("td", "th") and self.rows == 1:
-            self._cell()
-            self.open = []
-        elif tag == "p" and not self.tables:
-            self._close()
-            self.open = []
+            self.silent = tag
+        elif tag not in _VOID:
+            self.open.append(element)
+
+    def handle_startendtag(self, tag, attrs):
+        top = self.open[-1]
+        top.parts.append(_Element(tag, top.inside | {top.tag}))
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.silent = max(0, self.silent - 1)
-        elif tag == "p" and not self.tables:
-            self._close()
-        elif tag in ("td", "th") and self.rows == 1:
-            self._cell()
-        elif tag == "tr" and self.rows:
-            if self.rows == 1:
-                self._cell()
-                if any(self.cells):
-                    self.blocks.append(" | ".join(self.cells))
-                self.cells = []
-            self.rows -= 1
-        elif tag == "table" and self.tables:
-            self.tables -= 1
+        if tag == self.silent:
+            self.silent = ""
+        elif any(e.tag == tag for e in self.open[1:]):
+            while self.open.pop().tag != tag:
+                pass
 
     def handle_data(self, data):
         if not self.silent:
-            self.every.append(data)
-            if self.open is not None:
-                self.open.append(data)
+            parts = self.open[-1].parts
+            if parts and isinstance(parts[-1], str):
+                parts[-1] += data
+            else:
+                parts.append(data)
 
-    def _text(self, parts) -> str:
-        lines = (re.sub(r"[ \t]+", " ", x).strip() for x in "".join(parts).split("\n"))
-        return "\n".join(x for x in lines if x)
+    def handle_comment(self, data):
+        self.open[-1].parts.append(_Element("#", frozenset()))
 
-    def _cell(self) -> None:
-        if self.open is not None and self.rows:
-            self.cells.append(self._text(self.open))
-            self.open = None
 
-    def _close(self) -> None:
-        if self.open is not None and not self.rows:
-            text = self._text(self.open)
-            if text:
-                self.blocks.append(text)
-            self.open = None
+def _folded(strings) -> str:
+    return " ".join(" ".join(strings).split())
 
 
 def blocks_of(html: str | None) -> str:
-    """The blocks of a page, one empty line between; the whole text where it has none."""
-    parser = _Blocks()
-    parser.feed(html or "")
-    parser.close()
-    parser._close()
-    return "\n\n".join(parser.blocks) or parser._text(parser.every)
+    """The blocks of a page, one empty line between: paragraphs outside of tables, and the rows of tables that aren't
+    inside other rows, as their cells that have text, joined by bars. White space, line breaks too, is folded. A page
+    without blocks is its whole text, a line for each piece."""
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    blocks = []
+    for e in tree.root.all("p", "tr"):
+        if e.tag == "tr" and "tr" not in e.inside:
+            blocks.append(" | ".join(c for c in (_folded(cell.strings()) for cell in e.all("td", "th")) if c))
+        elif e.tag == "p" and "table" not in e.inside:
+            blocks.append(_folded(e.strings()))
+    return "\n\n".join(b for b in blocks if b) or re.sub(r"\n{3,}", "\n\n", "\n".join(tree.root.strings())).strip()
 
 
 @F.pandas_udf(T.StringType())
@@ -124,11 +135,14 @@ def exact_copies(pages: DataFrame, key: str, order: list[str], least: int = 80)
     return norm.select(key, *[c for c in order if c != key], F.sha2("_norm", 256).alias("_digest")).withColumn("_k", F.row_number().over(w)).where("_k > 1").select(key)
 
 
-def pages_to_cut(pages: DataFrame, pattern: str, keep_first: bool = False, follow: int = 0) -> DataFrame:
-    """(doc, page) of pages(doc, page, text) with a hit (but the first of each document, if kept), and `follow` after."""
-    hits = pages.where(F.col("text").rlike(pattern)).select("doc", "page")
+def pages_to_cut(pages: DataFrame, patterns: str | list[str], keep_first: bool = False, follow: int = 0) -> DataFrame:
+    """(doc, page) of pages(doc, page, text) with a hit of any pattern (but each pattern's first one in a document, if
+    kept), and `follow` after it."""
+    every = [patterns] if isinstance(patterns, str) else patterns
+    tests = F.array(*[F.when(F.col("text").rlike(p), F.lit(i)) for i, p in enumerate(every)])
+    hits = pages.select("doc", "page", F.explode(F.filter(tests, lambda t: t.isNotNull())).alias("pattern"))
     if keep_first:
-        hits = hits.withColumn("_k", F.row_number().over(Window.partitionBy("doc").orderBy("page"))).where("_k > 1").drop("_k")
+        hits = hits.withColumn("_k", F.row_number().over(Window.partitionBy("doc", "pattern").orderBy("page"))).where("_k > 1").drop("_k")
     spread = hits.select("doc", F.explode(F.sequence(F.col("page"), F.col("page") + follow)).alias("page")).distinct()
     return spread.join(pages.select("doc", "page"), ["doc", "page"], "left_semi")
 
@@ -142,7 +156,9 @@ def page_spec(spec: Column, pages: Column) -> Column:
 
 
 def vocabulary_pattern(cues: list[str]) -> str:
-    return "(?i)\\b(?:" + "|".join(cues) + ")\\b"
+    """Any of the cues, in any case; a cue that begins or ends with a word character does so at a word's border."""
+    bound = lambda cue: ("\\b" if re.match(r"\w", cue) else "") + cue + ("\\b" if re.search(r"\w$", cue) else "")
+    return "(?i)(?:" + "|".join(map(bound, cues)) + ")"
 
 
 def tagged(docs: DataFrame, vocabulary: list[tuple[str, str, list[str]]], key: str) -> DataFrame:
@@ -151,10 +167,16 @@ def tagged(docs: DataFrame, vocabulary: list[tuple[str, str, list[str]]], key: s
     return docs.select(key, F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("t")).select(key, "t.field", "t.label")
 
 
-def profiles_for(vocabulary: list[dict], domain: str | None) -> list[dict]:
-    """The common profile and those of a domain; all of them if none has it. Rows: name, domains, ..."""
-    own = [p for p in vocabulary if domain in p["domains"]]
-    return [p for p in vocabulary if p["name"] == "common"] + own if own else list(vocabulary)
+def tagged_by_profile(docs: DataFrame, profiles: DataFrame, vocabulary: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(record_id, field, label) of docs(record_id, text) by the profiles(record_id, profile) that each is read against:
+    vocabulary rows are (profile, field, label, cue); one native pass, in which the cues are constants."""
+    mine = profiles.groupBy("record_id").agg(F.collect_set("profile").alias("_profiles"))
+    rows = docs.select("record_id", "text").join(mine, "record_id")
+    labels: dict[tuple[str, str], list] = {}
+    for profile, field, label, cue in vocabulary:
+        labels.setdefault((field, label), []).append(F.array_contains("_profiles", profile) & F.col("text").rlike(f"(?i)\\b(?:{cue})\\b"))
+    tags = [F.when(reduce(lambda a, b: a | b, tests), F.struct(F.lit(field).alias("field"), F.lit(label).alias("label"))) for (field, label), tests in labels.items()]
+    return rows.select("record_id", F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())).alias("t")).select("record_id", "t.field", "t.label")
 
 
 def sentences(docs: DataFrame, key: str) -> DataFrame:
@@ -162,19 +184,50 @@ def sentences(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(key, F.posexplode(F.filter(F.split("text", "(?<=[.!?])\\s+"), lambda s: s != "")).alias("n", "sentence"))
 
 
-def typed_tokens(docs: DataFrame, patterns: dict[str, str], key: str) -> DataFrame:
-    """(key, kind, start, end, value): matches with code point offsets, in Arrow batches."""
-    kind = docs.schema[key].dataType.simpleString()
+def pattern_values(docs: DataFrame, pattern: str, key: str) -> DataFrame:
+    """(key, value): every match in a text, inside the JVM; for matches with offsets see spans_of."""
+    return docs.select(key, F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("value"))
 
-    def run(batches):
-        compiled = {k: re.compile(p) for k, p in patterns.items()}
-        for pdf in batches:
-            rows = [(i, k, m.start(), m.end(), m.group()) for i, t in zip(pdf[key], pdf["text"], strict=True) if t for k, p in compiled.items() for m in p.finditer(t)]
-            yield pd.DataFrame(rows, columns=[key, "kind", "start", "end", "value"])
 
-    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, kind string, start int, end int, value string")
+def spans_of(docs: DataFrame, patterns: dict[str, str], key: str) -> DataFrame:
+    """(key, kind, start, end, value): matches with code point offsets, in Arrow batches."""
+    compiled = {k: re.compile(p) for k, p in patterns.items()}
+    found = lambda text: ((k, m.start(), m.end(), m.group()) for k, p in compiled.items() for m in p.finditer(text))
+    return in_batches(docs, key, found, "kind string, start int, end int, value string")
 
 
 def redacted(text: Column) -> Column:
     """E-mail names replaced, the domain kept; long numbers masked."""
     return F.regexp_replace(F.regexp_replace(text, "[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+)", "[name]@$1"), "[0-9]{9,}", "[number]")
+
+
+# fixed values: titles that stand before a name
+_TITLES = "Mr|Mrs|Ms|Dr"
+
+
+def people_numbered(docs: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """docs(key, text) with the names of names(key, name) replaced by "Person n", n in the order of first mention, and what
+    is left of a full name's words by "[name]"; e-mail names and long numbers as redacted(). leaks counts the full names
+    that still stand in the text: the check after redaction, 0 if all went well.
+
+    The names of one document are few by nature; they are put together in a list beside its text."""
+    kind = docs.schema[key].dataType.simpleString()
+    listed = names.groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("_names"))
+
+    def run(batches):
+        for pdf in batches:
+            texts, leaks = [], []
+            for text, found in zip(pdf["text"], pdf["_names"], strict=True):
+                text, found = text or "", [] if found is None else [n for n in found if n]
+                order = sorted((n for n in found if n in text), key=lambda n: (text.index(n), -len(n), n))
+                for n, name in sorted(enumerate(order, 1), key=lambda x: -len(x[1])):
+                    text = re.sub(rf"(?:(?:{_TITLES})\.?\s+)?\b{re.escape(name)}\b", f"Person {n}", text)
+                rest = sorted({w for name in found for w in name.split() if len(w) > 2 and w[:1].isupper() and w != "Person"}, key=lambda w: (-len(w), w))
+                if rest:
+                    text = re.sub(rf"\b(?:{'|'.join(map(re.escape, rest))})\b", "[name]", text)
+                texts.append(text)
+                leaks.append(sum(n in text for n in found))
+            yield pd.DataFrame({key: pdf[key], "text": texts, "leaks": leaks})
+
+    named = docs.select(key, "text").join(listed, key, "left").mapInPandas(run, f"`{key}` {kind}, text string, leaks int")
+    return named.withColumn("text", redacted(F.col("text")))

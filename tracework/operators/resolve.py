@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LINE = 0.7
+#: Families of human verdicts.
+VERDICTS = ["human", "override"]
 
 
 def resolve(votes: DataFrame, line: float = LINE) -> DataFrame:
@@ -13,10 +15,10 @@ def resolve(votes: DataFrame, line: float = LINE) -> DataFrame:
 
     Votes count by family, not by reader. At a span the value with most families leads, then the highest confidence,
     then the value's order; it is "resolved" if its confidence reaches the line and no other value has as many
-    families, else "review". Verdicts of family "override" win outright."""
+    families, else "review". Verdicts (families in VERDICTS) win outright."""
     span = ["record_id", "field", "role", "start", "end"]
     by = votes.groupBy(*span, "value").agg(
-        F.countDistinct("family").alias("families"), F.max("confidence").alias("confidence"), F.max(F.col("family") == "override").alias("over")
+        F.countDistinct("family").alias("families"), F.max("confidence").alias("confidence"), F.max(F.col("family").isin(VERDICTS)).alias("over")
     )
     w = Window.partitionBy(*span)
     ranked = by.withColumn("_k", F.row_number().over(w.orderBy(F.desc("over"), F.desc("families"), F.desc("confidence"), "value")))
@@ -69,3 +71,60 @@ def agreement(votes: DataFrame) -> DataFrame:
     a, b = one.withColumnsRenamed({"family": "family_a", "value": "va"}), one.withColumnsRenamed({"family": "family_b", "value": "vb"})
     both = a.join(b, ["record_id", "field", "role", "start", "end"]).where("family_a < family_b")
     return both.groupBy("family_a", "family_b").agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.col("va") == F.col("vb")).alias("agreed"))
+
+
+def docket_numbers(own: DataFrame, found: DataFrame) -> DataFrame:
+    """(record_id, position, number): the collector's own(record_id, ord, number), then the settled found(record_id, value,
+    spans) that aren't among them, the most cited first (by the length of their spans, then by value)."""
+    first = own.select("record_id", "number", F.lit(0).alias("tier"), F.col("ord").cast("long").alias("place"))
+    then = found.select("record_id", F.col("value").alias("number"), F.lit(1).alias("tier"), (-F.size("spans")).cast("long").alias("place"))
+    every = first.unionByName(then).groupBy("record_id", "number").agg(F.min(F.struct("tier", "place")).alias("at"))
+    order = Window.partitionBy("record_id").orderBy("at", "number")
+    return every.select("record_id", (F.row_number().over(order) - 1).alias("position"), "number")
+
+
+def accuracy(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """(n, accuracy): null labels or predictions are wrong."""
+    right = F.coalesce(F.col(label) == F.col(predicted), F.lit(False))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(right.cast("double")).alias("accuracy"))
+
+
+def class_report(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """(class, support, precision, recall, f1) of every class that is a label or a prediction; empty ratios are 0."""
+    by = confusion(rows, label, predicted)
+    told = F.array(F.struct(F.col(label).alias("class"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col(predicted).alias("class"), F.lit(0).alias("t"), F.lit(1).alias("p")))
+    sides = by.select("n", F.explode(told).alias("c"), (F.col(label) == F.col(predicted)).alias("hit"))
+    n = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    counts = sides.groupBy(F.col("c.class").alias("class")).agg(n(F.col("c.t") == 1).alias("support"), n(F.col("c.p") == 1).alias("guessed"), n((F.col("c.t") == 1) & F.col("hit")).alias("hits"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    h, s, g = F.col("hits"), F.col("support"), F.col("guessed")
+    return counts.select("class", "support", ratio(h, g).alias("precision"), ratio(h, s).alias("recall"), ratio(2 * h, s + g).alias("f1"))
+
+
+def placed_accuracy(truth: DataFrame, found: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(placed, right, accuracy): of the truth's rows that were given a value at all, those given the right one."""
+    both = truth.select(*keys, F.col(value).alias("_t")).join(found.select(*keys, F.col(value).alias("_f")), keys).where("_f IS NOT NULL")
+    out = both.agg(F.count(F.lit(1)).alias("placed"), F.count_if(F.col("_t") == F.col("_f")).alias("right"))
+    return out.withColumn("accuracy", F.when(F.col("placed") > 0, F.col("right") / F.col("placed")).otherwise(0.0))
+
+
+def below_floors(scores: DataFrame, floors: DataFrame, by: str = "field") -> DataFrame:
+    """(by, f1, floor) of floors(by, floor) that the scores don't reach; a field without a score has 0."""
+    return floors.join(scores.select(by, "f1"), by, "left").withColumn("f1", F.coalesce("f1", F.lit(0.0))).where("f1 < floor").select(by, "f1", "floor")
+
+
+def normal_number(field, value) -> F.Column:
+    """Amounts and terms at two decimals, other values as they are, so that equal ones compare equal."""
+    number = value.try_cast("double")
+    return F.when(field.isin("money", "sentence") & number.isNotNull(), F.format_string("%.2f", F.round(number, 2))).otherwise(value)
+
+
+def extraction_counts(settled: DataFrame) -> DataFrame:
+    """(field, values, records)."""
+    return settled.groupBy("field").agg(F.count(F.lit(1)).alias("values"), F.countDistinct("record_id").alias("records"))
+
+
+def search(settled: DataFrame, text: str, field: str | None = None) -> DataFrame:
+    """Settled values that hold a text, in any case."""
+    kept = settled if field is None else settled.where(F.col("field") == field)
+    return kept.where(F.contains(F.lower("value"), F.lit(text.lower())))
