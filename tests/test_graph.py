@@ -3,9 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tracework.operators import evidence, graph, triage
+from tracework.operators import attribution, evidence, experiments, graph, triage
 from tracework.operators import machine as M
-from tracework.operators import sequences as S
 
 TRIPLES = [
     ("x", "a", "Case", "iri"), ("x", "has", "p1", "iri"), ("x", "has", "p2", "iri"), ("x", "at", "2024", "string"),
@@ -45,21 +44,55 @@ def test_neighbours_and_cohorts(spark, triples):
     assert spark.sql("SELECT 'http://a/b#C' AS u").select(graph.local_name(F.col("u")).alias("n")).first().n == "C"
 
 
-def test_readers(spark):
-    @evidence.register_reader("words", ("press",), "1")
+def test_readers_read_their_kinds(spark):
     def words(docs):
-        return docs.select("record_id", F.lit("word").alias("field"), F.lit("").alias("role"), F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("value"), F.lit("rules").alias("family"), F.lit(0.9).alias("confidence"))
+        return docs.select("record_id", F.lit("word").alias("field"), F.lit("").alias("role"), F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("value"), F.lit(0.9).alias("confidence"))
 
-    docs = spark.createDataFrame([("a", "press", "hello"), ("b", "court", "no")], "record_id string, kind string, text string")
-    assert [(r.record_id, r.method, r.end) for r in evidence.read_votes(docs).collect()] == [("a", "words", 5)]
-    assert [r.name for r in evidence.readers_for("press")] == ["words"] and evidence.readers_for("none") == []
+    docs = spark.createDataFrame([("a", "press", "hello"), ("b", "court", "no"), ("c", "reference", "x")], "record_id string, kind string, text string")
+    plan = evidence.reading_plan(spark, [("words", ["press"], "regex", "0", 1), ("words", ["press", "court"], "llm", "1", 20), ("others", ["press"], "human", "2", 10)])
+    assert sorted((r.record_id, r.method, r.version, r.family, r.end) for r in evidence.read_votes(docs, plan, {"words": words}).collect()) == [("a", "llm", "1", "llm", 5), ("b", "llm", "1", "llm", 2)]
+    assert {(r.record_id, r.turn, r.reader) for r in evidence.dispatched(docs, plan).collect()} == {("a", 1, "others"), ("a", 2, "words"), ("b", 1, "words")}
 
 
-def test_carry_over(spark):
-    values = spark.createDataFrame([("r", 1, 10), ("r", 2, 3), ("r", 3, 3), ("r", 4, 3)], "record_id string, sentence int, at int")
-    marks = spark.createDataFrame([("r", 1, 2, "ann"), ("r", 1, 12, "bo")], "record_id string, sentence int, pos int, person string")
-    got = {r.sentence: (r.person, r.confidence) for r in evidence.last_before(values, marks).collect()}
-    assert got == {1: ("ann", 0.75), 2: ("bo", 0.6), 3: ("bo", 0.6), 4: (None, None)}
+def whose(spark, text, kind="press", *places):
+    docs = spark.createDataFrame([("r", kind, text)], "record_id string, kind string, text string")
+    values = spark.createDataFrame([("r", text.index(p)) for p in places], "record_id string, start int")
+    found = {r.start: (r.people, r.confidence, r.rule) for r in attribution.attributed(docs, values).collect()}
+    return [found[text.index(p)] for p in places]
+
+
+def test_values_of_a_sentence(spark):
+    text = "Ann Lee received 3 months. Bo Kay, Cy Low and Di Moe were each given 4 months, and Eve Nye 5 months."
+    assert whose(spark, text, "press", "3 months", "4 months", "5 months") == [(["Lee"], 0.75, "same_sentence"), (["Kay", "Low", "Moe"], 0.75, "same_sentence"), (["Nye"], 0.75, "same_sentence")]
+
+
+def test_values_carried_over(spark):
+    first = "Ann Lee and Bo Kay met Cy Low. "
+    back = (["Lee", "Kay"], 0.6, "carried_from_previous_sentence")  # the first-named person and the group, not the last one
+    none = ([], 0.0, "none")
+    assert whose(spark, first + "They paid $5.", "press", "$5") == [back]
+    assert whose(spark, first + "In addition, the plan cost $5.", "press", "$5") == [none]  # no pronoun opens it
+    assert whose(spark, first + "The judge ordered them to pay $5.", "press", "$5") == [back]
+    assert whose(spark, first + "It rained. They paid $5.", "press", "$5") == [back]
+    assert whose(spark, first + "It rained. It snowed. They paid $5.", "press", "$5") == [none]  # two sentences back at most
+
+
+def test_officials_and_victims_are_nobodys_owner(spark):
+    text = "Judge Eve Nye gave Ann Lee 3 months. Eve Nye spoke of 4 months. The victim, Bo Kay, lost $5."
+    assert whose(spark, text, "press", "3 months", "4 months", "$5") == [(["Lee"], 0.75, "same_sentence"), ([], 0.0, "none"), ([], 0.0, "none")]
+
+
+def test_headings_of_court_records(spark):
+    text = "DEFENDANT: Ann Lee\nCOUNTY OF X.\nThe loss was $5. DEFENDANT: \n\n\n\nBo Kay.\nThe fine was $6."
+    assert whose(spark, text, "court", "$5") == [(["Lee"], 0.7, "defendant_line")]
+    assert whose(spark, text, "press", "$5") == [([], 0.0, "none")]
+
+
+def test_ties_are_settled(spark):
+    mentions = spark.createDataFrame([("r", 0, 0, 5, "b", False), ("r", 0, 0, 5, "a", False)], "record_id string, sentence int, begin int, finish int, person string, joined boolean")
+    values = spark.createDataFrame([("r", 0, 5)], "record_id string, sentence int, start int")
+    sentences = spark.createDataFrame([("r", 0, False)], "record_id string, sentence int, carried boolean")
+    assert attribution.subjects(values, mentions, sentences).first().people == attribution.subjects(values, mentions.orderBy("person"), sentences).first().people
 
 
 def test_gates(spark):
@@ -74,14 +107,32 @@ def test_walks_from_the_start(spark):
     assert {r.walk for r in M.from_start(steps, ["Contact", "Preparation"]).collect()} == {"a"}
 
 
-def test_shuffled_labels_keep_their_counts(spark):
-    rows = [(f"t{i}", i % 2, i, i, "ab"[i % 2]) for i in range(20)]
-    log = spark.createDataFrame(rows, "trace string, grp int, ts int, event_id int, activity string")
-    null = S.shuffled_groups(log, "grp", draws=3)
-    assert {tuple(r) for r in null.groupBy("draw", "grp").agg(F.sum("n").cast("int")).collect()} == {(d, g, 10) for d in range(3) for g in range(2)}
-    own = S.mean_divergence(log.groupBy("grp", F.col("activity").alias("item")).agg(F.count(F.lit(1)).alias("n"))).first().bits
-    drawn = S.mean_divergence(null.where("draw = 0").select("grp", "item", "n")).first().bits
-    assert own == pytest.approx(1) and drawn < own
+def alike(spark, item):
+    rows = [(f"{d}{i}", d, k, 3 * i + k, a) for d in "ab" for i in range(30) for k, a in enumerate(item(d))]
+    return spark.createDataFrame(rows, "trace string, grp string, ts int, event_id int, activity string")
+
+
+def test_domains_that_differ_only_in_means(spark):
+    act, means = alike(spark, lambda d: ["contact", "demand", "transfer"]), alike(spark, lambda d: [f"contact[{d}]", "demand", "transfer"])
+    found = {(r.level, r.what): r for r in experiments.compared_levels({"act": act, "means": means}, "grp", draws=5).collect()}
+    assert found["act", "steps"].mean_bits == pytest.approx(0) and found["act", "transitions"].mean_bits == pytest.approx(0)
+    assert found["means", "steps"].above_shuffled > 0.3
+    dealt = experiments.shuffled_labels(means.groupBy("trace").agg(F.min("grp").alias("grp")), "grp", 3)
+    assert {tuple(r) for r in dealt.groupBy("draw", "grp").agg(F.count("*").cast("int")).collect()} == {(d, g, 30) for d in range(3) for g in "ab"}
+
+
+def test_a_learned_grouping_joins_what_goes_on_alike():
+    edges = {("a", "x"): 3.0, ("b", "x"): 5.0, ("x", "a"): 1.0, ("y", "a"): 2.0, ("x", "b"): 1.0, ("y", "b"): 2.0}
+    found = experiments.learned_grouping(edges, 2)
+    assert found["a"] == found["b"] != found["x"] == found["y"]
+
+
+def test_rationality_of_choices():
+    worth = {("s", "a"): 1.0, ("s", "b"): 0.0}
+    assert experiments.rationality({("s", "a"): 1, ("s", "b"): 1}, worth) == 0
+    beta = experiments.rationality({("s", "a"): 3, ("s", "b"): 1}, worth)
+    assert beta == pytest.approx(1.0986122886681098, abs=1e-6)  # odds of three to one for one unit of worth
+    assert experiments.rationality({("s", "a"): 3}, worth) == 50
 
 
 def test_triage(spark):
@@ -89,3 +140,8 @@ def test_triage(spark):
     _, accuracy = triage.triage(rows, "id", ["f"], "score", kind="tree")
     assert accuracy > 0.9
     assert triage.triage(rows.limit(5), "id", ["f"], "score") is None
+    labelled = triage.binned(rows, "score")
+    train, test = triage.split(labelled, "id")
+    count = lambda df: {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    whole, part = count(labelled), count(train)
+    assert all(part[k] == round(0.8 * n) for k, n in whole.items()) and train.join(test, "id").count() == 0

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracework.functions import columns as C
-from tracework.operators import facets, linkage, pages, resolve
+from tracework.operators import evidence, facets, linkage, pages, resolve
 from tracework.operators import machine as M
 from tracework.operators import sequences as S
 
@@ -32,7 +32,7 @@ def test_scalars(spark):
     assert one(spark, C.joined_urls(F.col("u")), u=["see https://a.b/c-", "d/e end", "x"]) == ["see https://a.b/c-d/e end", "x"]
     assert one(spark, C.action_types(F.col("a"), F.col("b")), a=[" X ", ""], b="old") == ["x"]
     assert one(spark, C.action_types(F.col("a"), F.col("b")), a=[], b=" Old") == ["old"]
-    assert one(spark, C.repaired_label(F.col("u")), u="County Sheriffs Office") == "County Sheriff's Office"
+    assert one(spark, C.repaired_label(F.col("u"), [], {"doe": "North"}, "South"), u="the Doe's  Office") == "North Office"
     assert one(spark, M.action_label(F.col("a"), F.col("m")), a="contact", m=["b", "a", "b"]) == "contact[a+b]"
 
 
@@ -55,14 +55,26 @@ def test_exact_copies_need_length(spark):
 
 
 def test_html_blocks():
-    html = "<p>One<br>two</p><table><tr><td>a</td><td><p>b</p><table><tr><td>in</td></tr></table></td></tr></table><script>no</script>"
-    assert pages.blocks_of(html) == "One\ntwo\n\na | bin"
-    assert pages.blocks_of("<div>only text</div>") == "only text" and pages.blocks_of(None) == ""
+    html = "<p>One<br>two <b>x</b>y</p><table><tr><td>a</td><td> </td><td><p>b</p><table><tr><td>in</td></tr></table></td></tr></table><script>no</script>"
+    assert pages.blocks_of(html) == "One two x y\n\na | b in | in"  # empty cells go, white space is folded
+    assert pages.blocks_of("<div>only <i>text</i></div>") == "only\ntext" and pages.blocks_of(None) == ""
+    assert pages.blocks_of("<p><b>A<br><p>B &amp; b</p><p>C</p></div></b>") == "A B & b C\n\nB & b\n\nC"  # what isn't closed goes on
 
 
-def test_profiles():
-    table = [{"name": "common", "domains": []}, {"name": "x", "domains": ["d"]}, {"name": "y", "domains": ["e"]}]
-    assert [p["name"] for p in pages.profiles_for(table, "d")] == ["common", "x"] and len(pages.profiles_for(table, "none")) == 3
+def test_profiles(spark):
+    profiles = spark.createDataFrame([("common", [], 0), ("x", ["d"], 1), ("y", ["e"], 2)], "profile string, domains array<string>, ord int")
+    records = spark.createDataFrame([("a", "d"), ("b", "none"), ("c", None)], "record_id string, domain string")
+    got = {}
+    for r in evidence.profiles_of(records, profiles).orderBy("record_id", "ord").collect():
+        got.setdefault(r["record_id"], []).append(r["profile"])
+    assert got == {"a": ["common", "x"], "b": ["common", "x", "y"], "c": ["common", "x", "y"]}
+
+
+def test_names_give_way_to_numbers(spark):
+    docs = spark.createDataFrame([(1, "Ms. Ann Lee wrote ann@x.org to Bo Kay. Lee and Ann Lee agreed."), (2, None)], "id int, text string")
+    names = spark.createDataFrame([(1, "Ann Lee"), (1, "Bo Kay")], "id int, name string")
+    got = {r["id"]: (r["text"], r["leaks"]) for r in pages.people_numbered(docs, names, "id").collect()}
+    assert got == {1: ("Person 1 wrote [name]@x.org to Person 2. [name] and Person 1 agreed.", 0), 2: ("", 0)}
 
 
 def test_steps_and_fit(spark):
@@ -94,11 +106,22 @@ def test_date_order(spark):
     assert {r["k"]: r["in_order"] for r in found.collect()} == {"a": True, "b": False, "c": None}
 
 
+def departures(spark, *events):
+    rows = spark.createDataFrame([("x", kind, date) for kind, date in events], "case string, kind string, date string")
+    prec = spark.createDataFrame([("arrest", "plea"), ("plea", "sentencing")], "earlier string, later string")
+    found = S.procedure_departures(rows, prec).unionByName(S.both_outcomes(rows, "plea", "verdict", "plea_and_verdict"))
+    return sorted(r["departure"] for r in found.collect())
+
+
 def test_departures(spark):
-    rows = [("x", "arrest", "2024-03-05"), ("x", "plea", "2024-03"), ("y", "arrest", "2024-03-05"), ("y", "plea", "2024-02"), ("z", "plea", "2024-01-01"), ("z", "plea", "2024-01-02")]
-    prec = spark.createDataFrame([("arrest", "plea")], "earlier string, later string")
-    found = S.procedure_departures(spark.createDataFrame(rows, "case string, kind string, date string"), prec)
-    assert {(r["case"], r["departure"]) for r in found.collect()} == {("y", "order"), ("z", "repeat")}
+    assert departures(spark, ("sentencing", "2023-02-25"), ("plea", "2023-04-05")) == ["order"]
+    assert departures(spark, ("plea", "2023-04"), ("sentencing", "2023-04-20")) == []  # the month may hold the day before
+    assert departures(spark, ("plea", "2021-05-02"), ("sentencing", "2021-10-01"), ("sentencing", "2023-02-09")) == ["repeat"]
+    assert departures(spark, ("sentencing", "2021-10"), ("sentencing", "2021-10-01")) == []  # a month and a day in it are one
+    assert departures(spark, ("sentencing", "2021-10"), ("sentencing", "2021-10-01"), ("sentencing", "2021-10-02")) == ["repeat"]
+    assert departures(spark, ("plea", "2021-05-02"), ("verdict", "2021-10-01"), ("sentencing", None)) == ["plea_and_verdict"]
+    assert departures(spark, ("sentencing", "2023-06-12")) == []
+    assert departures(spark, ("sentencing", "2023-06-01"), ("arrest", "2023-05-20")) == []  # no rule between these two
 
 
 def test_divergence_bounds(spark):
@@ -138,7 +161,7 @@ def test_attribution(spark):
 
 
 def test_votes_count_by_family(spark):
-    rows = [(1, "a", "x", 0.8), (1, "a", "x", 0.9), (1, "b", "y", 0.6), (1, "c", "y", 0.7), (2, "a", "x", 0.6), (3, "a", "x", 0.9), (3, "b", "y", 0.9), (4, "a", "x", 0.9), (4, "override", "z", 1.0)]
+    rows = [(1, "a", "x", 0.8), (1, "a", "x", 0.9), (1, "b", "y", 0.6), (1, "c", "y", 0.7), (2, "a", "x", 0.6), (3, "a", "x", 0.9), (3, "b", "y", 0.9), (4, "a", "x", 0.9), (4, "human", "z", 1.0)]
     votes = spark.createDataFrame([(r, "f", "", 0, 1, v, fam, c) for r, fam, v, c in rows], "record_id int, field string, role string, start int, end int, value string, family string, confidence double")
     got = {r["record_id"]: (r["value"], r["status"]) for r in resolve.resolve(votes).collect()}
     assert got == {1: ("y", "resolved"), 2: ("x", "review"), 3: ("x", "review"), 4: ("z", "resolved")}

@@ -62,6 +62,21 @@ def select_records(records: DataFrame, ids: list | None = None, kind: str | None
     return out.limit(limit) if limit else out
 
 
+def in_scope(records: DataFrame, kind: str = "", domain: str = "", dated_only: bool = False, with_offense: bool = False) -> DataFrame:
+    """Records of a kind and a domain, with a date, and with an offense, as asked for."""
+    out = select_records(records, kind=kind or None, domain=domain or None)
+    if dated_only:
+        out = out.where("date IS NOT NULL")
+    return out.where(F.size("offenses") > 0) if with_offense else out
+
+
+def case_view(rows: DataFrame, wanted: str, case: str = "case_id", record: str = "record_id", order: tuple[str, ...] = ("date",)) -> DataFrame:
+    """The rows of one case, named by its id or by one of its records' ids, in order; undated ones last."""
+    cases = rows.where((F.col(case) == wanted) | (F.col(record) == wanted)).select(F.col(case).alias("_c")).distinct()
+    found = rows.join(F.broadcast(cases), F.col(case) == F.col("_c"), "left_semi")  # one case
+    return found.orderBy(*[F.col(c).asc_nulls_last() for c in order], record)
+
+
 def timeline(rows: DataFrame) -> DataFrame:
     """Rows with a start, its year, and the end (the start where there is none)."""
     start = F.try_to_timestamp("start")
@@ -76,11 +91,12 @@ def ranked_or_fallback(rows: DataFrame, key: str, rank: Column, preferred: Colum
 
 
 def newest(rows: DataFrame, key: str, ts: str, k: int, yearly: bool = False) -> DataFrame:
-    """The k newest rows of a key, or its first of every year."""
+    """The k newest rows of a key, or its first of every year; of rows at one time, the first by all other columns."""
+    ties = [c for c in rows.columns if c not in (key, ts)]
     if yearly:
-        w = Window.partitionBy(key, F.year(ts)).orderBy(ts)
+        w = Window.partitionBy(key, F.year(ts)).orderBy(ts, *ties)
         return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
-    w = Window.partitionBy(key).orderBy(F.desc(ts))
+    w = Window.partitionBy(key).orderBy(F.desc(ts), *ties)
     return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
 
 

@@ -100,3 +100,22 @@ def cohort_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = (t.where(F.col("p") == TYPE).select(F.col("o").alias("cls")).distinct() for t in (left, right))
     only = lambda x, y, name: x.join(y, "cls", "left_anti").withColumn("side", F.lit(name))
     return only(a, b, "left").unionByName(only(b, a, "right")).unionByName(a.join(b, "cls", "left_semi").withColumn("side", F.lit("both")))
+
+
+def summary(triples: DataFrame) -> DataFrame:
+    """(cls, nodes, statements): the nodes of each class, and what they state beside their classes."""
+    typed = triples.where(F.col("p") == TYPE).select("s", F.col("o").alias("cls")).distinct()
+    said = triples.where(F.col("p") != TYPE).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    return typed.join(said, "s", "left").groupBy("cls").agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("statements"))
+
+
+def search(triples: DataFrame, pattern: str) -> DataFrame:
+    """(node, cls) of typed nodes whose name matches a pattern."""
+    typed = triples.where((F.col("p") == TYPE) & F.col("s").rlike(pattern))
+    return typed.select(F.col("s").alias("node"), F.col("o").alias("cls")).distinct()
+
+
+def subset_candidates(cases: DataFrame, key: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """(subset, key): every subset whose rule, a SQL condition on the case's row, a case meets."""
+    met = F.filter(F.array(*[F.when(F.expr(test), F.lit(name)) for name, test in rules]), lambda x: x.isNotNull())
+    return cases.select(F.explode(met).alias("subset"), key)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracework.functions.columns import content_id
-from tracework.session import cut
+from tracework.session import cut, small
 
 
 def star_edges(members: DataFrame, record: str, *keys: str) -> DataFrame:
@@ -49,18 +49,52 @@ def cases(records: DataFrame, links: DataFrame) -> DataFrame:
     return named.select(content_id(F.coalesce("root", "record_id").cast("string"), "case-").alias("case_id"), "record_id", F.coalesce("basis", F.lit("single")).alias("basis"))
 
 
+def press_links(filings: DataFrame, press: DataFrame, prefix: str = "pr-") -> DataFrame:
+    """(a, b, basis) of filings(record_id, press_url) whose release is in press(record_id): a release's id is a hash of
+    its url."""
+    wanted = filings.where("press_url IS NOT NULL AND press_url <> ''").select("record_id", content_id(F.col("press_url"), prefix).alias("press_id"))
+    met = wanted.join(press.select(F.col("record_id").alias("press_id")).distinct(), "press_id")
+    return met.select(F.least("record_id", "press_id").alias("a"), F.greatest("record_id", "press_id").alias("b"), F.lit("press_link").alias("basis")).distinct()
+
+
 def case_candidates(numbers: DataFrame, case_of: DataFrame, most: int = 12) -> DataFrame:
     """(record_a, record_b, number): pairs in different cases that share a number which at most `most` entries have.
-    A number that is too common is no lead, by definition."""
-    entries = numbers.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("number")
-    kept = numbers.join(entries, "number").distinct().join(case_of.select("record_id", "case_id"), "record_id")
-    a, b = kept.select("number", F.col("record_id").alias("record_a"), F.col("case_id").alias("ca")), kept.select("number", F.col("record_id").alias("record_b"), F.col("case_id").alias("cb"))
-    return a.join(b, "number").where("record_a < record_b AND ca <> cb").select("record_a", "record_b", "number")
+    A number that is too common is no lead, by definition. So a number's members are a short list, and its pairs are
+    made from that list: no join of the entries with themselves."""
+    few = numbers.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("number")
+    placed = numbers.join(few, "number", "left_semi").join(case_of.select("record_id", "case_id"), "record_id")
+    members = placed.groupBy("number").agg(F.sort_array(F.collect_set(F.struct("record_id", "case_id"))).alias("m")).where("size(m) > 1")
+    one = members.select("number", "m", F.posexplode("m").alias("i", "a"))
+    other = F.filter(F.slice("m", F.col("i") + 2, F.size("m")), lambda b: b["case_id"] != F.col("a.case_id"))
+    return one.select("number", F.col("a.record_id").alias("record_a"), F.explode(other).alias("b")).select("record_a", F.col("b.record_id").alias("record_b"), "number")
 
 
-def case_statistics(case_of: DataFrame) -> DataFrame:
+def case_statistics(case_of: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     sizes = case_of.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("n") > 1).alias("with_more_than_one_record"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    found = sizes.agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("n") > 1).alias("with_more_than_one_record"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+    return found if candidates is None else found.crossJoin(F.broadcast(candidates.agg(F.count(F.lit(1)).alias("candidate_links"))))  # one row each
+
+
+def people_summary(people: DataFrame) -> DataFrame:
+    """(people, in_more_than_one_record) of people(case_id, person, record_id)."""
+    by = people.groupBy("case_id", "person").agg(F.countDistinct("record_id").alias("records"))
+    return by.agg(F.count(F.lit(1)).alias("people"), F.count_if(F.col("records") > 1).alias("in_more_than_one_record"))
+
+
+def defendants(finals: DataFrame) -> DataFrame:
+    return finals.where("field = 'party' AND role = 'defendant'")
+
+
+def with_known_owners(values: DataFrame, people: DataFrame) -> DataFrame:
+    """values(record_id, owners: array) with known: every owner is among the record's people(record_id, person)."""
+    per = people.groupBy("record_id").agg(F.collect_set("person").alias("_all"))
+    left = F.array_except("owners", F.coalesce("_all", F.array().cast("array<string>")))
+    return values.join(per, "record_id", "left").withColumn("known", F.size(left) == 0).drop("_all")
+
+
+def claim_statuses(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """claims(id, ...) with the status of results(id, status), "skip" without one."""
+    return claims.join(results.select("id", "status"), "id", "left").withColumn("status", F.coalesce("status", F.lit("skip")))
 
 
 def name_key(name: Column) -> Column:
@@ -131,10 +165,11 @@ def nearest_mark(acts: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def first_match_join(terms: DataFrame, dimension: DataFrame, order: list[str]) -> DataFrame:
-    """terms(record_id, term, months) with the first cited row of dimension(record_id, label, low, high, ord) whose high,
-    else low, equals the months."""
-    both = terms.join(dimension, "record_id").where("months = high OR months = low")
-    w = Window.partitionBy("record_id", "term").orderBy((F.col("months") != F.col("high")).cast("int"), *order)
+    """terms(record_id, term, months) with the first row of dimension(record_id, label, low, high, ...), in its order, whose
+    high or low equals the months; bound says which, and high is asked first."""
+    bound = F.when(F.col("months") == F.col("high"), "maximum").when(F.col("months") == F.col("low"), "minimum")
+    both = terms.join(dimension, "record_id").withColumn("bound", bound).where("bound IS NOT NULL")
+    w = Window.partitionBy("record_id", "term").orderBy(*order)
     return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
@@ -150,11 +185,16 @@ def shared_nodes(triples: DataFrame) -> DataFrame:
     return triples.groupBy(F.col("s").alias("node")).agg(F.countDistinct("case").alias("cases")).withColumn("shared", F.col("cases") > 1)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int = 16) -> DataFrame:
+#: Vectors that a task holds of either side.
+BLOCK_VECTORS = 8_192
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
     """(a, b, cosine) of vectors(id, v), a < b, at the threshold or above.
 
-    Exact: every row meets every block of the table once. The blocks are dealt by a hash of the id and a row is sent to
-    the blocks from its own on, so tasks are even and none holds more than a block."""
+    Exact, hence every row meets every other one: the work is the square of the rows, in blocks of about block_vectors
+    dealt by a hash of the id. Tasks are even, none holds more than two blocks, and a row travels once for each block."""
+    blocks = max(1, -(-vectors.count() // block_vectors))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     unit = vectors.where("v IS NOT NULL").select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("_n", length).where("_n > 0")
     unit = unit.select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v")).withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))

@@ -150,7 +150,8 @@ def in_date_order(dated: DataFrame, key: str, order: list[str], date: str) -> Da
 
 def procedure_departures(events: DataFrame, precedence: DataFrame) -> DataFrame:
     """(case, departure, first, second) of events(case, kind, date) with precedence(earlier, later): "order" when a later
-    step is dated wholly before an earlier one (months cover their days), "repeat" for one step on two dates. Missing
+    step is dated wholly before an earlier one (months cover their days), "repeat" for one step on two dates that don't
+    overlap. Missing
     steps are no departures."""
     lo, hi = date_bounds(F.col("date"))
     spans = events.where("date IS NOT NULL").select("case", "kind", lo.alias("lo"), hi.alias("hi")).distinct()
@@ -160,7 +161,10 @@ def procedure_departures(events: DataFrame, precedence: DataFrame) -> DataFrame:
         a.join(F.broadcast(precedence), F.col("first") == F.col("earlier")).join(b, "case")
         .where("second = later AND second_hi < first_lo").select("case", F.lit("order").alias("departure"), "first", "second").distinct()
     )
-    repeat = spans.groupBy("case", "kind").agg(F.countDistinct("lo", "hi").alias("n")).where("n > 1").select("case", F.lit("repeat").alias("departure"), F.col("kind").alias("first"), F.col("kind").alias("second"))
+    # a repeat: two dates of one step that can't be one day; dates that overlap are one. The least last day lies before the
+    # greatest first day exactly if two of the spans don't overlap
+    apart = spans.groupBy("case", "kind").agg(F.min("hi").alias("least"), F.max("lo").alias("greatest")).where("least < greatest")
+    repeat = apart.select("case", F.lit("repeat").alias("departure"), F.col("kind").alias("first"), F.col("kind").alias("second"))
     return order.unionByName(repeat)
 
 
@@ -170,21 +174,3 @@ def both_outcomes(events: DataFrame, one: str, other: str, departure: str) -> Da
         events.groupBy("case").agg(F.max(F.col("kind") == one).alias("a"), F.max(F.col("kind") == other).alias("b")).where("a AND b")
         .select("case", F.lit(departure).alias("departure"), F.lit(one).alias("first"), F.lit(other).alias("second"))
     )
-
-
-def shuffled_groups(log: DataFrame, group: str, draws: int, seed: int = 7) -> DataFrame:
-    """(draw, grp, item, n): counts with the traces' groups dealt anew, for a null distribution of a divergence. Labels
-    are permuted among traces by a seeded hash: the i-th trace by hash takes the i-th label."""
-    traces = log.groupBy("trace").agg(F.min(group).alias("grp"))
-    # one task numbers the traces of a draw; draws go side by side
-    drawn = traces.select("trace", "grp", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    own = drawn.select("draw", "grp", F.row_number().over(Window.partitionBy("draw").orderBy("trace")).alias("_i"))
-    other = drawn.select("draw", "trace", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64("trace", "draw", F.lit(seed)), "trace")).alias("_i"))
-    relabelled_ = own.join(other, ["draw", "_i"]).select("draw", "trace", "grp")
-    items = log.groupBy("trace", F.col("activity").alias("item")).agg(F.count(F.lit(1)).alias("n"))
-    return relabelled_.join(items, "trace").groupBy("draw", "grp", "item").agg(F.sum("n").alias("n"))
-
-
-def mean_divergence(counts: DataFrame) -> DataFrame:
-    """(bits): the mean over pairs of groups."""
-    return divergence(counts).agg(F.avg("bits").alias("bits"))

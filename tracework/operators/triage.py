@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_ROWS = 20
@@ -15,10 +15,18 @@ def binned(rows: DataFrame, score: str, bins: int = 3) -> DataFrame:
     return rows.withColumn("label", label.cast("double"))
 
 
-def split(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Rows for training and for testing, by a hash of the key: the same for any order or partitioning."""
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000)) < int(1000 * share)
-    return rows.where(place), rows.where(~place)
+def split(rows: DataFrame, key: str, share: float = 0.8, seed: int = 42, by: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Rows for training and for testing: of each label's n rows, the first share * n (rounded) in the order of a seeded
+    hash of the key, the same for any order or partitioning. Ranks are numbered in hash buckets and offset by the buckets
+    before, so that no task holds all rows of a label."""
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("_b", F.substring("_h", 1, 2))
+    upto, label = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(by)
+    # 256 buckets of each label: a size fixed by parameters
+    counts = hashed.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_c")).select(by, "_b", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_o"), F.sum("_c").over(label).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(by, "_b").orderBy("_h", key))
+    placed = hashed.withColumn("_k", rank).join(F.broadcast(counts), [by, "_b"])
+    train = F.col("_o") + F.col("_k") <= F.round(F.col("_n") * share)
+    return tuple(placed.where(test).drop("_h", "_b", "_k", "_o", "_n") for test in (train, ~train))
 
 
 def triage(rows: DataFrame, key: str, features: list[str], score: str, kind: str = "forest", seed: int = 42):

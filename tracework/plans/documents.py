@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracework.functions import columns as C
-from tracework.operators import facets, pages, resolve
+from tracework.operators import evidence, facets, pages, resolve
 from tracework.plans.registry import query
 from tracework.session import table
+from tracework.sources import readers
 
 #: Cue words, a fixed vocabulary in which every expression means the same in all regular expression dialects used.
 VOCABULARY = [("tone", "insult", ["idiot", "moron", "scum", "loser"]), ("license", "apache", ["Apache License"]), ("secret", "token", ["token ="]), ("markup", "table", ["[|]"])]
@@ -56,10 +57,22 @@ def noise_urls(spark, sf):
     return table(spark, sf, "pages").groupBy(F.when(noise, "noise").otherwise("kept").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT page_id, CASE WHEN ends_with(h, 'example.net') THEN 'record' ELSE 'scrape' END AS mode FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS h FROM pages)""")
+#: Known hosts have records for the pages with an even id; the record's body is the page's address, doubled for every fourth.
+ROUTED = """u AS (SELECT page_id, url, ends_with(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', ''), 'example.net') AS known FROM pages),
+r AS (SELECT page_id, CASE WHEN NOT known THEN 'scrape' WHEN page_id % 2 = 0 AND length(trim(CASE WHEN page_id % 4 = 0 THEN url || url || url ELSE url END)) >= 80 THEN 'resolved' ELSE 'unresolved' END AS mode FROM u)"""
+
+
+@query(f"WITH {ROUTED} SELECT page_id, mode FROM r")
 def url_router(spark, sf):
-    """Urls of known hosts go to their records, others are passed through to scraping."""
-    return table(spark, sf, "pages").select("page_id", F.when(C.host(F.col("url")).endswith("example.net"), "record").otherwise("scrape").alias("mode"))
+    """Urls of known hosts are resolved by their records, if these have a body of some length; others go to scraping."""
+    rows = table(spark, sf, "pages").select("page_id", "url")
+    records = rows.where("page_id % 2 = 0").select("url", F.when(F.col("page_id") % 4 == 0, F.concat("url", "url", "url")).otherwise(F.col("url")).alias("body")).dropDuplicates(["url"])
+    return readers.routed_urls(rows, records, C.host(F.col("url")).endswith("example.net")).select("page_id", "mode")
+
+
+@query(f"WITH {ROUTED} SELECT mode, count(*) AS n FROM r GROUP BY 1")
+def url_modes(spark, sf):
+    return url_router(spark, sf).groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH n AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents)
@@ -76,10 +89,10 @@ def line_pages(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
-@query(f"""WITH {LINES}, h AS (SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY page) AS k FROM p WHERE regexp_matches(text, 'License|[|]')),
+@query(f"""WITH {LINES}, h AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, cue ORDER BY page) AS k FROM p, (VALUES ('License'), ('[|]')) AS c(cue) WHERE regexp_matches(text, cue)),
 s AS (SELECT DISTINCT doc, page + d AS page FROM h, (VALUES (0), (1)) AS v(d) WHERE k > 1) SELECT doc, page FROM s SEMI JOIN p USING (doc, page)""")
 def page_cut_keep_first(spark, sf):
-    return pages.pages_to_cut(line_pages(spark, sf), "License|[|]", keep_first=True, follow=1)
+    return pages.pages_to_cut(line_pages(spark, sf), ["License", "[|]"], keep_first=True, follow=1)
 
 
 @query(f"""WITH {LINES} SELECT doc, count(*) AS kept FROM p WHERE NOT regexp_matches(text, 'License|[|]') GROUP BY doc""")
@@ -94,25 +107,46 @@ def topic_gate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", pages.body_gate(F.col("text"), NOISE, TOPIC).alias("passes"))
 
 
-@query("""WITH v(field, label, cue) AS (VALUES ('tone', 'insult', '(?i)(^|[^0-9A-Za-z_])(?:idiot|moron|scum|loser)([^0-9A-Za-z_]|$)'), ('license', 'apache', '(?i)(^|[^0-9A-Za-z_])(?:Apache License)([^0-9A-Za-z_]|$)'))
+@query("""WITH v(field, label, cue) AS (VALUES ('tone', 'insult', '(?i)(^|[^0-9A-Za-z_])(?:idiot|moron|scum|loser)([^0-9A-Za-z_]|$)'), ('license', 'apache', '(?i)(^|[^0-9A-Za-z_])(?:Apache License)([^0-9A-Za-z_]|$)'),
+('secret', 'token', '(?i)(^|[^0-9A-Za-z_])token ='), ('markup', 'table', '[|]'))
 SELECT doc_id, field, label FROM documents, v WHERE regexp_matches(text, cue)""")
 def vocab_tags(spark, sf):
-    return pages.tagged(table(spark, sf, "documents"), VOCABULARY[:2], "doc_id")
+    return pages.tagged(table(spark, sf, "documents"), VOCABULARY, "doc_id")
 
 
 @query(f"""SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents""")
 def email_values(spark, sf):
-    return pages.typed_tokens(table(spark, sf, "documents"), {"email": EMAIL}, "doc_id").select("doc_id", "value")
+    return pages.pattern_values(table(spark, sf, "documents"), EMAIL, "doc_id")
 
 
 @query(f"""SELECT doc_id, unnest(regexp_extract_all(text, '{IP}')) AS value FROM documents""")
 def ip_values(spark, sf):
-    return pages.typed_tokens(table(spark, sf, "documents"), {"ip": IP}, "doc_id").select("doc_id", "value")
+    return pages.pattern_values(table(spark, sf, "documents"), IP, "doc_id")
+
+
+NUMBER = "[0-9]{9,}"
 
 
-@query()
+def _spans_sql(kind: str, pattern: str) -> str:
+    """Positions from the pieces between the matches: what stands before the i-th match is i pieces and i - 1 matches."""
+    return f"""SELECT doc_id, '{kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'v': m[i]}})) AS x
+FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p FROM documents) WHERE len(m) > 0"""
+
+
+@query(f"""SELECT doc_id, kind, CAST(x.s AS INT) AS "start", CAST(x.s + length(x.v) AS INT) AS "end", x.v AS value FROM ({_spans_sql('email', EMAIL)} UNION ALL {_spans_sql('ip', IP)} UNION ALL {_spans_sql('number', NUMBER)})""")
 def token_spans(spark, sf):
-    return pages.typed_tokens(table(spark, sf, "documents"), {"email": EMAIL, "ip": IP, "number": "[0-9]{9,}"}, "doc_id")
+    return pages.spans_of(table(spark, sf, "documents"), {"email": EMAIL, "ip": IP, "number": NUMBER}, "doc_id")
+
+
+SENTENCES = """sentences AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS sentence FROM documents)"""
+
+
+@query(f"""WITH {SENTENCES} SELECT doc_id, count(*) AS sentences, count(*) FILTER (NOT regexp_matches(sentence, '(?i)(licensed under|all rights reserved|public license)')) AS evidence FROM sentences GROUP BY 1""")
+def evidence_sentences(spark, sf):
+    """Sentences, and those that aren't boilerplate."""
+    rows = pages.sentences(table(spark, sf, "documents"), "doc_id")
+    kept = evidence.not_boilerplate(F.col("sentence"), "(?i)(licensed under|all rights reserved|public license)")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.count_if(kept).alias("evidence"))
 
 
 @query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+)', '[name]@\\1', 'g'), '[0-9]{9,}', '[number]', 'g')) AS digest FROM documents""")
@@ -130,7 +164,17 @@ def tidy_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(C.tidy_text(F.col("text")), 256).alias("digest"))
 
 
-@query()
+def _html_sql() -> str:
+    """For pages as these tables have them: paragraphs inside one article; one that opens bold isn't closed, so it has all
+    that follows it there."""
+    plain = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+    return f"""WITH a AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:] AS p FROM pages),
+b AS (SELECT page_id, unnest(range(1, len(p) + 1)) AS i, p FROM a),
+t AS (SELECT page_id, i, {plain.format("CASE WHEN starts_with(p[i], '<b>') THEN array_to_string(p[i:], ' ') ELSE string_split(p[i], '</p>')[1] END")} AS t FROM b)
+SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> '') AS text FROM t GROUP BY 1"""
+
+
+@query(_html_sql())
 def html_blocks(spark, sf):
     return table(spark, sf, "pages").select("page_id", pages.html_text("html").alias("text"))
 
@@ -205,6 +249,30 @@ def ranked_filings(spark, sf):
     return facets.ranked_or_fallback(table(spark, sf, "orders"), "o_custkey", rank, F.col("o_orderstatus") == "O", ["o_orderkey"], 2).select("o_custkey", "o_orderkey")
 
 
-@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events) WHERE k <= 3""")
+@query("""SELECT id, source FROM (SELECT o_orderkey AS id, o_orderpriority AS source FROM orders) WHERE source = '2-HIGH'""")
+def source_facet(spark, sf):
+    return facets.filter_cases(case_rows(spark, sf), {"source": "2-HIGH"}).select("id", "source")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS record_id, CASE o_orderstatus WHEN 'F' THEN 'court' WHEN 'O' THEN 'press' ELSE 'reference' END AS kind, [substr(o_orderpriority, 3), CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END] AS domains, o_orderdate, o_custkey FROM orders)
+SELECT 'ids' AS scope, record_id FROM r WHERE record_id IN (1, 2, 3, 999999999) UNION ALL SELECT 'kind', record_id FROM r WHERE kind = 'court' AND list_contains(domains, 'even') UNION ALL SELECT 'dated', record_id FROM r WHERE list_contains(domains, 'odd') AND o_custkey % 5 <> 0 AND o_custkey % 7 = 0""")
+def record_scopes(spark, sf):
+    """Selections: ids stand above all else; kind and domain; dated records with an offense."""
+    kind = F.when(F.col("o_orderstatus") == "F", "court").when(F.col("o_orderstatus") == "O", "press").otherwise("reference")
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("record_id"), kind.alias("kind"), F.array(F.substring("o_orderpriority", 3, 20), F.when(F.col("o_custkey") % 2 == 0, "even").otherwise("odd")).alias("domains"),
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_orderdate").cast("string")).alias("date"), F.when(F.col("o_custkey") % 7 == 0, F.array(F.lit("theft"))).otherwise(F.array().cast("array<string>")).alias("offenses"),
+    )
+    scopes = {"ids": facets.select_records(rows, ids=[1, 2, 3, 999999999], kind="none"), "kind": facets.select_records(rows, kind="court", domain="even"), "dated": facets.in_scope(rows, domain="odd", dated_only=True, with_offense=True)}
+    parts = [df.select(F.lit(name).alias("scope"), "record_id") for name, df in scopes.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, year(ts) ORDER BY ts, event_id) AS k FROM events) WHERE k = 1""")
+def yearly_captures(spark, sf):
+    return facets.newest(table(spark, sf, "events").select("user_id", "ts", "event_id"), "user_id", "ts", 1, yearly=True).select("user_id", "event_id")
+
+
+@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) WHERE k <= 3""")
 def newest_captures(spark, sf):
-    return facets.newest(table(spark, sf, "events"), "user_id", "ts", 3).select("user_id", "event_id")
+    return facets.newest(table(spark, sf, "events").select("user_id", "ts", "event_id"), "user_id", "ts", 3).select("user_id", "event_id")

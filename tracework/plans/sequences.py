@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracework.operators import process
+from tracework.operators import experiments, facets, process
 from tracework.operators import sequences as S
 from tracework.plans.registry import query
 from tracework.session import cut, table
@@ -133,7 +133,7 @@ PRECEDENCE = [("F", "O"), ("F", "P")]
 CASE WHEN length(day) = 7 THEN last_day(CAST(day || '-01' AS DATE)) ELSE CAST(day AS DATE) END AS hi FROM dated),
 prec(earlier, later) AS (VALUES ('F', 'O'), ('F', 'P'))
 SELECT DISTINCT x."case", 'order' AS departure, x.kind AS "first", y.kind AS "second" FROM b x JOIN prec ON x.kind = earlier JOIN b y ON y."case" = x."case" AND y.kind = later AND y.hi < x.lo
-UNION ALL SELECT "case", 'repeat', kind, kind FROM b GROUP BY "case", kind HAVING count(*) > 1
+UNION ALL SELECT DISTINCT x."case", 'repeat', x.kind, x.kind FROM b x JOIN b y ON y."case" = x."case" AND y.kind = x.kind AND y.hi < x.lo
 UNION ALL SELECT "case", 'both', 'O', 'P' FROM b GROUP BY "case" HAVING bool_or(kind = 'O') AND bool_or(kind = 'P')""")
 def procedure_departures(spark, sf):
     events = dated_orders(spark, sf).select(F.col("o_custkey").alias("case"), "kind", F.col("day").alias("date"))
@@ -188,3 +188,89 @@ SELECT variant, count(*) AS n FROM t GROUP BY variant""")
 def role_variants(spark, sf):
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
     return turns.groupBy(F.array_join(F.transform("t", lambda x: x["role"]), ">").alias("variant")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {LOG}, levels(activity, coarse) AS (VALUES {LEVEL_ROWS}), c AS (SELECT trace, ts, event_id, coalesce(coarse, log.activity) AS a FROM log LEFT JOIN levels ON log.activity = levels.activity),
+d AS (SELECT *, lag(a) OVER (PARTITION BY trace ORDER BY ts, event_id) AS b FROM c), v AS (SELECT trace, string_agg(a, '>' ORDER BY ts, event_id) AS variant FROM d WHERE b IS NULL OR b <> a GROUP BY 1) SELECT variant, count(*) AS n FROM v GROUP BY 1""")
+def coarse_variants(spark, sf):
+    """Paths at the coarser level, runs collapsed there."""
+    levels = spark.createDataFrame(LEVELS, "activity string, coarse string")
+    return S.variants(S.collapsed(S.relabelled(log(spark, sf), levels)))
+
+
+DRAWS, SEED = 5, 7
+_HASH = "md5({0} || '|' || draw || '|" + str(SEED) + "')"
+
+
+def _compared_sql(what: str) -> str:
+    item = {"steps": "SELECT trace, activity AS item FROM log", "transitions": "SELECT trace, activity || '>' || nxt FROM lagged WHERE nxt IS NOT NULL"}[what]
+    n = f"{what[0]}_"
+    return f"""{n}x(trace, item) AS ({item}), {n}i AS (SELECT trace, item, count(*) AS n FROM {n}x GROUP BY 1, 2),
+{n}c AS (SELECT draw, grp, item, sum(n) AS n FROM dealt JOIN {n}i USING (trace) GROUP BY ALL), {n}p AS (SELECT draw, grp, item, n / sum(n) OVER (PARTITION BY draw, grp) AS p FROM {n}c),
+{n}g AS (SELECT DISTINCT draw, grp FROM {n}p), {n}k AS (SELECT DISTINCT item FROM {n}p),
+{n}y AS (SELECT a.draw, a.grp AS l, b.grp AS r, coalesce(pa.p, 0) AS p, coalesce(pb.p, 0) AS q FROM {n}g a JOIN {n}g b ON a.draw = b.draw AND a.grp < b.grp CROSS JOIN {n}k k LEFT JOIN {n}p pa ON pa.draw = a.draw AND pa.grp = a.grp AND pa.item = k.item LEFT JOIN {n}p pb ON pb.draw = b.draw AND pb.grp = b.grp AND pb.item = k.item),
+{n}b AS (SELECT draw, l, r, sum(0.5 * (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)) AS bits FROM {n}y GROUP BY 1, 2, 3),
+{n}m AS (SELECT draw, avg(bits) AS bits FROM {n}b GROUP BY 1), {n}r AS (SELECT max(bits) FILTER (draw < 0) AS mean_bits, avg(bits) FILTER (draw >= 0) AS shuffled_bits FROM {n}m)"""
+
+
+#: Labels of a draw: the i-th trace by hash takes the i-th label in order.
+DEALT = f"""t AS (SELECT trace, min(user_id % 4) AS grp FROM log GROUP BY 1), n AS (SELECT grp, count(*) AS n, sum(count(*)) OVER (ORDER BY grp) AS last FROM t GROUP BY 1),
+k AS (SELECT draw, trace, row_number() OVER (PARTITION BY draw ORDER BY {_HASH.format('trace')}, trace) AS i FROM t, range({DRAWS}) AS d(draw)),
+dealt AS (SELECT draw, trace, n.grp FROM k JOIN n ON i <= last AND i > last - n.n UNION ALL SELECT -1, trace, grp FROM t)"""
+
+
+@query(f"""WITH {LOG}, {DEALT}, {_compared_sql('steps')}, {_compared_sql('transitions')} SELECT 'act' AS level, 'steps' AS what, round(mean_bits, 6) AS mean_bits, round(shuffled_bits, 6) AS shuffled_bits, round(mean_bits - shuffled_bits, 6) AS above_shuffled FROM s_r
+UNION ALL SELECT 'act', 'transitions', round(mean_bits, 6), round(shuffled_bits, 6), round(mean_bits - shuffled_bits, 6) FROM t_r""")
+def compared_domains(spark, sf):
+    """Domains compared by steps and by transitions, beside shuffled labels."""
+    own = log(spark, sf).withColumn("grp", F.col("user_id") % 4)
+    found = experiments.compared_levels({"act": own}, "grp", DRAWS, SEED)
+    return found.select("level", "what", *[F.round(c, 6).alias(c) for c in ("mean_bits", "shuffled_bits", "above_shuffled")])
+
+
+@query(f"""WITH {LOG}, {DEALT} SELECT draw, grp, count(*) AS traces, min(trace) AS first FROM dealt WHERE draw >= 0 GROUP BY 1, 2""")
+def shuffled_labels(spark, sf):
+    traces = log(spark, sf).groupBy("trace").agg(F.min(F.col("user_id") % 4).alias("grp"))
+    return experiments.shuffled_labels(traces, "grp", DRAWS, SEED).groupBy("draw", "grp").agg(F.count(F.lit(1)).alias("traces"), F.min("trace").alias("first"))
+
+
+@query(f"""WITH {LOG}, m AS (SELECT draw, activity AS src, lead(activity) OVER (PARTITION BY draw, trace ORDER BY {_HASH.format('event_id')}, event_id) AS dst FROM log, range({DRAWS}) AS d(draw)),
+e AS (SELECT draw, src, dst, count(*) AS n FROM m WHERE dst IS NOT NULL GROUP BY ALL UNION ALL SELECT -1, src, dst, n FROM edges),
+h AS (SELECT draw, sum(-n * log2(n / t)) / sum(n) AS bits FROM (SELECT *, sum(n) OVER (PARTITION BY draw, src) AS t FROM e) GROUP BY 1)
+SELECT round(max(bits) FILTER (draw < 0), 6) AS bits, round(avg(bits) FILTER (draw >= 0), 6) AS shuffled_bits, round(avg(bits) FILTER (draw >= 0) - max(bits) FILTER (draw < 0), 6) AS below_shuffled FROM h""")
+def order_null(spark, sf):
+    found = experiments.order_null(log(spark, sf), DRAWS, SEED)
+    return found.select(*[F.round(c, 6).alias(c) for c in ("bits", "shuffled_bits", "below_shuffled")])
+
+
+#: Groupings of the activities, fixed vocabularies: (name, activity, group).
+GROUPINGS = [("intent", "view", 0), ("intent", "click", 0), ("intent", "error", 0), ("intent", "signup", 1), ("intent", "purchase", 1),
+             ("money", "view", 0), ("money", "click", 0), ("money", "error", 0), ("money", "signup", 0), ("money", "purchase", 1)]
+
+
+@query(f"""WITH {LOG}, g(name, activity, grp) AS (VALUES {", ".join(map(str, GROUPINGS))}), slots AS (SELECT name, grp, row_number() OVER (PARTITION BY name ORDER BY grp, activity) AS i FROM g),
+k AS (SELECT name, draw, activity, row_number() OVER (PARTITION BY name, draw ORDER BY {_HASH.format("name || '/' || activity")}, activity) AS i FROM g, range({DRAWS}) AS d(draw)),
+every AS (SELECT k.name, draw, activity, grp FROM k JOIN slots ON slots.name = k.name AND slots.i = k.i UNION ALL SELECT name, -1, activity, grp FROM g),
+c AS (SELECT a.name, a.draw, a.grp AS x, b.grp AS y, sum(n) AS n FROM edges JOIN every a ON a.activity = src JOIN every b ON b.activity = dst AND b.name = a.name AND b.draw = a.draw GROUP BY ALL),
+t AS (SELECT *, sum(n) OVER (PARTITION BY name, draw) AS t, sum(n) OVER (PARTITION BY name, draw, x) AS tx, sum(n) OVER (PARTITION BY name, draw, y) AS ty FROM c), m AS (SELECT name, draw, sum(n / t * log2(n * t / (tx * ty))) AS bits FROM t GROUP BY 1, 2)
+SELECT name, abs(round(max(bits) FILTER (draw < 0), 6)) AS bits, abs(round(avg(bits) FILTER (draw >= 0), 6)) AS random_bits, round(max(bits) FILTER (draw < 0) - avg(bits) FILTER (draw >= 0), 6) AS above_random FROM m GROUP BY 1""")
+def groupings_beside_random(spark, sf):
+    groupings = spark.createDataFrame(GROUPINGS, "name string, activity string, grp int")
+    found = experiments.groupings_beside_random(S.dfg(log(spark, sf)), groupings, DRAWS, SEED)
+    return found.select("name", F.abs(F.round("bits", 6)).alias("bits"), F.abs(F.round("random_bits", 6)).alias("random_bits"), F.round("above_random", 6).alias("above_random"))
+
+
+@query("""WITH c AS (SELECT o_custkey FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)) SELECT 'c' || o_custkey AS case_id, CAST(o_orderkey AS VARCHAR) AS record_id, o_orderdate AS date FROM orders JOIN c USING (o_custkey)""")
+def case_timeline(spark, sf):
+    """All records of the case that the first order belongs to."""
+    rows = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("case_id"), F.col("o_orderkey").cast("string").alias("record_id"), F.col("o_orderdate").alias("date"))
+    first = str(table(spark, sf, "orders").agg(F.min("o_orderkey")).first()[0])
+    return facets.case_view(rows, first)
+
+
+@query(f"WITH {LOG}, c AS (SELECT activity, count(*) AS n FROM log GROUP BY 1) SELECT activity, n, row_number() OVER (ORDER BY n DESC, activity) AS place FROM c")
+def kinds_by_count(spark, sf):
+    from pyspark.sql import Window
+
+    by = log(spark, sf).groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
+    return by.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "activity")).cast("long"))

@@ -35,20 +35,125 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType)
     return objects.select(F.from_json("value", schema).alias("r"), "source_file").select("r.*", "source_file")
 
 
+# fixed values: the lookups and the files they are kept in
+LOOKUP_FILES = {
+    "press": "press_lookup.jsonl",
+    "recap": "recap_lookup.jsonl",
+    "wayback": "wayback_lookup.jsonl",
+    "statute": "statute_lookup.jsonl",
+    "calibration": "calibration_lookup.jsonl",
+    "litigation": "litigation_lookup.jsonl",
+}
+
+
+def read_lookups(spark: SparkSession, folder: str, schema: T.StructType = LOOKUP) -> DataFrame:
+    """The rows of all lookups that are there, with lookup, the kind of the file they stand in."""
+    every = read_jsonl(spark, [f"{folder}/{name}" for name in LOOKUP_FILES.values()], schema)
+    kind = F.create_map(*[F.lit(x) for kind, name in LOOKUP_FILES.items() for x in (name, kind)])
+    return every.withColumn("lookup", kind[F.col("source_file")])
+
+
 def read_jsonl_tolerant(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """Recursive scan of JSON and JSON-lines files: whole files that are objects or lists of them, else line by line;
-    what can't be parsed is skipped."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
+    """Recursive scan of JSON and JSON-lines files; what can't be parsed is skipped. Files named .jsonl are read by lines,
+    so that large ones are split; others as a whole, as an object or a list of objects, else line by line."""
+    read = lambda names, whole: spark.read.options(recursiveFileLookup="true", pathGlobFilter=names).text(root, wholetext=whole)
+    ok = lambda x: F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT")
+    lines = read("*.jsonl", False).where(ok("value")).select(F.from_json("value", schema).alias("r"))
+    files = read("*.json", True)
     whole = F.from_json("value", T.ArrayType(schema), {"mode": "PERMISSIVE"})
-    is_json = F.try_parse_json("value").isNotNull()
-    lines = F.filter(F.split("value", "\n"), lambda x: F.try_parse_json(x).isNotNull())
-    rows = F.when(is_json, whole).otherwise(F.transform(lines, lambda x: F.from_json(x, schema)))
-    return files.select(F.explode(rows).alias("r")).select("r.*")
+    each = F.transform(F.filter(F.split("value", "\n"), lambda x: F.try_parse_json(x).isNotNull()), lambda x: F.from_json(x, schema))
+    rows = F.when(F.try_parse_json("value").isNotNull(), whole).otherwise(each)
+    return lines.unionByName(files.select(F.explode(rows).alias("r"))).select("r.*")
+
+
+def corpus(index: DataFrame, texts: DataFrame) -> DataFrame:
+    """The index's entries with their text, null where there is none; texts(record_id, text) may be a table or rows held
+    in memory."""
+    return index.join(texts.select("record_id", "text"), "record_id", "left")
+
+
+def texts_at(index: DataFrame, field: str = "body") -> DataFrame:
+    """(record_id, text) of index(record_id, file, offset): a field of the JSON line that begins at a byte of a file. Each
+    file that the index names is read once."""
+    spark = index.sparkSession
+    places = index.where("file IS NOT NULL").select("record_id", "file", "offset")
+    files = [r["file"] for r in places.select("file").distinct().collect()]  # the collector's files, not records
+    if not files:
+        return spark.createDataFrame([], T.StructType([index.schema["record_id"], T.StructField("text", T.StringType())]))
+    held = spark.read.format("binaryFile").load(files).select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "content")
+    met = places.withColumn("file", F.regexp_replace("file", "^file:/+", "/")).join(held, "file")
+    line = F.substring_index(F.decode(F.substr("content", (F.col("offset") + 1).cast("int")), "UTF-8"), "\n", 1)
+    return met.select("record_id", F.get_json_object(line, f"$.{field}").alias("text"))
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, page, text) of text files whose pages end with form feeds, from 1; doc is the file's name."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.regexp_replace("value", "\f$", "").alias("value"))
+    return whole.select("doc", F.posexplode(F.split("value", "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+
+
+def read_gold(spark: SparkSession, folder: str, schemas: dict[str, T.StructType], split: str | None = None) -> dict[str, DataFrame]:
+    """The gold tables by name, each a JSON-lines file; of one split, if asked for."""
+    tables = {name: read_jsonl(spark, f"{folder}/{name}.jsonl", schema).drop("source_file") for name, schema in schemas.items()}
+    return {name: df.where(F.col("split") == split) if split else df for name, df in tables.items()}
+
+
+SEED = T.StructType([T.StructField("collection", T.StringType()), T.StructField("documents", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("slug", "url", "title", "filename")])))])
+
+
+def read_seed(spark: SparkSession, path: str) -> DataFrame:
+    """(collection, slug, url, title, filename) of a seed's documents; a seed without a collection, or a document without
+    slug or url, is an error."""
+    seed = spark.read.text(path, wholetext=True).select(F.from_json("value", SEED).alias("s")).select("s.*")
+    rows = validated(seed, F.col("collection").isNotNull() & F.col("documents").isNotNull(), "a seed needs a collection and documents")
+    docs = rows.select("collection", F.explode("documents").alias("d")).select("collection", "d.*")
+    return validated(docs, F.col("slug").isNotNull() & F.col("url").isNotNull(), "a seed's document needs a slug and a url")
+
+
+_VERDICTS = T.MapType(T.StringType(), T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("value", T.StringType()), T.StructField("role", T.StringType()), T.StructField("span_start", T.IntegerType()), T.StructField("span_end", T.IntegerType())])))
+
+
+def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """Human verdicts as votes (record_id, field, role, start, end, value, family, confidence), which win; a missing file has
+    none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "record_id string, field string, role string, start int, end int, value string, family string, confidence double")
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", _VERDICTS)).alias("record_id", "rows")).select("record_id", F.explode("rows").alias("r"))
+    return rows.select("record_id", "r.field", "r.role", F.col("r.span_start").alias("start"), F.col("r.span_end").alias("end"), "r.value", F.lit("human").alias("family"), F.lit(1.0).alias("confidence"))
+
+
+def read_age_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """(case_id, age, decision) of a JSON array, the last of equal (case_id, age); anything but objects with a case, an age
+    and keep or drop is an error, and a missing file is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "case_id string, age int, decision string")
+    item = T.StructType([T.StructField("case_id", T.StringType()), T.StructField("age", T.IntegerType()), T.StructField("decision", T.StringType())])
+    whole = spark.read.text(path, wholetext=True)
+    listed = validated(whole, F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"), F.lit(False)), "expected a JSON array of verdicts")
+    rows = listed.select(F.posexplode(F.from_json("value", T.ArrayType(item))).alias("n", "r")).select("n", "r.case_id", "r.age", F.lower(F.trim("r.decision")).alias("decision"))
+    good = F.coalesce((F.col("case_id") != "") & F.col("age").isNotNull() & F.col("decision").isin("keep", "drop"), F.lit(False))
+    checked = validated(rows, good, "a verdict needs a case_id, an age and keep or drop")
+    return checked.groupBy("case_id", "age").agg(F.max_by("decision", "n").alias("decision"))
+
+
+def kept_ages(slots: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """slots(case_id, age, gate) that stay: gate KEEP unless dropped, and any that a verdict keeps."""
+    both = slots.join(verdicts, ["case_id", "age"], "left")
+    return both.where(F.when(F.col("decision").isNotNull(), F.col("decision") == "keep").otherwise(F.col("gate") == "KEEP")).drop("decision")
+
+
+def routed_urls(urls: DataFrame, records: DataFrame, known: Column, least: int = 80) -> DataFrame:
+    """urls(url, ...) with mode and body: those of known hosts are resolved by records(url, body), or unresolved without a
+    record or with a body of under `least` characters; others are to be scraped."""
+    met = urls.withColumn("_known", known).join(records.select("url", "body"), "url", "left")
+    thick = F.coalesce(F.length(F.trim("body")) >= least, F.lit(False))
+    mode = F.when(~F.coalesce(F.col("_known"), F.lit(False)), "scrape").when(thick, "resolved").otherwise("unresolved")
+    return met.withColumn("mode", mode).withColumn("body", F.when(F.col("mode") == "resolved", F.col("body"))).drop("_known")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(n, line) of one text file in file order: bounded by the size of a hand-kept list, so one task numbers it."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
 
 
@@ -124,6 +229,24 @@ def turtle_triples(files: DataFrame) -> DataFrame:
     return files.select("value").mapInPandas(run, "s string, p string, o string, o_kind string")
 
 
+def walks_from_triples(triples: DataFrame, of: str = "traj:of", order: str = "traj:order", state: str = "traj:state", action: str = "traj:action") -> DataFrame:
+    """(walk, i, state, action) of a trajectory graph: step nodes that name their walk, place, state and action; a missing
+    action is "(step)"."""
+    by = triples.where(F.col("p").isin(of, order, state, action)).groupBy("s").pivot("p", [of, order, state, action]).agg(F.min("o"))
+    kept = by.where(F.col(f"`{of}`").isNotNull() & F.col(f"`{state}`").isNotNull())
+    return kept.select(F.col(f"`{of}`").alias("walk"), F.col(f"`{order}`").cast("int").alias("i"), F.col(f"`{state}`").alias("state"), F.coalesce(F.col(f"`{action}`"), F.lit("(step)")).alias("action"))
+
+
+def external_walks(spark: SparkSession, path: str, domain: str = "") -> DataFrame:
+    """(walk, domain, i, state, action, ended_by) of a Turtle file of trajectories or of a file of walks in JSON lines, for
+    the same analyses; walks without a domain get the one given."""
+    if path.endswith(".ttl"):
+        steps = walks_from_triples(turtle_triples(spark.read.text(path, wholetext=True)))
+        return steps.select("walk", F.lit(domain).alias("domain"), "i", "state", "action", F.lit("(stop)").alias("ended_by"))
+    events = walk_events(walks_from_json(spark.read.text(path).where("trim(value) <> ''").withColumnRenamed("value", "json")))
+    return events.withColumn("domain", F.when(F.coalesce("domain", F.lit("")) == "", F.lit(domain)).otherwise(F.col("domain"))).select("walk", "domain", "i", "state", "action", "ended_by")
+
+
 def two_tiers(wanted: DataFrame, local: DataFrame, remote: DataFrame | None, key: str, value: str) -> DataFrame:
     """value from the local table, else the remote one where there is one, with tier local, remote or missing."""
     out = wanted.join(local.select(key, F.col(value).alias("_l")), key, "left")

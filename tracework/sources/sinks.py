@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,61 @@ def markdown_table(rows: DataFrame, most: int = 500) -> str:
 def outcomes(rows: DataFrame, error: Column) -> DataFrame:
     """(outcome, n): rows with an error beside those without."""
     return rows.groupBy(F.when(error.isNotNull(), "error").otherwise("written").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ocel_document(log: DataFrame) -> DataFrame:
+    """(ord, value): the lines of one OCEL 2.0 JSON document of a log's dated events, which its rows make in order of ord:
+    event types, one object type, the traces as objects, the events."""
+    dated = log.where("ts IS NOT NULL")
+    rows = lambda part, df: df.select(F.lit(part).alias("part"), F.col("value"))
+    types = dated.select("activity").distinct().select(F.to_json(F.struct(F.col("activity").alias("name"), F.expr("array()").cast("array<string>").alias("attributes"))).alias("value"))
+    objects = dated.select("trace").distinct().select(F.to_json(F.struct(F.col("trace").alias("id"), F.lit("case").alias("type"))).alias("value"))
+    kind = log.sparkSession.createDataFrame([('{"name":"case","attributes":[]}',)], "value string")
+    parts = [("eventTypes", types), ("objectTypes", kind), ("objects", objects), ("events", ocel_events(log))]
+    every = reduce(DataFrame.unionByName, [rows(i, df) for i, (_, df) in enumerate(parts)])
+    # a comma after every row but the last of its part
+    last = every.groupBy("part").agg(F.max("value").alias("_last"))
+    lines = every.join(F.broadcast(last), "part").select("part", F.lit(1).alias("sub"), "value", F.concat("value", F.when(F.col("value") == F.col("_last"), "").otherwise(",")).alias("line"))
+    names = [name for name, _ in parts]
+    frame = [(i, 0, "", ("{" if i == 0 else "],") + f'"{n}":[') for i, n in enumerate(names)] + [(len(names), 0, "", "]}")]
+    marks = log.sparkSession.createDataFrame(frame, "part int, sub int, value string, line string")
+    return lines.select("part", "sub", "value", "line").unionByName(marks).select(F.struct("part", "sub", "value").alias("ord"), F.col("line").alias("value"))
+
+
+def json_ld(triples: DataFrame) -> DataFrame:
+    """(s, value): each subject as one JSON-LD node: @id, @type, and its statements by predicate, sorted; objects that are
+    names are {"@id"}, literals stay texts."""
+    typed = F.array_sort(F.collect_set(F.when(F.col("p") == "a", _json_text(F.col("o")))))
+    quoted = F.when(F.col("o_kind") == "iri", F.to_json(F.struct(F.col("o").alias("@id")))).otherwise(_json_text(F.col("o")))
+    by = triples.where("p <> 'a'").groupBy("s", "p").agg(F.array_sort(F.collect_set(quoted)).alias("v")).select("s", F.concat(_json_text(F.col("p")), F.lit(":["), F.array_join("v", ","), F.lit("]")).alias("m"))
+    members = by.groupBy("s").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    types = triples.groupBy("s").agg(typed.alias("t"))
+    none = F.array().cast("array<string>")
+    whole = types.join(members, "s", "left").select("s", "t", F.coalesce("m", none).alias("m"))
+    head = F.array(F.concat(F.lit('"@id":'), _json_text(F.col("s"))), F.concat(F.lit('"@type":['), F.array_join("t", ","), F.lit("]")))
+    return whole.select("s", F.concat(F.lit("{"), F.array_join(F.concat(head, "m"), ","), F.lit("}")).alias("value"))
+
+
+def _json_text(text: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.struct(text.alias("v")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
+def with_cost_rows(log: DataFrame, added: DataFrame, section: str) -> DataFrame:
+    """log(section, ord, case_id, docket_number, action, cost) with the rows of added(case_id, docket_number, action, cost)
+    put before a section's TOTAL row, and that total made anew; other sections stay. Rows keep their order, added ones
+    come by their columns."""
+    own = log.where(F.col("section") == section)
+    lines = own.where("action <> 'TOTAL'").select("ord", F.lit(0).alias("new"), "case_id", "docket_number", "action", "cost")
+    more = added.select(F.lit(None).cast("long").alias("ord"), F.lit(1).alias("new"), "case_id", "docket_number", "action", "cost")
+    every = lines.unionByName(more)
+    order = Window.orderBy("new", "ord", "case_id", "docket_number", "action", "cost")  # a log kept by hand
+    numbered = every.select(F.lit(section).alias("section"), F.row_number().over(order).cast("long").alias("ord"), "case_id", "docket_number", "action", "cost")
+    total = every.agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), (F.count(F.lit(1)) + 1).alias("ord")).select(F.lit(section).alias("section"), "ord", F.lit("").alias("case_id"), F.lit("").alias("docket_number"), F.lit("TOTAL").alias("action"), "cost")
+    return log.where(F.col("section") != section).unionByName(numbered).unionByName(total)
+
+
+def with_provenance(files: DataFrame, data: str = "data") -> DataFrame:
+    """files with byte_length and content_sha256 of their bytes, to be kept beside them."""
+    return files.withColumn("byte_length", F.octet_length(data).cast("long")).withColumn("content_sha256", F.sha2(F.col(data).cast("binary"), 256))
