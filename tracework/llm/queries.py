@@ -116,12 +116,12 @@ def _op2_sql() -> str:
     rounds = "".join(f", c{k + 1} AS (SELECT n, {step.format('c')} AS c FROM c{k})" for k in range(8))
     data = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: CAST('0x' || p AS BIGINT))"
     crc = f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {data}), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295)"
-    bucket = f"CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {sharding.SLOT_BUCKETS}"
+    bucket = f"CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|' || text_crc32), 1, 8) AS BIGINT) % {sharding.SLOT_BUCKETS}"
     return f"""
 WITH c0 AS (SELECT n, CAST(n AS BIGINT) AS c FROM range(256) r(n)){rounds}, crc AS (SELECT list(c ORDER BY n) AS t FROM c8),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-s AS (SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, {crc} AS text_crc32, {_descend_sql(SHARD_TREE)} AS shard, {_descend_sql(sharding.grow(SHARD_TREE))} AS grown_shard, {bucket} AS bucket FROM d, crc)
-SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard FROM s"""
+s AS (SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, {crc} AS text_crc32, {_descend_sql(SHARD_TREE)} AS shard, {_descend_sql(sharding.grow(SHARD_TREE))} AS grown_shard FROM d, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard FROM (SELECT *, {bucket} AS bucket FROM s)"""
 
 
 def _op3_sql() -> str:

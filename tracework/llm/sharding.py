@@ -65,7 +65,7 @@ def shard_documents(docs: DataFrame, tree: Tree, slot_buckets: int = SLOT_BUCKET
     """(doc_id, size, text_crc32, shard, slot, grown_shard) of every row of docs(doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    in_bucket = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.crc32(text).cast("string")))
+    in_bucket = F.concat(key, F.lit("|"), F.crc32(text).cast("string"))  # rows that share an id, too, are dealt
     bucket = F.pmod(F.conv(F.substring(F.md5(in_bucket), 1, 8), 16, 10).cast("long"), F.lit(slot_buckets)).cast("int")
     placed = docs.select(
         "doc_id",
