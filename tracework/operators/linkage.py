@@ -119,26 +119,34 @@ def link_people(mentions: DataFrame) -> DataFrame:
     """(case_id, person, record_id, name, basis) of mentions(case_id, record_id, ord, name, surname, given).
 
     Inside a case, in order of (record_id, ord), a mention joins the first compatible person, whose fullest given name
-    is kept; a case of one record numbers its people. Order matters, so a case is one group; its mentions are few by
-    nature (the people of one case)."""
+    is kept; a case of one record numbers its people. People with other surnames are never compatible, so only the
+    mentions of one surname in a case are put in order together; people are then numbered by their first mentions."""
+    kinds = {f.name: f.dataType.simpleString() for f in mentions.schema}
+    single = mentions.groupBy("case_id").agg((F.countDistinct("record_id") == 1).alias("single"))
+    rows = mentions.join(single, "case_id").withColumn("surname", F.coalesce("surname", F.lit(""))).withColumn("given", F.coalesce("given", F.lit("")))
+    alone = F.col("single") | (F.col("surname") == "")  # whoever has no surname is nobody else
+    columns = ["case_id", "record_id", "ord", "name", "single"]
 
     def run(pdf):
         pdf = pdf.sort_values(["record_id", "ord"], kind="stable")
-        single = pdf["record_id"].nunique() == 1
-        known: list[tuple[str, str]] = []
-        numbers = []
-        for surname, given in zip(pdf["surname"].fillna(""), pdf["given"].fillna(""), strict=True):
-            at = next((i for i, k in enumerate(known) if surname and compatible((surname, given), k)), None) if not single else None
+        known: list[tuple[str, object, object]] = []  # the fullest given name, and the first mention
+        first = []
+        for given, record, place in zip(pdf["given"], pdf["record_id"], pdf["ord"], strict=True):
+            at = next((i for i, k in enumerate(known) if compatible(("", given), ("", k[0]))), None)
             if at is None:
                 at = len(known)
-                known.append((surname, given))
-            elif len(given) > len(known[at][1]):
-                known[at] = (surname, given)
-            numbers.append(at + 1)
-        return pdf.assign(person=[f"p{n}" for n in numbers], basis="single_record" if single else "name_match")[["case_id", "person", "record_id", "name", "basis"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in mentions.schema}
-    return mentions.groupBy("case_id").applyInPandas(run, f"case_id {kinds['case_id']}, person string, record_id {kinds['record_id']}, name string, basis string")
+                known.append((given, record, place))
+            elif len(given) > len(known[at][0]):
+                known[at] = (given, *known[at][1:])
+            first.append(known[at][1:])
+        return pdf[columns].assign(first_record=[f[0] for f in first], first_ord=[f[1] for f in first])
+
+    schema = f"case_id {kinds['case_id']}, record_id {kinds['record_id']}, ord {kinds['ord']}, name string, single boolean, first_record {kinds['record_id']}, first_ord {kinds['ord']}"
+    joined = rows.where(~alone).groupBy("case_id", "surname").applyInPandas(run, schema)
+    own = rows.where(alone).select(*columns, F.col("record_id").alias("first_record"), F.col("ord").alias("first_ord"))
+    number = F.dense_rank().over(Window.partitionBy("case_id").orderBy("first_record", "first_ord"))
+    basis = F.when(F.col("single"), "single_record").otherwise("name_match")
+    return joined.unionByName(own).select("case_id", F.concat(F.lit("p"), number.cast("string")).alias("person"), "record_id", "name", basis.alias("basis"))
 
 
 def attribute_values(values: DataFrame, votes: DataFrame, people: DataFrame) -> DataFrame:
