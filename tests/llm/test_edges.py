@@ -51,6 +51,42 @@ def test_operators_take_odd_tables(spark, make):
     assert decontam.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_values_of_odd_rows(spark):
+    """Nulls, empties, ties and repeated rows have the results that the docstrings state."""
+    import hashlib
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    docs, tok = odd_docs(spark), Tokenizer.from_file(vocabulary())
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    same = lambda got, want: sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    placed = sharding.shard_documents(docs, sharding.even_tree(3, 2, 4))
+    assert same(placed.select("doc_id", "size", "text_crc32").collect(), [(d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows])
+    slots = {}
+    for r in placed.collect():
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    ids = [tok.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    told = [(d, len(x), sha(" ".join(map(str, x))), sha(tok.decode(x, skip_special_tokens=False))) for (d, _), x in zip(rows, ids, strict=True)]
+    assert same(bpe.encode_digests(docs, vocabulary()).collect(), told)
+    prints = neardup.near_duplicates(docs).collect()
+    assert {r["fp"] for r in prints if r["doc_id"] in (0, 1, 2)} == {0} and {r["component_id"] for r in prints if r["doc_id"] in (0, 1, 2)} == {0}
+    assert {r["component_id"] for r in prints if r["doc_id"] in (8, 9, None)} == {8}
+    judged = quality.quality_rules(docs, labels(spark)).collect()
+    assert same([(r["doc_id"], r["n_words"], r["base_failed"]) for r in judged], [(d, len([w for w in __import__("re").split(r"[\x20\x09-\x0d]+", t or "") if w]), len((t or "").split()) < 50 or len(set((t or "").split())) < 5) for d, t in rows])
+    assert len({(r["kept"], r["score"]) for r in judged if r["doc_id"] == 4}) == 1
+    toxic = toxicity.toxicity(docs, labels(spark)).collect()
+    assert len({r["score"] for r in toxic if r["doc_id"] in (0, 1)}) == 1 and all(0 <= r["score"] <= 1 for r in toxic)
+    assert len({r["score"] for r in toxic if r["doc_id"] == 4}) == 1 and all(not r["held_out"] for r in toxic if r["doc_id"] is None)
+    private = pii.find_personal_data(docs).collect()
+    assert all((r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"], r["spans"]) == (0, 0, 0, 0, sha(""), "") for r in private if r["doc_id"] in (0, 1, 2, 3))
+    kept = linedup.dedup_lines(docs).collect()
+    assert {r["doc_id"]: r["text"] for r in kept}[0] is None and sorted(r["text"] for r in kept if r["doc_id"] == 7) == sorted(t for d, t in rows if d == 7)
+
+
 @pytest.mark.parametrize("make", [odd_docs, no_docs])
 def test_stages_take_odd_tables(spark, sf, make):
     docs = make(spark)
