@@ -23,20 +23,18 @@ VICTIM_BEFORE = r"\bvictim,?\s+$"
 NAME = r"\b(?!(?:Judge|Magistrate|Attorney|Prosecutor|Agent|Sheriff|Director|The|In|On|An?|Nothing|Court|County)\b)[A-Z][a-z]+(?:\s[A-Z]\.)?\s[A-Z][a-z]+\b"
 #: What joins names to a list.
 LIST_GAP = r"\s*,\s*(?:and\s+)?|\s+and\s+|\s*&\s*"
-#: A sentence that is about whom the one before it was about: it opens with a pronoun, or has one as an object.
+# fixed values: a sentence that is about whom the one before it was about opens with one of these, or has a pronoun as an
+# object; the heading of a defendant in a court record
 CARRIED = (
-    r"^\W*(?:(?:Also|Finally|Further|Additionally|In\s+addition|According\s+to\s+[^,]{3,60}),\s+)?"
-    r"(?:They|He|She|Each\s+defendant|The\s+defendants?|Both\s+(?:defendants|men|women))\b"
+    r"^\W*(?:(?:In\s+addition|Additionally|Also|Further|Finally|According\s+to\s+[^,]{3,60}),\s+)?"
+    r"(?:He|She|They|The\s+defendants?|Both\s+(?:men|women|defendants)|Each\s+defendant)\b"
 )
-OBJECT_PRONOUN = r"(?i)\b(?:directed|ordered|required|sentenced)\s+(?:her|him|them)\b"
+OBJECT_PRONOUN = r"(?i)\b(?:sentenced|ordered|directed|required)\s+(?:him|her|them)\b"
 HEADING = r"(?m)^\s*DEFENDANT(?:'S\s+NAME|\s+NAME)?\s*:\s*"
 SENTENCE_END = r"(?<=[.!?])\s+"
 #: Characters that a value looks back for a mention in its own sentence.
 REACH = 900
 
-SENTENCES = "sentence int, begin int, finish int, carried boolean"
-MENTIONS = "sentence int, begin int, finish int, person string, joined boolean"
-
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
     cuts = [0, *[m.end() for m in re.finditer(SENTENCE_END, text)], len(text)]
@@ -95,9 +93,9 @@ def subjects(values: DataFrame, mentions: DataFrame, sentences: DataFrame, headi
     """values(record_id, sentence, start, ...) with people (array, in order), confidence and rule.
 
     same_sentence (0.75): the group at the last mention that ends at or before the value's start, within REACH.
-    carried_from_previous_sentence (0.6): if the value's sentence carries the ones before it on, the first group of the nearest of `back`
-    sentences before it that has one. defendant_line (0.7): the person named right after the last DEFENDANT heading above, for
-    records in headings(record_id, finish, person). none: no people."""
+    carried_from_previous_sentence (0.6): if the value's sentence carries the ones before it on, the first group of the
+    nearest of `back` sentences before it that has one. defendant_line (0.7): the person named right after the last heading
+    above, for records in headings(record_id, finish, person). none: no people."""
     named = grouped_mentions(mentions)
     names = lambda people: F.array_distinct(F.transform(people, lambda p: p["person"]))
     extra = [c for c in values.columns if c not in ("record_id", "sentence", "start")]
