@@ -58,7 +58,7 @@ def select_records(records: DataFrame, ids: list | None = None, kind: str | None
     if domain:
         out = out.where(F.array_contains("domains", domain))
     if seed is not None:
-        out = out.orderBy(F.xxhash64("record_id", F.lit(seed)), "record_id")
+        out = out.orderBy(F.md5(F.concat_ws("|", F.col("record_id").cast("string"), F.lit(str(seed)))), "record_id")
     return out.limit(limit) if limit else out
 
 

@@ -127,12 +127,14 @@ def noise_url(url: Column, parts: list[str]) -> Column:
     return found
 
 
-def exact_copies(pages: DataFrame, key: str, order: list[str], least: int = 80) -> DataFrame:
-    """The pages that repeat an earlier one after normalisation, which has `least` characters or more."""
+def exact_copies(pages: DataFrame, key: str, order: list[str], least: int = 80, within: list[str] | None = None) -> DataFrame:
+    """The pages that repeat an earlier one (of the same document, with the columns that name it in `within`) after
+    normalisation, which has `least` characters or more."""
     norm = pages.withColumn("_norm", normalised_text(F.col("text"))).where(F.length("_norm") >= least)
     # by the digest: texts don't go through the shuffle
-    w = Window.partitionBy("_digest").orderBy(*order)
-    return norm.select(key, *[c for c in order if c != key], F.sha2("_norm", 256).alias("_digest")).withColumn("_k", F.row_number().over(w)).where("_k > 1").select(key)
+    w = Window.partitionBy("_digest", *(within or [])).orderBy(*order)
+    kept = dict.fromkeys([key, *order, *(within or [])])
+    return norm.select(*kept, F.sha2("_norm", 256).alias("_digest")).withColumn("_k", F.row_number().over(w)).where("_k > 1").select(key)
 
 
 def pages_to_cut(pages: DataFrame, patterns: str | list[str], keep_first: bool = False, follow: int = 0) -> DataFrame:

@@ -276,3 +276,21 @@ def yearly_captures(spark, sf):
 @query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) WHERE k <= 3""")
 def newest_captures(spark, sf):
     return facets.newest(table(spark, sf, "events").select("user_id", "ts", "event_id"), "user_id", "ts", 3).select("user_id", "event_id")
+
+
+@query("""SELECT doc_id AS record_id FROM documents WHERE lang = 'en' ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id LIMIT 25""")
+def seeded_sample(spark, sf):
+    """A sample in a seeded order."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), F.col("lang").alias("kind"))
+    return facets.select_records(rows, kind="en", seed=42, limit=25).select("record_id")
+
+
+@query(f"""WITH {LINES}, n AS (SELECT doc, page, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM p), c AS (SELECT doc, page FROM (SELECT *, row_number() OVER (PARTITION BY doc, t ORDER BY page) AS k FROM n WHERE length(t) >= 20) WHERE k > 1),
+x AS (SELECT doc, page FROM c UNION SELECT doc, page FROM p WHERE regexp_matches(text, '[|]') UNION SELECT doc, page FROM p WHERE page = 2) SELECT doc, count(*) AS dropped FROM x GROUP BY 1""")
+def dropped_pages(spark, sf):
+    """Pages that repeat one of their document, that match a pattern or that are named: the union of what is dropped."""
+    rows = line_pages(spark, sf)
+    copies = pages.exact_copies(rows.withColumn("key", F.struct("doc", "page")), "key", ["page"], least=20, within=["doc"]).select("key.doc", "key.page")
+    named = rows.where(F.array_contains(pages.page_spec(F.lit("2"), F.lit(2)), F.col("page"))).select("doc", "page")
+    every = copies.unionByName(pages.pages_to_cut(rows, "[|]")).unionByName(named).distinct()
+    return every.groupBy("doc").agg(F.count(F.lit(1)).alias("dropped"))

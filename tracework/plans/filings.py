@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from tracework.functions import vocabulary as V
-from tracework.operators import attribution, conduct, evidence, pages, resolve, tokens
+from tracework.operators import attribution, conduct, evidence, extractors, pages, resolve, tokens
 from tracework.operators import machine as M
 from tracework.plans.registry import query
 from tracework.session import table
@@ -403,3 +403,18 @@ def method_families(spark, sf):
 def action_labels(spark, sf):
     """An act with its means, sorted and once each."""
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", M.action_label(F.lit("act"), F.array("l_returnflag", "l_linestatus", "l_returnflag")).alias("action"))
+
+
+#: A third kind of report, with the fields of a case.
+CASE = f"""concat('On ', {DAY}, ' a ', {_case("o_custkey % 4", ["Coach", "teacher", "stranger", "person"])}, ' aged ', concat('', o_custkey % 60 + 18), ' was ', {_case("o_orderkey % 3", ["arrested", "charged and pleaded guilty", "sentenced"])},
+'. There were ', concat('', o_orderkey % 9 + 1), ' victims and 1,', lpad(concat('', o_orderkey % 1000), 3, '0'), ' images on ', {_case("o_custkey % 3", ["Signal and Telegram", "paper", "Discord"])}, {_case("o_orderkey % 2", [". He admitted it, and a knife.", "; previously convicted on 1990-01-01."])})""".replace("\n", " ")
+
+
+@query(f"""SELECT o_orderkey AS record_id, CAST(o_orderkey % 9 + 1 AS BIGINT) AS victim_count, CAST(o_custkey % 60 + 18 AS BIGINT) AS perpetrator_age, CASE o_custkey % 4 WHEN 0 THEN 'coach' WHEN 1 THEN 'teacher' WHEN 2 THEN 'stranger' END AS relation, o_orderkey % 2 = 1 AS previous_conviction,
+{_case("o_custkey % 3", ["signal+telegram", "", "discord"])} AS platforms, CAST(1000 + o_orderkey % 1000 AS BIGINT) AS evidence_volume, CASE WHEN o_orderkey % 3 = 2 THEN 'sentenced' WHEN o_orderkey % 3 = 1 OR o_orderkey % 2 = 1 THEN 'convicted' ELSE 'arrested' END AS outcome,
+{_case("o_orderkey % 2", ["weapon", "repeat"])} AS severity, o_orderkey % 2 = 0 AS admission, CASE WHEN o_orderkey % 2 = 1 THEN least('1990-01-01', {DAY}) ELSE {DAY} END AS first_day, CASE WHEN o_orderkey % 2 = 1 THEN greatest('1990-01-01', {DAY}) ELSE {DAY} END AS last_day,
+substr(CASE WHEN o_orderkey % 2 = 1 THEN least('1990-01-01', {DAY}) ELSE {DAY} END, 1, 7) AS month FROM orders""")
+def case_fields(spark, sf):
+    """The fields of every case, read from its text."""
+    found = extractors.case_fields(table(spark, sf, "orders").selectExpr("o_orderkey AS record_id", f"{CASE} AS text")).drop("text")
+    return found.withColumn("platforms", F.array_join("platforms", "+")).withColumn("severity", F.array_join("severity", "+"))

@@ -414,7 +414,7 @@ v AS (SELECT l.record_id, l.sentence, l.at_, (SELECT arg_max(found, p.at_) FROM
   FROM l JOIN s ON s.record_id = l.record_id AND s.sentence = l.sentence LEFT JOIN f a ON a.record_id = l.record_id AND a.sentence = l.sentence - 1 LEFT JOIN f b ON b.record_id = l.record_id AND b.sentence = l.sentence - 2 WHERE NOT mention)"""
 
 
-@query(f"""WITH {TOLD} SELECT record_id, at_ AS "start", coalesce(array_to_string(list_sort(coalesce(own, back)), '+'), '') AS people, CASE WHEN own IS NOT NULL THEN 0.75 WHEN back IS NOT NULL THEN 0.6 ELSE 0 END AS confidence,
+@query(f"""WITH {TOLD} SELECT record_id, at_ AS "start", coalesce(array_to_string(list_sort(coalesce(own, back)), '+'), '') AS people, CAST(CASE WHEN own IS NOT NULL THEN 0.75 WHEN back IS NOT NULL THEN 0.6 ELSE 0 END AS DOUBLE) AS confidence,
 CASE WHEN own IS NOT NULL THEN 'same_sentence' WHEN back IS NOT NULL THEN 'carried_from_previous_sentence' ELSE 'none' END AS rule FROM v""")
 def person_carry_over(spark, sf):
     at = F.col("l_linenumber").cast("int")

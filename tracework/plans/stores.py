@@ -18,6 +18,7 @@ from tracework.plans.registry import query
 from tracework.plans.sequences import LOG, log
 from tracework.session import table, work_dir
 from tracework.sources import cache, readers, sinks
+from tracework.streaming import streams
 
 
 def place(spark: SparkSession, name: str) -> str:
@@ -392,7 +393,7 @@ def page_specs(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.array_join(pages.page_spec(spec, F.lit(8)), ",").alias("pages"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE round((o_custkey % 50) * 0.1, 6) END AS transcript, round(CASE WHEN o_custkey % 4 = 0 THEN 3.0 ELSE least((o_custkey % 50) * 0.1, 3.0) END, 6) AS document FROM orders WHERE o_custkey % 50 > 0")
+@query("SELECT o_orderkey, CAST(CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE round((o_custkey % 50) * 0.1, 6) END AS DOUBLE) AS transcript, CAST(round(CASE WHEN o_custkey % 4 = 0 THEN 3.0 ELSE least((o_custkey % 50) * 0.1, 3.0) END, 6) AS DOUBLE) AS document FROM orders WHERE o_custkey % 50 > 0")
 def document_costs(spark, sf):
     n = F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey") % 50)
     return table(spark, sf, "orders").where("o_custkey % 50 > 0").select("o_orderkey", F.round(C.transcript_cost(n), 6).alias("transcript"), F.round(C.page_cost(n), 6).alias("document"))
@@ -409,3 +410,33 @@ def unplaced_steps(spark, sf):
     known = spark.createDataFrame([(s, s, False, None, i) for i, s in enumerate(["view", "click", "signup", "purchase"])], "state string, milestone string, is_goal boolean, source boolean, ord int")
     rows = S.positions(log(spark, sf)).select(F.col("trace").alias("walk"), F.lit(0).alias("domain"), F.col("position").alias("i"), F.col("activity").alias("state"), F.col("activity").alias("action"), F.lit(M.STOP).alias("ended_by"))
     return M.placed(rows, known).groupBy("walk").agg(F.count(F.lit(1)).alias("steps"))
+
+
+def _streamed(spark, sf, make, name: str) -> DataFrame:
+    """What a stream over the events, in four files, wrote once it had read them all."""
+    source, path = place(spark, "events"), place(spark, name)
+    events = table(spark, sf, "events")
+    events.repartitionByRange(4, "ts").write.parquet(source)
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    run = make(stream).writeStream.option("checkpointLocation", place(spark, "progress")).trigger(availableNow=True).format("parquet").outputMode("append").start(path)
+    run.awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("SELECT 'http://x/' || user_id || '/' || event_type AS url_key FROM events GROUP BY user_id, event_type")
+def stream_unseen_urls(spark, sf):
+    """Append with dedup as a stream: one row of each url key."""
+    url = F.concat(F.lit("http://x/"), F.col("user_id").cast("string"), F.lit("/"), "event_type", F.lit("?utm_source="), F.col("event_id").cast("string"), F.lit("#f"))
+    return _streamed(spark, sf, lambda events: streams.unseen_urls(events.withColumn("url", url), delay="4000 days"), "unseen").select("url_key")
+
+
+@query("SELECT url_key, count(*) AS n FROM (SELECT DISTINCT 'http://x/' || user_id AS url_key FROM events) GROUP BY 1")
+def stream_merged_urls(spark, sf):
+    """Micro-batches appended to a table without repeats; a batch that is run again would change nothing."""
+    source, path = place(spark, "events"), place(spark, "merged")
+    rows = table(spark, sf, "events").select(F.concat(F.lit("http://x/"), F.col("user_id").cast("string")).alias("url"), "event_id")
+    rows.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = streams.merge_batches(stream, path).option("checkpointLocation", place(spark, "progress")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(path).groupBy(C.url_key(F.col("url")).alias("url_key")).agg(F.count(F.lit(1)).alias("n"))
