@@ -124,6 +124,19 @@ def test_encoding_of_odd_texts_and_round_trip(spark):
         assert decoded[r["doc_id"]] == tok.decode(want, skip_special_tokens=False)
 
 
+def test_encoding_of_random_texts(spark):
+    """Letters of many scripts, marks that compose, all kinds of white space and special tokens, in any order."""
+    from tokenizers import Tokenizer
+
+    rng, tok = random.Random(17), Tokenizer.from_file(vocabulary())
+    parts = ["a", "B", "'s", "'LL", "é", "e\u0301", "\u0301", "İ", "ǅ", "ß", "日", "本", "한", "\u1112\u1161", "ﬁ", "½", "٣", "7", "42", "<", "\u0338", "=", ".", ",,", "!?", "_", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|", "😀",
+             " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\ufeff", "Σ", "ς", "Ω", "\u212b", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_ids(frame, vocabulary(), block_words=200).collect()}
+    assert [got[i] for i in range(len(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_tree_moves_rows_only_into_changed_subtrees(spark):
     ids = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     tree = sharding.even_tree(3, 2, 4)
