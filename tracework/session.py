@@ -32,6 +32,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of fewer bytes are dealt to all cores: such a file is often one row group, which one task would read.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame, *order: str) -> DataFrame:
+    """A small table in as many partitions as there are cores, with the rows of each in order where columns are given; a
+    larger one as it is, since its files make tasks enough and its rows had better stay where they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPREAD_BYTES:
+        return df
+    dealt = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return dealt.sortWithinPartitions(*order) if order else dealt
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
