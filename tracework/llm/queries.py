@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracework.llm import bpe, chat, decontam, linedup, neardup, pii, quality, sharding, toxicity, urlfilter
-from tracework.session import table
+from tracework.session import spread, table
 
 #: The shards that op2 deals to: 3 regions of 2 racks of 4 shards.
 SHARD_TREE = sharding.even_tree(3, 2, 4)
@@ -36,8 +36,13 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str, *order: str) -> DataFrame:
+    """The whole table, dealt to all cores if it is small, then in order in each partition."""
+    return spread(table(spark, sf_dir, "documents"), *order)
+
+
 def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,30 +56,31 @@ def op3_cascade_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
+    # op4 reads its input twice and needs one order of rows
+    return bpe.encode_digests(documents(spark, sf_dir, "doc_id", "text"), vocabulary())
 
 
 def op5_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    rows = neardup.near_duplicates(documents(spark, sf_dir))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality_rules(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op7_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op8_suffix_array_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose lines, the numbers of these lines and the documents that hold the first copies."""
-    found = linedup.later_copies(table(spark, sf_dir, "documents"))
+    found = linedup.later_copies(documents(spark, sf_dir))
     return found.select(F.col("_d").alias("doc_id"), F.size("lines").alias("n_deleted"), F.col("lines").alias("deleted_lines"), F.col("first_docs").alias("first_doc_ids"))
 
 
 def op9_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return pii.find_personal_data(documents(spark, sf_dir))
 
 
 def op10_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
