@@ -130,9 +130,23 @@ def test_divergence_bounds(spark):
     assert found == {("a", "b"): pytest.approx(0), ("a", "c"): pytest.approx(1), ("b", "c"): pytest.approx(1)}
 
 
-def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    assert {r["root"] for r in linkage.connected(edges).collect()} == {0, 100}
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components(spark, few):
+    """A long chain, random graphs and names, on the cluster and in one task."""
+    import random
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101)] + [(1000 + rng.randrange(60), 1000 + rng.randrange(60)) for _ in range(45)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for a, b in edges * 2:
+        if a != b:
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if v == y else v for k, v in root.items()}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert {r["node"]: r["root"] for r in linkage.connected(frame, few=few).collect()} == root
+    names = frame.select(F.concat(F.lit("n"), F.lpad(F.col("a").cast("string"), 5, "0")).alias("a"), F.concat(F.lit("n"), F.lpad(F.col("b").cast("string"), 5, "0")).alias("b"))
+    assert {r["node"]: r["root"] for r in linkage.connected(names, few=few).collect()} == {f"n{k:05}": f"n{v:05}" for k, v in root.items()}
+    assert linkage.connected(frame.where("false"), few=few).count() == 0
 
 
 def test_candidates_leave_common_numbers_out(spark):

@@ -1,7 +1,7 @@
 """Linking records into cases and people, and values to people.
 
 Connected components run on the cluster by alternating stars over cut tables, so lineage stays short and a lost
-executor costs one round. Keys link star-shaped (each member to the least one), never in all pairs.
+executor costs one round; few edges are joined by one task. Keys link star-shaped (each member to the least one), never in all pairs.
 """
 
 from __future__ import annotations
@@ -19,17 +19,53 @@ def star_edges(members: DataFrame, record: str, *keys: str) -> DataFrame:
     return members.join(least, list(keys)).where(F.col(record) != F.col("_least")).select(F.col("_least").alias("a"), F.col(record).alias("b")).distinct()
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges(a, b) -> (node, root), root the least node of the component; only nodes with edges."""
+#: Edges that one task joins: a graph of no more is finished there, a larger one on the cluster until so few are left.
+FEW_EDGES = 1_000_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, root) of at most FEW_EDGES edges(u, v): roots of either end are hooked onto the lesser one, all edges at once,
+    until no edge joins two roots."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        names = pc.unique(pa.chunked_array([*table["u"].chunks, *table["v"].chunks]))
+        names = names.take(pc.sort_indices(names))
+        a, b = (pc.index_in(table[c], value_set=names).to_numpy() for c in "uv")
+        root = np.arange(len(names))
+        while len(a):
+            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+            while (root != (up := root[root])).any():
+                root = up
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+        yield pa.RecordBatch.from_arrays([names, names.take(pa.array(root))], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def connected(edges: DataFrame, most_rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
+    """edges(a, b) -> (node, root), root the least node of the component; only nodes with edges. With few = 0 all rounds
+    run on the cluster."""
     state = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     last = None
     for _ in range(most_rounds):
+        if few and state.limit(few + 1).count() <= few:
+            return _in_one_task(state)
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        state = cut(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        small_star = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        state = cut(small_star.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == last:
             break
