@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     prints = cut(fingerprints(docs, shingle, carry), "fingerprints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     links = cut(fingerprint_links(least.select("fp"), radius), "fingerprint-links")
-    grouped = connected(links)  # (node, root) of linked fingerprints only
+    grouped = connected(links, few=0)  # (node, root) of linked fingerprints only
     named = least.join(grouped, least["fp"] == grouped["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
