@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracework.functions import columns as C
 from tracework.operators import evidence, facets, pages, resolve
 from tracework.plans.registry import query
-from tracework.session import table
+from tracework.session import spread, table
 from tracework.sources import readers
 
 #: Cue words, a fixed vocabulary in which every expression means the same in all regular expression dialects used.
@@ -18,6 +18,12 @@ TOPIC = "(?i)(license|token|[0-9]{4})"
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+"
 IP = "[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}"
 
+
+def texts(spark, sf):
+    """The documents, dealt to all cores if they are few."""
+    return spread(table(spark, sf, "documents"))
+
+
 KEY = """rtrim(split_part(split_part(trim(url), '#', 1), '?', 1), '/') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END"""
 PARTS = """CASE WHEN strpos(split_part(trim(url), '#', 1), '?') > 0 THEN list_filter(string_split(substr(split_part(trim(url), '#', 1), strpos(split_part(trim(url), '#', 1), '?') + 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_')) ELSE [] END AS q"""
 KEYED = f"keyed AS (SELECT page_id, url, {KEY} AS key FROM (SELECT *, {PARTS} FROM pages))"
@@ -78,7 +84,7 @@ def url_modes(spark, sf):
 @query("""WITH n AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents)
 SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS k FROM n WHERE length(t) >= 80) WHERE k > 1""")
 def exact_dup_pages(spark, sf):
-    return pages.exact_copies(table(spark, sf, "documents"), "doc_id", ["doc_id"])
+    return pages.exact_copies(texts(spark, sf), "doc_id", ["doc_id"])
 
 
 LINES = "p AS (SELECT doc_id AS doc, CAST(generate_subscripts(l, 1) AS INT) AS page, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -86,7 +92,7 @@ LINES = "p AS (SELECT doc_id AS doc, CAST(generate_subscripts(l, 1) AS INT) AS p
 
 def line_pages(spark, sf):
     """Each line of a document as a page of it, from 1."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    return texts(spark, sf).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
 @query(f"""WITH {LINES}, h AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, cue ORDER BY page) AS k FROM p, (VALUES ('License'), ('[|]')) AS c(cue) WHERE regexp_matches(text, cue)),
@@ -104,24 +110,24 @@ def page_keep(spark, sf):
 @query("""SELECT doc_id, length(trim(text)) >= 80 AND NOT regexp_matches(text, '(?i)lorem ipsum') AND NOT regexp_matches(text, '(?i)all rights reserved') AND NOT regexp_matches(text, '(?i)click here')
 AND regexp_matches(text, '(?i)(license|token|[0-9]{4})') AS passes FROM documents""")
 def topic_gate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", pages.body_gate(F.col("text"), NOISE, TOPIC).alias("passes"))
+    return texts(spark, sf).select("doc_id", pages.body_gate(F.col("text"), NOISE, TOPIC).alias("passes"))
 
 
 @query("""WITH v(field, label, cue) AS (VALUES ('tone', 'insult', '(?i)(^|[^0-9A-Za-z_])(?:idiot|moron|scum|loser)([^0-9A-Za-z_]|$)'), ('license', 'apache', '(?i)(^|[^0-9A-Za-z_])(?:Apache License)([^0-9A-Za-z_]|$)'),
 ('secret', 'token', '(?i)(^|[^0-9A-Za-z_])token ='), ('markup', 'table', '[|]'))
 SELECT doc_id, field, label FROM documents, v WHERE regexp_matches(text, cue)""")
 def vocab_tags(spark, sf):
-    return pages.tagged(table(spark, sf, "documents"), VOCABULARY, "doc_id")
+    return pages.tagged(texts(spark, sf), VOCABULARY, "doc_id")
 
 
 @query(f"""SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS value FROM documents""")
 def email_values(spark, sf):
-    return pages.pattern_values(table(spark, sf, "documents"), EMAIL, "doc_id")
+    return pages.pattern_values(texts(spark, sf), EMAIL, "doc_id")
 
 
 @query(f"""SELECT doc_id, unnest(regexp_extract_all(text, '{IP}')) AS value FROM documents""")
 def ip_values(spark, sf):
-    return pages.pattern_values(table(spark, sf, "documents"), IP, "doc_id")
+    return pages.pattern_values(texts(spark, sf), IP, "doc_id")
 
 
 NUMBER = "[0-9]{9,}"
@@ -135,7 +141,7 @@ FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to
 
 @query(f"""SELECT doc_id, kind, CAST(x.s AS INT) AS "start", CAST(x.s + length(x.v) AS INT) AS "end", x.v AS value FROM ({_spans_sql('email', EMAIL)} UNION ALL {_spans_sql('ip', IP)} UNION ALL {_spans_sql('number', NUMBER)})""")
 def token_spans(spark, sf):
-    return pages.spans_of(table(spark, sf, "documents"), {"email": EMAIL, "ip": IP, "number": NUMBER}, "doc_id")
+    return pages.spans_of(texts(spark, sf), {"email": EMAIL, "ip": IP, "number": NUMBER}, "doc_id")
 
 
 SENTENCES = """sentences AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS sentence FROM documents)"""
@@ -144,14 +150,14 @@ SENTENCES = """sentences AS (SELECT doc_id, unnest(list_filter(string_split(rege
 @query(f"""WITH {SENTENCES} SELECT doc_id, count(*) AS sentences, count(*) FILTER (NOT regexp_matches(sentence, '(?i)(licensed under|all rights reserved|public license)')) AS evidence FROM sentences GROUP BY 1""")
 def evidence_sentences(spark, sf):
     """Sentences, and those that aren't boilerplate."""
-    rows = pages.sentences(table(spark, sf, "documents"), "doc_id")
+    rows = pages.sentences(texts(spark, sf), "doc_id")
     kept = evidence.not_boilerplate(F.col("sentence"), "(?i)(licensed under|all rights reserved|public license)")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.count_if(kept).alias("evidence"))
 
 
 @query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+)', '[name]@\\1', 'g'), '[0-9]{9,}', '[number]', 'g')) AS digest FROM documents""")
 def redaction(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(pages.redacted(F.col("text")), 256).alias("digest"))
+    return texts(spark, sf).select("doc_id", F.sha2(pages.redacted(F.col("text")), 256).alias("digest"))
 
 
 @query("""SELECT doc_id, 'doc-' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS content_id FROM documents""")
@@ -161,7 +167,7 @@ def content_ids(spark, sf):
 
 @query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents""")
 def tidy_texts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(C.tidy_text(F.col("text")), 256).alias("digest"))
+    return texts(spark, sf).select("doc_id", F.sha2(C.tidy_text(F.col("text")), 256).alias("digest"))
 
 
 def _html_sql() -> str:
@@ -176,7 +182,7 @@ SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> '') AS
 
 @query(_html_sql())
 def html_blocks(spark, sf):
-    return table(spark, sf, "pages").select("page_id", pages.html_text("html").alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", pages.html_text("html").alias("text"))
 
 
 @query("""SELECT quality, CASE WHEN regexp_matches(text, '[|#$%&*!]{2,}|[|]') THEN 0 ELSE 1 END AS predicted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2""")
@@ -187,7 +193,7 @@ def confusion_matrix(spark, sf):
 def _guessed(spark, sf):
     """Labelled documents with a rule of thumb for their quality."""
     guess = F.when(F.col("text").rlike("[|#$%&*!]{2,}|[|]"), 0).otherwise(1)
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("predicted", guess)
+    return texts(spark, sf).join(table(spark, sf, "labels"), "doc_id").withColumn("predicted", guess)
 
 
 @query("""WITH g AS (SELECT doc_id, lang, quality, CASE WHEN regexp_matches(text, '[|#$%&*!]{2,}|[|]') THEN 0 ELSE 1 END AS predicted FROM documents JOIN labels USING (doc_id)),
@@ -202,12 +208,12 @@ def score_f1(spark, sf):
 
 @query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def distractors(spark, sf):
-    return resolve.distractors(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), ["doc_id"])
+    return resolve.distractors(texts(spark, sf).select("doc_id"), table(spark, sf, "labels"), ["doc_id"])
 
 
 @query("""SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents ANTI JOIN labels USING (doc_id)) WHERE k <= 3""")
 def capped_misses(spark, sf):
-    return resolve.misses(table(spark, sf, "documents").select("lang", "doc_id"), table(spark, sf, "labels"), ["doc_id"], ["lang"], 3).select("lang", "doc_id")
+    return resolve.misses(texts(spark, sf).select("lang", "doc_id"), table(spark, sf, "labels"), ["doc_id"], ["lang"], 3).select("lang", "doc_id")
 
 
 CASES = """cases AS (SELECT o_orderkey AS id, o_orderpriority AS source, CAST(o_orderdate AS VARCHAR) AS start, o_custkey % 7 AS victims, [substr(o_orderpriority, 1, 1), o_orderstatus] AS platforms,
@@ -281,7 +287,7 @@ def newest_captures(spark, sf):
 @query("""SELECT doc_id AS record_id FROM documents WHERE lang = 'en' ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id LIMIT 25""")
 def seeded_sample(spark, sf):
     """A sample in a seeded order."""
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), F.col("lang").alias("kind"))
+    rows = texts(spark, sf).select(F.col("doc_id").alias("record_id"), F.col("lang").alias("kind"))
     return facets.select_records(rows, kind="en", seed=42, limit=25).select("record_id")
 
 

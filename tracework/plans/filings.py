@@ -14,7 +14,7 @@ from tracework.functions import vocabulary as V
 from tracework.operators import attribution, conduct, evidence, extractors, pages, resolve, tokens
 from tracework.operators import machine as M
 from tracework.plans.registry import query
-from tracework.session import table
+from tracework.session import spread, table
 
 
 def _case(key: str, values: list[str]) -> str:
@@ -109,7 +109,7 @@ KINDS = ["money", "date", "statute", "case_number", "duration", "party", "event"
 
 
 def filings(spark, sf):
-    return table(spark, sf, "orders").selectExpr("o_orderkey AS record_id", f"{KIND} AS kind", f"{TEXT} AS text")
+    return spread(table(spark, sf, "orders")).selectExpr("o_orderkey AS record_id", f"{KIND} AS kind", f"{TEXT} AS text")
 
 
 def found_tokens(spark, sf, *kinds: str):
@@ -224,7 +224,7 @@ ACTS = _acts_sql()
 
 
 def stories(spark, sf):
-    return table(spark, sf, "orders").selectExpr("o_orderkey AS record_id", f"{STORY} AS text", "CASE o_orderkey % 2 WHEN 0 THEN 'court' ELSE 'press' END AS kind", "concat('d', o_custkey % 3) AS domain")
+    return spread(table(spark, sf, "orders")).selectExpr("o_orderkey AS record_id", f"{STORY} AS text", "CASE o_orderkey % 2 WHEN 0 THEN 'court' ELSE 'press' END AS kind", "concat('d', o_custkey % 3) AS domain")
 
 
 def told(spark, sf):
