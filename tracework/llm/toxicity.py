@@ -39,6 +39,7 @@ TRAIN_ROWS = 4_000
 ROUNDS = 200
 THRESHOLD = 0.3
 CACHED_WORDS = 200_000
+FILES = 8
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -171,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, features:
         return Machine({}, float(np.log(odds)), np.zeros(0), np.zeros((0, 1)))
     by_crc = [F.crc32(F.col("doc_id").cast("string")), F.col("doc_id")]
     sample = known.where("toxic = 1").orderBy(*by_crc).limit(most).unionByName(known.where("toxic = 0").orderBy(*by_crc).limit(most))
-    sample = cut(sample, "training-ids")  # at most 2 x most ids
+    sample = cut(sample.coalesce(1), "training-ids")  # at most 2 x most ids
 
     def list_terms(batches):
         for batch in batches:
@@ -179,10 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, features:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "terms"])
 
     texts = whole_texts(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = cut(texts.select("toxic", "text").mapInArrow(list_terms, "toxic int, terms array<int>"), "training-rows")
+    # tables of a bounded sample, in few files
+    rows = cut(texts.select("toxic", "text").coalesce(FILES).mapInArrow(list_terms, "toxic int, terms array<int>"), "training-rows")
     sampled = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     s1, s0 = max(1, sampled.get(1, 0)), max(1, sampled.get(0, 0))
-    counted = cut(rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")), "training-terms")
+    counted = cut(rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")).coalesce(FILES), "training-terms")
     gap = F.abs((F.col("n1") + 0.5) / (s1 + 1) - (F.col("n0") + 0.5) / (s0 + 1)) / F.sqrt((F.col("n1") + F.col("n0") + 1.0) / (s1 + s0 + 1.0))
     best = [r["term"] for r in counted.orderBy(gap.desc(), "term").limit(features).collect()]
     common = [r["term"] for r in counted.orderBy(F.desc("n1"), "term").limit(PAIR_TERMS if pair_features else 0).collect()]
