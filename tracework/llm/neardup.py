@@ -30,6 +30,8 @@ from tracework.session import cut, whole_texts
 SHINGLE = 3
 RADIUS = 2
 LARGE_SHARD = 20_000
+#: Links that one task joins; more are joined on the cluster.
+FEW_LINKS = 200_000
 
 #: Byte value -> eight byte lanes, lane i being bit i.
 _LANES = np.array([sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], np.uint64)
@@ -203,7 +205,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     prints = cut(fingerprints(docs, shingle, carry), "fingerprints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     links = cut(fingerprint_links(least.select("fp"), radius), "fingerprint-links")
-    grouped = connected(links, few=0)  # (node, root) of linked fingerprints only
+    grouped = connected(links, few=FEW_LINKS)  # (node, root) of linked fingerprints only
     named = least.join(grouped, least["fp"] == grouped["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
