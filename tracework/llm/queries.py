@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracework.llm import bpe, chat, decontam, linedup, neardup, pii, quality, sharding, toxicity, urlfilter
+from tracework.llm import align, bpe, chat, decontam, golden, linedup, neardup, pii, quality, sharding, toxicity, urlfilter
 from tracework.session import spread, table
 
 #: The shards that op2 deals to: 3 regions of 2 racks of 4 shards.
@@ -89,12 +89,20 @@ def op10_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(added)))
 
 
+def op11_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.golden_records(table(spark, sf_dir, "clients"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pigeonhole_decontamination, op2_hash_tree_sharding, op3_cascade_url_filter, op4_distinct_word_bpe,
         op5_simhash_bk_trees, op6_quality_rules, op7_factorization_machine_toxicity, op8_suffix_array_line_dedup,
-        op9_crf_personal_data, op10_budgeted_chat_windows,
+        op9_crf_personal_data, op10_budgeted_chat_windows, op11_golden_records, op13_tokenizer_alignment,
     )
 }
 
@@ -175,3 +183,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(length(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars + again) AS BIGINT) AS formatted_chars FROM h GROUP BY conv_id"""
+
+
+_RECENT = "upd DESC NULLS LAST, trust, client_id NULLS LAST"
+_TRUSTED = f"stale, trust, {_RECENT}"
+_FIRST = "first({{v: {0}, c: client_id}} ORDER BY {1}) FILTER ({0} IS NOT NULL)"
+_TEXT = r"CASE WHEN regexp_matches({0}, '[^\x20\x09-\x0D]') THEN {0} END AS {0}"
+
+ORACLES["op11_golden_records"] = f"""
+WITH r AS (SELECT coalesce(master_id, client_id) AS cluster_id, client_id, epoch_us(updated_at) AS upd, coalesce(list_position({list(golden.TRUST)}, source), 99) AS trust,
+    {", ".join(map(_TEXT.format, ("name", "email", "segment", "city")))}, nation_id, CASE WHEN isfinite(balance) THEN balance END AS balance FROM clients),
+s AS (SELECT *, upd IS NULL OR upd < max(upd) OVER (PARTITION BY cluster_id) - {golden.STALE_DAYS} * 86400000000 AS stale FROM r),
+c AS (SELECT cluster_id, {_FIRST.format("segment", _RECENT + ", segment")} AS chosen FROM s GROUP BY cluster_id),
+g AS (SELECT s.cluster_id, count(*) AS n_records, CAST(count(*) FILTER (stale) AS BIGINT) AS n_stale, any_value(chosen) AS seg,
+    {_FIRST.format("name", f"length(name) DESC, {_TRUSTED}, name")} AS nam, {_FIRST.format("email", f"{_TRUSTED}, email")} AS mail,
+    {_FIRST.format("balance", f"segment IS DISTINCT FROM chosen.v, {_RECENT}, balance")} AS bal,
+    first({{city: city, nation_id: nation_id, c: client_id}} ORDER BY (city IS NULL)::INT + (nation_id IS NULL)::INT, {_TRUSTED}, city NULLS LAST, nation_id) AS adr
+  FROM s JOIN c ON s.cluster_id IS NOT DISTINCT FROM c.cluster_id GROUP BY s.cluster_id)
+SELECT cluster_id, n_records, n_stale, nam.v AS name, mail.v AS email, seg.v AS segment, adr.city AS city, adr.nation_id AS nation_id, CAST(floor(bal.v * 100 + 0.5) AS BIGINT) AS balance_cents,
+  nam.c AS name_from, mail.c AS email_from, seg.c AS segment_from, bal.c AS balance_from, CASE WHEN adr.city IS NOT NULL OR adr.nation_id IS NOT NULL THEN adr.c END AS address_from FROM g"""
