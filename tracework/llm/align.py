@@ -26,6 +26,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,40 +36,54 @@ from pyspark.sql import functions as F
 
 from tracework.session import cut, give_back, whole_texts
 
-#: Distinct parts, and their bytes, that a task keeps; the table starts anew beyond either, which changes no result.
-KEPT_PARTS = 400_000
-KEPT_BYTES = 32 << 20
+#: Distinct parts, and their bytes, that a task keeps. Beyond either, those go that the last KEPT_TURNS batches did without,
+#: or else all; this changes no result.
+KEPT_PARTS = 150_000
+KEPT_BYTES = 16 << 20
+KEPT_TURNS = 2
 #: Parts that a tokenizer gets at once.
 ENCODE_PARTS = 4_096
 #: Places where space + text is cut: before a space, unless white space or a control character stands before it.
 PART_BREAK = r"(?<=[^\s\p{Z}\p{C}])(?= )"
 
+# fixed value: how byte-level vocabularies split a text
+BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _loaded: dict[str, object] = {}
 
 
 class ByteTokens:
-    """A: a byte-level vocabulary of the tokenizers library."""
+    """A: a byte-level vocabulary of the tokenizers library. If its merges stand in the order of the ids that they make, the
+    ids are ranks, and tiktoken merges by rank to the same ids in a quarter of the time; else the library itself encodes."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         if data["normalizer"] is not None or data["pre_tokenizer"]["type"] != "ByteLevel" or not data["pre_tokenizer"]["use_regex"]:
             raise ValueError(f"{path} isn't a plain byte-level vocabulary")
-        vocab = data["model"]["vocab"]
-        letters = byte_letters()
+        vocab, letters = data["model"]["vocab"], byte_letters()
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             if all(c in letters for c in piece):
                 self.bytes[i] = bytes(letters[c] for c in piece)
+        special = {t["content"] for t in data["added_tokens"]}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
+        ranked = [vocab[a + b] for a, b in pairs] == list(range(256, 256 + len(pairs))) and sorted(map(len, self.bytes[:256])) == [1] * 256
+        plain = {k: data["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")}
+        if ranked and not any(plain.values()) and not data["model"].get("ignore_merges"):
+            import tiktoken
+
+            ranks = {self.bytes[i]: i for piece, i in vocab.items() if piece not in special}
+            encoding = tiktoken.Encoding("A", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda parts: list(map(encoding.encode_ordinary, parts))
+            return
+        from tokenizers import Tokenizer
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        tokenizer.encode_special_tokens = True
+        self.encode = lambda parts: [e.ids for e in tokenizer.encode_batch(parts, add_special_tokens=False)]
 
 
 class PieceTokens:
@@ -176,10 +191,12 @@ class Parts:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.size = 0
+        self.size = self.turn = 0
         none = np.zeros(0, np.int64)
         #: By part: whether its bytes are kept, and the numbers of bytes, tokens of A and B, and groups.
         self.kept, self.n_bytes, self.n_a, self.n_b, self.n_groups = (none.copy() for _ in range(5))
+        #: By part: the last batch that had it.
+        self.used = none.copy()
         #: One after the other: ids, and of each cut the bytes and tokens up to it, from the part's start.
         self.ids_a, self.ids_b, self.cut_byte, self.cut_a, self.cut_b = (none.copy() for _ in range(5))
         self.text = pa.array([], pa.large_string())
@@ -188,28 +205,47 @@ class Parts:
         """The numbers of the parts in a column of lists, which are learnt where they are new."""
         encoded = column.flatten().dictionary_encode()
         parts = encoded.dictionary.to_pylist()
-        if len(self.index) + len(parts) > KEPT_PARTS or self.size > KEPT_BYTES:
-            self.clear()
+        if len(self.index) > KEPT_PARTS or self.size > KEPT_BYTES:
+            self._forget()
+        self.turn += 1
         fresh = [p for p in parts if p not in self.index]
         if fresh:
             self._learn(fresh)
-        numbers = np.fromiter((self.index[p] for p in parts), np.int64, len(parts))
+        numbers = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+        self.used[numbers] = self.turn
         return numbers[encoded.indices.to_numpy(zero_copy_only=False)] if parts else np.zeros(0, np.int64)
 
+    def _forget(self) -> None:
+        own = np.flatnonzero(self.used > self.turn - KEPT_TURNS)
+        names = list(self.index)
+        held = [names[i] for i in own]
+        size = sum(len(p.encode()) for p in held)
+        if 2 * len(own) > KEPT_PARTS or 2 * size > KEPT_BYTES:
+            self.clear()
+            return
+        for ids, n in (("ids_a", self.n_a), ("ids_b", self.n_b), ("cut_byte", self.n_groups), ("cut_a", self.n_groups), ("cut_b", self.n_groups)):
+            setattr(self, ids, _gather(getattr(self, ids), np.cumsum(n) - n, n, own))
+        for name in ("kept", "n_bytes", "n_a", "n_b", "n_groups", "used"):
+            setattr(self, name, getattr(self, name)[own])
+        self.text = self.text.take(pa.array(own))
+        self.index, self.size = {p: i for i, p in enumerate(held)}, size
+
     def _learn(self, fresh: list[str]) -> None:
         for at in range(0, len(fresh), ENCODE_PARTS):
             parts = fresh[at : at + ENCODE_PARTS]
             ids_a, ids_b = self.a.encode(parts), self.b.encode(parts)
             raw = [p.encode() for p in parts]
-            kept = [all(b"".join([t.bytes[i] for i in ids]) == p for t, ids in ((self.a, x), (self.b, y))) for p, x, y in zip(raw, ids_a, ids_b, strict=True)]
-            ids_a, ids_b = ([x if k else [] for x, k in zip(ids, kept, strict=True)] for ids in (ids_a, ids_b))
+            known_a, known_b = self.a.bytes, self.b.bytes
+            kept = [b"".join([known_a[i] for i in x]) == p and b"".join([known_b[i] for i in y]) == p for p, x, y in zip(raw, ids_a, ids_b, strict=True)]
+            if not all(kept):
+                ids_a, ids_b = ([x if k else [] for x, k in zip(ids, kept, strict=True)] for ids in (ids_a, ids_b))
             self._add(np.array([len(p) if k else 0 for p, k in zip(raw, kept, strict=True)], np.int64), ids_a, ids_b, np.array(kept, np.int64))
             self.index |= {p: len(self.index) + i for i, p in enumerate(parts)}
             self.size += sum(map(len, raw))
 
     def _add(self, n_bytes: np.ndarray, ids_a: list[list[int]], ids_b: list[list[int]], kept: np.ndarray) -> None:
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter((i for x in y for i in x), np.int64, n.sum()) for y, n in ((ids_a, n_a), (ids_b, n_b)))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(y), np.int64, n.sum()) for y, n in ((ids_a, n_a), (ids_b, n_b)))
         cuts, upto_a, upto_b = shared_cuts(self.length_a[flat_a], self.length_b[flat_b])
         ends = np.cumsum(n_bytes)
         owner = np.searchsorted(ends, cuts, "right")
@@ -219,6 +255,7 @@ class Parts:
         text = pc.binary_join(pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(groups)], each), pa.scalar(";", pa.large_string()))
         self.text = pa.concat_arrays([self.text, text])
         base_a, base_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        self.used = np.concatenate([self.used, np.full(len(n_bytes), self.turn, np.int64)])
         new = (kept, n_bytes, n_a, n_b, groups, flat_a, flat_b, cuts + 1 - (ends - n_bytes)[owner], upto_a - base_a[owner], upto_b - base_b[owner])
         for name, values in zip(("kept", "n_bytes", "n_a", "n_b", "n_groups", "ids_a", "ids_b", "cut_byte", "cut_a", "cut_b"), new, strict=True):
             setattr(self, name, np.concatenate([getattr(self, name), values]))
