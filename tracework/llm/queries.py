@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracework.llm import align, bpe, chat, decontam, golden, linedup, neardup, pii, quality, sharding, toxicity, urlfilter
+from tracework.llm import align, bpe, chat, decontam, golden, linedup, neardup, pii, quality, sharding, toxicity, urlfilter, wrappers
 from tracework.session import spread, table
 
 #: The shards that op2 deals to: 3 regions of 2 racks of 4 shards.
@@ -93,6 +93,10 @@ def op11_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden.golden_records(table(spark, sf_dir, "clients"))
 
 
+def op12_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(spread(table(spark, sf_dir, "pages")))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
@@ -102,7 +106,8 @@ QUERIES = {
     for f in (
         op1_pigeonhole_decontamination, op2_hash_tree_sharding, op3_cascade_url_filter, op4_distinct_word_bpe,
         op5_simhash_bk_trees, op6_quality_rules, op7_factorization_machine_toxicity, op8_suffix_array_line_dedup,
-        op9_crf_personal_data, op10_budgeted_chat_windows, op11_golden_records, op13_tokenizer_alignment,
+        op9_crf_personal_data, op10_budgeted_chat_windows, op11_golden_records, op12_html_wrappers,
+        op13_tokenizer_alignment,
     )
 }
 
