@@ -1,10 +1,12 @@
 """Discovery, alignment and decision analyses on small invented logs."""
 
+import heapq
 import random
 from collections import Counter
 
 import pytest
 
+from tracework.operators import automaton
 from tracework.operators import decision as D
 from tracework.operators import process as P
 
@@ -139,6 +141,79 @@ def test_parts_of_the_strongest_path():
     assert D.goal_rewards("sextortion") == {"CoercionCycle": 10.0} and D.goal_rewards("other") == {"Maintenance": 10.0}
 
 
+def first_moves(tree):
+    """(activity or None, what is left) of each move that a tree allows first: its meaning, step by step."""
+    if tree[0] == "act":
+        return [(tree[1], P.TAU)]
+    if tree[0] == "xor":
+        return [(None, t) for t in tree[1:]]
+    if tree[0] == "loop":
+        return [(None, what_is_left("seq", tree[1], ("xor", P.TAU, *[what_is_left("seq", t, tree) for t in tree[2:]])))]
+    if tree == P.TAU:
+        return []
+    kind, parts, out = tree[0], tree[1:], []
+    for i, t in enumerate(parts if kind == "par" else parts[:1]):
+        if t == P.TAU:
+            out.append((None, what_is_left(kind, *parts[:i], *parts[i + 1 :])))
+        out += [(name, what_is_left(kind, *parts[:i], rest, *parts[i + 1 :])) for name, rest in first_moves(t)]
+    return out
+
+
+def what_is_left(kind, *parts):
+    parts = [p for p in parts if p != P.TAU]
+    return P.TAU if not parts else parts[0] if len(parts) == 1 else (kind, *parts)
+
+
+def searched(trace, tree):
+    """The cheapest alignment by a search over what is left of the trace and of the tree."""
+    open_, seen, order = [(0, 0, 0, 0, tree)], set(), 0
+    while open_:
+        cost, alone, at, _, left = heapq.heappop(open_)
+        at = -at
+        if (at, left) in seen:
+            continue
+        seen.add((at, left))
+        if at == len(trace) and left == P.TAU:
+            return cost, len(trace) + cost - 2 * alone
+        steps = [(cost + 1, alone + 1, at + 1, left)] if at < len(trace) else []
+        for name, rest in first_moves(left):
+            steps.append((cost + (name is not None), alone, at, rest))
+            if at < len(trace) and trace[at] == name:
+                steps.append((cost, alone, at + 1, rest))
+        for c, s, i, rest in steps:
+            order -= 1
+            heapq.heappush(open_, (c, s, -i, order, rest))
+    raise AssertionError("a tree has a word")
+
+
+def random_tree(rng, depth):
+    if not depth or rng.random() < 0.2:
+        return P.TAU if rng.random() < 0.2 else ("act", rng.choice("abcd"))
+    kind = rng.choice(["seq", "xor", "par", "loop"])
+    return (kind, *[random_tree(rng, depth - 1) for _ in range(rng.randint(2, 3))])
+
+
+@pytest.mark.parametrize("dense", [automaton.DENSE_STATES, 0])
+def test_alignments_by_automaton_equal_the_search(monkeypatch, dense):
+    monkeypatch.setattr(automaton, "DENSE_STATES", dense)
+    rng = random.Random(31)
+    for _ in range(120):
+        tree = random_tree(rng, rng.randint(1, 3))
+        aligner = automaton.Aligner(automaton.compiled(tree))
+        for _ in range(6):  # one aligner for all: what traces share is kept
+            trace = tuple(rng.choices("abcdx", k=rng.randint(0, 7)))
+            assert aligner.align(trace) == searched(trace, tree), (trace, tree)
+
+
+def test_automata_are_small():
+    states = lambda tree: len(automaton.compiled(tree).moves)
+    acts = [("act", f"step {i}") for i in range(10)]
+    assert states(("loop", ("xor", *acts), P.TAU)) == 2 and states(("par", *acts[:6])) == 64 and states(("seq", *acts)) == 11
+    assert automaton.Aligner(automaton.compiled(("par", *acts))).align(tuple(f"step {9 - i}" for i in range(9))) == (1, 10)
+    with pytest.raises(automaton.TooManyStates):
+        automaton.compiled(("par", *[("act", f"step {i}") for i in range(14)]))
+
+
 def test_tree_alignment_takes_the_whole_language():
     tree = ("seq", ("act", "a"), ("par", ("act", "b"), ("xor", P.TAU, ("act", "c"))), ("loop", ("act", "d"), ("act", "e")))
     words = P.language(tree, loops=4)

@@ -10,12 +10,13 @@ directly-follows graph, split the log along it and go on; where no cut fits, a f
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracework.operators import automaton
+
 VARIANTS = 100_000
 TAU = ("tau",)
 
@@ -267,70 +268,28 @@ def align(variants: DataFrame, allowed: list) -> DataFrame:
     return variants.select("variant", "n").mapInPandas(run, "variant string, n long, cost long, fitness double")
 
 
-def _moves(tree: tuple) -> list[tuple[str | None, tuple]]:
-    """(activity or None for a silent move, what is left of the tree) of each move a tree allows first."""
-    if tree == TAU:
-        return []
-    if tree[0] == "act":
-        return [(tree[1], TAU)]
-    if tree[0] == "xor":
-        return [(None, t) for t in tree[1:]]
-    if tree[0] == "loop":
-        again = [("seq", t, tree) for t in tree[2:]]
-        return [(None, ("seq", tree[1], ("xor", TAU, *again)))]
-    out = []
-    for i, t in enumerate(tree[1:]) if tree[0] == "par" else [(0, tree[1])]:
-        for name, rest in _moves(t):
-            parts = [*tree[1 : i + 1], *([] if rest == TAU else [rest]), *tree[i + 2 :]]
-            out.append((name, (tree[0], *parts) if len(parts) > 1 else parts[0] if parts else TAU))
-    if tree[1] == TAU or tree[0] == "par" and TAU in tree[1:]:  # a child that is over leaves silently
-        parts = [t for t in tree[1:] if t != TAU] if tree[0] == "par" else list(tree[2:])
-        out.append((None, (tree[0], *parts) if len(parts) > 1 else parts[0] if parts else TAU))
-    return out
-
-
-def tree_alignment(trace: tuple[str, ...], tree: tuple, moves: dict | None = None) -> tuple[int, int]:
+def tree_alignment(trace: tuple[str, ...], tree: tuple) -> tuple[int, int]:
     """(cost, length of the tree's word) of the cheapest alignment with any word of the tree, loops gone round at will;
     of equally cheap ones, the longest word."""
-    moves = {} if moves is None else moves
-    # by cost, then by moves of the trace alone: of equally cheap ones, fewer of these make a longer word
-    open_, seen, order = [(0, 0, 0, 0, tree)], set(), 0
-    while open_:
-        cost, alone, at, _, left = heapq.heappop(open_)
-        at = -at
-        if (at, left) in seen:
-            continue
-        seen.add((at, left))
-        if at == len(trace) and left == TAU:
-            return cost, len(trace) + cost - 2 * alone
-        if left not in moves:
-            moves[left] = _moves(left)
-        steps = [(cost + 1, alone + 1, at + 1, left)] if at < len(trace) else []
-        for name, rest in moves[left]:
-            if name is None:
-                steps.append((cost, alone, at, rest))
-            else:
-                steps.append((cost + 1, alone, at, rest))
-                if at < len(trace) and trace[at] == name:
-                    steps.append((cost, alone, at + 1, rest))
-        for c, s, i, rest in steps:
-            order -= 1  # ties: furthest along the trace first, then the newest
-            heapq.heappush(open_, (c, s, -i, order, rest))
-    raise ValueError("a tree has a word")
+    return automaton.Aligner(automaton.compiled(tree)).align(trace)
 
 
 def align_tree(variants: DataFrame, tree: tuple) -> DataFrame:
-    """(variant, n, cost, fitness) against the whole language of a tree."""
+    """(variant, n, cost, fitness) against the whole language of a tree, compiled once. Tasks get ranges of variants in
+    order, so that those with a common beginning meet."""
+    model = automaton.compiled(tree)
+    cores = variants.sparkSession.sparkContext.defaultParallelism
 
     def run(batches):
-        moves: dict = {}
+        aligner = automaton.Aligner(model)
         for pdf in batches:
             traces = [tuple(text.split(">")) if text else () for text in pdf["variant"]]
-            best = [tree_alignment(t, tree, moves) for t in traces]
+            best = [aligner.align(t) for t in traces]
             fit = [round(fitness(c, len(t), k), 6) for t, (c, k) in zip(traces, best, strict=True)]
             yield pdf[["variant", "n"]].assign(cost=[c for c, _ in best], fitness=fit)
 
-    return variants.select("variant", "n").mapInPandas(run, "variant string, n long, cost long, fitness double")
+    ordered = variants.select("variant", "n").repartitionByRange(cores, "variant").sortWithinPartitions("variant")
+    return ordered.mapInPandas(run, "variant string, n long, cost long, fitness double")
 
 
 def log_fitness(aligned: DataFrame) -> DataFrame:
