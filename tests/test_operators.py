@@ -61,6 +61,16 @@ def test_html_blocks():
     assert pages.blocks_of("<p><b>A<br><p>B &amp; b</p><p>C</p></div></b>") == "A B & b C\n\nB & b\n\nC"  # what isn't closed goes on
 
 
+def test_html_blocks_at_any_depth():
+    """A hundred thousand elements inside each other, closed or not, cost neither the stack nor the square of the time."""
+    for tag in ("div", "li", "td", "b"):
+        assert pages.blocks_of(f"<{tag}>" * 100_000 + "deep") == "deep" and pages.blocks_of(f"<{tag}>" * 50_000 + "<p>deep</p>" + f"</{tag}>" * 50_000) == "deep"
+    assert pages.blocks_of("<div></b>" * 100_000 + "x</nothing>y") == "xy"
+    assert pages.blocks_of("<p>" * 1_500 + "one") == "\n\n".join(["one"] * 1_500)
+    assert pages.blocks_of("<table>" + "<tr><td>a<td>b" * 3 + "</table>") == "a b a b a b | b a b a b | a b a b | b a b | a b | b"
+    assert pages.blocks_of("<table><tr><td>a</td></tr></table>" * 20_000).count("\n\n") == 19_999
+
+
 def test_profiles(spark):
     profiles = spark.createDataFrame([("common", [], 0), ("x", ["d"], 1), ("y", ["e"], 2)], "profile string, domains array<string>, ord int")
     records = spark.createDataFrame([("a", "d"), ("b", "none"), ("c", None)], "record_id string, domain string")

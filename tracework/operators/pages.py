@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 from html.parser import HTMLParser
 
@@ -20,88 +21,103 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 
 
 class _Element:
-    __slots__ = ("tag", "inside", "parts")
+    """A paragraph, row or cell: where its pieces of text begin and end, and the elements that begin inside of it."""
 
-    def __init__(self, tag: str, inside: frozenset[str]) -> None:
-        self.tag, self.inside, self.parts = tag, inside, []
+    __slots__ = ("tag", "first", "last", "next", "in_table", "in_row")
 
-    def strings(self):
-        """Texts in order, trimmed, blank ones left out."""
-        for part in self.parts:
-            if isinstance(part, _Element):
-                yield from part.strings()
-            elif part.strip():
-                yield part.strip()
+    def __init__(self, tag: str, first: int, in_table: bool, in_row: bool) -> None:
+        self.tag, self.first, self.in_table, self.in_row = tag, first, in_table, in_row
+        self.last = self.next = -1
 
-    def all(self, *tags: str):
-        """Elements of some tags below, in the order in which they begin."""
-        for part in self.parts:
-            if isinstance(part, _Element):
-                if part.tag in tags:
-                    yield part
-                yield from part.all(*tags)
 
-
-class _Tree(HTMLParser):
+class _Elements(HTMLParser):
     """Elements as they stand: what isn't closed lasts until something around it is. Scripts, styles and comments are no
-    text, but part the texts around them."""
+    text, but part the texts around them. Pieces of text are kept once, in order, whatever the depth of elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = _Element("", frozenset())
-        self.open = [self.root]
+        self.pieces: list[str] = []
+        self.parted = True
+        self.found: list[_Element] = []
+        self.open: list[tuple[str, _Element | None]] = []
+        self.count: Counter[str] = Counter()
         self.silent = ""
 
+    def _begins(self, tag: str) -> _Element | None:
+        self.parted = True
+        if tag not in ("p", "tr", "td", "th"):
+            return None
+        element = _Element(tag, len(self.pieces), self.count["table"] > 0, self.count["tr"] > 0)
+        self.found.append(element)
+        return element
+
+    def _ends(self, element: _Element | None) -> None:
+        self.parted = True
+        if element is not None:
+            element.last, element.next = len(self.pieces), len(self.found)
+
     def handle_starttag(self, tag, attrs):
-        top = self.open[-1]
-        element = _Element(tag, top.inside | {top.tag})
-        top.parts.append(element)
+        element = self._begins(tag)
         if tag in ("script", "style"):
             self.silent = tag
         elif tag not in _VOID:
-            self.open.append(element)
+            self.open.append((tag, element))
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        top = self.open[-1]
-        top.parts.append(_Element(tag, top.inside | {top.tag}))
+        self._ends(self._begins(tag))
+
+    def _pop(self) -> str:
+        tag, element = self.open.pop()
+        self.count[tag] -= 1
+        self._ends(element)
+        return tag
 
     def handle_endtag(self, tag):
         if tag == self.silent:
             self.silent = ""
-        elif any(e.tag == tag for e in self.open[1:]):
-            while self.open.pop().tag != tag:
+        elif self.count[tag]:
+            while self._pop() != tag:
                 pass
 
+    def close(self):
+        super().close()
+        while self.open:
+            self._pop()
+
     def handle_data(self, data):
         if not self.silent:
-            parts = self.open[-1].parts
-            if parts and isinstance(parts[-1], str):
-                parts[-1] += data
+            if self.parted:
+                self.pieces.append(data)
             else:
-                parts.append(data)
+                self.pieces[-1] += data
+            self.parted = False
 
     def handle_comment(self, data):
-        self.open[-1].parts.append(_Element("#", frozenset()))
-
+        self.parted = True
 
-def _folded(strings) -> str:
-    return " ".join(" ".join(strings).split())
+    def text(self, element: _Element) -> str:
+        return " ".join(" ".join(self.pieces[element.first : element.last]).split())
 
 
 def blocks_of(html: str | None) -> str:
     """The blocks of a page, one empty line between: paragraphs outside of tables, and the rows of tables that aren't
     inside other rows, as their cells that have text, joined by bars. White space, line breaks too, is folded. A page
-    without blocks is its whole text, a line for each piece."""
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
+    without blocks is its whole text, a line for each piece. Any depth of elements is read without recursion; a paragraph
+    that isn't closed has all that follows inside of what stands around it, so n of them make n * n / 2 pieces."""
+    page = _Elements()
+    page.feed(html or "")
+    page.close()
     blocks = []
-    for e in tree.root.all("p", "tr"):
-        if e.tag == "tr" and "tr" not in e.inside:
-            blocks.append(" | ".join(c for c in (_folded(cell.strings()) for cell in e.all("td", "th")) if c))
-        elif e.tag == "p" and "table" not in e.inside:
-            blocks.append(_folded(e.strings()))
-    return "\n\n".join(b for b in blocks if b) or re.sub(r"\n{3,}", "\n\n", "\n".join(tree.root.strings())).strip()
+    for i, e in enumerate(page.found):
+        if e.tag == "tr" and not e.in_row:
+            cells = [page.text(c) for c in page.found[i + 1 : e.next] if c.tag in ("td", "th")]
+            blocks.append(" | ".join(c for c in cells if c))
+        elif e.tag == "p" and not e.in_table:
+            blocks.append(page.text(e))
+    if not any(blocks):
+        return re.sub(r"\n{3,}", "\n\n", "\n".join(t for t in map(str.strip, page.pieces) if t)).strip()
+    return "\n\n".join(b for b in blocks if b)
 
 
 @F.pandas_udf(T.StringType())
