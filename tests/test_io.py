@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracework.operators import sequences as S
-from tracework.sources import readers, sinks
+from tracework.sources import ranges, readers, sinks
 from tracework.streaming import streams
 
 
@@ -83,6 +83,57 @@ def test_exports(spark, sf):
     assert sinks.markdown_table(spark.createDataFrame([("a|b", 1)], "x string, n int")).splitlines()[-1] == "| a\\|b | 1 |"
 
 
+def test_an_event_document_is_json_with_equal_rows(spark):
+    rows = [(1, "u", "view", "2024-01-01 00:00:00")] * 3 + [(0, "t", "buy", "2024-01-01 00:00:00"), (2, "u", "buy", None)]
+    log = spark.createDataFrame(rows, "event_id long, trace string, activity string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    document = json.loads("\n".join(r["value"] for r in sinks.ocel_document(log).orderBy("ord").collect()))
+    assert [e["id"] for e in document["events"]] == ["0", "1", "1", "1"] and [o["id"] for o in document["objects"]] == ["t", "u"]
+    table = sinks.markdown_table(spark.range(7), most=5).splitlines()
+    assert len(table) == 9 and table[-1] == "More than 5 rows; the first 5 are shown."
+
+
+def odd_lines(n):
+    return ["", "é" * 3, '{"body": "x"}', " " * 5, "y" * 20_000, "\r", *[json.dumps({"id": i, "body": "ü" * (i % 90)}, ensure_ascii=False) for i in range(n)], "no end"]
+
+
+def test_lines_by_offset(spark, tmp_path):
+    """Every line of several files, at its offset, blocks of any size; and bytes in proportion to the lines asked for."""
+    lines, places = odd_lines(3_000), []
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_bytes("\n".join(lines).encode())
+    conf = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        found = ranges.indexed_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", conf)
+    at = 0
+    for line in lines:
+        places.append((at, line))
+        at += len(line.encode()) + 1
+    for name in ("a.txt", "b.txt"):
+        assert sorted((r["offset"], r["line"]) for r in found if r["file"].endswith(name)) == places
+    index = spark.createDataFrame([(r["file"], r["offset"], r["line"]) for r in found] + [(found[0]["file"], 10**9, None), (None, 3, None), (found[0]["file"], None, None), (found[0]["file"], -1, None)], "file string, offset long, want string")
+    got = ranges.lines_at(index.unionByName(index.limit(500)), partitions=3).collect()
+    assert len(got) == len(found) + 504 and all(r["line"] == r["want"] for r in got)
+    whole = sum(len(line.encode()) + 1 for line in lines)
+    assert sum(r["bytes_read"] for r in got) < 2 * 1.3 * whole + 8 * ranges.BLOCK
+    few = ranges.lines_at(index.where("offset % 31 = 0 AND offset < 90000 AND offset > 25000 AND want IS NOT NULL"), partitions=2).collect()
+    assert few and sum(r["bytes_read"] for r in few) <= 2 * ranges.BLOCK * len(few)
+    plan = ranges.lines_at(index)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "binaryFile" not in plan
+
+
+def test_texts_by_index(spark, tmp_path, monkeypatch):
+    (tmp_path / "r.jsonl").write_text('{"body": "é"}\n{"body": 3}\nbroken\n{"title": "none"}\n', encoding="utf-8")
+    lines = ranges.indexed_lines(spark, str(tmp_path / "r.jsonl"))
+    index = lines.select(F.col("offset").alias("record_id"), "file", "offset").unionByName(spark.createDataFrame([(99, None, None)], "record_id long, file string, offset long"))
+    want = {0: "é", 15: "3", 27: None, 34: None}
+    assert {r["record_id"]: r["text"] for r in readers.texts_at(index).collect()} == want
+    monkeypatch.setattr(ranges, "SCHEMES", ("hdfs",))  # as for a store that only Spark opens
+    assert {r["record_id"]: r["text"] for r in readers.texts_at(index).collect()} == want
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from tracework.operators import sequences as S
 from tracework.plans.registry import query
 from tracework.plans.sequences import LOG, log
 from tracework.session import table, work_dir
-from tracework.sources import cache, readers, sinks
+from tracework.sources import cache, ranges, readers, sinks
 from tracework.streaming import streams
 
 
@@ -57,13 +57,12 @@ def jsonl_scan(spark, sf):
 
 @query("SELECT 'press' AS lookup, count(*) AS n FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'wayback', count(*) FROM pages WHERE page_id % 2 = 1")
 def lookup_union(spark, sf):
-    """Two of the six lookups are there."""
+    """Two of the six lookups are there, each a folder of parts by the file's name."""
     folder = place(spark, "lookups")
     rows = lookup_rows(spark, sf)
     number = F.substring("title", 6, 20).cast("long")
     for kind, rest in (("press", 0), ("wayback", 1)):
-        found = rows.where(number % 2 == rest).select(F.to_json(F.struct("*")).alias("value")).agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("v")).first()["v"]  # a small lookup
-        one_file(spark, found, readers.LOOKUP_FILES[kind], folder)
+        rows.where(number % 2 == rest).select(F.to_json(F.struct("*"))).write.text(f"{folder}/{readers.LOOKUP_FILES[kind]}")
     return readers.read_lookups(spark, folder).groupBy("lookup").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -79,19 +78,14 @@ def tolerant_json(spark, sf):
     return readers.read_jsonl_tolerant(spark, folder, readers.LOOKUP).select("title")
 
 
-@query("SELECT n_nationkey AS record_id, CASE WHEN n_nationkey < 20 THEN n_name || ' é ' || n_regionkey END AS text FROM nation")
+@query("SELECT doc_id AS record_id, url || ' é ' || length(html) AS text FROM documents LEFT JOIN pages ON page_id = doc_id")
 def corpus_texts(spark, sf):
-    """Texts by an index of files and offsets; the last records have none."""
-    rows = table(spark, sf, "nation").where("n_nationkey < 20").select("n_nationkey", F.concat("n_name", F.lit(" é "), F.col("n_regionkey").cast("string"))).orderBy("n_nationkey").collect()  # a dimension
-    lines, entries, at = [], [], 0
-    for r in rows:
-        line = json.dumps({"title": r[0], "body": r[1]}, ensure_ascii=False)
-        entries.append((r[0], at))
-        lines.append(line)
-        at += len(line.encode()) + 1
-    path = one_file(spark, "\n".join(lines) + "\n", "rows.jsonl")
-    offsets = spark.createDataFrame(entries, f"record_id {table(spark, sf, 'nation').schema['n_nationkey'].dataType.simpleString()}, offset int").withColumn("file", F.lit(path))
-    index = table(spark, sf, "nation").select(F.col("n_nationkey").alias("record_id")).join(offsets, "record_id", "left")
+    """Texts by an index of files and offsets, each read by its range; documents without a page have none."""
+    rows = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.concat("url", F.lit(" é "), F.length("html").cast("string")).alias("body"), F.substring("html", 1, 2_000).alias("rest"))
+    path = written(rows.repartition(4, "id").select(F.to_json(F.struct("*"))), "rows")
+    lines = ranges.indexed_lines(spark, path)
+    places = lines.select(F.get_json_object("line", "$.id").cast("long").alias("record_id"), "file", "offset")
+    index = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id")).join(places, "record_id", "left")
     return readers.corpus(index, readers.texts_at(index)).select("record_id", "text")
 
 
@@ -280,11 +274,16 @@ def trajectory_lines(spark, sf):
 def ocel_parts(spark, sf):
     """The event log as one OCEL 2.0 document, read as JSON."""
     lines = sinks.ocel_document(log(spark, sf))
-    whole = lines.orderBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), "\n").alias("value"))
-    named = "array<struct<name:string>>"
-    doc = whole.select(F.from_json("value", f"events array<struct<type:string>>, objects array<struct<id:string>>, eventTypes {named}, objectTypes {named}").alias("d")).select("d.*")
-    part = lambda name, field: doc.select(F.lit(name).alias("part"), F.size(name).cast("long").alias("n"), F.array_min(F.transform(name, lambda x: x[field])).alias("first"))
-    return part("events", "type").unionByName(part("objects", "id")).unionByName(part("eventTypes", "name")).unionByName(part("objectTypes", "name"))
+    path = place(spark, "ocel")
+    lines.orderBy("ord").select("value").write.text(path)
+    # the parts of a whole file, in order: a line that opens a part begins it
+    read = ranges.indexed_lines(spark, path).withColumn("opens", F.regexp_extract("line", '^(?:\\{|\\],)"([A-Za-z]+)":\\[$', 1))
+    begun = read.where("opens <> ''").select(F.col("opens").alias("part"), F.struct("file", "offset").alias("begin"))
+    bounds = begun.withColumn("end", F.lead("begin").over(Window.orderBy("begin")))  # four rows
+    inside = (F.struct("file", "offset") > F.col("begin")) & (F.col("end").isNull() | (F.struct("file", "offset") < F.col("end")))
+    rows = read.where("opens = '' AND line <> ']}'").join(F.broadcast(bounds), inside).select("part", F.from_json(F.regexp_replace("line", ",$", ""), "type string, id string, name string").alias("r"))
+    value = F.when(F.col("part") == "events", F.col("r.type")).when(F.col("part") == "objects", F.col("r.id")).otherwise(F.col("r.name"))
+    return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("first"))
 
 
 @query("""WITH r AS (SELECT '| ' || r_name || ' | ' || r_regionkey || ' |' AS line, r_name FROM region) SELECT line FROM r UNION ALL SELECT '| name | key |' UNION ALL SELECT '| --- | --- |'""")

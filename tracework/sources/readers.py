@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracework.sources import ranges
+
 LOOKUP = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "domain", "agency", "title", "pub_date", "source_url", "nhsr")])
 
 WALK = T.StructType(
@@ -28,7 +30,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType)
     paths = [p for p in ([path] if isinstance(path, str) else path) if exists(spark, p)]
     if not paths:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("source_file", T.StringType())]))
-    lines = spark.read.text(paths).select(F.trim("value").alias("value"), F.col("_metadata.file_name").alias("source_file")).where("value <> ''")
+    # a table of lines may be a folder of parts under the file's name
+    named = F.coalesce(F.nullif(F.regexp_extract("_metadata.file_path", r"([^/]+\.jsonl)/[^/]*$", 1), F.lit("")), F.col("_metadata.file_name"))
+    lines = spark.read.text(paths).select(F.trim("value").alias("value"), named.alias("source_file")).where("value <> ''")
     parsed = lines.withColumn("v", F.try_parse_json("value"))
     checked = parsed.withColumn("v", F.when(F.col("v").isNotNull(), F.col("v")).otherwise(F.raise_error(F.concat(F.lit("malformed line in "), F.col("source_file")))))
     objects = checked.where(F.schema_of_variant("v").startswith("OBJECT"))
@@ -73,17 +77,15 @@ def corpus(index: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def texts_at(index: DataFrame, field: str = "body") -> DataFrame:
-    """(record_id, text) of index(record_id, file, offset): a field of the JSON line that begins at a byte of a file. Each
-    file that the index names is read once."""
-    spark = index.sparkSession
+    """(record_id, text) of index(record_id, file, offset): a field of the JSON line that begins at a byte of a file. Lines
+    are read by range; where files stand in a store that only Spark opens, they are read through once, and joined by
+    their offsets."""
     places = index.where("file IS NOT NULL").select("record_id", "file", "offset")
+    text = F.get_json_object("line", f"$.{field}").alias("text")
+    if ranges.readable(places):
+        return ranges.lines_at(places).select("record_id", text)
     files = [r["file"] for r in places.select("file").distinct().collect()]  # the collector's files, not records
-    if not files:
-        return spark.createDataFrame([], T.StructType([index.schema["record_id"], T.StructField("text", T.StringType())]))
-    held = spark.read.format("binaryFile").load(files).select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "content")
-    met = places.withColumn("file", F.regexp_replace("file", "^file:/+", "/")).join(held, "file")
-    line = F.substring_index(F.decode(F.substr("content", (F.col("offset") + 1).cast("int")), "UTF-8"), "\n", 1)
-    return met.select("record_id", F.get_json_object(line, f"$.{field}").alias("text"))
+    return places.join(ranges.indexed_lines(index.sparkSession, files), ["file", "offset"]).select("record_id", text)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -60,10 +60,11 @@ def turtle(triples: DataFrame) -> DataFrame:
 
 
 def markdown_table(rows: DataFrame, most: int = 500) -> str:
-    """A small table as Markdown; `most` rows at most, by the columns' order."""
+    """A small table as Markdown, by the columns' order. Of a larger one the first `most` rows and a line that says so."""
     shown = rows.select(*[markdown_escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in rows.columns])
-    body = ["| " + " | ".join(r) + " |" for r in shown.orderBy(*shown.columns).limit(most).collect()]
-    return "\n".join(["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns), *body])
+    body = ["| " + " | ".join(r) + " |" for r in shown.orderBy(*shown.columns).limit(most + 1).collect()]
+    more = [f"\nMore than {most} rows; the first {most} are shown."] if len(body) > most else []
+    return "\n".join(["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns), *body[:most], *more])
 
 
 def outcomes(rows: DataFrame, error: Column) -> DataFrame:
@@ -81,9 +82,11 @@ def ocel_document(log: DataFrame) -> DataFrame:
     kind = log.sparkSession.createDataFrame([('{"name":"case","attributes":[]}',)], "value string")
     parts = [("eventTypes", types), ("objectTypes", kind), ("objects", objects), ("events", ocel_events(log))]
     every = reduce(DataFrame.unionByName, [rows(i, df) for i, (_, df) in enumerate(parts)])
-    # a comma after every row but the last of its part
+    # equal rows stand together; a comma after every row but the last of its part
+    every = every.groupBy("part", "value").agg(F.count(F.lit(1)).cast("int").alias("n"))
     last = every.groupBy("part").agg(F.max("value").alias("_last"))
-    lines = every.join(F.broadcast(last), "part").select("part", F.lit(1).alias("sub"), "value", F.concat("value", F.when(F.col("value") == F.col("_last"), "").otherwise(",")).alias("line"))
+    copies = F.array_join(F.array_repeat("value", F.col("n")), ",\n")
+    lines = every.join(F.broadcast(last), "part").select("part", F.lit(1).alias("sub"), "value", F.concat(copies, F.when(F.col("value") == F.col("_last"), "").otherwise(",")).alias("line"))
     names = [name for name, _ in parts]
     frame = [(i, 0, "", ("{" if i == 0 else "],") + f'"{n}":[') for i, n in enumerate(names)] + [(len(names), 0, "", "]}")]
     marks = log.sparkSession.createDataFrame(frame, "part int, sub int, value string, line string")
