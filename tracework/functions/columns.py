@@ -140,34 +140,42 @@ NO_FRAGMENT = "(?i)^(\\(|\u2014|\u2013|FOR\\s+IMMEDIATE|CONTACT\\s*:|###)"
 SPACED_LINES, FRAGMENT_CHARS = 2, 280
 
 
-def _spaced(url: Column, line: Column, chain: Column) -> Column:
-    """What a line with blanks adds to a url, or null: only after a dated tail, or in a chain of such lines."""
-    trimmed, bare = F.trim(line), F.rtrim(url, F.lit("/"))
-    folded = F.regexp_replace(trimmed, "\\s+", " ")
-    piece = F.when(F.lower(folded).endswith(".pdf"), folded).otherwise(F.regexp_replace(folded, "[.,;]+$", ""))
-    fits = (
-        (trimmed != "") & ~trimmed.rlike(URL_FRAGMENT) & (F.length(trimmed) <= FRAGMENT_CHARS) & ~trimmed.rlike(NO_FRAGMENT) & trimmed.rlike(SPACED_FRAGMENT)
-        & (F.length(trimmed) - F.length(F.replace(trimmed, F.lit("."))) <= 2)
-        & ~F.lower(bare).endswith(".pdf") & (bare.rlike(DATED_TAIL) | (chain & ~F.lower(url).endswith(".pdf")))
-    )
-    return F.when(fits, F.concat(F.lit(" "), piece))
+def line_class(line: Column) -> Column:
+    """What a line may be to a url that wraps: "u" for url characters alone, "p" for a path with blanks in it, "-" for the
+    end of it."""
+    text = F.trim(line)
+    path = text.rlike(SPACED_FRAGMENT) & ~text.rlike(NO_FRAGMENT) & ~text.rlike("([.][^.]*){3}") & (F.length(text) <= FRAGMENT_CHARS)
+    return F.when(F.rlike(line, F.lit(URL_FRAGMENT)), "u").when(path & ~text.rlike(URL_FRAGMENT), "p").otherwise("-")
 
 
-def joined_source_url(url: Column, rest: Column, lines: Column) -> Column:
-    """A url that wraps: what follows on its line (rest) and on the next lines (array<string>), as it stands. A line of
-    url characters is taken as it is; lines with blanks, SPACED_LINES at most, join with one blank if they look like a
-    path; the first line that does neither ends the url."""
-    first = _spaced(url, F.coalesce(rest, F.lit("")), F.lit(False))
-    start = F.struct(F.concat(url, F.coalesce(first, F.lit(""))).alias("url"), first.isNotNull().cast("int").alias("n"), F.lit(True).alias("open"))
+def _takes_paths(url: Column, paths: Column) -> Column:
+    """Whether a path with blanks may follow: behind a date, or once such a path has begun; never behind a .pdf."""
+    bare = F.rtrim(url, F.lit("/"))
+    return (paths < SPACED_LINES) & ~F.lower(bare).endswith(".pdf") & (bare.rlike(DATED_TAIL) | (paths > 0))
 
-    def step(acc: Column, line: Column) -> Column:
-        fragment = line.rlike(URL_FRAGMENT)
-        more = F.when(fragment, line).when(acc["n"] < SPACED_LINES, _spaced(acc["url"], line, acc["n"] > 0))
-        grown = F.struct(F.concat(acc["url"], more).alias("url"), (acc["n"] + F.when(fragment, 0).otherwise(1)).alias("n"), F.lit(True).alias("open"))
-        ended = F.struct(acc["url"].alias("url"), acc["n"].alias("n"), F.lit(False).alias("open"))
-        return F.when(acc["open"] & more.isNotNull(), grown).otherwise(ended)
 
-    return F.aggregate(lines, start, step)["url"]
+def joined_source_url(url: Column, rest: Column, lines: Column) -> Column:
+    """A url that wraps: what follows on its line (rest) and on the next lines (array<string>). The lines' classes make a
+    word, of which the url takes a beginning: u*, then p u* as often as paths may follow, SPACED_LINES times at most, a path
+    in rest included. Lines of url characters are taken as they stand, paths with one blank before."""
+    word = F.array_join(F.transform(lines, line_class), "")
+    folded = lambda line: F.regexp_replace(F.trim(line), "\\s+", " ")
+    path = lambda line: F.concat(F.lit(" "), F.when(F.lower(folded(line)).endswith(".pdf"), folded(line)).otherwise(F.regexp_replace(folded(line), "[.,;]+$", "")))
+    state = lambda text, at, paths: F.struct(text.alias("url"), at.cast("int").alias("at"), paths.cast("int").alias("paths"))
+
+    rest = F.coalesce(rest, F.lit(""))
+    on_line = (line_class(rest) == "p") & _takes_paths(url, F.lit(0))
+    start = state(F.concat(url, F.when(on_line, path(rest)).otherwise("")), F.lit(0), on_line.cast("int"))
+
+    def step(acc: Column, kind: Column) -> Column:
+        at = acc["at"]
+        run = F.length(F.regexp_extract(F.substr(word, at + 1), "^u*", 0))
+        run_taken = state(F.concat(acc["url"], F.array_join(F.slice(lines, at + 1, run), "")), at + run, acc["paths"])
+        follows = (F.substr(word, at + 1, F.lit(1)) == "p") & _takes_paths(acc["url"], acc["paths"])
+        path_taken = state(F.concat(acc["url"], path(F.get(lines, at))), at + 1, acc["paths"] + 1)
+        return F.when(kind == "u", run_taken).when(follows, path_taken).otherwise(acc)
+
+    return F.aggregate(F.array(*map(F.lit, "u" + "pu" * SPACED_LINES)), start, step)["url"]
 
 
 def joined_urls(lines: Column) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracework.operators import intervals
 from tracework.operators.attribution import SENTENCE_END
 from tracework.operators.tokens import in_batches
 
@@ -43,8 +44,11 @@ MEANS = [
 RECITAL = r"(?mi)^[IVX]+\.\s+ELEMENTS\b.*$"
 NEXT_HEADING = r"(?m)^[IVX]+\.\s+[A-Z]"
 NOT_CONDUCT = "not_conduct"
+# fixed value: where a numbered paragraph begins
 PARAGRAPH = r"\n[ \t]*(?:\d{1,3}|[a-z])[.)][ \t]+(?=\S)"
 BEFORE, AFTER = 600, 400
+#: Windows are about 2 ** WINDOW_LEVEL characters long.
+WINDOW_LEVEL = 10
 
 _CUES = re.compile("|".join(rf"(?P<{kind}>\b(?:{'|'.join(cues)}))" for kind, _, cues in ACTS), re.IGNORECASE)
 
@@ -97,9 +101,10 @@ def conduct(found: DataFrame, dates: DataFrame, cues: DataFrame) -> DataFrame:
     cues in it, sorted. Recitals are left out. Windows are joined by record and bounded by BEFORE and AFTER."""
     told = found.where(F.col("kind") != NOT_CONDUCT)
     span = ["record_id", "start", "end"]
-    near = told.join(dates.select("record_id", F.col("start").alias("pos"), "value"), "record_id").where("pos >= begin AND pos < finish")
+    within = lambda marks: intervals.inside(told, marks, end="finish", level=WINDOW_LEVEL)
+    near = within(dates.select("record_id", F.col("start").alias("pos"), "value"))
     dated = near.groupBy(*span).agg(F.min_by("value", F.struct(F.abs(F.col("pos") - F.col("start")), "pos")).alias("date"))
-    named = told.join(cues, "record_id").where("pos >= begin AND pos < finish").groupBy(*span).agg(F.array_sort(F.collect_set("label")).alias("means"))
+    named = within(cues).groupBy(*span).agg(F.array_sort(F.collect_set("label")).alias("means"))
     every = told.join(dated, span, "left").join(named, span, "left")
     order = Window.partitionBy("record_id").orderBy("start", "end")
     precision = F.when(F.col("date").isNull(), "none").when(F.length("date") == 7, "month").otherwise("day")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracework.functions.columns import content_id
+from tracework.operators import intervals
 from tracework.session import cut, small
 
 
@@ -199,13 +200,12 @@ def attribute_values(values: DataFrame, votes: DataFrame, people: DataFrame) ->
 
 def inside_window(acts: DataFrame, marks: DataFrame) -> DataFrame:
     """Interval join: acts(record_id, act, at, begin, end) with marks(record_id, pos, value) in [begin, end)."""
-    return acts.join(marks, "record_id").where("pos >= begin AND pos < end")
+    return intervals.inside(acts, marks)
 
 
 def nearest_mark(acts: DataFrame, marks: DataFrame) -> DataFrame:
     """(record_id, act, value): the mark inside the act's window nearest to its start; the first on a tie; null if none."""
-    near = inside_window(acts, marks).groupBy("record_id", "act").agg(F.min_by("value", F.struct(F.abs(F.col("pos") - F.col("at")), "pos", "value")).alias("value"))
-    return acts.select("record_id", "act").join(near, ["record_id", "act"], "left")
+    return intervals.nearest(acts, marks)
 
 
 def first_match_join(terms: DataFrame, dimension: DataFrame, order: list[str]) -> DataFrame:
