@@ -145,3 +145,38 @@ def test_triage(spark):
     count = lambda df: {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
     whole, part = count(labelled), count(train)
     assert all(part[k] == round(0.8 * n) for k, n in whole.items()) and train.join(test, "id").count() == 0
+
+
+def test_closures_on_the_cluster(spark):
+    """Rounds on the cluster equal a walk from every node: circles, loops, lines, nodes without parents, nulls, repeats."""
+    import random
+
+    from tracework.operators import closure
+    from tracework.operators import machine as M
+
+    rng = random.Random(6)
+    for n, m in ((12, 14), (30, 20), (9, 40)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(1, 1), (None, 2), (3, None), (4, 5), (4, 5)]
+        graph_of = {}
+        for a, b in edges:
+            if a is not None and b is not None and a != b:
+                graph_of.setdefault(a, set()).add(b)
+                graph_of.setdefault(b, set())
+        want = set()
+        for a in graph_of:
+            far, at = {a: 0}, [a]
+            for x in at:
+                for y in sorted(graph_of[x]):
+                    if y not in far:
+                        far[y] = far[x] + 1
+                        at.append(y)
+            want |= {(a, b, d) for b, d in far.items()}
+        rows = closure.reach(spark.createDataFrame(edges, "a int, b int")).collect()
+        assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    parents = [(f"s{i}", f"s{i - 1}") for i in range(40)] + [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("self", "self"), ("top", None), ("two", "s9"), ("two", "s3"), (None, "s1")]
+    states = spark.createDataFrame(parents, "state string, parent string")
+    on_driver = {tuple(r) for r in M.ancestry(states.where("state IS NOT NULL")).collect()}
+    on_cluster = M.ancestry(states, on_driver=0).collect()
+    assert len(on_cluster) == len(on_driver) and {tuple(r) for r in on_cluster} == on_driver
+    assert ("w", "z", 3) in on_driver and ("two", "s0", 4) in on_driver and ("s39", "s0", 39) in on_driver
+    assert closure.ancestors(states.where("false")).count() == 0 and closure.reach(spark.createDataFrame([], "a int, b int")).count() == 0

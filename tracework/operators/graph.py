@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracework.operators import closure
+
 TYPE = "a"
 
 
@@ -50,18 +52,8 @@ def match(triples: DataFrame, pattern: list[tuple[str, str, str]]) -> DataFrame:
 
 def subclasses(edges: DataFrame, most_depth: int = 64) -> DataFrame:
     """(sub, super) closure of a class hierarchy, each class its own superclass; a vocabulary, so rounds are few."""
-    from tracework.session import cut
-
-    both = edges.select("sub", "super").distinct()
-    reach = both.unionByName(both.select("sub", F.col("sub").alias("super"))).unionByName(both.select(F.col("super").alias("sub"), "super")).distinct()
-    size = -1
-    for _ in range(most_depth):
-        reach = cut(reach.unionByName(reach.select("sub", F.col("super").alias("m")).join(both.withColumnsRenamed({"sub": "m", "super": "super2"}), "m").select("sub", F.col("super2").alias("super"))).distinct(), "closure")
-        now = reach.count()
-        if now == size:
-            break
-        size = now
-    return reach
+    every = closure.reach(edges.select(F.col("sub").alias("a"), F.col("super").alias("b")), most_depth)
+    return every.select(F.col("a").alias("sub"), F.col("b").alias("super"))
 
 
 def with_supertypes(triples: DataFrame, hierarchy: DataFrame) -> DataFrame:

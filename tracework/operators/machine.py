@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracework.operators import closure
 from tracework.session import small
 
 # fixed values: names of the start, of terminal states and of the closing actions
@@ -20,21 +21,24 @@ TERMINAL = [COMPLETED, DISRUPTED, UNRESOLVED]
 
 #: Layers of a hierarchy from the coarsest to the finest.
 LAYERS = ["milestone", "track", "source"]
-#: States of a hierarchy: it is a vocabulary, whose closure is worked out on the driver.
+#: States of a hierarchy that are followed on the driver.
 MOST_STATES = 10_000
 
 
-def ancestry(states: DataFrame) -> DataFrame:
-    """(state, ancestor, distance): each state with itself and all above it. A circle of parents is cut where it closes;
-    more than MOST_STATES states are refused."""
-    rows = states.select("state", "parent").limit(MOST_STATES + 1).collect()
-    if len(rows) > MOST_STATES:
-        raise ValueError(f"a hierarchy has {MOST_STATES} states at most")
-    above, out = {r["state"]: r["parent"] for r in rows}, []
+def ancestry(states: DataFrame, on_driver: int = MOST_STATES) -> DataFrame:
+    """(state, ancestor, distance): each state with itself and all above it. A circle of parents is cut where it closes; of
+    two parents the least counts. Up to on_driver states, a vocabulary, are followed on the driver, more on the cluster."""
+    rows = states.select("state", "parent").limit(on_driver + 1).collect() if on_driver else []
+    if not on_driver or len(rows) > on_driver:
+        return closure.ancestors(states.select("state", "parent"))
+    above, out = {}, []
+    for r in rows:
+        above[r["state"]] = min((p for p in (above.get(r["state"]), r["parent"]) if p is not None), default=None)
     for state in above:
-        chain = [state]
-        while (parent := above.get(chain[-1])) is not None and parent in above and parent not in chain:
+        chain, seen = [state], {state}
+        while (parent := above.get(chain[-1])) is not None and parent in above and parent not in seen:
             chain.append(parent)
+            seen.add(parent)
         out += [(state, a, d) for d, a in enumerate(chain)]
     return states.sparkSession.createDataFrame(out, "state string, ancestor string, distance int")
 

@@ -388,14 +388,19 @@ def profile_tags(spark, sf):
     return pages.tagged_by_profile(docs, evidence.profiles_of(docs, V.profiles(spark)), V.TAGS)
 
 
-@query("SELECT DISTINCT label FROM (VALUES " + ", ".join(map(str, V.TAGS)) + ") AS t(profile, field, label, cue) WHERE field = 'channel'")
+@query("WITH l AS (SELECT DISTINCT label FROM (VALUES " + ", ".join(map(str, V.TAGS)) + ") AS t(profile, field, label, cue) WHERE field = 'channel') SELECT label, count(doc_id) AS n FROM l LEFT JOIN documents ON contains(text, label) GROUP BY 1")
 def channel_labels(spark, sf):
-    return evidence.vocabulary_labels(V.tags(spark), "channel")
+    """A vocabulary's labels, with the documents that name them."""
+    labels = evidence.vocabulary_labels(V.tags(spark), "channel")
+    named = table(spark, sf, "documents").join(F.broadcast(labels), F.col("text").contains(F.col("label"))).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return labels.join(named, "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query("SELECT family, count(*) AS methods FROM (VALUES " + ", ".join(map(str, evidence.FAMILIES.items())) + ") AS t(method, family) GROUP BY 1 UNION ALL SELECT NULL, 1")
+@query("WITH f AS (SELECT method, family, row_number() OVER () - 1 AS k FROM (VALUES " + ", ".join(map(str, evidence.FAMILIES.items())) + f", ('unheard of', NULL)) AS t(method, family)) SELECT family, count(*) AS methods FROM documents JOIN f ON k = doc_id % {len(evidence.FAMILIES) + 1} GROUP BY 1")
 def method_families(spark, sf):
-    rows = spark.createDataFrame([(m,) for m in [*evidence.FAMILIES, "unheard of"]], "method string")
+    """The families of the methods that documents are read by."""
+    names = F.array(*map(F.lit, [*evidence.FAMILIES, "unheard of"]))
+    rows = table(spark, sf, "documents").select(F.element_at(names, (F.col("doc_id") % (len(evidence.FAMILIES) + 1) + 1).cast("int")).alias("method"))
     return rows.groupBy(evidence.family_of(F.col("method")).alias("family")).agg(F.count(F.lit(1)).alias("methods"))
 
 

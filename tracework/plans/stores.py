@@ -319,9 +319,11 @@ def cached_results(spark, sf):
     return spark.createDataFrame(found, "ask string, n long")
 
 
-@query("SELECT title, section, label FROM (VALUES " + ", ".join(str((t, s, label)) for t, s, label, *_ in V.STATUTES) + ") AS t(title, section, label)")
+@query("SELECT title, section, label, count(p_partkey) AS parts FROM (VALUES " + ", ".join(str((t, s, label)) for t, s, label, *_ in V.STATUTES) + ") AS t(title, section, label) LEFT JOIN part ON CAST(p_size AS VARCHAR) = title GROUP BY ALL")
 def statute_table(spark, sf):
-    return V.statutes(spark).select("title", "section", "label")
+    """The statute dimension, with the parts whose size is a title's number."""
+    sizes = table(spark, sf, "part").groupBy(F.col("p_size").cast("string").alias("title")).agg(F.count(F.lit(1)).alias("parts"))
+    return V.statutes(spark).select("title", "section", "label").join(sizes, "title", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
 
 
 URLS = "concat(CASE page_id % 3 WHEN 0 THEN 'https://www.courtlistener.com/recap/gov.uscourts.cand.' WHEN 1 THEN 'https://WWW.Justice.gov/a/' ELSE 'http://x.org/' END, concat('', page_id), '/doc.PDF?x=1#p')"

@@ -195,16 +195,31 @@ def told_walks(spark, sf):
     return walks(spark, sf).withColumn("state", F.when(F.col("state") == "signup", "Conditioning").otherwise(F.col("state")))
 
 
-@query(f"SELECT 'milestone' AS layer, * FROM (VALUES {AT_MILESTONES}) AS t(state, milestone, is_goal, source, ord) UNION ALL SELECT 'track', * FROM (VALUES {AT_TRACKS}) AS t(state, milestone, is_goal, source, ord)")
+@query(f"""WITH e AS (SELECT CASE event_type WHEN 'signup' THEN 'Conditioning' ELSE event_type END AS state, count(*) AS n FROM events GROUP BY 1),
+p AS (SELECT 'milestone' AS layer, * FROM (VALUES {AT_MILESTONES}) AS t(state, milestone, is_goal, source, ord) UNION ALL SELECT 'track', * FROM (VALUES {AT_TRACKS}) AS t(state, milestone, is_goal, source, ord))
+SELECT p.*, coalesce(n, 0) AS n FROM p LEFT JOIN e USING (state)""")
 def projected_scheme(spark, sf):
+    """The layers' schemes, with the events that stand at each state."""
     one, other = (M.projected(states(spark), layer).select(F.lit(layer).alias("layer"), "state", "milestone", "is_goal", "source", "ord") for layer in ("milestone", "track"))
-    return one.unionByName(other)
+    at = table(spark, sf, "events").groupBy(F.when(F.col("event_type") == "signup", "Conditioning").otherwise(F.col("event_type")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return one.unionByName(other).join(at, "state", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query(f"""WITH RECURSIVE st(state, parent, layer, is_goal, source, ord) AS (VALUES {STATE_ROWS}),
-up(state, ancestor, distance) AS (SELECT state, state, 0 FROM st UNION ALL SELECT up.state, st.parent, distance + 1 FROM up JOIN st ON st.state = up.ancestor WHERE st.parent IS NOT NULL) SELECT * FROM up""")
+#: Customers below customers of half their number, these below nations, nations below regions; two regions name each other.
+PLACES = """SELECT 'c' || c_custkey AS state, CASE WHEN c_custkey < 2 THEN 'n' || c_nationkey ELSE 'c' || (c_custkey // 2) END AS parent FROM customer
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, CASE r_regionkey WHEN 0 THEN 'r1' WHEN 1 THEN 'r0' ELSE 'none' END FROM region"""
+
+
+@query(f"""WITH RECURSIVE st AS ({PLACES}), up(state, ancestor, distance, seen) AS (SELECT state, state, 0, [state] FROM st UNION ALL
+SELECT up.state, st.parent, distance + 1, list_append(seen, st.parent) FROM up JOIN st ON st.state = up.ancestor WHERE st.parent IN (SELECT state FROM st) AND NOT list_contains(seen, st.parent)) SELECT state, ancestor, distance FROM up""")
 def state_ancestry(spark, sf):
-    return M.ancestry(states(spark))
+    """Ancestors in a hierarchy of all customers, nations and regions, with a circle, in rounds on the cluster."""
+    text = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    half = F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 2).cast("string"))
+    rows = table(spark, sf, "customer").select(text("c", "c_custkey").alias("state"), F.when(F.col("c_custkey") < 2, text("n", "c_nationkey")).otherwise(half).alias("parent"))
+    rows = rows.unionByName(table(spark, sf, "nation").select(text("n", "n_nationkey").alias("state"), text("r", "n_regionkey").alias("parent")))
+    circle = F.when(F.col("r_regionkey") == 0, "r1").when(F.col("r_regionkey") == 1, "r0").otherwise("none")
+    return M.ancestry(rows.unionByName(table(spark, sf, "region").select(text("r", "r_regionkey").alias("state"), circle.alias("parent"))), on_driver=0)
 
 
 @query(f"""WITH {TRACK_WALKS}, st(state, parent, layer, is_goal, source, ord) AS (VALUES {STATE_ROWS}), seen AS (SELECT state FROM steps UNION SELECT next FROM steps)
