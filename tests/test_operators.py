@@ -1,5 +1,7 @@
 """Operators on inline rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +204,41 @@ def test_facets(spark):
     assert ids({"victim_count": {"min": 1}}) == [1, 2, 3]
     ids_first = facets.select_records(frame.withColumnRenamed("id", "record_id"), ids=[2], kind="ignored")
     assert [r["record_id"] for r in ids_first.collect()] == [2]
+
+
+def test_terms_equal_patterns(spark):
+    """One automaton gives the tags of a pattern for each label, in one part and in many."""
+    import random
+
+    rng = random.Random(2)
+    bits = ["a", "B", "ab", "Ab.", " ", "-", "_", "1", "ü", "token =", "x", "\n", "I"]
+    rows = [(rng.choice(["f", "g"]), f"l{rng.randrange(12)}", "".join(rng.choices(bits, k=rng.randint(1, 3)))) for _ in range(60)]
+    rows = [r for r in rows if r[2].strip() and "\n" not in r[2]] + [("f", "none", ""), ("f", "none", None)]
+    docs = spark.createDataFrame([(i, "".join(rng.choices(bits, k=rng.randint(0, 12)))) for i in range(400)] + [(None, "ab"), (9, None)], "id int, text string")
+    escaped = [(f, n, [re.sub(r"([^\w\s])", r"\\\1", t) for g, m, t in rows if (g, m) == (f, n)]) for f, n in sorted({r[:2] for r in rows if r[2]})]
+    want = sorted(map(str, pages.tagged(docs, escaped, "id").collect()))
+    terms = spark.createDataFrame(rows, "field string, label string, term string")
+    assert len(want) > 200
+    for most in (pages.TERMS_CHARS, 30):
+        assert sorted(map(str, pages.tagged_by_terms(docs, terms, "id", most).collect())) == want
+    assert pages.tagged_by_terms(docs, terms.where("false"), "id").count() == 0
+
+
+def test_time_of_terms_is_flat():
+    """Ten thousand terms take about the time of ten; a pattern for each would take a thousand times as long."""
+    import random
+    import time
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    text, took = " ".join(word(6) for _ in range(60_000)), {}
+    for n in (10, 10_000):
+        known = pages.Terms([("f", str(i % 7), word(9)) for i in range(n)])
+        took[n] = min(timed(known, text, time) for _ in range(3))
+    assert took[10_000] < 8 * took[10]
+
+
+def timed(known, text, time):
+    began = time.process_time()
+    known.tags(text)
+    return time.process_time() - began

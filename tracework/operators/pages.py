@@ -185,6 +185,80 @@ def tagged(docs: DataFrame, vocabulary: list[tuple[str, str, list[str]]], key: s
     return docs.select(key, F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("t")).select(key, "t.field", "t.label")
 
 
+class Terms:
+    """Rows (field, label, term) as one automaton, without regard to the case of A-Z. A term that begins or ends with a word
+    character (a letter, a digit or _) does so at a word's border, as in vocabulary_pattern."""
+
+    def __init__(self, rows: list[tuple[str, str, str]]) -> None:
+        import ahocorasick
+
+        #: (field, label) of each number, and by term: its length, whether its ends need a border, and its numbers.
+        self.labels = sorted({(f, n) for f, n, t in rows if t})
+        number = {x: i for i, x in enumerate(self.labels)}
+        by_term: dict[str, set[int]] = {}
+        for f, n, t in rows:
+            if t:
+                by_term.setdefault(t.translate(_LOWER), set()).add(number[f, n])
+        self.found_by = ahocorasick.Automaton()
+        for t, numbers in by_term.items():
+            self.found_by.add_word(t, (len(t), _in_word(t[0]), _in_word(t[-1]), sorted(numbers)))
+        self.empty = not by_term
+        if by_term:
+            self.found_by.make_automaton()
+
+    def tags(self, text: str | None) -> list[int]:
+        """The numbers of the labels that a text has, once each."""
+        if self.empty or not text:
+            return []
+        text, found = text.translate(_LOWER), set()
+        for last, (size, begins, ends, numbers) in self.found_by.iter(text):
+            first = last - size + 1
+            if begins and first and _in_word(text[first - 1]) or ends and last + 1 < len(text) and _in_word(text[last + 1]):
+                continue
+            found.update(numbers)
+        return sorted(found)
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+_LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+#: Terms of one pass, in characters: an automaton takes about a hundred times their memory.
+TERMS_CHARS = 2 << 20
+
+
+def tagged_by_terms(docs: DataFrame, terms: DataFrame, key: str, most_chars: int = TERMS_CHARS) -> DataFrame:
+    """(key, field, label) for rows of terms(field, label, term), plain texts, that stand in docs(key, text): one automaton
+    for all terms, so a pass takes the same time for ten terms as for ten thousand. A larger vocabulary is taken in parts
+    by a hash of its terms, each built in its own pass. Null and empty terms and texts match nothing; labels that two terms
+    give are one row."""
+    rows = terms.where("term <> ''").select("field", "label", "term").distinct()
+    total = rows.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // most_chars))
+    sc, kind, found = docs.sparkSession.sparkContext, docs.schema[key].dataType, None
+    for part in range(parts):
+        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part)
+        shared = sc.broadcast([tuple(r) for r in own.collect()])  # most_chars characters, about
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            known = Terms(shared.value)
+            for batch in batches:
+                at, fields, labels = [], [], []
+                for i, text in enumerate(batch.column(1)):
+                    for n in known.tags(text.as_py()):
+                        at.append(i)
+                        fields.append(known.labels[n][0])
+                        labels.append(known.labels[n][1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(fields, pa.string()), pa.array(labels, pa.string())], [key, "field", "label"])
+
+        one = docs.select(key, "text").mapInArrow(run, T.StructType([T.StructField(key, kind), T.StructField("field", T.StringType()), T.StructField("label", T.StringType())]))
+        found = one if found is None else found.unionByName(one)
+    return found if parts == 1 else found.distinct()
+
+
 def tagged_by_profile(docs: DataFrame, profiles: DataFrame, vocabulary: list[tuple[str, str, str, str]]) -> DataFrame:
     """(record_id, field, label) of docs(record_id, text) by the profiles(record_id, profile) that each is read against:
     vocabulary rows are (profile, field, label, cue); one native pass, in which the cues are constants."""

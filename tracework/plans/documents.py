@@ -300,3 +300,20 @@ def dropped_pages(spark, sf):
     named = rows.where(F.array_contains(pages.page_spec(F.lit("2"), F.lit(2)), F.col("page"))).select("doc", "page")
     every = copies.unionByName(pages.pages_to_cut(rows, "[|]")).unionByName(named).distinct()
     return every.groupBy("doc").agg(F.count(F.lit(1)).alias("dropped"))
+
+
+#: Words of seven letters or more and pairs of neighbours in the benchmark's items, each a term of its item's label.
+TERMS = """w AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
+terms AS (SELECT item_id, unnest(list_filter(w, lambda x: length(x) >= 7)) AS term FROM w UNION SELECT item_id, w[1] || ' ' || w[2] FROM w WHERE len(w) > 1)"""
+
+
+@query(f"""WITH {TERMS}, d AS (SELECT doc_id, ' ' || regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}_ ]', ' ~ ', 'g') || ' ' AS t FROM documents),
+u AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(t, ' '), list_transform(range(1, len(string_split(t, ' '))), lambda i: string_split(t, ' ')[i] || ' ' || string_split(t, ' ')[i + 1])))) AS term FROM d)
+SELECT DISTINCT doc_id, 'item' AS field, CAST(item_id AS VARCHAR) AS label FROM u JOIN terms USING (term)""")
+def term_tags(spark, sf):
+    """Documents by all words and openings of the benchmark's items: one automaton for the whole vocabulary."""
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda x: x != "")
+    items = table(spark, sf, "benchmark").select(F.lit("item").alias("field"), F.col("item_id").cast("string").alias("label"), words.alias("w"))
+    opening = F.when(F.size("w") > 1, F.concat_ws(" ", F.element_at("w", 1), F.get("w", F.lit(1))))
+    terms = items.select("field", "label", F.explode(F.concat(F.filter("w", lambda x: F.length(x) >= 7), F.array(opening))).alias("term"))
+    return pages.tagged_by_terms(texts(spark, sf), terms, "doc_id")
