@@ -284,12 +284,44 @@ def test_pairs_of_terms_matter():
     rng = np.random.default_rng(1)
     x = (rng.random((600, 6)) < 0.5).astype(np.float32)
     y = (x[:, 0] * x[:, 1]).astype(float)  # toxic only together
-    bias, w, v = toxicity.fit(x, y, np.ones(600), factors=4, rounds=400)
+    machine = toxicity.fit(np.nonzero(x)[1], x.sum(1).astype(np.int64), y, np.ones(600), factors=4, rounds=400)
+    x, bias, w, v = x[:, machine.numbers], machine.bias, machine.weights, machine.factors
     sums = x @ v
     score = bias + x @ w + 0.5 * ((sums**2).sum(1) - (x @ (v**2).sum(1)))
     assert ((score > 0) == (y == 1)).mean() > 0.97
 
 
+def test_gradients_over_slices_and_over_inputs_that_live(monkeypatch):
+    """Sums by row and by column equal those of a dense matrix, whatever the slices and the columns that count."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((90, 40)) < 0.2).astype(np.float32)
+    x[7] = x[60] = 0
+    flat, sizes, params = np.nonzero(x)[1], x.sum(1).astype(np.int64), rng.normal(size=(40, 5)).astype(np.float32)
+    told = rng.normal(size=(90, 5)).astype(np.float32)
+    for most, kept in ((1_024, None), (7, None), (16, rng.random(40) < 0.3), (16, np.zeros(40, bool))):
+        monkeypatch.setattr(toxicity, "SLICE_ROWS", most)
+        dense = x if kept is None else x * kept
+        back = np.zeros((40, 5), np.float32)
+        for part in toxicity._slices(flat, sizes, kept):
+            sums = part.sums(params)
+            assert np.allclose(sums[:, :-1], dense[part.rows] @ params, atol=1e-4) and np.allclose(sums[:, -1], dense[part.rows] @ (params[:, 1:] ** 2).sum(1), atol=1e-4)
+            part.back(told[part.rows], back)
+        assert np.allclose(back, dense.T @ told, atol=1e-4)
+
+
+def test_scores_are_the_double_sum(spark, sf):
+    """Every document's score, recomputed from the machine by the plain sum over all pairs of its terms."""
+    docs, told = table(spark, sf, "documents").limit(120), table(spark, sf, "labels")
+    machine = toxicity.train(table(spark, sf, "documents"), told)
+    at = {int(n): i for i, n in enumerate(machine.numbers)}
+    assert len(at) > 20
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, machine).collect()}
+    for r in docs.collect():
+        own = [at[t] for t in sorted(toxicity.terms(r["text"])) if t in at]
+        total = machine.bias + sum(machine.weights[i] for i in own) + sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(own) for j in own[:k])
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) < 1e-9
+
+
 def recall_and_precision(got, truth):
     hits = sum(got[i] and truth[i] for i in truth)
     return hits / max(1, sum(truth.values())), hits / max(1, sum(got[i] for i in truth))
@@ -319,8 +351,8 @@ def test_terms_that_are_toxic_only_together(spark):
     got = {r["doc_id"]: bool(r["predicted"]) for r in toxicity.toxicity(docs, told).where("held_out").collect()}
     recall, precision = recall_and_precision(got, {i: i % 4 == 0 for i in got})
     assert recall >= 0.9 and precision >= 0.9
-    few = toxicity.train(docs, told, features=20, pair_features=10)  # fewer inputs than terms: the pair is among them
-    assert {toxicity._number("w group"), toxicity._number("w insult")} <= set(few.columns)
+    few = toxicity.train(docs, told)  # among all terms the pair stays
+    assert {toxicity._number("w group"), toxicity._number("w insult")} <= set(few.numbers.tolist())
 
 
 def test_repeated_labels_and_ids_count_once(spark):
