@@ -180,3 +180,24 @@ def test_closures_on_the_cluster(spark):
     assert len(on_cluster) == len(on_driver) and {tuple(r) for r in on_cluster} == on_driver
     assert ("w", "z", 3) in on_driver and ("two", "s0", 4) in on_driver and ("s39", "s0", 39) in on_driver
     assert closure.ancestors(states.where("false")).count() == 0 and closure.reach(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_rationalities_of_all_draws_at_once(spark):
+    """The native fit equals the fit of each draw by itself: chosen for worth, against it, always the best, ties."""
+    import random
+
+    from tracework.operators import experiments as E
+
+    rng = random.Random(3)
+    rows, want = [], {}
+    for draw in range(12):
+        counts, worth = {}, {}
+        for src in "ab" if draw else "a":
+            for dst in "xyz":
+                worth[src, dst] = rng.choice([0.0, 1.0, rng.random()])
+                counts[src, dst] = {1: 5 * (worth[src, dst] == 1.0), 2: 3}.get(draw, rng.randrange(9) * (1 + 3 * worth[src, dst]))
+                rows.append((draw, src, dst, worth[src, dst], float(counts[src, dst])))
+        want[draw] = E.rationality(counts, worth)
+    got = E.rationalities(spark.createDataFrame(rows, "draw int, src string, dst string, v double, n double"), 50.0, "draw").collect()
+    assert {r["draw"]: pytest.approx(r["beta"], abs=1e-6) for r in got} == want
+    assert 0.0 in want.values() and len({round(b, 3) for b in want.values()}) > 4

@@ -145,6 +145,72 @@ def learned_grouping(edges: dict[tuple[str, str], float], groups: int) -> dict[s
     return {names[i]: g for g, own in enumerate(held) for i in own}
 
 
+def invariance(log: DataFrame, group: str, draws: int = 20, seed: int = 7) -> DataFrame:
+    """(draw, bits, paired): how much the group of a trace tells of its next step, given the step, in the log (draw -1) and
+    in draws with shuffled labels; paired is the log's bits less the draw's, null for the log itself. Steps that obey one
+    law in all groups have bits as small as the draws'."""
+    traces = log.groupBy("trace").agg(F.min(group).alias("grp"))
+    own = traces.select(F.lit(-1).alias("draw"), "trace", "grp").unionByName(shuffled_labels(traces, "grp", draws, seed))
+    steps = S.pairs(log).groupBy("trace", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    counts = own.join(steps, "trace").groupBy("draw", "grp", "src", "dst").agg(F.sum("n").alias("n"))
+    apart = conditional_entropy(counts.groupBy("draw", "src", "dst").agg(F.sum("n").alias("n")), "draw").withColumnRenamed("bits", "_all")
+    within = conditional_entropy(counts.select("draw", F.struct("grp", "src").alias("src"), "n"), "draw")
+    bits = apart.join(within, "draw").select("draw", (F.col("_all") - F.col("bits")).alias("bits"))
+    told = bits.where("draw < 0").select(F.col("bits").alias("_own"))
+    return bits.crossJoin(F.broadcast(told)).select("draw", "bits", F.when(F.col("draw") >= 0, F.col("_own") - F.col("bits")).alias("paired"))  # one row
+
+
+#: Halvings of the range in which a beta is looked for.
+HALVINGS = 48
+
+
+def rationalities(choices: DataFrame, most: float = 50.0, *keys: str) -> DataFrame:
+    """(keys, beta) of choices(keys, src, dst, v, n): the beta, from 0 to `most`, under which the counted choices are
+    likeliest, a choice's probability being in proportion to exp(beta times its worth v) among those of its state src. n
+    may be zero for what could have been chosen. The likelihood is concave, so halving the sign change of its slope
+    finds it; 0 where nothing is chosen for its worth. The choices of a machine are a vocabulary: those of one key are
+    one array, and all keys are fitted at once, natively."""
+    by_state = choices.groupBy(*keys, "src").agg(F.array_sort(F.collect_list(F.struct("dst", F.col("v").cast("double").alias("v"), F.col("n").cast("double").alias("n")))).alias("o"))
+    states = by_state.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("src", "o"))).alias("s"))
+    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
+
+    def slope(beta: Column) -> Column:
+        def of(state: Column) -> Column:
+            o, top = state["o"], F.array_max(F.transform(state["o"], lambda c: c["v"]))
+            weight = lambda c: F.exp(beta * (c["v"] - top))
+            expected = total(o, lambda c: weight(c) * c["v"]) / total(o, weight)
+            return total(o, lambda c: c["n"] * c["v"]) - total(o, lambda c: c["n"]) * expected
+
+        return total(F.col("s"), of)
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = (acc["low"] + acc["high"]) / 2
+        up = slope(middle) > 0
+        return F.struct(F.when(up, middle).otherwise(acc["low"]).alias("low"), F.when(up, acc["high"]).otherwise(middle).alias("high"))
+
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(float(most)).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve)
+    beta = F.when(slope(F.lit(0.0)) <= 0, 0.0).when(slope(F.lit(float(most))) >= 0, float(most)).otherwise((found["low"] + found["high"]) / 2)
+    return states.select(*keys, beta.alias("beta"))
+
+
+def rationality_null(log: DataFrame, worth: DataFrame, draws: int = 20, seed: int = 7, most: float = 50.0) -> DataFrame:
+    """(draw, beta, paired): how much steps are chosen for the worth of where they lead, worth(dst, v) being a vocabulary, in
+    the order told (draw -1) and in draws with the steps of each trace in a shuffled order; paired is the told order's beta
+    less the draw's. Every step of the vocabulary may follow every one."""
+    each = log.select("trace", "event_id", "activity", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    order = Window.partitionBy("draw", "trace").orderBy(drawn(F.col("event_id"), F.col("draw"), seed), "event_id")
+    mixed = each.select("draw", F.col("activity").alias("src"), F.lead("activity").over(order).alias("dst")).where("dst IS NOT NULL")
+    counts = mixed.groupBy("draw", "src", "dst").agg(F.count(F.lit(1)).alias("n")).unionByName(S.dfg(log).select(F.lit(-1).alias("draw"), "src", "dst", "n"))
+    # what could be chosen: each state of a draw with the whole vocabulary, as one array beside it
+    vocabulary = worth.agg(F.collect_list(F.struct("dst", "v")).alias("w"))
+    options = counts.select("draw", "src").distinct().crossJoin(F.broadcast(vocabulary)).select("draw", "src", F.explode("w").alias("w")).select("draw", "src", "w.dst", "w.v")  # one row
+    choices = options.join(counts, ["draw", "src", "dst"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    betas = rationalities(choices, most, "draw")
+    told = betas.where("draw < 0").select(F.col("beta").alias("_own"))
+    return betas.crossJoin(F.broadcast(told)).select("draw", "beta", F.when(F.col("draw") >= 0, F.col("_own") - F.col("beta")).alias("paired"))  # one row
+
+
 def rationality(counts: dict[tuple[str, str], float], worth: dict[tuple[str, str], float], most: float = 50.0) -> float:
     """The beta, from 0 to `most`, under which the counted choices are likeliest, a choice's probability being in
     proportion to exp(beta times its worth) among those of its state. The likelihood is concave, so halving the sign

@@ -274,3 +274,34 @@ def kinds_by_count(spark, sf):
 
     by = log(spark, sf).groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
     return by.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "activity")).cast("long"))
+
+
+@query(f"""WITH {LOG}, {DEALT}, x AS (SELECT trace, activity AS src, nxt AS dst FROM lagged WHERE nxt IS NOT NULL), c AS (SELECT draw, grp, src, dst, count(*) AS n FROM dealt JOIN x USING (trace) GROUP BY ALL),
+a AS (SELECT draw, sum(-n * log2(n / t)) / sum(n) AS bits FROM (SELECT *, sum(n) OVER (PARTITION BY draw, src) AS t FROM (SELECT draw, src, dst, sum(n) AS n FROM c GROUP BY ALL)) GROUP BY 1),
+w AS (SELECT draw, sum(-n * log2(n / t)) / sum(n) AS bits FROM (SELECT *, sum(n) OVER (PARTITION BY draw, grp, src) AS t FROM c) GROUP BY 1), b AS (SELECT draw, a.bits - w.bits AS bits FROM a JOIN w USING (draw))
+SELECT draw, round(bits, 6) AS bits, CASE WHEN draw >= 0 THEN round((SELECT bits FROM b WHERE draw < 0) - bits, 6) END AS paired FROM b""")
+def invariance(spark, sf):
+    """Whether the next step obeys one law in all domains, beside shuffled domains, paired by draw."""
+    found = experiments.invariance(log(spark, sf).withColumn("grp", F.col("user_id") % 4), "grp", DRAWS, SEED)
+    return found.select("draw", *[F.round(c, 6).alias(c) for c in ("bits", "paired")])
+
+
+_SLOPE = """list_sum(list_transform(s, lambda t: list_sum(list_transform(t, lambda c: c.n * c.v)) - list_sum(list_transform(t, lambda c: c.n)) * list_sum(list_transform(t, lambda c: exp({0} * c.v) * c.v)) / list_sum(list_transform(t, lambda c: exp({0} * c.v)))))"""
+
+
+@query(f"""WITH RECURSIVE {LOG}, worth AS (SELECT activity AS dst, sum(CASE WHEN hit THEN 1 ELSE 0 END) / count(*) AS v FROM (SELECT DISTINCT trace, activity FROM log) JOIN (SELECT trace, bool_or(activity = 'purchase') AS hit FROM log GROUP BY 1) USING (trace) GROUP BY 1),
+m AS (SELECT draw, activity AS src, lead(activity) OVER (PARTITION BY draw, trace ORDER BY {_HASH.format('event_id')}, event_id) AS dst FROM log, range({DRAWS}) AS d(draw)),
+c AS (SELECT draw, src, dst, count(*) AS n FROM m WHERE dst IS NOT NULL GROUP BY ALL UNION ALL SELECT -1, src, dst, n FROM edges),
+o AS (SELECT s.draw, s.src, list({{v: v, n: CAST(coalesce(n, 0) AS DOUBLE)}} ORDER BY worth.dst) AS t FROM (SELECT DISTINCT draw, src FROM c) s CROSS JOIN worth LEFT JOIN c ON c.draw = s.draw AND c.src = s.src AND c.dst = worth.dst GROUP BY ALL),
+d AS (SELECT draw, list(t ORDER BY src) AS s FROM o GROUP BY 1),
+h(draw, s, low, high, k) AS (SELECT draw, s, CAST(0 AS DOUBLE), CAST(50 AS DOUBLE), 0 FROM d UNION ALL SELECT draw, s, CASE WHEN up THEN mid ELSE low END, CASE WHEN up THEN high ELSE mid END, k + 1 FROM (SELECT *, (low + high) / 2 AS mid, {_SLOPE.format('((low + high) / 2)')} > 0 AS up FROM h WHERE k < {experiments.HALVINGS})),
+b AS (SELECT draw, CASE WHEN {_SLOPE.format('0.0')} <= 0 THEN 0 WHEN {_SLOPE.format('50.0')} >= 0 THEN 50 ELSE (low + high) / 2 END AS beta FROM h WHERE k = {experiments.HALVINGS})
+SELECT draw, round(beta, 6) AS beta, CASE WHEN draw >= 0 THEN round((SELECT beta FROM b WHERE draw < 0) - beta, 6) END AS paired FROM b""")
+def rationality_null(spark, sf):
+    """How much steps are chosen for the share of traces with a purchase among those that have the step, beside shuffled
+    orders."""
+    rows = log(spark, sf)
+    hit = rows.groupBy("trace").agg(F.bool_or(F.col("activity") == "purchase").cast("int").alias("hit"))
+    worth = rows.select("trace", F.col("activity").alias("dst")).distinct().join(hit, "trace").groupBy("dst").agg(F.avg("hit").alias("v"))
+    found = experiments.rationality_null(rows, worth, DRAWS, SEED)
+    return found.select("draw", *[F.round(c, 6).alias(c) for c in ("beta", "paired")])
