@@ -17,7 +17,7 @@ from tracework.operators import sequences as S
 from tracework.plans.registry import query
 from tracework.plans.sequences import LOG, log
 from tracework.session import table, work_dir
-from tracework.sources import cache, ranges, readers, sinks
+from tracework.sources import cache, committed, ranges, readers, sinks
 from tracework.streaming import streams
 
 
@@ -441,3 +441,12 @@ def stream_merged_urls(spark, sf):
     run = streams.merge_batches(stream, path).option("checkpointLocation", place(spark, "progress")).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(path).groupBy(C.url_key(F.col("url")).alias("url_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'page-' || page_id AS name, strlen(html) AS byte_length, sha256(html) AS content_sha256 FROM pages")
+def committed_pages(spark, sf):
+    """Pages as files with side-cars, through the sink that commits, read back from its manifest."""
+    path = place(spark, "committed")
+    files = table(spark, sf, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("name"), F.col("html").cast("binary").alias("data"))
+    committed.write_files(files, path)
+    return committed.read_files(spark, path).select("name", "byte_length", "content_sha256")
