@@ -308,7 +308,8 @@ terms AS (SELECT item_id, unnest(list_filter(w, lambda x: length(x) >= 7)) AS te
 
 
 @query(f"""WITH {TERMS}, d AS (SELECT doc_id, ' ' || regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}_ ]', ' ~ ', 'g') || ' ' AS t FROM documents),
-u AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(t, ' '), list_transform(range(1, len(string_split(t, ' '))), lambda i: string_split(t, ' ')[i] || ' ' || string_split(t, ' ')[i + 1])))) AS term FROM d)
+s AS (SELECT doc_id, string_split(t, ' ') AS w FROM d),
+u AS (SELECT doc_id, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS term FROM s)
 SELECT DISTINCT doc_id, 'item' AS field, CAST(item_id AS VARCHAR) AS label FROM u JOIN terms USING (term)""")
 def term_tags(spark, sf):
     """Documents by all words and openings of the benchmark's items: one automaton for the whole vocabulary."""
