@@ -242,3 +242,9 @@ def timed(known, text, time):
     began = time.process_time()
     known.tags(text)
     return time.process_time() - began
+
+
+def test_dates_after_9999(spark):
+    """DuckDB writes no sign before a year of five digits."""
+    assert one(spark, C.date_text(C.epoch_date(F.col("u"))), u=str(2932975 * 86400)) == "10000-03-19"
+    assert one(spark, C.date_text(C.epoch_date(F.col("u"))), u="-1") == "1969-12-31" and one(spark, C.date_text(C.epoch_date(F.col("u"))), u="no") is None

@@ -343,7 +343,7 @@ def stamp_dates(spark, sf):
     key = F.col("o_orderkey") % 5
     stamp = F.when(key == 0, F.concat(bare, F.lit("093000"))).when(key == 1, F.concat(iso, F.lit("T00:00:00Z"))).when(key == 2, "soon").when(key == 3, bare).otherwise(F.concat(F.lit(" "), iso))
     epoch = F.when(F.col("o_orderkey") % 3 == 0, "x").otherwise((F.col("o_orderkey") * 86400).cast("string"))
-    return table(spark, sf, "orders").select("o_orderkey", C.stamp_date(stamp).alias("stamped"), C.epoch_date(epoch).cast("string").alias("day"))
+    return table(spark, sf, "orders").select("o_orderkey", C.stamp_date(stamp).alias("stamped"), C.date_text(C.epoch_date(epoch)).alias("day"))
 
 
 #: Agency labels with the possessives that names left in them; invented names.
