@@ -153,3 +153,19 @@ def test_stream_of_urls(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("urls").count() == 2
+
+
+def test_routes_of_repeated_urls(spark, tmp_path):
+    """Pages that share a url have records of their own, or none."""
+    import duckdb
+
+    from tracework.plans.catalog import ORACLES, QUERIES
+
+    long, short = "https://www.example.net/" + "a" * 80, "https://example.net/" + "b" * 20
+    urls = [(i, long) for i in range(1, 5)] + [(i, short) for i in range(5, 9)] + [(9, None), (10, None), (11, "http://x.org/"), (12, "")]
+    spark.createDataFrame(urls, "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("url_router", "url_modes"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall())

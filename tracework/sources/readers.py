@@ -144,10 +144,12 @@ def kept_ages(slots: DataFrame, verdicts: DataFrame) -> DataFrame:
     return both.where(F.when(F.col("decision").isNotNull(), F.col("decision") == "keep").otherwise(F.col("gate") == "KEEP")).drop("decision")
 
 
-def routed_urls(urls: DataFrame, records: DataFrame, known: Column, least: int = 80) -> DataFrame:
+def routed_urls(urls: DataFrame, records: DataFrame, known: Column, least: int = 80, on: list[str] | None = None) -> DataFrame:
     """urls(url, ...) with mode and body: those of known hosts are resolved by records(url, body), or unresolved without a
-    record or with a body of under `least` characters; others are to be scraped."""
-    met = urls.withColumn("_known", known).join(records.select("url", "body"), "url", "left")
+    record or with a body of under `least` characters; others are to be scraped. A record is found by its url, or by the
+    columns `on`, of which it must be the only one."""
+    on = on or ["url"]
+    met = urls.withColumn("_known", known).join(records.select(*on, "body"), on, "left")
     thick = F.coalesce(F.length(F.trim("body")) >= least, F.lit(False))
     mode = F.when(~F.coalesce(F.col("_known"), F.lit(False)), "scrape").when(thick, "resolved").otherwise("unresolved")
     return met.withColumn("mode", mode).withColumn("body", F.when(F.col("mode") == "resolved", F.col("body"))).drop("_known")
