@@ -248,3 +248,39 @@ def test_dates_after_9999(spark):
     """DuckDB writes no sign before a year of five digits."""
     assert one(spark, C.date_text(C.epoch_date(F.col("u"))), u=str(2932975 * 86400)) == "10000-03-19"
     assert one(spark, C.date_text(C.epoch_date(F.col("u"))), u="-1") == "1969-12-31" and one(spark, C.date_text(C.epoch_date(F.col("u"))), u="no") is None
+
+
+STORY = "II. ELEMENTS\nOne who recruited.\nIV. FACTS\nBo Roe telephoned on 1998-02-06 or 1998-02-07. Bo Roe sent $5. He wired $7 and WIRED $8 on WhatsApp in May 1999.\n2. He deleted it. Agents arrested soldiers."
+
+
+def test_conduct_is_the_same_in_one_row_and_in_rows(spark):
+    """Acts that are read with their windows' marks agree with acts, dates and cues that are joined."""
+    from tracework.operators import conduct, tokens
+
+    texts = [(1, STORY), (2, None), (3, ""), (4, "unsold ſold sold sold."), (5, STORY * 3)]
+    docs = spark.createDataFrame(texts, "record_id long, text string")
+    rows = conduct.conduct(conduct.acts(docs), tokens.read_tokens(docs, ["date"]).select("record_id", "start", "value"), conduct.means_cues(docs))
+    read = conduct.read_conduct(docs)
+    flat = read.select("record_id", F.inline("acts")).withColumn("precision", conduct.precision_of(F.col("date"))).select(*rows.columns)
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, rows.collect()))
+    assert {r["record_id"]: r["path"] for r in conduct.conduct_paths(read).collect()}[1] == "contact>transfer>concealment>detection>supply"
+
+
+def test_acts_of_a_long_text_take_linear_time():
+    import time
+
+    from tracework.operators import conduct
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert sum(1 for _ in conduct.acts_of("He sold it. Then " * n)) == n
+        return time.perf_counter() - began
+
+    assert min(seconds(8000) for _ in range(2)) < 16 * min(seconds(1000) for _ in range(2))
+
+
+def test_dealt_in_tasks_by_size(spark, sf):
+    from tracework.session import dealt, table
+
+    rows = table(spark, sf, "orders")
+    assert dealt(rows, 1000).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism == dealt(rows).rdd.getNumPartitions()

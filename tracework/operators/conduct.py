@@ -7,6 +7,7 @@ act is decided by what follows it; cues inside a recital of the law are no condu
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracework.operators import intervals
 from tracework.operators.attribution import SENTENCE_END
-from tracework.operators.tokens import in_batches
+from tracework.operators.tokens import in_arrays, in_batches, tokens_of
 
 #: (kind, phase, cues): what a narrative says when the act is done.
 ACTS = [
@@ -53,31 +54,76 @@ WINDOW_LEVEL = 10
 _CUES = re.compile("|".join(rf"(?P<{kind}>\b(?:{'|'.join(cues)}))" for kind, _, cues in ACTS), re.IGNORECASE)
 
 
-def window_of(text: str, start: int, end: int) -> tuple[int, int]:
+def _openings(cue: str) -> list[str]:
+    """The words that a cue may begin with."""
+    m = re.match(r"(?:\\b)?(?:\(\?:(?P<some>.+)\)|(?P<one>\w+))", cue)
+    return [re.match(r"\w+", x).group() for x in m["some"].split("|")] if m["some"] else [m["one"]]
+
+
+#: Letters that a cue begins with, and the words that a cue of means begins with: most words are passed over by these.
+_LETTERS = 3
+_FIRST = {w[:_LETTERS] for _, _, cues in ACTS for cue in cues for w in _openings(re.sub(r"\).*", ")", cue))}
+_MEANS = [(field, label, re.compile(cue), _openings(cue)) for field, label, cue in MEANS]
+_WORD, _SENTENCE, _PARAGRAPH, _RECITAL = re.compile(r"\w+"), re.compile(SENTENCE_END), re.compile(PARAGRAPH), re.compile(RECITAL)
+_HEADING = re.compile(f"(?m)(?={NEXT_HEADING.removeprefix('(?m)')})")
+
+
+def _cue_matches(text: str) -> Iterator[re.Match]:
+    """_CUES.finditer(text), tried only at words that may begin a cue."""
+    at = 0
+    for word in _WORD.finditer(text):
+        start = word.start()
+        head = text[start : start + _LETTERS]
+        if start < at or (head.isascii() and head.lower() not in _FIRST):
+            continue
+        if m := _CUES.match(text, start):
+            at = m.end()
+            yield m
+
+
+def _window(ends: list[int], marks: list[int], size: int, start: int, end: int) -> tuple[int, int]:
     """The act's sentence, at most BEFORE and AFTER characters around it, cut at the borders of its numbered paragraph."""
-    ends = [m.end() for m in re.finditer(SENTENCE_END, text)]
-    begin = max((e for e in ends if e <= start), default=0)
-    finish = min((e for e in ends if e >= end), default=len(text))
-    begin, finish = max(begin, start - BEFORE), min(finish, end + AFTER)
-    marks = [m.start() for m in re.finditer(PARAGRAPH, text)]
-    return max([begin, *[m for m in marks if begin <= m < start]]), min([finish, *[m for m in marks if end <= m < finish]])
+    i, j = bisect_right(ends, start), bisect_left(ends, end)
+    begin, finish = max(ends[i - 1] if i else 0, start - BEFORE), min(ends[j] if j < len(ends) else size, end + AFTER)
+    i, j = bisect_left(marks, start), bisect_left(marks, end)
+    return max(begin, marks[i - 1] if i else 0), min(finish, marks[j] if j < len(marks) else size)
 
 
 def acts_of(text: str) -> Iterator[tuple[str, int, int, int, int]]:
-    """(kind, start, end, begin, finish) of the acts in order, with their windows; kind not_conduct inside a recital."""
-    recitals = []
-    for m in re.finditer(RECITAL, text):
-        following = re.compile(NEXT_HEADING).search(text, m.end())
-        recitals.append((m.start(), following.start() if following else len(text)))
-    for m in _CUES.finditer(text):
-        told = any(a <= m.start() < b for a, b in recitals)
-        yield NOT_CONDUCT if told else m.lastgroup, *m.span(), *window_of(text, *m.span())
+    """(kind, start, end, begin, finish) of the acts in order, with their windows; kind not_conduct inside a recital. What
+    the windows need of the text is read once, whatever the number of its acts."""
+    recitals = [m.span() for m in _RECITAL.finditer(text)]
+    headings = [m.start() for m in _HEADING.finditer(text)] if recitals else []
+    opened, closed = [a for a, _ in recitals], []
+    for _, b in recitals:
+        k = bisect_left(headings, b)
+        closed.append(max(headings[k] if k < len(headings) else len(text), closed[-1] if closed else 0))
+    ends = marks = None
+    for m in _cue_matches(text):
+        if ends is None:
+            ends, marks = [x.end() for x in _SENTENCE.finditer(text)], [x.start() for x in _PARAGRAPH.finditer(text)]
+        k = bisect_right(opened, m.start())
+        told = k > 0 and m.start() < closed[k - 1]
+        yield NOT_CONDUCT if told else m.lastgroup, *m.span(), *_window(ends, marks, len(text), *m.span())
 
 
 def cues_of(text: str) -> Iterator[tuple[str, str, int]]:
-    for field, label, cue in MEANS:
-        for m in re.finditer(cue, text):
-            yield field, label, m.start()
+    for field, label, cue, openings in _MEANS:
+        if any(word in text for word in openings):
+            for m in cue.finditer(text):
+                yield field, label, m.start()
+
+
+def marked_acts_of(text: str) -> Iterator[tuple]:
+    """(position, kind, start, end, date_at, dates, labels) of the acts outside of recitals, in order, with the dates and the
+    labels of the means that stand in an act's window."""
+    told = [a for a in acts_of(text) if a[0] != NOT_CONDUCT]
+    dates = [(start, value) for _, start, _, value in tokens_of(text, ["date"])] if told else []
+    cues = sorted((pos, label) for _, label, pos in cues_of(text)) if told else []
+    for position, (kind, start, end, begin, finish) in enumerate(told):
+        near = dates[bisect_left(dates, (begin,)) : bisect_left(dates, (finish,))]
+        labels = sorted({label for _, label in cues[bisect_left(cues, (begin,)) : bisect_left(cues, (finish,))]})
+        yield position, kind, start, end, [p for p, _ in near], [v for _, v in near], labels
 
 
 def phase_of(kind: Column) -> Column:
@@ -85,6 +131,10 @@ def phase_of(kind: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in PHASES.items() for x in pair])[kind]
 
 
+def precision_of(date: Column) -> Column:
+    return F.when(date.isNull(), "none").when(F.length(date) == 7, "month").otherwise("day")
+
+
 def acts(docs: DataFrame, key: str = "record_id") -> DataFrame:
     """(key, kind, start, end, begin, finish) of docs(key, text)."""
     return in_batches(docs, key, acts_of, "kind string, start int, end int, begin int, finish int")
@@ -107,20 +157,37 @@ def conduct(found: DataFrame, dates: DataFrame, cues: DataFrame) -> DataFrame:
     named = within(cues).groupBy(*span).agg(F.array_sort(F.collect_set("label")).alias("means"))
     every = told.join(dated, span, "left").join(named, span, "left")
     order = Window.partitionBy("record_id").orderBy("start", "end")
-    precision = F.when(F.col("date").isNull(), "none").when(F.length("date") == 7, "month").otherwise("day")
-    return every.select("record_id", (F.row_number().over(order) - 1).alias("position"), "kind", phase_of(F.col("kind")).alias("phase"), "date", precision.alias("precision"), F.coalesce("means", F.array().cast("array<string>")).alias("means"))
+    return every.select("record_id", (F.row_number().over(order) - 1).alias("position"), "kind", phase_of(F.col("kind")).alias("phase"), "date", precision_of(F.col("date")).alias("precision"), F.coalesce("means", F.array().cast("array<string>")).alias("means"))
+
+
+def read_conduct(docs: DataFrame) -> DataFrame:
+    """docs(record_id, text, ...) without their texts and with acts, an array of (position, kind, phase, date, means) as
+    conduct() has them in rows: each text is read once, and its acts stay together in its row."""
+    read = in_arrays(docs, marked_acts_of, "position int, kind string, start int, end int, date_at array<int>, dates array<string>, labels array<string>")
 
+    def nearest(a: Column) -> Column:
+        return F.array_min(F.transform(a["date_at"], lambda p, i: F.struct(F.abs(p - a["start"]).alias("far"), p.alias("pos"), F.get(a["dates"], i).alias("value"))))["value"]
 
-def conduct_paths(told: DataFrame, level: str = "act", with_detection: bool = True) -> DataFrame:
-    """(record_id, path): the steps in order with runs of one step counted once, at the level act, phase or means."""
+    act = lambda a: F.struct(a["position"].alias("position"), a["kind"].alias("kind"), phase_of(a["kind"]).alias("phase"), nearest(a).alias("date"), a["labels"].alias("means"))
+    return read.select(*[c for c in docs.columns if c != "text"], F.transform("hits", act).alias("acts"))
+
+
+def path_of(acts: Column, level: str = "act", with_detection: bool = True) -> Column:
+    """The path of an array of acts in order, with runs of one step counted once, at the level act, phase or means; empty
+    without acts."""
     from tracework.operators.machine import action_label
 
-    step = {"act": F.col("kind"), "phase": F.col("phase"), "means": action_label(F.col("kind"), F.col("means"))}[level]
-    kept = told if with_detection else told.where("kind <> 'detection'")
-    order = Window.partitionBy("record_id").orderBy("position")
-    runs = kept.withColumn("step", step).withColumn("_b", F.lag("step").over(order)).where("_b IS NULL OR _b <> step")
-    steps = F.array_sort(F.collect_list(F.struct("position", "step")))
-    return runs.groupBy("record_id").agg(F.array_join(F.transform(steps, lambda s: s["step"]), ">").alias("path"))
+    step = {"act": lambda a: a["kind"], "phase": lambda a: a["phase"], "means": lambda a: action_label(a["kind"], a["means"])}[level]
+    steps = F.transform(acts if with_detection else F.filter(acts, lambda a: a["kind"] != "detection"), step)
+    # each step beside the one before it; the last row of the longer list has no step
+    pairs = F.zip_with(steps, F.concat(F.array(F.lit(None).cast("string")), steps), lambda s, b: F.struct(s.alias("s"), b.alias("b")))
+    runs = F.filter(pairs, lambda p: p["s"].isNotNull() & (p["b"].isNull() | (p["b"] != p["s"])))
+    return F.array_join(F.transform(runs, lambda p: p["s"]), ">")
+
+
+def conduct_paths(read: DataFrame, level: str = "act", with_detection: bool = True) -> DataFrame:
+    """(record_id, path) of read(record_id, acts), without records of no step."""
+    return read.select("record_id", path_of(F.col("acts"), level, with_detection).alias("path")).where("path <> ''")
 
 
 def case_people(values: DataFrame, people: DataFrame) -> DataFrame:
@@ -132,11 +199,11 @@ def case_people(values: DataFrame, people: DataFrame) -> DataFrame:
     return named.groupBy(*keys).agg(F.array_sort(F.collect_set("person")).alias("people"))
 
 
-def exported(told: DataFrame, records: DataFrame) -> DataFrame:
-    """One row a record for export: (record_id, record_kind, domain, acts, path) without texts, people or statuses."""
-    step = F.array_sort(F.collect_list(F.struct("position", "kind", "phase", "date", "means")))
-    whole = told.groupBy("record_id").agg(F.transform(step, lambda s: F.struct(s["kind"].alias("kind"), s["phase"].alias("phase"), s["date"].alias("date"), s["means"].alias("means"))).alias("acts"))
-    return records.select("record_id", F.col("kind").alias("record_kind"), "domain").join(whole, "record_id").join(conduct_paths(told), "record_id")
+def exported(read: DataFrame) -> DataFrame:
+    """One row a record for export: (record_id, record_kind, domain, acts, path) of read(record_id, kind, domain, acts),
+    without texts, people or statuses, and without records of no act."""
+    acts = F.transform("acts", lambda a: F.struct(a["kind"].alias("kind"), a["phase"].alias("phase"), a["date"].alias("date"), a["means"].alias("means")))
+    return read.where("size(acts) > 0").select("record_id", F.col("kind").alias("record_kind"), "domain", acts.alias("acts"), path_of(F.col("acts")).alias("path"))
 
 
 def exact_traces(truth: DataFrame, found: DataFrame) -> DataFrame:

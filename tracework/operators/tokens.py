@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from tracework.operators.attribution import NAME
 from tracework.operators.evidence import CASE_NUMBER
@@ -79,13 +81,38 @@ def tokens_of(text: str | None, kinds: list[str] | None = None) -> Iterator[tupl
 
 def in_batches(docs: DataFrame, key: str, found: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
     """A row (key, what found gives) for each hit in docs(key, text); null texts have none."""
-    names = [key, *[f.split()[0] for f in schema.split(", ")]]
+    fields = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(i, *hit) for i, text in zip(pdf[key], pdf["text"], strict=True) if text for hit in found(text)], columns=names)
+        for batch in batches:
+            places, hits = [], []
+            for n, text in enumerate(batch.column(1)):
+                for hit in found(text.as_py() or ""):
+                    places.append(n)
+                    hits.append(hit)
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*hits, strict=True) if hits else [[]] * len(fields), fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), *columns], [key, *fields.names])
 
-    return docs.select(key, "text").mapInPandas(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
+
+
+def in_arrays(docs: DataFrame, found: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
+    """docs(text, ...) with hits, an array of what found gives for the text, in its order; null texts have none. So what
+    belongs to one text stays one row, and needs no shuffle to come together again."""
+    fields, at = to_arrow_schema(StructType.fromDDL(schema)), docs.columns.index("text")
+    whole = StructType([*docs.schema.fields, StructField("hits", ArrayType(StructType.fromDDL(schema)))])
+
+    def run(batches):
+        for batch in batches:
+            ends, hits = [0], []
+            for text in batch.column(at):
+                hits.extend(found(text.as_py() or ""))
+                ends.append(len(hits))
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*hits, strict=True) if hits else [[]] * len(fields), fields, strict=True)]
+            arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(fields)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, arrays], [*batch.schema.names, "hits"])
+
+    return docs.mapInArrow(run, whole)
 
 
 def read_tokens(docs: DataFrame, kinds: list[str], key: str = "record_id") -> DataFrame:

@@ -14,7 +14,7 @@ from tracework.functions import vocabulary as V
 from tracework.operators import attribution, conduct, evidence, extractors, pages, resolve, tokens
 from tracework.operators import machine as M
 from tracework.plans.registry import query
-from tracework.session import spread, table
+from tracework.session import dealt, table
 
 
 def _case(key: str, values: list[str]) -> str:
@@ -109,7 +109,7 @@ KINDS = ["money", "date", "statute", "case_number", "duration", "party", "event"
 
 
 def filings(spark, sf):
-    return spread(table(spark, sf, "orders")).selectExpr("o_orderkey AS record_id", f"{KIND} AS kind", f"{TEXT} AS text")
+    return dealt(table(spark, sf, "orders")).selectExpr("o_orderkey AS record_id", f"{KIND} AS kind", f"{TEXT} AS text")
 
 
 def found_tokens(spark, sf, *kinds: str):
@@ -224,13 +224,11 @@ ACTS = _acts_sql()
 
 
 def stories(spark, sf):
-    return spread(table(spark, sf, "orders")).selectExpr("o_orderkey AS record_id", f"{STORY} AS text", "CASE o_orderkey % 2 WHEN 0 THEN 'court' ELSE 'press' END AS kind", "concat('d', o_custkey % 3) AS domain")
+    return dealt(table(spark, sf, "orders")).selectExpr("o_orderkey AS record_id", f"{STORY} AS text", "CASE o_orderkey % 2 WHEN 0 THEN 'court' ELSE 'press' END AS kind", "concat('d', o_custkey % 3) AS domain")
 
 
 def told(spark, sf):
-    docs = stories(spark, sf)
-    dates = tokens.read_tokens(docs, ["date"]).select("record_id", "start", "value")
-    return conduct.conduct(conduct.acts(docs), dates, conduct.means_cues(docs))
+    return conduct.read_conduct(stories(spark, sf))
 
 
 @query(f"""WITH {ACTS} SELECT record_id, kind, "start", "end" FROM acts UNION ALL SELECT o_orderkey, 'not_conduct', 28 + length('The law speaks of one who '), 28 + length('The law speaks of one who recruited') FROM orders WHERE o_orderkey % 3 = 0 UNION ALL
@@ -244,14 +242,16 @@ def act_spans(spark, sf):
 SELECT record_id, kind, sha256(regexp_replace(said, '^.*FACTS.', '', 's')) AS digest FROM w"""))
 def act_windows(spark, sf):
     """The text around an act that its date and means may stand in."""
-    found = conduct.acts(stories(spark, sf)).where("kind <> 'not_conduct'").join(stories(spark, sf).select("record_id", "text"), "record_id")
+    read = tokens.in_arrays(stories(spark, sf).select("record_id", "text"), conduct.acts_of, "kind string, start int, end int, begin int, finish int")
+    found = read.select("record_id", "text", F.inline("hits")).where("kind <> 'not_conduct'")
     said = F.regexp_replace(F.rtrim(F.substr(F.col("text"), F.col("begin") + 1, F.col("finish") - F.col("begin"))), "[.]$", "")
     return found.select("record_id", "kind", F.sha2(F.regexp_replace(said, "(?s)^.*FACTS.", ""), 256).alias("digest"))
 
 
 @query(f"""WITH {ACTS} SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY "start") - 1 AS position, kind, phase, date, CASE WHEN date IS NULL THEN 'none' ELSE 'day' END AS "precision", means FROM acts""")
 def conduct_steps(spark, sf):
-    return told(spark, sf).withColumn("means", F.array_join("means", "+")).withColumn("position", F.col("position").cast("long"))
+    acts = told(spark, sf).select("record_id", F.inline("acts"))
+    return acts.select("record_id", F.col("position").cast("long").alias("position"), "kind", "phase", "date", conduct.precision_of(F.col("date")).alias("precision"), F.array_join("means", "+").alias("means"))
 
 
 def _paths_sql(step: str, test: str = "true") -> str:
@@ -262,17 +262,16 @@ def _paths_sql(step: str, test: str = "true") -> str:
 UNION ALL SELECT 'undetected', * FROM ({_paths_sql('kind', "kind <> 'detection'")})) SELECT level, path, count(*) AS n FROM p GROUP BY 1, 2""")
 def conduct_paths(spark, sf):
     """Paths at three levels, and without what investigators did."""
-    rows = told(spark, sf)
-    parts = [conduct.conduct_paths(rows, level).withColumn("level", F.lit(level)) for level in ("act", "phase", "means")]
-    parts.append(conduct.conduct_paths(rows, with_detection=False).withColumn("level", F.lit("undetected")))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return every.groupBy("level", "path").agg(F.count(F.lit(1)).alias("n"))
+    acts = F.col("acts")
+    paths = {**{level: conduct.path_of(acts, level) for level in ("act", "phase", "means")}, "undetected": conduct.path_of(acts, with_detection=False)}
+    every = told(spark, sf).select(F.inline(F.array(*[F.struct(F.lit(level).alias("level"), path.alias("path")) for level, path in paths.items()])))
+    return every.where("path <> ''").groupBy("level", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {ACTS}, p AS ({_paths_sql('kind')}), n AS (SELECT record_id, count(*) AS acts FROM acts GROUP BY 1)
 SELECT record_id, CASE record_id % 2 WHEN 0 THEN 'court' ELSE 'press' END AS record_kind, 'd' || (o_custkey % 3) AS domain, acts, path FROM p JOIN n USING (record_id) JOIN orders ON o_orderkey = record_id""")
 def exported_trajectories(spark, sf):
-    found = conduct.exported(told(spark, sf), stories(spark, sf))
+    found = conduct.exported(told(spark, sf))
     return found.select("record_id", "record_kind", "domain", F.size("acts").cast("long").alias("acts"), "path")
 
 
@@ -287,7 +286,8 @@ def exact_traces(spark, sf):
 def acts_by_case(spark, sf):
     """Acts with their record's case, null without one."""
     cases = table(spark, sf, "orders").where("o_custkey % 9 < 5").selectExpr("o_orderkey AS record_id", "concat('case-', o_custkey % 9) AS case_id")
-    return told(spark, sf).join(cases, "record_id", "left").groupBy("case_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    acts = told(spark, sf).select("record_id", F.transform("acts", lambda a: a["kind"]).alias("kinds")).join(cases, "record_id", "left")
+    return acts.select("case_id", F.explode("kinds").alias("kind")).groupBy("case_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Records with what a collector knows of them.
