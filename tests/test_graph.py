@@ -201,3 +201,13 @@ def test_rationalities_of_all_draws_at_once(spark):
     got = E.rationalities(spark.createDataFrame(rows, "draw int, src string, dst string, v double, n double"), 50.0, "draw").collect()
     assert {r["draw"]: pytest.approx(r["beta"], abs=1e-6) for r in got} == want
     assert 0.0 in want.values() and len({round(b, 3) for b in want.values()}) > 4
+
+
+def test_patterns_thin_out_before_they_join(spark):
+    """A statement that binds nothing new is no join of the bindings, and nothing is compared after the joins."""
+    rows = [(f"c{i}", "in", f"n{i % 2}", "iri") for i in range(6)] + [(f"c{i}", "a", "T", "iri") for i in range(0, 6, 2)] + [("n0", "part", "r", "iri")] * 2
+    every = spark.createDataFrame(rows, "s string, p string, o string, o_kind string")
+    got = graph.match(every, [("?x", "in", "?n"), ("?n", "part", "?r"), ("?y", "in", "?n"), ("?y", "a", "T")])
+    assert sorted(map(tuple, got.select("x", "n", "r", "y").collect())) == sorted((f"c{i}", "n0", "r", f"c{j}") for i in (0, 2, 4) for j in (0, 2, 4))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.lstrip().startswith(("Aggregate", "Distinct")) and plan.count("LeftSemi") == 1
