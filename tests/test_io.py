@@ -169,3 +169,15 @@ def test_routes_of_repeated_urls(spark, tmp_path):
     for name in ("url_router", "url_modes"):
         got = QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall())
+
+
+def test_turtle_by_statements(spark, tmp_path):
+    """A file is many rows; a comment inside a statement that ends like one keeps it whole."""
+    lines = "".join(f'ex:s{i} traj:of ex:w ;\n    traj:order {i} ;\n    traj:state "a .b" .\n' for i in range(50))
+    (tmp_path / "a.ttl").write_text("@prefix ex: <http://e/> .\n# The walks .\n" + lines)
+    assert readers.turtle_statements(spark, str(tmp_path / "a.ttl")).count() == 1  # the comment
+    (tmp_path / "b.ttl").write_text("@prefix ex: <http://e/> .\n" + lines)
+    assert readers.turtle_statements(spark, str(tmp_path / "b.ttl")).count() == 51
+    (tmp_path / "c.ttl").write_text("@prefix ex: <http://e/> .\n" + lines.replace("ex:w ;", "ex:w ;\n  # odd .\n", 1))
+    got = [sorted(map(tuple, readers.external_walks(spark, str(tmp_path / f"{x}.ttl"), "d").collect())) for x in "abc"]
+    assert len(got[0]) == 50 and got[0] == got[1] == got[2]

@@ -143,7 +143,7 @@ def nation_triples(spark, sf):
 def turtle_triples(spark, sf):
     """Triples written as Turtle and read again; quotes keep their escapes."""
     path = written(sinks.turtle(nation_triples(spark, sf)).select("value"), "turtle")
-    return readers.turtle_triples(spark.read.text(path, wholetext=True))
+    return readers.turtle_triples(readers.turtle_statements(spark, path))
 
 
 @query("""SELECT 'ex:n' || n_nationkey AS id, 'ex:Nation' AS type, 'ex:r' || n_regionkey AS part, n_name || ' "x"; y' AS label FROM nation""")

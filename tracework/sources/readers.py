@@ -233,6 +233,17 @@ def turtle_triples(files: DataFrame) -> DataFrame:
     return files.select("value").mapInPandas(run, "s string, p string, o string, o_kind string")
 
 
+#: What a statement of Turtle ends with at the end of a line; and a comment at the end of a text.
+STATEMENT_END, LAST_COMMENT = " .\n", r"(?:^|\n)[ \t]*#[^\n]*$"
+
+
+def turtle_statements(spark: SparkSession, path: str) -> DataFrame:
+    """Turtle files as rows (value) of whole statements, so that no task holds a file: they are cut where " ." ends a line.
+    Files in which a comment ends so, perhaps inside a statement, stay whole."""
+    cut = spark.read.text(path, lineSep=STATEMENT_END)
+    return cut if cut.where(F.col("value").rlike(LAST_COMMENT)).isEmpty() else spark.read.text(path, wholetext=True)
+
+
 def walks_from_triples(triples: DataFrame, of: str = "traj:of", order: str = "traj:order", state: str = "traj:state", action: str = "traj:action") -> DataFrame:
     """(walk, i, state, action) of a trajectory graph: step nodes that name their walk, place, state and action; a missing
     action is "(step)"."""
@@ -245,7 +256,7 @@ def external_walks(spark: SparkSession, path: str, domain: str = "") -> DataFram
     """(walk, domain, i, state, action, ended_by) of a Turtle file of trajectories or of a file of walks in JSON lines, for
     the same analyses; walks without a domain get the one given."""
     if path.endswith(".ttl"):
-        steps = walks_from_triples(turtle_triples(spark.read.text(path, wholetext=True)))
+        steps = walks_from_triples(turtle_triples(turtle_statements(spark, path)))
         return steps.select("walk", F.lit(domain).alias("domain"), "i", "state", "action", F.lit("(stop)").alias("ended_by"))
     events = walk_events(walks_from_json(spark.read.text(path).where("trim(value) <> ''").withColumnRenamed("value", "json")))
     return events.withColumn("domain", F.when(F.coalesce("domain", F.lit("")) == "", F.lit(domain)).otherwise(F.col("domain"))).select("walk", "domain", "i", "state", "action", "ended_by")
