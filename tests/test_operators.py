@@ -305,3 +305,14 @@ def test_html_blocks_reads_few_pages_at_a_time(spark, sf):
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == TEXT_ROWS
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_cases_without_their_basis(spark):
+    """Statistics ask for no basis, so the links are read once; repeated links change nothing."""
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (1, "c"), (2, "c"), (9, None), (8, None)], "record_id long, key string")
+    once, often = linkage.star_edges(members, "record_id", "key"), linkage.star_edges(members, "record_id", "key", distinct=False)
+    assert sorted(map(tuple, once.collect())) == [(1, 2), (2, 3)] and sorted(map(tuple, often.collect())) == [(1, 2), (1, 2), (2, 3)]
+    records = members.select("record_id").distinct()
+    whole = linkage.cases(records, often.withColumn("basis", F.lit("k")))
+    assert sorted(map(tuple, linkage.case_of(records, once).collect())) == sorted(map(tuple, whole.select("case_id", "record_id").collect()))
+    assert {r.record_id: r.basis for r in whole.collect()} == {1: "k", 2: "k", 3: "k", 8: "single", 9: "single"}
