@@ -87,7 +87,7 @@ def in_batches(docs: DataFrame, key: str, found: Callable[[str], Iterator[tuple]
         for batch in batches:
             places, hits = [], []
             for n, text in enumerate(batch.column(1)):
-                for hit in found(text.as_py() or ""):
+                for hit in found(said) if (said := text.as_py()) else ():
                     places.append(n)
                     hits.append(hit)
             columns = [pa.array(c, f.type) for c, f in zip(zip(*hits, strict=True) if hits else [[]] * len(fields), fields, strict=True)]
@@ -106,7 +106,7 @@ def in_arrays(docs: DataFrame, found: Callable[[str], Iterator[tuple]], schema:
         for batch in batches:
             ends, hits = [0], []
             for text in batch.column(at):
-                hits.extend(found(text.as_py() or ""))
+                hits.extend(found(said) if (said := text.as_py()) else ())
                 ends.append(len(hits))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*hits, strict=True) if hits else [[]] * len(fields), fields, strict=True)]
             arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(fields)))
