@@ -52,8 +52,8 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return bpe.encode_digests(docs, vocabulary())
 
 
-#: The stage of near-duplicates joins by MinHash and exact similarity: no SimHash of 64 bits finds a similarity of 0.8 (see
-#: similar.py and the README).
+#: The stage of near-duplicates tests what SimHash fingerprints in BK-trees and MinHash bands propose for exact similarity: no
+#: SimHash of 64 bits alone finds a similarity of 0.8 (see similar.py and the README).
 STAGES = [
     ("quality rules", quality_stage),
     ("line dedup", line_stage),

@@ -67,3 +67,31 @@ def test_clusters_in_blocks_lose_no_link(spark):
         found = {r["node"]: r["root"] for r in connected(links).collect()}
         assert [found.get(i, i) for i in range(len(texts))] == root
         assert links.count() < len(texts) * (1 if most == 2048 else 20)
+
+
+def test_trees_propose_what_no_band_shares(spark):
+    """Sets without a common band are candidates if their fingerprints stand within two bits, also by way of a third set."""
+    from tracework.llm import similar
+    from tracework.operators.linkage import connected
+
+    prints = {1: 0, 2: 0, 3: 0b11, 4: 0b1111, 5: 0b111 << 40, 6: -1}
+    rows = [(s, fp, [s * 100 + b for b in range(similar.BANDS)]) for s, fp in prints.items()] + [(7, 0x5555555555555555, [600] * similar.BANDS)]
+    links = similar.candidate_links(spark.createDataFrame(rows, "set long, fp long, bands array<long>"))
+    assert {r["node"]: r["root"] for r in connected(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 6: 6, 7: 6}
+
+
+def test_near_prints_are_tested_for_exact_similarity(spark):
+    from tracework.llm import similar
+
+    draw = random.Random(5)
+    hashes = [similar.np.array(sorted({draw.getrandbits(64) for _ in range(400)}), similar.np.uint64)]
+    while len(hashes) < 8:
+        now = similar.np.unique(similar.np.r_[hashes[0][1:], similar.np.uint64(draw.getrandbits(64))])
+        if (similar.majority(now) ^ similar.majority(hashes[0])).bit_count() <= 2:
+            hashes.append(now)
+    # a small set with the print of the first one is no copy of it
+    rows = [(1, i, len(h), [i] * similar.BANDS, bytearray(h.tobytes())) for i, h in enumerate(hashes)]
+    rows.append((1, 99, 1, [99] * similar.BANDS, bytearray(similar.np.uint64(similar.majority(hashes[0])).tobytes())))
+    members = spark.createDataFrame(rows, "cluster long, set long, n long, bands array<long>, hashes binary")
+    links = similar.cluster_links(members, 0.8).collect()
+    assert {n for r in links for n in r} == set(range(8))

@@ -1,11 +1,12 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, with candidates from MinHash bands.
-
-A SimHash of 64 bits can't serve a similarity of 0.8: sets of that Jaccard stand at a cosine of about 0.89, so their
-fingerprints differ in about ten bits, and shards for so wide a radius would hold most of the corpus.
-
-Each distinct set of shingles has BANDS bands of ROWS minima of multiply-shift permutations; two sets of similarity s
-share no band with a probability of (1 - s^ROWS)^BANDS, 3 in 100,000 at 0.8. Sets that share a band are candidates; the
-components of the candidates are clusters, found from links of each bucket's sets to its least one. Within a cluster
+"""Near-duplicates by the exact Jaccard similarity of word shingles, with candidates from SimHash fingerprints in BK-trees
+and from MinHash bands.
+
+Each distinct set of shingles has a SimHash fingerprint, and the BK-trees of neardup.py link those within RADIUS bits: close
+copies. These alone can't serve a similarity of 0.8: sets of that Jaccard stand at a cosine of about 0.89, so their
+fingerprints differ in about ten bits, and shards for so wide a radius would hold most of the corpus. So each set also has
+BANDS bands of ROWS minima of multiply-shift permutations; two sets of similarity s share no band with a probability of
+(1 - s^ROWS)^BANDS, 3 in 100,000 at 0.8. Sets that the trees link or that share a band are candidates; the components of the
+candidates are clusters, found from links of each bucket's sets to its least one and from those of the trees. Within a cluster
 every pair of candidates is tested on the sets themselves, by counting what a set shares with all its candidates in one
 pass over their shingles, unless the pair is joined already; so no link is false, none is lost, and no pair is a row. A
 cluster too large for one task is cut into blocks, and each pair of blocks is a task.
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracework.llm.neardup import FEW_LINKS, shingle_hashes
+from tracework.llm.neardup import FEW_LINKS, RADIUS, fingerprint_links, majority, shingle_hashes
 from tracework.operators.linkage import connected
 from tracework.session import cut, give_back, small, whole_texts
 
@@ -48,10 +49,11 @@ BLOCK_SETS, BLOCK_SHINGLES = 512, 1_000_000
 
 
 class Cluster:
-    """Sets that may be similar: their names, band keys and hashes; side tells the two blocks of a task apart."""
+    """Sets that may be similar: their names, band keys, fingerprints and hashes; side tells the two blocks of a task apart."""
 
     def __init__(self, names: list[int], keys: np.ndarray, hashes: list[np.ndarray], side: np.ndarray) -> None:
         self.names, self.keys, self.side = names, keys, side
+        self.prints = np.array([majority(h) for h in hashes], np.uint64)
         self.sizes = np.array([len(h) for h in hashes], np.int64)
         self.ends = np.cumsum(self.sizes)
         _, self.codes = np.unique(np.concatenate(hashes), return_inverse=True) if len(hashes) else (None, np.zeros(0, int))
@@ -77,7 +79,8 @@ class Cluster:
             if self.side.any():
                 fits &= self.side != self.side[x]
             others = np.flatnonzero(fits)
-            others = others[(self.keys[others] == self.keys[x]).any(axis=1)] if len(others) else others
+            near = np.bitwise_count(self.prints[others] ^ self.prints[x]) <= RADIUS
+            others = others[near | (self.keys[others] == self.keys[x]).any(axis=1)] if len(others) else others
             if not len(others):
                 continue
             both = self.shared(x, others)
@@ -91,21 +94,24 @@ class Cluster:
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key, set (a digest of the row's set of shingles), n (its size) and bands (their keys)."""
+    """doc_id, text_key, set (a digest of the row's set of shingles), n (its size), fp (its fingerprint) and bands (their
+    keys)."""
 
     def sketch(batches):
         for batch in batches:
-            sets, sizes, bands = [], [], []
+            sets, sizes, prints, bands = [], [], [], []
             for text in batch.column(2):
                 hashes = np.unique(shingle_hashes(text.as_py(), shingle))
                 sets.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42) - 2**63)
                 sizes.append(len(hashes))
+                prints.append(majority(hashes))
                 bands.append(band_keys(hashes))
-            columns = [pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "text_key", "set", "n", "bands"])
+            fps = pa.array(np.array(prints, np.uint64).view(np.int64))
+            columns = [pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), fps, pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "text_key", "set", "n", "fp", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _keyed(docs).mapInArrow(sketch, f"doc_id {kind}, text_key long, set long, n long, bands array<long>")
+    return _keyed(docs).mapInArrow(sketch, f"doc_id {kind}, text_key long, set long, n long, fp long, bands array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -160,16 +166,28 @@ def cluster_links(members: DataFrame, similarity: float, block_sets: int = BLOCK
     return rows.mapInArrow(test, "a long, b long").distinct()
 
 
+def candidate_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that span the candidates among sets(set, fp, bands): sets whose fingerprints the BK-trees link, sets with
+    one fingerprint, and sets that share a band."""
+    banded = sets.select("set", F.posexplode("bands").alias("band", "key"))
+    shared = banded.groupBy("band", "key").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    by_band = banded.join(shared, ["band", "key"]).select("a", F.col("set").alias("b"))
+    first = cut(sets.groupBy("fp").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("sets")), "prints")
+    by_print = sets.select("fp", "set").join(first.where("sets > 1"), "fp").select("a", F.col("set").alias("b"))
+    trees = fingerprint_links(first.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    one, other = first.select(F.col("fp").alias("fp_a"), "a"), first.select(F.col("fp").alias("fp_b"), F.col("a").alias("b"))
+    by_tree = trees.join(one, "fp_a").join(other, "fp_b").select("a", "b")
+    return by_band.unionByName(by_print).unionByName(by_tree).where("a <> b").distinct()
+
+
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key (a hash of the text), component_id (the smallest id of its component) and first (whether the row is
     the component's first, by id, then text_key), of every row of docs(doc_id, text)."""
     rows = cut(shingle_sets(docs, shingle), "shingle-sets")
-    # one row of each set: its smallest id, and one of its rows; size and bands are equal in all of them
-    # one row of each set: its first row; size and bands are equal in all of them
-    least = rows.groupBy("set").agg(F.min(_place()).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    banded = rows.select("set", F.posexplode("bands").alias("band", "key")).distinct()
-    shared = banded.groupBy("band", "key").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    near = banded.join(shared, ["band", "key"]).where(F.col("a") != F.col("set")).select("a", F.col("set").alias("b")).distinct()
+    # one row of each set: its first row; size, fingerprint and bands are equal in all of them
+    every = [F.first(c).alias(c) for c in ("n", "fp", "bands")]
+    least = cut(rows.groupBy("set").agg(F.min(_place()).alias("row"), *every), "distinct-sets")
+    near = candidate_links(least)
     clusters = cut(connected(near, few=FEW_LINKS).select(F.col("node").alias("set"), F.col("root").alias("cluster")), "candidate-clusters")
     members = cut(least.join(clusters, "set").select("cluster", "set", "n", "bands", F.when(~F.col("row.none"), F.col("row.doc_id")).alias("id"), "row.text_key"), "cluster-members")
     sets = cut(_hashes(docs, members.select("set", "id", "text_key"), shingle), "candidate-sets")
