@@ -45,3 +45,21 @@ def test_subjects_by_sentence_and_heading(spark):
         ("r", 9): (["a", "b"], same), ("r", 19): (["a", "b"], same), ("r", 30): (["c"], same), ("r", 60): (["a", "b"], back),
         ("r", 70): (["h"], "defendant_line"), ("r", 90): ([], "none"), ("s", 1): ([], "none"),
     }
+
+
+@pytest.mark.parametrize("name", ["attributed_values"])
+def test_what_belongs_to_a_text_stays_in_its_row(spark, sf, name):
+    """Texts are read in one pass, and nothing is shuffled by record."""
+    plan = str(catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
+    assert "hashpartitioning" not in plan and "Window" not in plan and plan.count("Scan parquet") == 1
+
+
+def test_values_beside_their_text(spark):
+    """Two values of a text, one outside of all sentences, and a name that a sentence's end cuts."""
+    from tracework.operators import attribution
+
+    text = "Ann Lee and Bo Kay met Cy Low. It rained. They paid $5. Di B. Moe paid $6.  "
+    docs = spark.createDataFrame([("r", None, text), ("s", "press", None)], "record_id string, kind string, text string")
+    values = spark.createDataFrame([("r", text.index("$5"), "5"), ("r", text.index("$6"), "6"), ("r", len(text), "7"), ("s", 0, "8")], "record_id string, start int, amount string")
+    found = {r.amount: (r.sentence, r.people, r.rule) for r in attribution.attributed(docs, values).collect()}
+    assert found == {"5": (2, ["Lee", "Kay"], "carried_from_previous_sentence"), "6": (4, [], "none")}

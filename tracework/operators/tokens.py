@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -120,18 +120,42 @@ def read_tokens(docs: DataFrame, kinds: list[str], key: str = "record_id") -> Da
     return in_batches(docs, key, lambda text: tokens_of(text, kinds), "kind string, start int, end int, value string")
 
 
+def tokens_in_rows(docs: DataFrame, kinds: list[str]) -> DataFrame:
+    """docs(text, ...) with hits, the array of its tokens (kind, start, end, value)."""
+    return in_arrays(docs, lambda text: tokens_of(text, kinds), "kind string, start int, end int, value string")
+
+
+def citations_in(hits: Column) -> Column:
+    """citations() of an array of tokens, as an array."""
+    parts = lambda t: F.split(t["value"], " U\\.S\\.C\\. § ")
+    return F.transform(F.filter(hits, lambda t: t["kind"] == "statute"), lambda t: F.struct(parts(t)[0].alias("title"), parts(t)[1].alias("section"), t["start"].alias("start"), t["end"].alias("end")))
+
+
+#: What makes a term imposed, in the TERM_REACH characters before it.
+TERM_CUE, TERM_REACH = r"(?i)sentenced[^.]*$", 120
+
+
+def _term(text: Column, t: Column, cue: str) -> Column:
+    before = F.substr(text, F.greatest(F.lit(1), t["start"] - (TERM_REACH - 1)), F.least(F.lit(TERM_REACH), t["start"]))
+    return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].try_cast("int").alias("months"), F.when(before.rlike(cue), "imposed").otherwise("unknown").alias("kind"))
+
+
+def terms_in(text: Column, hits: Column, cue: str = TERM_CUE) -> Column:
+    """terms() of a text and the array of its tokens, as an array."""
+    return F.transform(F.filter(hits, lambda t: t["kind"] == "duration"), lambda t: _term(text, t, cue))
+
+
 def citations(tokens: DataFrame) -> DataFrame:
     """(record_id, title, section, start, end) of the statute tokens."""
     parts = F.split("value", " U\\.S\\.C\\. § ")
     return tokens.where("kind = 'statute'").select("record_id", parts[0].alias("title"), parts[1].alias("section"), "start", "end")
 
 
-def terms(docs: DataFrame, tokens: DataFrame, cue: str = r"(?i)sentenced[^.]*$") -> DataFrame:
+def terms(docs: DataFrame, tokens: DataFrame, cue: str = TERM_CUE) -> DataFrame:
     """(record_id, start, end, months, kind) of the duration tokens: "imposed" after a cue in the 120 characters before
     it, else "unknown"."""
     spans = tokens.where("kind = 'duration'").join(docs.select("record_id", "text"), "record_id")
-    before = F.substr(F.col("text"), F.greatest(F.lit(1), F.col("start") - 119), F.least(F.lit(120), F.col("start")))
-    return spans.select("record_id", "start", "end", F.col("value").try_cast("int").alias("months"), F.when(before.rlike(cue), "imposed").otherwise("unknown").alias("kind"))
+    return spans.select("record_id", _term(F.col("text"), F.struct("start", "end", "value"), cue).alias("t")).select("record_id", "t.*")
 
 
 def register(spark: SparkSession, name: str = "typed_tokens") -> None:

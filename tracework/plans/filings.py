@@ -133,8 +133,9 @@ def lateral_tokens(spark, sf):
 @query(f"""WITH {TOKENS} SELECT record_id, kind, "start", value, people, rule, confidence FROM told WHERE kind IN ('money', 'duration')""")
 def attributed_values(spark, sf):
     """Whose each amount and term is."""
-    found = attribution.attributed(filings(spark, sf), found_tokens(spark, sf, "money", "duration").withColumnRenamed("kind", "field"))
-    return found.select("record_id", F.col("field").alias("kind"), "start", "value", F.array_join("people", "+").alias("people"), "rule", "confidence")
+    read = tokens.tokens_in_rows(filings(spark, sf), ["money", "duration"])
+    found = attribution.attributed_rows(read.withColumnRenamed("hits", "values"))
+    return found.select("record_id", "value.kind", "value.start", F.col("value.value").alias("value"), F.array_join("people", "+").alias("people"), "rule", "confidence")
 
 
 STATUTES = "st(title, section, label, low, high) AS (VALUES " + ", ".join(f"('{t}', '{s}', '{label}', {low or 'NULL'}, {high or 'NULL'})" for t, s, label, low, high, _ in V.STATUTES) + ")"
