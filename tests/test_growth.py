@@ -47,13 +47,28 @@ def test_subjects_by_sentence_and_heading(spark):
     }
 
 
-@pytest.mark.parametrize("name", ["attributed_values"])
+@pytest.mark.parametrize("name", ["attributed_values", "statute_votes"])
 def test_what_belongs_to_a_text_stays_in_its_row(spark, sf, name):
     """Texts are read in one pass, and nothing is shuffled by record."""
     plan = str(catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
     assert "hashpartitioning" not in plan and "Window" not in plan and plan.count("Scan parquet") == 1
 
 
+def test_statutes_in_a_row_vote_as_in_tables(spark):
+    from tracework.operators import evidence, tokens
+
+    law = spark.createDataFrame([("18", "1343", "wire", None, 240), ("18", "1001", "false", 60, 90), ("21", "841A", "drug", 60, 240)], "title string, section string, label string, low int, high int")
+    texts = ["", None, "18 U.S.C. § 1001 and 21 U.S.C. § 841a: 60 months, 240 months, 5 years, life in prison. He was sentenced to 60 months.", "60 months under 18 U.S.C. § 1343, 20 years", "21 U.S.C. § 841a, 18 U.S.C. § 1001, 18 U.S.C. § 1001, 18 U.S.C. § 5: 240 months"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "record_id long, text string")
+    found = tokens.read_tokens(docs, ["statute", "duration"])
+    read = tokens.tokens_in_rows(docs, ["statute", "duration"])
+    rows = read.select("record_id", tokens.citations_in(F.col("hits")).alias("citations"), tokens.terms_in(F.col("text"), F.col("hits")).alias("terms"))
+    got = evidence.statute_votes_in_rows(rows, law)
+    want = evidence.statute_votes(evidence.cited_statutes(tokens.citations(found), law), tokens.terms(docs, found))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert sum(r.field == "sentence" for r in got.collect()) == 5
+
+
 def test_values_beside_their_text(spark):
     """Two values of a text, one outside of all sentences, and a name that a sentence's end cuts."""
     from tracework.operators import attribution

@@ -174,6 +174,24 @@ def statute_votes(cited: DataFrame, terms: DataFrame) -> DataFrame:
     return offenses.unionByName(exposure)
 
 
+def statute_votes_in_rows(rows: DataFrame, statutes: DataFrame) -> DataFrame:
+    """statute_votes() of rows(record_id, citations, terms), arrays of one text, over statutes(title, section, label, low,
+    high): the table of law meets each row as one broadcast array, so nothing is shuffled."""
+    law = statutes.agg(F.collect_list(F.struct("title", "section", "label", "low", "high")).alias("law"))
+    same = lambda c, s: (c["title"].cast("int").cast("string") == s["title"]) & (F.upper(c["section"]) == s["section"])
+    known = lambda c: F.transform(F.filter("law", lambda s: same(c, s)), lambda s: F.struct(c["start"].alias("start"), c["end"].alias("end"), s["label"].alias("label"), s["low"].alias("low"), s["high"].alias("high")))
+    cited = rows.join(F.broadcast(law), F.lit(True)).select("record_id", "terms", F.flatten(F.transform("citations", known)).alias("cited"))
+    none = F.lit(None).cast("string")
+    vote = lambda field, role, at, value, bound: F.struct(F.lit(field).alias("field"), F.lit(role).alias("role"), at["start"].alias("start"), at["end"].alias("end"), value.alias("value"), F.lit(0.8).alias("confidence"), bound.alias("bound"))
+    offenses = F.transform("cited", lambda c: vote("offense", "present", c, c["label"], none))
+    bound = lambda t, c: F.when(t["months"] == c["high"], "maximum").when(t["months"] == c["low"], "minimum")
+    # the first citation, by its start, that has such a bound
+    first = lambda t: F.array_min(F.filter(F.transform("cited", lambda c: F.struct(c["start"].alias("ord"), bound(t, c).alias("bound"))), lambda b: b["bound"].isNotNull()))["bound"]
+    open_ = F.filter("terms", lambda t: (t["kind"] == "unknown") & t["months"].isNotNull())
+    exposure = F.filter(F.transform(open_, lambda t: vote("sentence", "exposure", t, t["months"].cast("string"), first(t))), lambda v: v["bound"].isNotNull())
+    return cited.select("record_id", F.inline(F.concat(offenses, exposure)))
+
+
 def not_boilerplate(sentence: Column, pattern: str) -> Column:
     """A cue inside a tip-line sentence is no evidence."""
     return ~sentence.rlike(pattern)

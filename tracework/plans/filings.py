@@ -153,9 +153,9 @@ SELECT record_id, 'offense' AS field, 'present' AS role, "start", CASE WHEN reco
 UNION ALL SELECT record_id, 'sentence', 'exposure', "start", CAST(months AS VARCHAR), bound FROM b WHERE bound IS NOT NULL""")
 def statute_votes(spark, sf):
     """Offenses by citation, and terms without a cue of their own that equal a cited bound."""
-    docs, found = filings(spark, sf), found_tokens(spark, sf, "statute", "duration")
-    cited = evidence.cited_statutes(tokens.citations(found), V.statutes(spark))
-    return evidence.statute_votes(cited, tokens.terms(docs, found)).select("record_id", "field", "role", "start", "value", "bound")
+    read = tokens.tokens_in_rows(filings(spark, sf).select("record_id", "text"), ["statute", "duration"])
+    rows = read.select("record_id", tokens.citations_in(F.col("hits")).alias("citations"), tokens.terms_in(F.col("text"), F.col("hits")).alias("terms"))
+    return evidence.statute_votes_in_rows(rows, V.statutes(spark)).select("record_id", "field", "role", "start", "value", "bound")
 
 
 #: (reader, kinds, method, version, rank)
